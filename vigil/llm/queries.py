@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, outliers, simhash, tokencount, topk, warc
+from . import htmltext, lines, mixing, outliers, pieces, quality, simhash, tokencount, topk, warc
 from .shared import shipped
 
 TOKEN_LIMIT = 2048
@@ -18,6 +18,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return shipped(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The mixture asked for: the sources of the synthetic corpus in equal shares.
+MIXTURE = {f"src{i}": 0.05 for i in range(20)}
+SEED = 17
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -32,10 +41,26 @@ def op4_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    decoded = pieces.decode(pieces.encode(docs, path, seed=SEED), path)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.col("text")).alias("lossless"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "text", "n_lines", "n_removed")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars"), MIXTURE, seed=SEED)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -49,18 +74,34 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op2_html_text, op3_warc, op4_top_k, op7_quality_rules, op9_token_counts, op10_simhash)
+        for f in (op1_quality, op2_html_text, op3_warc, op4_top_k, op5_pieces, op6_line_dedup, op7_quality_rules, op8_mixture, op9_token_counts, op10_simhash)
     }
 
 
 ORACLES: dict[str, str] = {
+    "op8_mixture": """
+with shares as (select 'src' || i as source, 0.05::double as w from range(20) t(i)),
+n as (select source, count(*) as n from documents where source in (select source from shares) group by source),
+rates as (select source, w / sum(w) over () * sum(n) over () / n as mean from n join shares using (source)),
+steps as (
+  select source, k, least(1.0, sum(exp(k * ln(mean) - mean - lgamma(k + 1))) over (partition by source order by k)) as upto
+  from rates, range(200) t(k)
+),
+u as (select *, ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, 'null')), 1, 13))::bigint / 4503599627370496.0::double as u from documents),
+counted as (
+  select u.*, case when source is null or source not in (select source from rates) then 1
+    else (select count(*) from steps s where s.source = u.source and s.upto <= u.u) end as c
+  from u
+)
+select doc_id, text, lang, source, n_chars, unnest(range(1, c + 1))::bigint as copy from counted
+""",
     "op4_top_k": """
 with v as (
-  select vec_id, list_transform(embedding, x -> floor(256 * x::double)::bigint) as e from embeddings
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as e from embeddings
   where embedding is not null and vec_id is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x::double))) = 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0
 ), s as (
-  select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.e, c.e), p -> p[1] * p[2]))::bigint as score
+  select q.vec_id as query_id, c.vec_id as vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::bigint as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
 select query_id, rank::int as rank, vec_id, score from r where rank <= 5
