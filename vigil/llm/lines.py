@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -118,29 +119,52 @@ def _frame(keys: list[int], lines: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"k": pd.Series(keys, dtype="uint64").astype("int64"), "line": pd.Series(lines, dtype="int64")})
 
 
-def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`a` < `b`: hashes (lowest bit off) of different lines that share a segment."""
+def sketch(line: str) -> int:
+    """Counts of characters by 32 classes, modulo 4, two bits each in Gray code: an edit flips two bits at most."""
+    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32) % 32
+    counts = np.bincount(codes, minlength=32) % 4
+    return _signed(int(((counts ^ counts >> 1).astype(np.uint64) << np.arange(0, 64, 2, dtype=np.uint64)).sum()))
+
+
+def shared_segments(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """`k`, `id`, `own`: the lines (hash, lowest bit off) of every segment key that different lines have, and whether they index it."""
     keyed = segment_keys(docs, text_col, edits, min_chars)
     plain = F.col("line").bitwiseAND(F.lit(-2))
     w = Window.partitionBy("k")
     shared = keyed.withColumn("low", F.min(plain).over(w)).withColumn("high", F.max(plain).over(w)).filter("low <> high")
-    met = stored(shared.groupBy("k", plain.alias("line")).agg(F.max(F.col("line").bitwiseAND(F.lit(1))).alias("own")), "segments")
-    index = met.filter("own = 1").select("k", F.col("line").alias("x"))
-    pairs = met.join(index, "k").filter("line <> x")
-    return pairs.select(F.least("line", "x").alias("a"), F.greatest("line", "x").alias("b")).distinct()
+    return stored(shared.groupBy("k", plain.alias("id")).agg(F.max(F.col("line").bitwiseAND(F.lit(1))).alias("own")), "segments")
 
 
-def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`h`: lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`."""
-    pairs = stored(candidates(docs, text_col, edits, min_chars), "pairs")
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = lines.withColumn("id", F.col("h").bitwiseAND(F.lit(-2))).join(named, "id").groupBy("id", "h").agg(F.min(F.struct("doc", "no")).alias("first"))
-    places = stored(places, "places")
-    wanted = stored(places.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "h", F.col("first.no").alias("no"))).alias("all")), "wanted")
+def first_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`id`, `h`, `doc`, `no`, `t`, `sketch` of each line in `ids`, from the first document that has it."""
+    places = lines.withColumn("id", F.col("h").bitwiseAND(F.lit(-2))).join(ids, "id").groupBy("id", "h").agg(F.min(F.struct("doc", "no")).alias("first"))
+    wanted = places.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "h", F.col("first.no").alias("no"))).alias("all"))
     source = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines"))
-    texts = source.join(wanted, "doc").select("doc", "lines", F.explode("all").alias("e"))
+    # whole texts are dealt by document at every size, as they must be at the largest
+    texts = source.join(stored(wanted, "wanted").hint("merge"), "doc").select("doc", "lines", F.explode("all").alias("e"))
     texts = texts.select("e.id", "e.h", F.col("doc"), "e.no", F.get("lines", F.col("e.no")).alias("t")).filter(F.xxhash64("t") == F.col("h"))
-    texts = stored(texts.dropDuplicates(["id", "h"]), "texts")
+
+    @F.pandas_udf("long")
+    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for found in batches:
+            yield pd.Series([sketch(t) for t in found], dtype="int64")
+
+    return stored(texts.dropDuplicates(["id", "h"]).withColumn("sketch", sketched("t")), "texts")
+
+
+def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """`h`: lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`.
+
+    Lines that share a segment meet in the join; it gives out only those whose sketches differ by no more
+    bits than the edits can flip, which are then verified.
+    """
+    met = shared_segments(docs, text_col, edits, min_chars)
+    texts = first_texts(docs, lines, met.select("id").distinct(), id_col, text_col)
+    met = met.join(texts.select("id", "sketch").distinct(), "id")
+    index = met.filter("own = 1").select(F.col("k").alias("other_k"), F.col("id").alias("other"), F.col("sketch").alias("other_sketch"))
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= 2 * edits
+    pairs = met.join(index, (F.col("k") == F.col("other_k")) & (F.col("id") != F.col("other")) & alike)
+    pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
@@ -174,7 +198,7 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
             rows = [rewrite(t, () if g is None else g, min_chars) for t, g in zip(texts, sets, strict=True)]
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    joined = docs.join(per_doc, F.col(id_col) == F.col("doc"), "left").withColumn("_new", rewritten(F.col(text_col), F.col("_gone")))
+    joined = docs.join(per_doc.hint("merge"), F.col(id_col) == F.col("doc"), "left").withColumn("_new", rewritten(F.col(text_col), F.col("_gone")))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     return joined.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_removed").alias("n_removed"))
 
