@@ -1,4 +1,550 @@
-"""Registry of the engine's queries and their oracles."""
+"""Registry of the engine's queries: each takes (spark, sf_dir). Their oracles are in `oracles`."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import dims
+from .functions import scores as S
+from .functions import text as T
+from .operators import export, graph, scoring, search, stats, trend
+from .oracles import ORACLES  # noqa: F401
+from .sources import json_events, pages, threat_event
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+#: Dictionary of words that occur in the synthetic documents.
+WORDS = ["the", "tion", "er", "und", "que", "los", "heit", "zzz"]
+
+
+def query(f: Callable) -> Callable:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+events = threat_event.threat_events
+
+
+def joined(c: str, sep: str = ","):
+    return F.array_join(F.col(c), sep).alias(c)
+
+
+def at(c: str):
+    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def day(c: str = "day"):
+    return F.date_format(c, "yyyy-MM-dd").alias(c)
+
+
+# Scorers
+
+
+@query
+def risk_score_flagship(spark, sf_dir):
+    out = scoring.service_score(events(spark, sf_dir))
+    top = F.array_join(F.transform("top_factors", lambda x: F.concat_ws(":", x["factor"], x["score"].cast("string"))), ",")
+    return out.select("event_id", *S.FACTORS, "traditional_score", "ai_score", "original_score", "decayed_score", "sector", "sector_confidence", "sector_bonus", "risk_score", F.col("severity_ai").alias("severity"), top.alias("top_factors"), "has_actor", "has_mitre", "primary_threat")
+
+
+@query
+def risk_score_grouped(spark, sf_dir):
+    out = scoring.grouped_score(events(spark, sf_dir))
+    return out.select("ioc_type", "ioc_value", "n_events", joined("sources"), at("first_seen"), at("last_seen"), "cross_source", "threat_type", "type_specific", "entropy", "keywords", "source_severity", "risk_score", "severity")
+
+
+@query
+def risk_score_typed(spark, sf_dir):
+    return scoring.typed_score(events(spark, sf_dir))
+
+
+@query
+def risk_score_legacy(spark, sf_dir):
+    return scoring.legacy_score(events(spark, sf_dir))
+
+
+@query
+def confidence_calc(spark, sf_dir):
+    out = scoring.indicator_profile(events(spark, sf_dir))
+    return out.select("ioc_type", "ioc_value", "n_events", "n_sources", "max_severity", "confidence")
+
+
+@query
+def first_last_seen(spark, sf_dir):
+    return scoring.indicator_profile(events(spark, sf_dir)).select("ioc_type", "ioc_value", at("first_seen"), at("last_seen"), "n_sources")
+
+
+@query
+def cross_source_boost(spark, sf_dir):
+    scored = scoring.service_score(events(spark, sf_dir)).select("event_id", *scoring.KEY, "source_name", "risk_score")
+    return scoring.cross_source_boost(scored).select("event_id", "seen_in", "boosted")
+
+
+@query
+def cross_source(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.cross_source(F.col("sources")).alias("points"))
+
+
+@query
+def source_quality(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.select("event_id", S.source_quality(F.col("sources")).alias("points"), T.source_tier(F.col("source_name")).alias("tier"), T.source_class(F.col("source_name")).alias("class"))
+
+
+@query
+def threat_type_score(spark, sf_dir):
+    types = F.col("threat_types")
+    return events(spark, sf_dir).select("event_id", S.threat_type(types).alias("points"), S.threat_type_level(types).alias("level"))
+
+
+@query
+def actor_score(spark, sf_dir):
+    points = S.actor(F.col("actors"))
+    return events(spark, sf_dir).select("event_id", points.alias("points"), S.attribution(points).alias("attribution"))
+
+
+@query
+def mitre_score(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.mitre(F.col("techniques")).alias("points"), S.sophistication(F.col("techniques")).alias("sophistication"))
+
+
+@query
+def confidence_bonus(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.confidence_bonus(F.col("ai_confidence")).alias("points"))
+
+
+@query
+def domain_age_score(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.domain_age(F.col("domain_age_days"), F.col("ioc_type")).alias("points"))
+
+
+@query
+def decay(spark, sf_dir):
+    days = F.col("ioc_age_days")
+    return events(spark, sf_dir).select("event_id", S.decay_factor(days).alias("factor"), S.decayed(F.lit(100), days).alias("points"))
+
+
+@query
+def classify_lexicon(spark, sf_dir):
+    out = scoring.classify_lexicon(events(spark, sf_dir))
+    return out.select("event_id", joined("predicted_types"), "predicted_confidence")
+
+
+@query
+def classify_activity(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "cyberint-feeds-1").otherwise("other").alias("source_index"), threat_event.pick([*dims.ACTIVITIES, "Strange Thing", "Credential Theft", ""], F.col("event_id") % 20).alias("detected_activity"))
+    return scoring.classify_activity(e).select("event_id", joined("rule_types"), "rule_confidence")
+
+
+# Sectors
+
+
+@query
+def sector_best(spark, sf_dir):
+    r = S.sector_best(F.col("description"), F.col("ioc_value"), F.col("ioc_type"), F.col("actors"))
+    return events(spark, sf_dir).select("event_id", r.alias("r")).select("event_id", "r.sector", "r.confidence", "r.bonus")
+
+
+@query
+def sector_first(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", S.sector_first(F.col("description"), F.col("actors")).alias("sector"))
+
+
+@query
+def sector_summary(spark, sf_dir):
+    e = events(spark, sf_dir).withColumn("sector", S.sector_first(F.col("description"), F.col("actors")))
+    types = F.array_join(F.transform("top_types", lambda x: F.concat_ws(":", x["threat_type"], x["n"].cast("string"))), ",")
+    return stats.sector_summary(e).select("sector", "n", *stats.LEVELS, "threat_level", F.coalesce(types, F.lit("")).alias("top_types"), F.coalesce(F.array_join(F.slice("actors", 1, 5), ","), F.lit("")).alias("actors"))
+
+
+@query
+def national_level(spark, sf_dir):
+    rows = table(spark, sf_dir, "region").select(threat_event.pick(["finance", "transport", "energy", "retail", "healthcare"], F.col("r_regionkey")).alias("id"), F.col("r_regionkey").alias("ordinal"), (1 + F.col("r_regionkey") * 3 % 5).alias("criticalLevel"))
+    return stats.national_level(rows)
+
+
+# Text
+
+
+@query
+def entropy_service(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.entropy_service(F.col("p_name")).alias("entropy"))
+
+
+@query
+def entropy_full(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", T.entropy_full(F.col("p_name")).alias("entropy"))
+
+
+@query
+def keyword_hits(spark, sf_dir):
+    hits = T.keyword_hits(F.col("text"), WORDS)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(hits, ",").alias("hits"), F.least(F.size(hits) * 5, F.lit(25)).alias("points"))
+
+
+@query
+def keyword_join(spark, sf_dir):
+    """The same by a join with a dictionary table, as for dictionaries too long for literals."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
+    # a dictionary is a parameter: eight rows here
+    return docs.join(F.broadcast(words), F.contains("low", "word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def actor_extract(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return e.select("event_id", joined("actors"), F.array_join(T.threat_actors_simple(F.col("description")), ",").alias("simple"))
+
+
+@query
+def mitre_extract(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", joined("techniques"))
+
+
+@query
+def ioc_type_detect(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", T.ioc_type(F.col("ioc_value")).alias("detected"))
+
+
+@query
+def severity_norm(spark, sf_dir):
+    raw = F.col("severity_raw")
+    return events(spark, sf_dir).select("event_id", T.severity(raw).alias("severity"), T.severity_analyzed(raw).alias("analyzed"))
+
+
+@query
+def confidence_norm(spark, sf_dir):
+    return events(spark, sf_dir).select("event_id", "confidence")
+
+
+@query
+def date_cascade(spark, sf_dir):
+    raw = F.when(F.col("event_id") % 4 == 0, F.date_format("event_time", "dd/MM/yyyy")).when(F.col("event_id") % 4 == 1, F.date_format("event_time", "yyyy-MM-dd")).when(F.col("event_id") % 4 == 2, "soon").otherwise("")
+    e = events(spark, sf_dir).withColumn("raw", raw)
+    return e.select("event_id", T.date_or_raw(F.col("raw")).alias("iso"), T.age_days(T.timestamp(F.col("raw"))).cast("long").alias("age"))
+
+
+@query
+def bands(spark, sf_dir):
+    c = F.col("confidence")
+    return events(spark, sf_dir).select("event_id", T.service_band(c).alias("service"), T.dashboard_band(c).alias("dashboard"), T.score_color(c).alias("color"), T.score_text(c).alias("text"))
+
+
+@query
+def title_from_url(spark, sf_dir):
+    url = F.col("reference")
+    return events(spark, sf_dir).select("event_id", T.title_from_url(url).alias("title"), T.news_source(url, F.col("source_name")).alias("source"), T.netloc(url).alias("netloc"), T.url_host(F.col("ioc_value")).alias("host"))
+
+
+@query
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(T.clean_text(F.regexp_replace("text", "[^ -~]", " "))).alias("clean"))
+
+
+@query
+def page_summaries(spark, sf_dir):
+    return pages.summaries(table(spark, sf_dir, "pages"))
+
+
+@query
+def page_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+
+
+# Search
+
+
+@query
+def search_substring(spark, sf_dir):
+    return search.search(events(spark, sf_dir), q="BANK", severities=["high", "critical"]).select("event_id", "ioc_type", "severity")
+
+
+@query
+def search_tokens(spark, sf_dir):
+    return search.search(events(spark, sf_dir), q="ransomware portal", tokens=True, types=["ip", "url"]).select("event_id", "ioc_type")
+
+
+@query
+def search_filters(spark, sf_dir):
+    out = search.search(events(spark, sf_dir), sources=["VirusTotal", "Sandbox"], threat_type="APT", since="2024-01-05 00:00:00", until="2024-01-20 00:00:00")
+    return out.select("event_id", "source_name")
+
+
+@query
+def search_paged(spark, sf_dir):
+    scored = scoring.service_score(events(spark, sf_dir)).select("event_id", "event_time", "risk_score")
+    return search.page(scored, limit=50, offset=20).select("event_id", "risk_score")
+
+
+@query
+def facets(spark, sf_dir):
+    return stats.facets(events(spark, sf_dir))
+
+
+@query
+def related_events(spark, sf_dir):
+    return search.related(events(spark, sf_dir), "cve-2024-0042").select("event_id", "ioc_type", "ioc_value")
+
+
+@query
+def focused_ioc(spark, sf_dir):
+    scored = scoring.service_score(events(spark, sf_dir))
+    return search.indicator_detail(scored, "cve", "CVE-2024-0042").select("ioc_type", "ioc_value", "event_id", at("event_time"), "severity", "score", "pending", joined("sources"), "n_events")
+
+
+@query
+def urls_to_classify(spark, sf_dir):
+    e = events(spark, sf_dir)
+    done = e.filter("user_id % 2 = 1 and event_id % 3 = 0").select(F.col("reference").alias("url"))
+    return search.urls_to_classify(e, done).select("reference", "n", F.size("iocs").alias("n_iocs"))
+
+
+@query
+def url_classification(spark, sf_dir):
+    e = events(spark, sf_dir)
+    classes = e.select(F.col("reference").alias("url")).distinct().select("url", T.title_from_url(F.col("url")).alias("title"), T.literals(["Phishing"]).alias("types"), T.literals(["Turla"]).alias("url_actors"))
+    return search.with_url_classes(e, classes).select("event_id", joined("threat_types"), joined("actors"), "ai_confidence")
+
+
+@query
+def reuse_split(spark, sf_dir):
+    e = events(spark, sf_dir).select("event_id", *scoring.KEY)
+    cache = events(spark, sf_dir).filter("user_id % 3 = 0").select(*scoring.KEY, (F.col("user_id") % 2 == 0).alias("scraped"), F.when(F.col("user_id") % 9 == 0, F.col("description")).alias("description"))
+    reuse, fresh = search.reusable(e, cache, scoring.KEY)
+    return reuse.select("event_id", F.lit("reused").alias("branch")).unionByName(fresh.select("event_id", F.lit("new").alias("branch")))
+
+
+# Statistics
+
+
+@query
+def dashboard_stats(spark, sf_dir):
+    return stats.dashboard_counts(events(spark, sf_dir))
+
+
+@query
+def stats_by_threat_type(spark, sf_dir):
+    return stats.by_threat_type(events(spark, sf_dir))
+
+
+@query
+def top_items(spark, sf_dir):
+    e = events(spark, sf_dir)
+    parts = [stats.top_items(e, c, 5).withColumn("field", F.lit(c)) for c in ("ioc_type", "source_name", "threat_types", "severity")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+
+
+@query
+def recent_alerts(spark, sf_dir):
+    return stats.recent_alerts(events(spark, sf_dir)).select("event_id", at("event_time"), "ioc_type", "severity")
+
+
+@query
+def avg_risk(spark, sf_dir):
+    return stats.average_risk(scoring.service_score(events(spark, sf_dir)).select("ioc_type", "risk_score"))
+
+
+@query
+def severity_distribution(spark, sf_dir):
+    return stats.severity_distribution(events(spark, sf_dir))
+
+
+@query
+def home_severity(spark, sf_dir):
+    return stats.home_severity(events(spark, sf_dir))
+
+
+@query
+def bucket_map(spark, sf_dir):
+    return stats.bucket_map(events(spark, sf_dir)).select(F.to_json("buckets").alias("buckets"))
+
+
+@query
+def events_by_day(spark, sf_dir):
+    return stats.events_by_day(events(spark, sf_dir), days=14).select(day(), "n")
+
+
+@query
+def percent_of_total(spark, sf_dir):
+    return stats.shares(events(spark, sf_dir))
+
+
+@query
+def report_summary(spark, sf_dir):
+    return stats.report_summary(events(spark, sf_dir))
+
+
+@query
+def alerts(spark, sf_dir):
+    return stats.alerts(events(spark, sf_dir)).select("alert_id", "event_id", at("event_time"), "severity", "status")
+
+
+@query
+def alert_kpis(spark, sf_dir):
+    found = stats.alerts(events(spark, sf_dir))
+    steps = [F.struct(F.lit(s).alias("status"), F.make_dt_interval(hours=F.lit(h)).alias("later")) for s, h in (("acknowledged", 1), ("resolved", 2))]
+    log = found.filter("event_id % 3 = 0").select("alert_id", "event_id", "event_time", F.explode(F.array(*steps)).alias("s")).filter("s.status = 'acknowledged' or event_id % 2 = 0")
+    return stats.alert_kpis(stats.alert_transitions(found, log.select("alert_id", (F.col("event_time") + F.col("s.later")).alias("at"), "s.status")))
+
+
+@query
+def cve_search(spark, sf_dir):
+    return stats.cve_kpis(search.search(events(spark, sf_dir), q="2024-00"))
+
+
+@query
+def tickets(spark, sf_dir):
+    return export.tickets(scoring.service_score(events(spark, sf_dir))).select("ticket_id", "event_id", "title", "priority", "category", "risk", F.md5("body").alias("body"))
+
+
+# Trends
+
+
+@query
+def daily_by_type(spark, sf_dir):
+    return trend.daily_counts(events(spark, sf_dir)).select(day(), "threat_type", "n")
+
+
+@query
+def trend_regression(spark, sf_dir):
+    return trend.regression(trend.dense(trend.daily_counts(events(spark, sf_dir)))).select("threat_type", "total", "days", "slope", "direction", "confidence", "current_avg", "prediction_7d", "change_percent")
+
+
+@query
+def trend_predictions(spark, sf_dir):
+    return trend.predictions(events(spark, sf_dir), top=5).select("threat_type", "slope", "prediction_text", "alert_level")
+
+
+@query
+def trend_summary(spark, sf_dir):
+    return trend.trend_summary(trend.predictions(events(spark, sf_dir)))
+
+
+@query
+def trend_forecast(spark, sf_dir):
+    return trend.forecast(events(spark, sf_dir)).select("threat_type", day(), "segment", "value")
+
+
+# Countries, news, graph
+
+
+@query
+def geo_threats(spark, sf_dir):
+    severities = F.array_join(F.transform(F.map_entries("severities"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
+    return stats.geo_rollup(events(spark, sf_dir)).select("code", "name", "lat", "lng", "n", severities.alias("severities"), "primary_severity", "radius")
+
+
+@query
+def geo_totals(spark, sf_dir):
+    return stats.geo_totals(stats.geo_rollup(events(spark, sf_dir)))
+
+
+@query
+def news_rollup(spark, sf_dir):
+    related = F.array_join(F.transform("related", lambda x: F.concat_ws(":", x["type"], x["value"])), ",")
+    return stats.news_rollup(events(spark, sf_dir)).select("id", "title", "url", "source", at("date"), related.alias("related"), "ioc_count")
+
+
+@query
+def news_by_source(spark, sf_dir):
+    return stats.news_by_source(stats.news_rollup(events(spark, sf_dir)))
+
+
+def graph_events(spark, sf_dir):
+    """Threat events with related entities made from the fixture's own values."""
+    u = F.col("user_id")
+    return events(spark, sf_dir).withColumns({
+        "related_actors": F.when(u % 10 == 0, T.literals(["Night Owl"])).otherwise(T.literals([])), "malware_families": F.when(u % 4 == 0, T.literals(["Dark Rat"])).otherwise(T.literals([])),
+        "campaigns": F.when(u % 6 == 0, T.literals(["Winter Op"])).otherwise(T.literals([])), "related_domains": F.when(u % 3 == 0, F.array(F.concat(F.lit("d"), (u % 50).cast("string"), F.lit(".example.com")), F.col("ioc_value"))).otherwise(T.literals([])),
+        "related_hashes": F.when(u % 5 == 0, F.array(F.md5((u % 20).cast("string")))).otherwise(T.literals([])),
+    })
+
+
+@query
+def graph_nodes(spark, sf_dir):
+    return graph.nodes(graph_events(spark, sf_dir)).select("id", "label", "type", F.coalesce("sub_type", F.lit("")).alias("sub_type"), F.coalesce("severity", F.lit("")).alias("severity"), "size")
+
+
+@query
+def graph_edges(spark, sf_dir):
+    return graph.links(graph_events(spark, sf_dir))
+
+
+@query
+def graph_stats(spark, sf_dir):
+    e = graph.graph_filter(graph_events(spark, sf_dir), "with_actors")
+    return graph.graph_stats(graph.nodes(e), graph.links(e))
+
+
+# Exports
+
+
+@query
+def export_suricata(spark, sf_dir):
+    return export.suricata(events(spark, sf_dir))
+
+
+@query
+def export_snort(spark, sf_dir):
+    return export.snort(events(spark, sf_dir))
+
+
+@query
+def export_csv(spark, sf_dir):
+    return export.csv_lines(events(spark, sf_dir))
+
+
+@query
+def export_json(spark, sf_dir):
+    return export.json_documents(events(spark, sf_dir))
+
+
+@query
+def export_blocklist(spark, sf_dir):
+    return export.blocklist(events(spark, sf_dir))
+
+
+@query
+def export_text(spark, sf_dir):
+    return export.text_list(events(spark, sf_dir))
+
+
+# Sources and streams
+
+
+@query
+def json_shapes(spark, sf_dir):
+    """Each event as a JSON file of one of the shapes, parsed back."""
+    e = events(spark, sf_dir)
+    one = F.to_json(F.struct(F.struct(F.col("ioc_value").alias("value"), F.col("ioc_type").alias("type")).alias("ioc"), "source_name", "description", F.col("threat_types").alias("threat_type"), F.col("severity_raw").alias("severity"), F.col("confidence_raw").alias("confidence")))
+    wrap = [('{"hits":{"hits":[{"_source":', "}]}}"), ('{"hits":[', "]}"), ('{"events":[', "]}"), ('{"data":[', "]}"), ("", ""), ("[", "]")]
+    text = F.when(F.lit(False), "")
+    for i, (a, b) in enumerate(wrap):
+        text = text.when(F.col("event_id") % 6 == i, F.concat(F.lit(a), one, F.lit(b)))
+    files = e.select(F.col("event_id").cast("string").alias("file"), F.try_parse_json(text).alias("v"))
+    out = json_events.threat_events(json_events.split_events(files))
+    return out.select(F.col("file").cast("long").alias("event_id"), "ioc_type", "ioc_value", "source_name", joined("threat_types"), "severity", "confidence")
+
+
+@query
+def synthetic_feed(spark, sf_dir):
+    return threat_event.synthetic(spark).groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
+
+
+@query
+def incremental_pipeline(spark, sf_dir):
+    out = incremental.incremental(spark, f"{sf_dir}/events.parquet", dims.AS_OF)
+    return out.select("ioc_type", "ioc_value", "event_id", "risk_score", "ai_severity")
+
+
+@query
+def stream_daily_counts(spark, sf_dir):
+    return incremental.daily(spark, f"{sf_dir}/events.parquet").select(day(), "event_type", "n")
