@@ -23,17 +23,22 @@ def cross_source(sources: Column) -> Column:
 
 def source_quality(sources: Column) -> Column:
     """15 points a trusted source, 8 a news source, 5 any other, repeats counted, at most 40."""
-    points = F.transform(sources, lambda s: T.lookup({"trusted": 15, "news": 8, "other": 5}, T.source_tier(s)))
+    tier = {"trusted": 15, "news": 8}
+    points = F.transform(sources, lambda s: F.coalesce(T.lookup(tier, T.source_tier(s)), F.lit(5)))
     return F.least(F.coalesce(total(points), F.lit(0)), F.lit(40))
 
 
 def keywords(text: Column) -> Column:
-    return F.least(F.size(T.keyword_hits(text)) * 5, F.lit(25))
+    return F.least(T.count_hits(F.lower(F.coalesce(text, F.lit(""))), dims.SERVICE_KEYWORDS) * 5, F.lit(25))
 
 
-def entropy_points(value: Column, kind: Column) -> Column:
-    e = T.entropy_service(value)
-    return F.when(kind.isin("domain", "url", "hostname"), F.when(e > 4.0, 15).when(e > 3.5, 10).when(e > 3.0, 5).otherwise(0)).otherwise(0)
+def entropy_value(value: Column, kind: Column) -> Column:
+    """The service entropy of domains, urls and host names; null for other kinds."""
+    return F.when(kind.isin("domain", "url", "hostname"), T.entropy_service(value))
+
+
+def entropy_points(e: Column) -> Column:
+    return F.when(e > 4.0, 15).when(e > 3.5, 10).when(e > 3.0, 5).otherwise(0)
 
 
 def geo_risk(country: Column, enabled: bool = False) -> Column:
@@ -81,17 +86,16 @@ def tactics_of(techniques: Column) -> Column:
     return F.transform(techniques, first)
 
 
-def mitre(techniques: Column) -> Column:
-    """Each tactic's points once, 3 for every technique without a tactic, at most 20."""
-    ordinals = tactics_of(techniques)
+def mitre(ordinals: Column) -> Column:
+    """From `tactics_of`: each tactic's points once, 3 for every technique without a tactic, at most 20."""
     points = T.literals([p for _, p in dims.TACTICS.values()])
     known = F.transform(F.filter(F.array_distinct(ordinals), lambda o: o >= 0), lambda o: F.get(points, o))
     generic = F.size(F.filter(ordinals, lambda o: o < 0)) * 3
     return F.coalesce(F.least(total(known) + generic, F.lit(20)), F.lit(0))
 
 
-def sophistication(techniques: Column) -> Column:
-    n = F.size(F.filter(F.array_distinct(tactics_of(techniques)), lambda o: o >= 0))
+def sophistication(ordinals: Column) -> Column:
+    n = F.size(F.filter(F.array_distinct(ordinals), lambda o: o >= 0))
     return F.when(n >= 5, "advanced").when(n >= 3, "intermediate").when(n >= 1, "basic").otherwise("none")
 
 
@@ -120,29 +124,31 @@ FACTORS = ["cross_source", "source_quality", "keywords", "entropy", "geo_risk",
 def top_factors(k: int = 5, names=FACTORS) -> Column:
     """The k largest factors with points, larger first, ties in factor order, as structs of factor and score."""
     table = F.array(*[F.struct((-F.col(n)).alias("key"), F.lit(i).alias("i"), F.lit(n).alias("factor"), F.col(n).alias("score")) for i, n in enumerate(names)])
-    best = F.slice(F.array_sort(table), 1, k)
+    best = F.slice(F.sort_array(table), 1, k)
     return F.transform(F.filter(best, lambda x: x["score"] > 0), lambda x: F.struct(x["factor"].alias("factor"), x["score"].alias("score")))
 
 
 # Sectors
 
 
-def sector_matches(text: Column, value: Column, kind: Column, actors: Column) -> Column:
-    """An array with one struct (score, -ordinal, sector, bonus) for every sector."""
+def sector_match(text: Column, value: Column, kind: Column, actors: Column) -> Column:
+    """The best sector as a struct (score, -ordinal, sector, bonus); the first on ties.
+
+    A tenth a keyword up to .4, .15 a domain pattern up to .3, .15 an actor up to .3.
+    """
     low, value = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(value, F.lit("")))
-    count = lambda words, where: reduce(lambda a, b: a + b, [F.contains(where, F.lit(w)).cast("int") for w in words])
+    names = F.concat(F.lit("\n"), F.array_join(F.coalesce(F.transform(actors, F.trim), T.literals([])), "\n\n"), F.lit("\n"))
     out = []
-    for i, (name, (bonus, keys, patterns, names)) in enumerate(dims.SECTORS.items()):
-        by_key = F.least(count(keys, low) * 0.1, F.lit(0.4))
-        by_domain = F.when(kind.isin("domain", "url", "hostname"), F.least(count(patterns, value) * 0.15, F.lit(0.3))).otherwise(0.0)
-        by_actor = F.least(F.coalesce(F.size(F.filter(actors, lambda a: F.trim(a).isin(names))), F.lit(0)) * 0.15, F.lit(0.3))
+    for i, (name, (bonus, keys, patterns, known)) in enumerate(dims.SECTORS.items()):
+        by_key = F.least(T.count_hits(low, keys) * 0.1, F.lit(0.4))
+        by_domain = F.when(kind.isin("domain", "url", "hostname"), F.least(T.count_hits(value, patterns) * 0.15, F.lit(0.3))).otherwise(0.0)
+        by_actor = F.least(F.regexp_count(names, F.lit("\n(" + "|".join(known) + ")\n")) * 0.15, F.lit(0.3))
         out.append(F.struct((by_key + by_domain + by_actor).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("sector"), F.lit(bonus).alias("bonus")))
-    return F.array(*out)
+    return F.greatest(*out)
 
 
-def sector_best(text: Column, value: Column, kind: Column, actors: Column) -> Column:
-    """The struct (sector, confidence, bonus) of the sector with the best score, the first on ties; general without any match."""
-    best = F.array_max(sector_matches(text, value, kind, actors))
+def sector_result(best: Column) -> Column:
+    """The struct (sector, confidence, bonus) of `sector_match`; general without any match."""
     general = F.struct(F.lit("general").alias("sector"), F.lit(0.0).alias("confidence"), F.lit(0).alias("bonus"))
     return F.when(best["score"] > 0, F.struct(best["sector"].alias("sector"), F.round(F.least(best["score"], F.lit(1.0)), 2).alias("confidence"), best["bonus"].alias("bonus"))).otherwise(general)
 

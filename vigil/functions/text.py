@@ -30,6 +30,17 @@ def contains_any(text: Column, words) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
+def named_hits(cases: list[tuple]) -> Column:
+    """The names whose condition holds, in order. No lambda, so it stays in generated code; names hold no line feed."""
+    joined = F.concat_ws("\n", *[F.when(c, F.lit(n)) for n, c in cases])
+    return F.when(joined == "", literals([])).otherwise(F.split(joined, "\n"))
+
+
+def count_hits(text: Column, words) -> Column:
+    """How many of the words occur in a (lower-case) text."""
+    return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
+
+
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the characters of `text`; 0 for null or empty text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
@@ -52,7 +63,7 @@ def entropy_full(value: Column) -> Column:
 def keyword_hits(text: Column, keywords=dims.SERVICE_KEYWORDS) -> Column:
     """The keywords that occur in the text, in dictionary order; a null text has none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(literals(keywords), lambda k: F.contains(low, k))
+    return named_hits([(k, F.contains(low, F.lit(k))) for k in keywords])
 
 
 def mitre_techniques(text: Column) -> Column:
@@ -64,13 +75,12 @@ def mitre_techniques(text: Column) -> Column:
 def threat_actors(text: Column, actors=dims.TEXT_ACTORS) -> Column:
     """Actors whose name or an alias occurs in the text, any case, by canonical name in dictionary order."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    table = F.array(*[F.struct(F.lit(n).alias("name"), literals([x.lower() for x in (n, *al)]).alias("cues")) for n, al in actors.items()])
-    return F.transform(F.filter(table, lambda a: F.exists(a["cues"], lambda c: F.contains(low, c))), lambda a: a["name"])
+    return named_hits([(n, contains_any(low, [x.lower() for x in (n, *al)])) for n, al in actors.items()])
 
 
 def threat_actors_simple(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.sort_array(F.filter(literals(dims.SIMPLE_ACTORS), lambda a: F.contains(low, F.lower(a))))
+    return named_hits([(n, F.contains(low, F.lit(n.lower()))) for n in sorted(dims.SIMPLE_ACTORS)])
 
 
 def severity(raw: Column) -> Column:
@@ -169,8 +179,8 @@ def truncated(text: Column, limit: int) -> Column:
 
 
 def source_tier(name: Column) -> Column:
-    up = F.upper(name)
-    return F.when(contains_any(up, [x.upper() for x in dims.TRUSTED_SOURCES]), "trusted").when(contains_any(up, [x.upper() for x in dims.NEWS_SOURCES]), "news").otherwise("other")
+    of = lambda names: name.rlike("(?i)" + "|".join(names))  # noqa: E731  the names hold no pattern characters
+    return F.when(of(dims.TRUSTED_SOURCES), "trusted").when(of(dims.NEWS_SOURCES), "news").otherwise("other")
 
 
 def source_class(name: Column) -> Column:

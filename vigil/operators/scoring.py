@@ -16,26 +16,27 @@ def service_score(events: DataFrame) -> DataFrame:
     """`events` with the ten factors, `risk_score`, `severity_ai`, `sector` and the breakdown's summary.
 
     Needs ioc_type, ioc_value, description, sources, country_code, domain_age_days, ioc_age_days,
-    threat_types, actors, techniques, ai_confidence. Factors are columns first, then summed, so each is
-    computed once.
+    threat_types, actors, techniques, ai_confidence. What several expressions use is a column first, so that
+    it is computed once.
     """
     kind, text = F.col("ioc_type"), F.col("description")
+    shared = {"_entropy": S.entropy_value(F.col("ioc_value"), kind), "_tactics": S.tactics_of(F.col("techniques")), "_sector": S.sector_match(text, F.col("ioc_value"), kind, F.col("actors"))}
     factors = {
         "cross_source": S.cross_source(F.col("sources")), "source_quality": S.source_quality(F.col("sources")), "keywords": S.keywords(text),
-        "entropy": S.entropy_points(F.col("ioc_value"), kind), "geo_risk": S.geo_risk(F.col("country_code")), "domain_age": S.domain_age(F.col("domain_age_days"), kind),
-        "threat_type_severity": S.threat_type(F.col("threat_types")), "threat_actor": S.actor(F.col("actors")), "mitre_techniques": S.mitre(F.col("techniques")),
-        "ai_confidence": S.confidence_bonus(F.col("ai_confidence")), "sector_result": S.sector_best(text, F.col("ioc_value"), kind, F.col("actors")),
+        "entropy": S.entropy_points(F.col("_entropy")), "geo_risk": S.geo_risk(F.col("country_code")), "domain_age": S.domain_age(F.col("domain_age_days"), kind),
+        "threat_type_severity": S.threat_type(F.col("threat_types")), "threat_actor": S.actor(F.col("actors")), "mitre_techniques": S.mitre(F.col("_tactics")),
+        "ai_confidence": S.confidence_bonus(F.col("ai_confidence")), "sector_result": S.sector_result(F.col("_sector")),
     }
     traditional = sum((F.col(n) for n in S.FACTORS[1:6]), F.col(S.FACTORS[0]))
     ai = sum((F.col(n) for n in S.FACTORS[7:]), F.col(S.FACTORS[6]))
-    out = events.withColumns(factors).withColumns({"traditional_score": traditional, "ai_score": ai})
+    out = events.withColumns(shared).withColumns(factors).withColumns({"traditional_score": traditional, "ai_score": ai})
     out = out.withColumn("raw_total", F.col("traditional_score") + F.col("ai_score")).withColumn("original_score", S.normalized(F.col("raw_total")))
     out = out.withColumn("decayed_score", S.decayed(F.col("original_score"), F.col("ioc_age_days")))
     out = out.withColumns({"sector": F.col("sector_result.sector"), "sector_confidence": F.col("sector_result.confidence"), "sector_bonus": F.col("sector_result.bonus")})
     out = out.withColumn("risk_score", F.least(F.col("decayed_score") + F.col("sector_bonus"), F.lit(100))).withColumn("severity_ai", T.service_band(F.col("risk_score")))
     primary = F.coalesce(F.get("threat_types", F.lit(0)), F.lit("Unknown"))
     summary = {"top_factors": S.top_factors(), "has_actor": F.size("actors") > 0, "has_mitre": F.size("techniques") > 0, "primary_threat": primary}
-    return out.withColumns(summary).withColumn("severity_th", T.lookup(dims.SEVERITY_TH, F.col("severity_ai"))).drop("sector_result")
+    return out.withColumns(summary).withColumn("severity_th", T.lookup(dims.SEVERITY_TH, F.col("severity_ai"))).drop("sector_result", *shared)
 
 
 def _group(events: DataFrame) -> DataFrame:
@@ -46,19 +47,19 @@ def _group(events: DataFrame) -> DataFrame:
     """
     severity = F.when(F.col("severity") == "critical", 15).when(F.col("severity") == "high", 10).when(F.col("severity") == "medium", 5).otherwise(0)
     low = F.lower(F.coalesce("description", F.lit("")))
-    hits = F.filter(T.literals([*dims.DASHBOARD_KEYWORDS, *[w for w in dims.HASH_WORDS if w not in dims.DASHBOARD_KEYWORDS]]), lambda k: F.contains(low, k))
+    words = [*dims.DASHBOARD_KEYWORDS, *[w for w in dims.HASH_WORDS if w not in dims.DASHBOARD_KEYWORDS]]
     cve = F.when(F.lit(False), 0)
     for points, words in dims.CVE_BANDS:
         cve = cve.when(T.contains_any(low, words), points)
-    rows = events.select(*KEY, "source_name", "threat_types", "event_time", "event_id", "domain_age_days", "country_code", "confidence", severity.alias("sev"), hits.alias("hits"), cve.otherwise(0).alias("cve"), F.col("severity").alias("severity_in"))
+    rows = events.select(*KEY, "source_name", "threat_types", "event_time", "event_id", "domain_age_days", "country_code", "confidence", severity.alias("sev"), *[F.contains(low, F.lit(w)).alias(f"has {w}") for w in words], cve.otherwise(0).alias("cve"), F.col("severity").alias("severity_in"))
     first = F.struct("event_time", "event_id", "domain_age_days", "country_code")
     rank = F.array_position(T.literals(dims.SEVERITIES), F.col("severity_in"))
     return rows.groupBy(*KEY).agg(
         F.count("*").alias("n_events"), F.sort_array(F.collect_set("source_name")).alias("sources"), F.sum(F.size("threat_types")).alias("n_types"),
         F.min(first).alias("first"), F.min("event_time").alias("first_seen"), F.max("event_time").alias("last_seen"), F.max("sev").alias("source_severity"),
         F.max(rank).alias("max_rank"), F.avg("confidence").alias("avg_confidence"), F.max("cve").alias("cve_points"), F.bool_or(F.col("severity_in") == "critical").alias("any_critical"), F.bool_or(F.col("severity_in") == "high").alias("any_high"),
-        *[F.bool_or(F.array_contains("hits", k)).cast("int").alias(f"kw_{i}") for i, k in enumerate(dims.DASHBOARD_KEYWORDS)],
-        *[F.bool_or(F.array_contains("hits", k)).cast("int").alias(f"hw_{i}") for i, k in enumerate(dims.HASH_WORDS)],
+        *[F.bool_or(F.col(f"has {k}")).cast("int").alias(f"kw_{i}") for i, k in enumerate(dims.DASHBOARD_KEYWORDS)],
+        *[F.bool_or(F.col(f"has {k}")).cast("int").alias(f"hw_{i}") for i, k in enumerate(dims.HASH_WORDS)],
     )
 
 
@@ -159,9 +160,9 @@ def classify_lexicon(rows: DataFrame, text_col: str = "description", threshold:
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     scored = []
     for i, (label, cues) in enumerate(dims.LEXICON.items()):
-        hits = F.size(F.filter(T.literals(cues), lambda c: F.contains(low, c)))
+        hits = T.count_hits(low, cues) if cues else F.lit(0)
         scored.append(F.struct((-F.when(hits > 0, F.least(F.lit(1.0), hits * 0.2 + 0.1)).otherwise(0.0)).alias("key"), F.lit(i).alias("i"), F.lit(label).alias("label")))
-    kept = F.filter(F.array_sort(F.array(*scored)), lambda x: -x["key"] >= threshold - 1e-9)
+    kept = F.filter(F.sort_array(F.array(*scored)), lambda x: -x["key"] >= threshold - 1e-9)
     labels = F.when(F.length(low) >= 10, kept).otherwise(F.filter(kept, lambda x: F.lit(False)))
     out = rows.withColumn("labels", F.transform(labels, lambda x: F.struct(x["label"].alias("label"), F.round(-x["key"], 3).alias("score"))))
     return out.withColumns({"predicted_types": F.transform("labels", lambda x: x["label"]), "predicted_confidence": F.coalesce(F.try_element_at("labels", F.lit(1))["score"], F.lit(0.0))})

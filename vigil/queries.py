@@ -112,7 +112,8 @@ def actor_score(spark, sf_dir):
 
 @query
 def mitre_score(spark, sf_dir):
-    return events(spark, sf_dir).select("event_id", S.mitre(F.col("techniques")).alias("points"), S.sophistication(F.col("techniques")).alias("sophistication"))
+    e = events(spark, sf_dir).withColumn("tactics", S.tactics_of(F.col("techniques")))
+    return e.select("event_id", S.mitre(F.col("tactics")).alias("points"), S.sophistication(F.col("tactics")).alias("sophistication"))
 
 
 @query
@@ -148,8 +149,8 @@ def classify_activity(spark, sf_dir):
 
 @query
 def sector_best(spark, sf_dir):
-    r = S.sector_best(F.col("description"), F.col("ioc_value"), F.col("ioc_type"), F.col("actors"))
-    return events(spark, sf_dir).select("event_id", r.alias("r")).select("event_id", "r.sector", "r.confidence", "r.bonus")
+    best = S.sector_match(F.col("description"), F.col("ioc_value"), F.col("ioc_type"), F.col("actors"))
+    return events(spark, sf_dir).withColumn("best", best).select("event_id", S.sector_result(F.col("best")).alias("r")).select("event_id", "r.sector", "r.confidence", "r.bonus")
 
 
 @query
