@@ -49,8 +49,8 @@ def _group(events: DataFrame) -> DataFrame:
     low = F.lower(F.coalesce("description", F.lit("")))
     words = [*dims.DASHBOARD_KEYWORDS, *[w for w in dims.HASH_WORDS if w not in dims.DASHBOARD_KEYWORDS]]
     cve = F.when(F.lit(False), 0)
-    for points, words in dims.CVE_BANDS:
-        cve = cve.when(T.contains_any(low, words), points)
+    for points, signs in dims.CVE_BANDS:
+        cve = cve.when(T.contains_any(low, signs), points)
     rows = events.select(*KEY, "source_name", "threat_types", "event_time", "event_id", "domain_age_days", "country_code", "confidence", severity.alias("sev"), *[F.contains(low, F.lit(w)).alias(f"has {w}") for w in words], cve.otherwise(0).alias("cve"), F.col("severity").alias("severity_in"))
     first = F.struct("event_time", "event_id", "domain_age_days", "country_code")
     rank = F.array_position(T.literals(dims.SEVERITIES), F.col("severity_in"))
