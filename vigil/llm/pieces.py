@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SHARPNESS = 1.0
 #: Units whose lattices a Python worker remembers.
-MEMO = 600_000
+MEMO = 250_000
+#: Texts are encoded and given out in blocks of about so many characters, so that a worker holds no more than one.
+BLOCK = 400_000
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 #: Shorter units for a model none of whose pieces joins a Latin letter to any other character but the mark before it.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -41,20 +44,15 @@ class Lattices:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes: list[bytes] = []
         self.weights: dict[str, tuple[int, float]] = {}
         self.byte_ids = [0] * 256
         for i in range(model.vocab_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.bytes.append(bytes([int(piece[3:5], 16)]))
-            elif model.is_control(i) or model.is_unknown(i):
-                self.bytes.append(b"")
-            else:
-                self.bytes.append(piece.replace(MARK, " ").encode())
+            elif not model.is_control(i) and not model.is_unknown(i):
                 self.weights[piece.replace(MARK, " ")] = (i, (2.0 - model.get_score(i)) ** -sharpness * PER_CHAR ** len(piece))
-        self.size = len(self.bytes)
+        self.size = model.vocab_size()
         self.rare = self.size ** -sharpness * PER_CHAR
         spelled = list(self.weights)
         self.longest = max(map(len, spelled))
@@ -68,6 +66,7 @@ class Lattices:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # the number of a unit's lattice
         self.node = np.empty(0, np.int64)  # by lattice: its first position
+        self.lengths = np.empty(0, np.int64)  # by lattice: the characters of its unit
         self.begins = np.zeros(1, np.int64)  # by position: its first incoming edge; one more at the end
         self.shares = np.empty(0, np.float32)  # by edge: the sum of shares of its position up to it
         self.pieces, self.spans = np.empty(0, np.int32), np.empty(0, np.int8)
@@ -116,25 +115,27 @@ class Lattices:
         first = len(self.begins) - 1
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(used.sum(axis=1))])
         self.node = np.concatenate([self.node, first + np.cumsum(lengths) - lengths])
+        self.lengths = np.concatenate([self.lengths, lengths])
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
 
     def encode(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
         """The ids of each text; the key chooses its sample."""
         split = [self.split(" " + t) for t in texts]
-        new = list({u for found in split for u in found if u not in self.known})
+        units = list(chain.from_iterable(split))
+        new = list(set(units).difference(self.known))
         if new and len(self.known) + len(new) > MEMO:
             self._forget()
-            new = list({u for found in split for u in found})
+            new = list(set(units))
         at, room = 0, 0
         for i, u in enumerate(new):
             room += len(u)
-            if room > 200_000 or i + 1 == len(new):
+            if room > 100_000 or i + 1 == len(new):
                 self._learn(new[at : i + 1])
                 at, room = i + 1, 0
         owners = np.array([len(x) for x in split])
-        total = int(owners.sum())
-        unit = np.fromiter((self.known[u] for found in split for u in found), np.int64, total)
-        left = np.fromiter((len(u) for found in split for u in found), np.int64, total)
+        total = len(units)
+        unit = np.fromiter(map(self.known.__getitem__, units), np.int64, total)
+        left = self.lengths[unit]
         owner = np.repeat(np.arange(len(texts)), owners)
         place = np.arange(total) - np.repeat(np.cumsum(owners) - owners, owners)
         state = _mixed(np.array(keys, np.uint64)[owner] + _mixed(place.astype(np.uint64) + np.uint64(((seed + 1) << 40) % 2**64)))
@@ -163,9 +164,6 @@ class Lattices:
         """Characters without a piece written as their bytes."""
         return np.array([j for i in ids.tolist() for j in ([i] if i < self.size else [self.byte_ids[b] for b in chr(i - self.size).encode()])], np.int32)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids)).decode()[1:]
-
 
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -185,6 +183,25 @@ def lattices(path: str, sharpness: float) -> Lattices:
     return Lattices(path, sharpness)
 
 
+@lru_cache(maxsize=2)
+def spellings(path: str) -> list[bytes]:
+    """The bytes of each piece, all that decoding needs."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+
+    def spelled(i: int) -> bytes:
+        piece = model.id_to_piece(i)
+        return bytes([int(piece[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) or model.is_unknown(i) else piece.replace(MARK, " ").encode()
+
+    return [spelled(i) for i in range(model.vocab_size())]
+
+
+def joined(spelled: list[bytes], ids: list[int]) -> str:
+    """The text of the ids, without the word mark put in front."""
+    return b"".join(map(spelled.__getitem__, ids)).decode()[1:]
+
+
 def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = SHARPNESS, key_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """`docs` with the ids of a sampled segmentation of the text in `out_col` (in place of any column of that name).
 
@@ -196,15 +213,16 @@ def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = SHARPNE
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         model = lattices(path, sharpness)
         for texts, names in batches:
-            found, some, room = [], [], 0
-            rows = list(zip(texts, names, strict=True))
-            for i, (t, k) in enumerate(rows):
-                some.append((t, xxhash.xxh64_intdigest(k, seed)))
+            some, keys, room = [], [], 0
+            for t, k in zip(texts, names, strict=True):
+                some.append(t)
+                keys.append(xxhash.xxh64_intdigest(k, seed))
                 room += len(t)
-                if room > 2_000_000 or i + 1 == len(rows):
-                    found += model.encode([t for t, _ in some], [k for _, k in some], seed)
-                    some, room = [], 0
-            yield pd.Series(found, dtype=object)
+                if room > BLOCK:
+                    yield pd.Series(model.encode(some, keys, seed), dtype=object)
+                    some, keys, room = [], [], 0
+            if some:
+                yield pd.Series(model.encode(some, keys, seed), dtype=object)
 
     key = F.coalesce(F.col(key_col).cast("string"), F.lit("null"))
     return docs.withColumn(out_col, of(F.coalesce(F.col(text_col), F.lit("")), key))
@@ -215,8 +233,8 @@ def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = lattices(path, SHARPNESS)
+        spelled = spellings(path)
         for ids in batches:
-            yield pd.Series([None if x is None else model.decode(x.tolist()) for x in ids], dtype=object)
+            yield pd.Series([None if x is None else joined(spelled, x.tolist()) for x in ids], dtype=object)
 
     return encoded.withColumn(out_col, of(F.col(ids_col)))
