@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SHARPNESS = 1.0
 #: Units whose lattices a Python worker remembers.
-MEMO = 250_000
+MEMO = 120_000
 #: Texts are encoded and given out in blocks of about so many characters, so that a worker holds no more than one.
 BLOCK = 400_000
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -197,11 +197,6 @@ def spellings(path: str) -> list[bytes]:
     return [spelled(i) for i in range(model.vocab_size())]
 
 
-def joined(spelled: list[bytes], ids: list[int]) -> str:
-    """The text of the ids, without the word mark put in front."""
-    return b"".join(map(spelled.__getitem__, ids)).decode()[1:]
-
-
 def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = SHARPNESS, key_col: str = "doc_id", text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """`docs` with the ids of a sampled segmentation of the text in `out_col` (in place of any column of that name).
 
@@ -229,12 +224,10 @@ def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = SHARPNE
 
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """`encoded` with the text of the ids in `out_col`; null for null."""
+    """`encoded` with the text of the ids in `out_col`, without the word mark put in front; null for null.
 
-    @F.pandas_udf("string")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        spelled = spellings(path)
-        for ids in batches:
-            yield pd.Series([None if x is None else joined(spelled, x.tolist()) for x in ids], dtype=object)
-
-    return encoded.withColumn(out_col, of(F.col(ids_col)))
+    A look-up in the constant table of spellings, without Python.
+    """
+    table = F.split(F.lit(",".join(x.hex() for x in spellings(path))), ",")
+    text = F.unhex(F.array_join(F.transform(F.col(ids_col), lambda i: F.get(table, i)), ""))
+    return encoded.withColumn(out_col, F.substring(text.cast("string"), 2, 2**31 - 1))
