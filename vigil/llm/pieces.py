@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 SHARPNESS = 1.0
 #: Units whose lattices a Python worker remembers.
-MEMO = 120_000
+MEMO = 300_000
 #: Texts are encoded and given out in blocks of about so many characters, so that a worker holds no more than one.
 BLOCK = 400_000
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
