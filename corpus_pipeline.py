@@ -17,7 +17,7 @@ from vigil.llm.queries import MIXTURE, SEED, table
 from vigil.llm.shared import shared_dir, shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Differing fingerprint bits up to which documents are near duplicates here.
+#: Differing fingerprint bits up to which documents are candidates; five-word shingles decide at a similarity of 0.8.
 RADIUS = 4
 
 

@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .shared import stored
 
 BITS = 64
-#: Buckets up to this size are compared pair by pair, larger ones through shared neighbours.
-SMALL_BUCKET = 32
+#: Buckets up to this size give a spanning forest of their own links, larger ones go through shared neighbours.
+SMALL_BUCKET = 1024
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -70,15 +70,30 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _near(a: Column, b: Column, radius: int) -> Column:
-    return F.bit_count(a.bitwiseXOR(b)) <= radius
+def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Links that connect what pairs of values within the radius connect, one fewer than each component has values."""
+    if len(values) == 2:
+        a, b = sorted(values.tolist())
+        return [(a, b)] if ((a ^ b) & (1 << 64) - 1).bit_count() <= radius else []
+    values = np.sort(values)
+    left, out = np.ones(len(values), bool), []
+    while left.any():
+        start = int(np.argmax(left))
+        left[start], todo = False, [start]
+        while todo:
+            at = todo.pop()
+            near = np.flatnonzero(left & (np.bitwise_count((values ^ values[at]).view(np.uint64)) <= radius))
+            left[near] = False
+            out += [(int(values[at]), x) for x in values[near].tolist()]
+            todo += near.tolist()
+    return out
 
 
 def links(fps: DataFrame, radius: int) -> DataFrame:
     """Pairs `a`, `b` of distinct fingerprints within the radius, enough to connect all that are linked.
 
-    `fps` has a column `fp` without repeats. Members of a large bucket are not compared pair by pair:
-    each is dealt to its ball of half the radius, where any two that meet are within the radius, and is
+    `fps` has a column `fp` without repeats. A bucket gives the links of a spanning forest, never all its pairs.
+    Members of a large bucket are not compared with each other: each is dealt to its ball of half the radius, where any two that meet are within the radius, and is
     linked with the smallest there. Two fingerprints meet in a ball exactly if they are within the
     (even) radius, so this loses no connection.
     """
@@ -90,9 +105,13 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
     met = stored(keyed.join(sizes, ["table", "key"]), "met")
     buckets = met.filter(F.col("n") <= SMALL_BUCKET).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
-    pairs = buckets.select("all", F.explode("all").alias("a")).select(
-        "a", F.explode(F.filter("all", lambda x: (x > F.col("a")) & _near(x, F.col("a"), radius))).alias("b")
-    )
+
+    @F.pandas_udf("array<struct<a:long,b:long>>")
+    def linked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([[{"a": a, "b": b} for a, b in forest(x, radius)] for x in some], dtype=object)
+
+    pairs = buckets.select(F.explode(linked("all")).alias("l")).select("l.a", "l.b")
     flips = [0, *(sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(BITS), k))]
     balls = (
         met.filter(F.col("n") > SMALL_BUCKET)
@@ -146,11 +165,51 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def one_per_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is its component's smallest; one of the rows that share that id and text.
+def bands(text: str | None, shingle: int, n_bands: int, rows: int) -> list[int]:
+    """One signed hash for each band of min-hashes of the text's word shingles; those of a blank text are alike."""
+    parts = (text or "").encode("utf-8", "replace").lower().split()
+    n = max(1, len(parts) - shingle + 1)
+    digest = xxhash.xxh64_intdigest
+    hashes = np.array([digest(b" ".join(parts[i : i + shingle])) for i in range(n)], np.uint64)
+    rng = np.random.default_rng(20)
+    factors, terms = rng.integers(0, 2**64, (2, n_bands * rows), np.uint64)
+    least = np.full(n_bands * rows, 2**64 - 1, np.uint64)
+    for at in range(0, n, 2048):
+        # multiply-shift: the high half of a * h + b, with odd a
+        some = (hashes[at : at + 2048, None] * (factors | np.uint64(1)) + terms) >> np.uint64(32)
+        least = np.minimum(least, some.min(axis=0))
+    return [_signed(digest(x.tobytes(), i)) for i, x in enumerate(least.reshape(n_bands, rows))]
+
+
+def similar_groups(docs: DataFrame, radius: int = 4, words: int = 1, shingle: int = 5, n_bands: int = 28, rows: int = 10) -> DataFrame:
+    """`doc_id`, `group_id` (the smallest id of its group) of the documents that have a near duplicate of another id.
+
+    Fingerprints of `words`-word shingles within `radius` bits give candidates: few edits of a text move few of
+    their bits. Candidates of one component are linked where a band of min-hashes of their `shingle`-word
+    shingles agrees; with 28 bands of 10, that is 96 % of pairs of similarity 0.8, 99.99 % at 0.9 and 3 % at
+    0.5. A band's documents are linked with its smallest, never pair by pair, and groups are what is reached.
+    """
+    docs = docs.filter(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    found = near_duplicates(docs, radius, words)
+    shared = found.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id")
+    members = stored(found.join(shared, "component_id").select("doc_id", "component_id").distinct(), "candidates")
+
+    @F.pandas_udf("array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([bands(t, shingle, n_bands, rows) for t in texts], dtype=object)
+
+    keyed = docs.join(members.hint("merge"), "doc_id").select("doc_id", "component_id", of("text").alias("keys"))
+    keyed = stored(keyed.select("doc_id", "component_id", F.posexplode("keys").alias("band", "key")), "bands")
+    least = keyed.groupBy("component_id", "band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a <> last").drop("last")
+    edges = keyed.join(least, ["component_id", "band", "key"]).filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id"))
+
+
+def one_per_group(docs: DataFrame, radius: int = 4) -> DataFrame:
+    """The rows of `docs` whose id is the smallest of its group of near duplicates, or that have none.
 
-    Rows with a null id are kept.
+    Rows with a null id are kept; rows that share an id stay or go together.
     """
-    found = near_duplicates(docs, radius, shingle)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    gone = similar_groups(docs, radius).filter("doc_id <> group_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
