@@ -10,6 +10,7 @@ missed; what meets in a table is checked by the real distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -22,7 +23,7 @@ from .shared import stored
 
 BITS = 64
 #: Buckets up to this size give a spanning forest of their own links, larger ones go through shared neighbours.
-SMALL_BUCKET = 1024
+SMALL_BUCKET = 512
 
 
 def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
@@ -106,12 +107,15 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     met = stored(keyed.join(sizes, ["table", "key"]), "met")
     buckets = met.filter(F.col("n") <= SMALL_BUCKET).groupBy("table", "key").agg(F.collect_list("fp").alias("all"))
 
-    @F.pandas_udf("array<struct<a:long,b:long>>")
+    @F.pandas_udf("array<long>")
     def linked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in batches:
-            yield pd.Series([[{"a": a, "b": b} for a, b in forest(x, radius)] for x in some], dtype=object)
+            for at in range(0, len(some), 500):
+                yield pd.Series([np.array(forest(x, radius), np.int64).ravel() for x in some[at : at + 500]], dtype=object)
 
-    pairs = buckets.select(F.explode(linked("all")).alias("l")).select("l.a", "l.b")
+    ends = buckets.select(linked("all").alias("ends")).filter(F.size("ends") > 0)
+    ends = ends.select("ends", F.explode(F.sequence(F.lit(0), F.size("ends") - 2, F.lit(2))).alias("i"))
+    pairs = ends.select(F.get("ends", F.col("i")).alias("a"), F.get("ends", F.col("i") + 1).alias("b"))
     flips = [0, *(sum(1 << i for i in c) for k in range(1, radius // 2 + 1) for c in combinations(range(BITS), k))]
     balls = (
         met.filter(F.col("n") > SMALL_BUCKET)
@@ -165,19 +169,31 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
+@lru_cache(maxsize=4)
+def donors(n: int) -> np.ndarray:
+    """For each attempt, the bin that each of n bins borrows from; fixed, so that all texts borrow alike."""
+    return np.random.default_rng(20).integers(0, n, (16 * n, n))
+
+
 def bands(text: str | None, shingle: int, n_bands: int, rows: int) -> list[int]:
-    """One signed hash for each band of min-hashes of the text's word shingles; those of a blank text are alike."""
+    """One signed hash for each band of min-hashes of the text's word shingles; those of a blank text are alike.
+
+    Shingles are dealt to one bin for each min-hash, which keeps the least; an empty bin borrows from the
+    first full one of its donors (one-permutation hashing with optimal densification).
+    """
     parts = (text or "").encode("utf-8", "replace").lower().split()
-    n = max(1, len(parts) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(b" ".join(parts[i : i + shingle])) for i in range(n)], np.uint64)
-    rng = np.random.default_rng(20)
-    factors, terms = rng.integers(0, 2**64, (2, n_bands * rows), np.uint64)
-    least = np.full(n_bands * rows, 2**64 - 1, np.uint64)
-    for at in range(0, n, 2048):
-        # multiply-shift: the high half of a * h + b, with odd a
-        some = (hashes[at : at + 2048, None] * (factors | np.uint64(1)) + terms) >> np.uint64(32)
-        least = np.minimum(least, some.min(axis=0))
+    n, k, digest = max(1, len(parts) - shingle + 1), n_bands * rows, xxhash.xxh64_intdigest
+    least, empty = np.full(k, 2**64 - 1, np.uint64), np.uint64(2**64 - 1)
+    for at in range(0, n, 65536):
+        hashes = np.array([digest(b" ".join(parts[i : i + shingle])) for i in range(at, min(n, at + 65536))], np.uint64)
+        np.minimum.at(least, (hashes % np.uint64(k)).astype(np.int64), hashes // np.uint64(k))
+    holes, own = np.flatnonzero(least == empty), least.copy()
+    for tries in donors(k):
+        if not len(holes):
+            break
+        found = own[tries[holes]]
+        least[holes] = found
+        holes = holes[found == empty]
     return [_signed(digest(x.tobytes(), i)) for i, x in enumerate(least.reshape(n_bands, rows))]
 
 
