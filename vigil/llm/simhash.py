@@ -125,7 +125,8 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
         .select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("center"))
     )
     least = balls.groupBy("center").agg(F.min("fp").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    stars = balls.join(least, "center").filter("fp <> a").select("a", F.col("fp").alias("b"))
+    # balls outnumber what they are made from, so sizes known before the run say nothing of theirs
+    stars = balls.join(least.hint("merge"), "center").filter("fp <> a").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 
