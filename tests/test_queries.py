@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from vigil.queries import ORACLES, QUERIES
@@ -19,7 +20,7 @@ def sql():
 
 
 def shown(v) -> str:
-    if v is None or v != v:
+    if pd.isna(v):
         return "-"
     return f"{float(v):.5f}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 

@@ -54,7 +54,7 @@ def domain_age(days: Column, kind: Column) -> Column:
 def threat_type(types: Column) -> Column:
     """The first two types' points, at most 30, and 5 more for three or more types."""
     points = F.transform(F.slice(types, 1, 2), lambda t: F.coalesce(T.lookup({k: v[1] for k, v in dims.THREAT_TYPES.items()}, t), F.lit(dims.UNKNOWN_TYPE[1])))
-    return F.coalesce(F.least(F.least(total(points), F.lit(30)) + F.when(F.size(types) >= 3, 5).otherwise(0), F.lit(35)), F.lit(0))
+    return F.least(F.least(F.coalesce(total(points), F.lit(0)), F.lit(30)) + F.when(F.size(types) >= 3, 5).otherwise(0), F.lit(35))
 
 
 def threat_type_level(types: Column) -> Column:
@@ -91,7 +91,7 @@ def mitre(ordinals: Column) -> Column:
     points = T.literals([p for _, p in dims.TACTICS.values()])
     known = F.transform(F.filter(F.array_distinct(ordinals), lambda o: o >= 0), lambda o: F.get(points, o))
     generic = F.size(F.filter(ordinals, lambda o: o < 0)) * 3
-    return F.coalesce(F.least(total(known) + generic, F.lit(20)), F.lit(0))
+    return F.least(F.coalesce(total(known) + generic, F.lit(0)), F.lit(20))
 
 
 def sophistication(ordinals: Column) -> Column:
