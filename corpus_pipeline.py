@@ -12,13 +12,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.llm import lines, mixing, pieces, quality, simhash
+from vigil.llm import lines, mixing, nearcopies, pieces, quality
 from vigil.llm.queries import MIXTURE, SEED, table
 from vigil.llm.shared import shared_dir, shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-#: Differing fingerprint bits up to which documents are near duplicates here.
-RADIUS = 4
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,9 +33,9 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
+    """One document of each group of near copies (five-word similarity of 0.8): that with the smallest id."""
     shipped(spark)
-    return simhash.one_per_group(docs, radius=RADIUS).select(COLUMNS)
+    return nearcopies.one_per_group(docs).select(COLUMNS)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
