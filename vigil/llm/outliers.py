@@ -3,7 +3,8 @@
 Every text gets counts, base rules and a vector of four transformed rates. For each (language, source)
 a minimum-covariance-determinant estimate is made: starting from medians and interquartile ranges,
 concentration steps keep the SUBSET share of rows with the smallest Mahalanobis distances and estimate
-mean and covariance from them. Rows beyond a chi-square quantile of the final distance are rejected.
+mean and covariance from them. The same is done for each language and for the whole table, which judge the
+rows of small groups. Rows beyond a chi-square quantile of the final distance are rejected.
 
 Vectors are integers (thousandths), so all sums are exact and the result does not depend on partitions.
 Distances are ranked in bins of 1/16 of a power of two: a group's order statistic comes from a few hundred
@@ -100,6 +101,8 @@ def vector() -> list[Column]:
 D = len(VECTOR)
 PAIRS = [(i, j) for i in range(D) for j in range(i + 1)]
 GROUP = ["lang", "source"]
+#: Stands for all languages or sources; names themselves begin with "=".
+ANY = "*"
 
 
 def _cholesky(state: DataFrame, n: Column, scale: float) -> DataFrame:
@@ -160,23 +163,46 @@ def consistency() -> float:
     return SUBSET / chi2_cdf(chi2_quantile(SUBSET, D), D + 2)
 
 
+def _levels(rows: DataFrame) -> DataFrame:
+    """The vectors of `rows` once for their group, once for their language and once for the whole table."""
+    names = [f"x{i}" for i in range(D)]
+    fine = rows.select(*GROUP, "salt", *names)
+    any_source = F.struct("lang", F.lit(ANY).alias("source"))
+    both = F.struct(F.lit(ANY).alias("lang"), F.lit(ANY).alias("source"))
+    return fine.select(F.explode(F.array(F.struct(*GROUP), any_source, both)).alias("g"), "salt", *names).select("g.*", "salt", *names)
+
+
+def _chosen(state: DataFrame) -> DataFrame:
+    """For each (language, source) the state of the smallest level of MIN_ROWS rows that holds it; else that of the table."""
+    fine = state.filter(F.col("source") != ANY).select(*GROUP, F.col("total").alias("own"))
+    of_lang = state.filter((F.col("source") == ANY) & (F.col("lang") != ANY)).select("lang", F.col("total").alias("in_lang"))
+    enough, wide = F.col("own") >= MIN_ROWS, F.col("in_lang") >= MIN_ROWS
+    keys = fine.join(of_lang, "lang").select(
+        *GROUP, F.when(enough | wide, F.col("lang")).otherwise(ANY).alias("from_lang"), F.when(enough, F.col("source")).otherwise(ANY).alias("from_source")
+    )
+    named = state.withColumnsRenamed({"lang": "from_lang", "source": "from_source"})
+    return keys.join(named, ["from_lang", "from_source"]).drop("from_lang", "from_source")
+
+
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """`doc_id`, the counts, `base_failed`, `distance` (squared; null if not measured) and `kept` of every row.
 
     Rows that fail the base rules are rejected and take no part in the estimates. Null language or source
-    counts as the empty string. A group of fewer than MIN_ROWS rows is too small to estimate: its rows
-    are kept. Repeated rows count as often as they occur; an empty table gives an empty result.
+    counts as the empty string. A group of fewer than MIN_ROWS rows is too small to estimate: its rows are
+    judged by the estimate of their language, or if that is too small as well, of the whole table. Repeated rows count as often as they occur; an empty table gives an empty result.
     """
     named = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")
+        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.concat(F.lit("="), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).alias("lang"), F.concat(F.lit("="), F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("source")
     )
     table = stored(text_statistics(named).withColumn("base_failed", base_failed()), "statistics")
     salted = table.select("*", *vector(), F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", "n_symbols"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = salted.filter("not base_failed")
-    state = _start(rows)
+    levels = _levels(rows)
+    state = _start(levels)
     for _ in range(STEPS):
-        state = _concentrate(rows, state, consistency())
+        state = _concentrate(levels, state, consistency())
+    state = _chosen(stored(state, "states"))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    judged = _distances(rows, state).withColumn("kept", (F.col("total") < MIN_ROWS) | (F.col("d2") <= chi2_quantile(1 - TAIL, D)))
+    judged = _distances(rows, state).withColumn("kept", F.col("d2") <= chi2_quantile(1 - TAIL, D))
     failed = table.filter("base_failed").select("doc_id", *counts, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
     return judged.select("doc_id", *counts, "base_failed", F.col("d2").alias("distance"), "kept").unionByName(failed)
