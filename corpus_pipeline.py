@@ -27,9 +27,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without repeated lines; n_chars follows the text."""
+    """The documents without repeated lines, but for what copies of one document share with it; n_chars follows the text."""
     shipped(spark)
-    return lines.deduplicate(docs).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    return lines.deduplicate(docs, spare_copies=True).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,8 +26,8 @@ from .shared import stored
 EDITS, MIN_CHARS = 2, 20
 #: A task forgets which lines it has indexed after so many.
 SEEN = 1_000_000
-#: A document that would lose more than this share of its characters, in at least COPY_LINES lines, to other documents is a copy of a document, not one that repeats passages.
-COPY_SHARE, COPY_LINES = 0.5, 3
+#: A document is a copy of one earlier document if the lines it repeats from that one are more than this share of that document's characters, and of its own without what it repeats from others.
+COPY_SHARE = 0.5
 
 
 @lru_cache(maxsize=4096)
@@ -136,13 +136,13 @@ def shared_segments(docs: DataFrame, text_col: str, edits: int, min_chars: int)
 
 
 def first_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`id`, `h`, `doc`, `no`, `t`, `sketch` of each line in `ids`, from the first document that has it."""
+    """`id`, `h`, `doc`, `size` (the document's characters), `no`, `t`, `sketch` of each line in `ids`, from the first document that has it."""
     places = lines.withColumn("id", F.col("h").bitwiseAND(F.lit(-2))).join(ids, "id").groupBy("id", "h").agg(F.min(F.struct("doc", "no")).alias("first"))
     wanted = places.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "h", F.col("first.no").alias("no"))).alias("all"))
-    source = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines"))
+    source = docs.select(F.col(id_col).alias("doc"), F.length(text_col).alias("size"), F.split(text_col, "\n").alias("lines"))
     # whole texts are dealt by document at every size, as they must be at the largest
-    texts = source.join(stored(wanted, "wanted").hint("merge"), "doc").select("doc", "lines", F.explode("all").alias("e"))
-    texts = texts.select("e.id", "e.h", F.col("doc"), "e.no", F.get("lines", F.col("e.no")).alias("t")).filter(F.xxhash64("t") == F.col("h"))
+    texts = source.join(stored(wanted, "wanted").hint("merge"), "doc").select("doc", "size", "lines", F.explode("all").alias("e"))
+    texts = texts.select("e.id", "e.h", F.col("doc"), "size", "e.no", F.get("lines", F.col("e.no")).alias("t")).filter(F.xxhash64("t") == F.col("h"))
 
     @F.pandas_udf("long")
     def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -153,7 +153,7 @@ def first_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str,
 
 
 def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`h`: lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`.
+    """`h`, `first` (`doc`, `size`): lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`, and the earliest such document.
 
     Lines that share a segment meet in the join; it gives out only those whose sketches differ by no more
     bits than the edits can flip, which are then verified.
@@ -170,32 +170,34 @@ def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, ed
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, edits) for x, y in zip(left, right, strict=True)], dtype=bool)
 
-    side = lambda n: texts.select(F.col("id").alias(n), F.struct("doc", "no", "h").alias(f"{n}_at"), F.col("t").alias(f"{n}_t"))
+    side = lambda n: texts.select(F.col("id").alias(n), F.struct("doc", "no", "h", "size").alias(f"{n}_at"), F.col("t").alias(f"{n}_t"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").filter(close("a_t", "b_t"))
-    return found.select(F.greatest("a_at", "b_at")["h"].alias("h")).distinct()
+    found = found.select(F.greatest("a_at", "b_at")["h"].alias("h"), F.least("a_at", "b_at").alias("of"))
+    return found.groupBy("h").agg(F.min(F.struct("of.doc", "of.size")).alias("first"))
 
 
-def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
     """`docs` with repeated lines taken out of the text, and `n_lines`, `n_removed` (in place of columns of those names).
 
     A line of at least `min_chars` characters goes if it came before in its own text, or if a document
     with a smaller id has it or (then also in the first document that has it) a line within `edits` of it.
-    What other documents have is left if else no word would remain, or if the document is a copy as
-    COPY_SHARE and COPY_LINES say; copies are for document deduplication. Null text stays null. Rows with
+    A document of which nothing remains has the empty text. With `spare_copies`, a copy of one earlier
+    document (see COPY_SHARE) keeps the lines that it shares with that one, for document deduplication, and
+    loses what it repeats from others. Null text stays null. Rows with
     a null id lose only what their own text repeats; rows that share an id count as one document.
     """
-    split = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    lines = split.filter(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).select("doc", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    repeated = lines.groupBy("h", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first <> last").select("h", "h2", "first")
-    exact = lines.join(repeated, ["h", "h2"]).filter("doc <> first").select("doc", "h")
+    split = docs.select(F.col(id_col).alias("doc"), F.length(text_col).alias("size"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
+    lines = split.filter(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).select("doc", "size", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    repeated = lines.groupBy("h", "h2").agg(F.min(F.struct("doc", "size")).alias("first"), F.max("doc").alias("last")).filter("first.doc <> last").select("h", "h2", "first")
+    exact = lines.select("doc", "h", "h2").join(repeated, ["h", "h2"]).filter("doc <> first.doc").select("doc", "h", "first")
     near = stored(near_lines(docs.filter(F.col(id_col).isNotNull()), lines, id_col, text_col, edits, min_chars), "near")
-    gone = exact.unionByName(lines.join(near, "h").select("doc", "h"))
-    per_doc = stored(gone.groupBy("doc").agg(F.collect_set("h").alias("_gone")), "gone")
+    gone = exact.unionByName(lines.select("doc", "h").join(near, "h").select("doc", "h", "first"))
+    per_doc = stored(gone.groupBy("doc").agg(F.collect_set(F.struct("h", F.xxhash64("first.doc").alias("first"), "first.size")).alias("_gone")), "gone")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def rewritten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for texts, sets in batches:
-            rows = [rewrite(t, () if g is None else g, min_chars) for t, g in zip(texts, sets, strict=True)]
+            rows = [rewrite(t, () if g is None else [tuple(x.values()) for x in g], min_chars, spare_copies) for t, g in zip(texts, sets, strict=True)]
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
     joined = docs.join(per_doc.hint("merge"), F.col(id_col) == F.col("doc"), "left").withColumn("_new", rewritten(F.col(text_col), F.col("_gone")))
@@ -203,22 +205,33 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     return joined.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_removed").alias("n_removed"))
 
 
-def rewrite(text: str | None, gone, min_chars: int) -> tuple[str | None, int, int]:
-    """The text without its repeated lines, their number before, and how many went."""
+def rewrite(text: str | None, gone, min_chars: int, spare_copies: bool = False) -> tuple[str | None, int, int]:
+    """The text without its repeated lines, their number before, and how many went.
+
+    `gone` has the hash of each line that goes, the document it repeats and that document's characters.
+    """
     if text is None:
         return None, 0, 0
-    others, seen, own, marks = set(map(int, gone)), set(), [], []
+    others, seen, own, marks, sizes, shared = {}, set(), [], [], {}, {}
+    for h, first, size in gone:
+        others.setdefault(int(h), set()).add(int(first))
+        sizes[int(first)] = int(size)
     for line in text.split("\n"):
         h = _signed(xxhash.xxh64_intdigest(line.encode(), 42)) if len(line) >= min_chars else None
         if h is not None and line in seen:
             continue
         seen.add(line) if h is not None else None
         own.append(line)
-        marks.append(h in others)
+        marks.append(others.get(h, ()))
     n = text.count("\n") + 1
-    left = [x for x, m in zip(own, marks, strict=True) if not m]
-    lost = sum(len(x) for x, m in zip(own, marks, strict=True) if m)
-    copy = sum(marks) >= COPY_LINES and lost > COPY_SHARE * sum(map(len, own))
-    if copy or not "".join(left).strip():
-        left = own
+    fresh = sum(len(x) for x, m in zip(own, marks, strict=True) if not m)
+    for x, m in zip(own, marks, strict=True):
+        for first in m:
+            shared[first] = shared.get(first, 0) + len(x)
+    copied = None
+    if spare_copies and shared:
+        most = max(sorted(shared), key=shared.get)
+        if shared[most] > COPY_SHARE * max(sizes[most], shared[most] + fresh):
+            copied = most
+    left = [x for x, m in zip(own, marks, strict=True) if not m or copied in m]
     return "\n".join(left), n, n - len(left)
