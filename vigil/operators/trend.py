@@ -114,7 +114,12 @@ def prophet_forecast(series: DataFrame, ahead: int = 7) -> DataFrame:
 
 
 def streaming_daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """The daily counts of a stream by event type: windows of a day with a watermark. `ts` is cast, as watermarks need an instant."""
+    """The daily counts of a stream by event type: windows of a day with a watermark. `ts` is cast, as watermarks need an instant.
+
+    For a feed in order of time: what comes later than `lateness` is not counted, and is reported as
+    numRowsDroppedByWatermark in the progress of the running query. For files in any order, see
+    streaming.incremental.daily.
+    """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
 

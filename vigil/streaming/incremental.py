@@ -5,8 +5,8 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.trend import streaming_daily_counts
 from ..plans import pipeline
 from ..sources.threat_event import project
 
@@ -43,13 +43,23 @@ def incremental(spark: SparkSession, path: str, as_of: str) -> DataFrame:
     return pipeline.current(spark, f"{base}/warehouse")
 
 
-def daily(spark: SparkSession, path: str) -> DataFrame:
-    """The daily counts of all files of `path`, counted by a stream with a watermark and kept by a keyed upsert."""
-    base = shared_dir(spark)
+def daily_counts(stream: DataFrame, table: str, checkpoint: str):
+    """Writes the daily counts of each batch to its own folder, which a batch that is repeated after a failure replaces; no event is late."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        pipeline.upsert(f"{base}/daily", batch, batch_id, keys=["day", "event_type"], order=["n"])
+        counts = batch.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+        counts.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    counts = streaming_daily_counts(event_stream(spark, path))
-    counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return pipeline.current(spark, f"{base}/daily")
+
+def daily(spark: SparkSession, path: str) -> DataFrame:
+    """The daily counts of all files of `path`, in whatever order: counted by a stream batch by batch, then added up."""
+    base = shared_dir(spark)
+    events = event_stream(spark, path)
+    daily_counts(events, f"{base}/daily", f"{base}/checkpoint").awaitTermination()
+    kind = events.schema["event_type"].dataType.simpleString()
+    if not pipeline.exists(spark, f"{base}/daily"):
+        return spark.createDataFrame([], f"day date, event_type {kind}, n long")
+    parts = spark.read.schema(f"day date, event_type {kind}, n long").parquet(f"{base}/daily")
+    return parts.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
