@@ -3,8 +3,9 @@
 Every block-level node of the page's tree gets its characters C, tags T, link characters LC and link tags
 LT. Its density is C/T, adjusted by a logarithm of (C/LC)(T/LT) whose base grows with the share of linked
 text. The densities of a node's children are summed; the node with the largest sum holds the article.
-The smallest density on the path from body to that node is the threshold at which text standing beside
-the path, below body, still belongs to it.
+The outermost article or main around it is taken whole. Beside the path from there to body, headings,
+paragraphs, lists, tables and sections belong to it, direct text as well, and other nodes of at least the
+smallest C/T on the path; none of them if over a third of its text is linked.
 
 What its tag, role or class names as navigation, header, footer, sidebar, notice, advert, form, comment
 section, script or style takes no part.
@@ -34,6 +35,8 @@ NOISE_NAMES = re.compile(
 )
 #: What the start of a tag closes, besides an open paragraph.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: Beside the path, these belong to the article unless links fill them.
+TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure section".split())
 SPACE = re.compile(r"\s+")
 
 
@@ -51,6 +54,8 @@ class Node:
     link_tags: int = 0
     density: float = 0.0
     total: float = 0.0
+    own_chars: int = 0  # of text that stands directly in it
+    own_link_chars: int = 0
 
 
 def _noise(tag: str, attrs: str) -> bool:
@@ -169,6 +174,7 @@ def _measure(root: Node) -> Node:
         body = x if x.tag == "body" and body is root else body
         stack += [c for c in x.children if not c.noise]
     for x in reversed(order):
+        x.own_chars, x.own_link_chars = x.chars, x.link_chars
         for c in x.children:
             if not c.noise:
                 x.chars += c.chars
@@ -202,12 +208,19 @@ def main_text(page: str | None) -> str:
     path = [best]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
-    threshold = min(x.density for x in path)
-    spans = [(best.first, best.last)]
+    outermost = max((i for i, x in enumerate(path) if x.tag in ("article", "main")), default=0)
+    path = path[outermost:]
+    # characters a tag do not grow with a node's size, as its density does
+    threshold = min(x.chars / max(1, x.tags) for x in path)
+    spans = [(path[0].first, path[0].last)]
     for below, x in zip(path, path[1:], strict=False):
-        if x is body or x.tag == "html":
-            break
-        spans += [(c.first, c.last) for c in x.children if c is not below and not c.noise and c.density >= threshold and c.link_chars * 3 <= c.chars]
+        if x.own_link_chars * 3 <= x.own_chars:
+            at = x.first
+            for c in sorted(x.children, key=lambda c: c.first):
+                spans.append((at, c.first))
+                at = max(at, c.last)
+            spans.append((at, x.last))
+        spans += [(c.first, c.last) for c in x.children if c is not below and not c.noise and (c.tag in TEXTUAL or c.chars / max(1, c.tags) >= threshold) and c.link_chars * 3 <= c.chars]
     return "\n".join(b for first, last in sorted(spans) for b in blocks[first:last])
 
 
