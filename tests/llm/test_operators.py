@@ -89,7 +89,7 @@ def test_simhash_of_an_empty_table(docs):
 
 
 def test_masks_cover_the_radius():
-    cover = simhash.masks(2)
+    cover = simhash.covering_masks(2)
     assert len(cover) == 7
     assert all(any(not (1 << a | 1 << b) & m for m in cover) for a, b in combinations(range(64), 2))
 

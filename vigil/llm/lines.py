@@ -1,12 +1,16 @@
 """Line deduplication with a segment-partition edit join.
 
 A line goes if a line of an earlier document (by id) is the same or within EDITS edits. Lines within t edits
-share one of t + 1 segments: each line is cut into EDITS + 1 segments, and every longer or equally long
-line is probed with the substrings at which a segment of each possible length can still lie (the
-multi-match-aware positions). Index and probe meet by a hash of length, segment number and substring;
-what meets is verified with a banded bit-parallel edit distance.
+share one of t + 1 segments: each line is cut into EDITS + 1 segments, which index it, and probes with the
+substrings at which a segment of each possible length can still lie (the multi-match-aware positions).
+Index and probe meet by a hash of length, segment number and substring, if their sketches differ by no more
+bits than the edits can flip; what meets is verified with a banded bit-parallel edit distance.
 
 Lines of fewer than MIN_CHARS characters are too short to tell apart and are left alone, repeated or not.
+
+A segment that many different lines have would bring them all into one task, pair by pair. The rows of such
+keys are dealt once more by the masked bits of their sketches: the masks cover the bits that edits can
+flip, so every pair that could be near still meets, and others no longer do.
 """
 
 from __future__ import annotations
@@ -17,34 +21,41 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .shared import stored
+from .shared import skew_join, stored
+from .simhash import covering_masks
 
 EDITS, MIN_CHARS = 2, 20
 #: A task forgets which lines it has indexed after so many.
 SEEN = 1_000_000
+#: Keys that a task gives out at a time.
+BLOCK = 200_000
+#: Index entries of a segment beyond which its rows are dealt by their sketches as well.
+HOT_SEGMENT = 500
+CLASSES = 16
 #: A document is a copy of one earlier document if the lines it repeats from that one are more than this share of that document's characters, and of its own without what it repeats from others.
 COPY_SHARE = 0.5
+#: Rows without an id are dealt to so many places.
+SALTS = 64
 
 
-@lru_cache(maxsize=4096)
-def probes(length: int, edits: int) -> tuple[tuple[int, int, int, bool], ...]:
-    """Start, end, seed and whether it is also an index entry, of each substring that stands for a line of this length."""
+@lru_cache(maxsize=8192)
+def spans(length: int, edits: int, index: bool) -> tuple[tuple[int, int, int], ...]:
+    """Start, end and seed of each substring that stands for a line of this length, as index entry or as probe."""
     out = {}
-    for size in range(max(edits + 1, length - edits), length + 1):
+    for size in range(length if index else max(edits + 1, length - edits), length + 1):
         shift, base, extra = length - size, size // (edits + 1), size % (edits + 1)
         start = 0
         for i in range(1, edits + 2):
             width = base + (i > edits + 1 - extra)
             low = max(start - (i - 1), start + shift - (edits + 1 - i), 0)
             high = min(start + (i - 1), start + shift + (edits + 1 - i), length - width)
-            for at in range(low, high + 1):
-                out[at, at + width, size * (edits + 2) + i] = shift == 0 and at == start
+            for at in range(start, start + 1) if index else range(low, high + 1):
+                out[at, at + width, size * (edits + 2) + i] = None
             start += width
-    return tuple((*k, own) for k, own in out.items())
+    return tuple(out)
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -82,8 +93,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`k`, `line`: the hash of a substring and that of its line, whose lowest bit says whether it is an index entry.
+def sketches(lines: list[str]) -> np.ndarray:
+    """Counts of characters by CLASSES classes, modulo 4, two bits each in Gray code: an edit flips two bits at most."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) % CLASSES
+    owners = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
+    counts = np.bincount(owners * CLASSES + codes, minlength=len(lines) * CLASSES).reshape(-1, CLASSES) % 4
+    return ((counts ^ counts >> 1) << np.arange(0, 2 * CLASSES, 2)).sum(axis=1)
+
+
+def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, index: bool) -> DataFrame:
+    """`k`, `line`, `sketch`: the hash of a substring, that of its line, and the line's sketch.
 
     A task gives each line once as long as it remembers it, so that frequent lines do not reach the shuffle.
     """
@@ -91,8 +110,16 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) ->
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         digest = xxhash.xxh64_intdigest
+        keys, hashes, counts, found = [], [], [], []
+
+        def block() -> pd.DataFrame:
+            line = np.repeat(np.array(hashes, np.uint64).view(np.int64), counts)
+            out = pd.DataFrame({"k": np.array(keys, np.uint64).view(np.int64), "line": line, "sketch": np.repeat(sketches(found), counts)})
+            for x in (keys, hashes, counts, found):
+                x.clear()
+            return out
+
         for pdf in batches:
-            keys, lines = [], []
             for text in pdf["t"]:
                 for line in text.split("\n"):
                     if len(line) < min_chars:
@@ -101,79 +128,63 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int) ->
                     if h in seen:
                         continue
                     seen.add(h)
-                    raw, plain = line.encode("utf-32-le"), _signed(h) & ~1
-                    for start, end, seed, own in probes(len(line), edits):
-                        keys.append(digest(raw[4 * start : 4 * end], seed))
-                        lines.append(plain | own)
-                if len(keys) > 200_000:
-                    yield _frame(keys, lines)
-                    keys, lines = [], []
-                if len(seen) > SEEN:
-                    seen.clear()
-            yield _frame(keys, lines)
-
-    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, "k long, line long")
-
-
-def _frame(keys: list[int], lines: list[int]) -> pd.DataFrame:
-    return pd.DataFrame({"k": pd.Series(keys, dtype="uint64").astype("int64"), "line": pd.Series(lines, dtype="int64")})
-
-
-def sketch(line: str) -> int:
-    """Counts of characters by 32 classes, modulo 4, two bits each in Gray code: an edit flips two bits at most."""
-    codes = np.frombuffer(line.encode("utf-32-le"), np.uint32) % 32
-    counts = np.bincount(codes, minlength=32) % 4
-    return _signed(int(((counts ^ counts >> 1).astype(np.uint64) << np.arange(0, 64, 2, dtype=np.uint64)).sum()))
-
-
-def shared_segments(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`k`, `id`, `own`: the lines (hash, lowest bit off) of every segment key that different lines have, and whether they index it."""
-    keyed = segment_keys(docs, text_col, edits, min_chars)
-    plain = F.col("line").bitwiseAND(F.lit(-2))
-    w = Window.partitionBy("k")
-    shared = keyed.withColumn("low", F.min(plain).over(w)).withColumn("high", F.max(plain).over(w)).filter("low <> high")
-    return stored(shared.groupBy("k", plain.alias("id")).agg(F.max(F.col("line").bitwiseAND(F.lit(1))).alias("own")), "segments")
-
-
-def first_texts(docs: DataFrame, lines: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`id`, `h`, `doc`, `size` (the document's characters), `no`, `t`, `sketch` of each line in `ids`, from the first document that has it."""
-    places = lines.withColumn("id", F.col("h").bitwiseAND(F.lit(-2))).join(ids, "id").groupBy("id", "h").agg(F.min(F.struct("doc", "no")).alias("first"))
-    wanted = places.groupBy(F.col("first.doc").alias("doc")).agg(F.collect_list(F.struct("id", "h", F.col("first.no").alias("no"))).alias("all"))
-    source = docs.select(F.col(id_col).alias("doc"), F.length(text_col).alias("size"), F.split(text_col, "\n").alias("lines"))
-    # whole texts are dealt by document at every size, as they must be at the largest
-    texts = source.join(stored(wanted, "wanted").hint("merge"), "doc").select("doc", "size", "lines", F.explode("all").alias("e"))
-    texts = texts.select("e.id", "e.h", F.col("doc"), "size", "e.no", F.get("lines", F.col("e.no")).alias("t")).filter(F.xxhash64("t") == F.col("h"))
-
-    @F.pandas_udf("long")
-    def sketched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for found in batches:
-            yield pd.Series([sketch(t) for t in found], dtype="int64")
+                    raw = line.encode("utf-32-le")
+                    some = [digest(raw[4 * start : 4 * end], seed) for start, end, seed in spans(len(line), edits, index)]
+                    keys += some
+                    hashes.append(h)
+                    counts.append(len(some))
+                    found.append(line)
+                    if len(keys) > BLOCK:
+                        yield block()
+            if len(seen) > SEEN:
+                seen.clear()
+        if keys:
+            yield block()
+
+    return docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t")).mapInPandas(run, "k long, line long, sketch long")
+
+
+def _dealt(rows: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
+    """`rows` with the keys in `hot` replaced by one for each mask that covers what `edits` edits can flip in a sketch."""
+    masks = covering_masks(2 * edits, 2 * CLASSES)
+    keys = F.array(*[F.xxhash64("k", F.lit(i), F.col("sketch").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)])
+    return rows.join(hot.withColumn("hot", F.lit(True)), "k", "left").select(F.explode(F.when(F.col("hot"), keys).otherwise(F.array("k"))).alias("k"), "line", "sketch")
+
+
+def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """`a`, `b`: the pairs of different lines (hashes) that share a segment and have sketches that edits could explain."""
+    index = stored(segment_keys(docs, text_col, edits, min_chars, index=True).distinct(), "index")
+    hot = stored(index.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENT).select("k"), "hot")
+    probe = _dealt(segment_keys(docs, text_col, edits, min_chars, index=False), hot, edits)
+    index = _dealt(index, hot, edits).toDF("other_k", "other", "other_sketch")
+    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= 2 * edits
+    met = probe.join(index, (F.col("k") == F.col("other_k")) & (F.col("line") != F.col("other")) & alike)
+    return stored(met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "pairs")
 
-    return stored(texts.dropDuplicates(["id", "h"]).withColumn("sketch", sketched("t")), "texts")
 
+def first_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """`h`, `h2`, `doc`, `size`, `n`, `no`, `t` of each line whose hash is in `wanted`, from the first document that has it."""
+    places = known.join(wanted, "h").select("doc", "h", "h2", "size", "n")
+    by_doc = stored(places.groupBy("doc").agg(F.collect_list(F.struct("h", "h2", "size", "n")).alias("all")), "wanted")
+    texts = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines")).join(by_doc, "doc")
+    texts = texts.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).select("doc", "lines", "hashes", F.explode("all").alias("e"))
+    texts = texts.withColumn("no", F.array_position("hashes", F.col("e.h"))).filter("no > 0").select("e.*", "doc", "no", F.get("lines", (F.col("no") - 1).cast("int")).alias("t"))
+    return stored(texts.filter(F.xxhash64(F.lit(1), "t") == F.col("h2")).dropDuplicates(["h", "h2"]), "texts")
 
-def near_lines(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
-    """`h`, `first` (`doc`, `size`): lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`, and the earliest such document.
 
-    Lines that share a segment meet in the join; it gives out only those whose sketches differ by no more
-    bits than the edits can flip, which are then verified.
-    """
-    met = shared_segments(docs, text_col, edits, min_chars)
-    texts = first_texts(docs, lines, met.select("id").distinct(), id_col, text_col)
-    met = met.join(texts.select("id", "sketch").distinct(), "id")
-    index = met.filter("own = 1").select(F.col("k").alias("other_k"), F.col("id").alias("other"), F.col("sketch").alias("other_sketch"))
-    alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= 2 * edits
-    pairs = met.join(index, (F.col("k") == F.col("other_k")) & (F.col("id") != F.col("other")) & alike)
-    pairs = stored(pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "pairs")
+def near_lines(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
+    """`h`, `h2`, `n`, `first`, `size`: lines that have another line of an earlier document (then: earlier place, then smaller hash) within `edits`, and the earliest such document."""
+    pairs = candidates(docs, text_col, edits, min_chars)
+    texts = first_texts(docs, known, pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), id_col, text_col)
 
     @F.pandas_udf("boolean")
     def close(left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([within(x, y, edits) for x, y in zip(left, right, strict=True)], dtype=bool)
 
-    side = lambda n: texts.select(F.col("id").alias(n), F.struct("doc", "no", "h", "size").alias(f"{n}_at"), F.col("t").alias(f"{n}_t"))
+    side = lambda n: texts.select(F.col("h").alias(n), F.struct("doc", "no", "h", "h2", "n", "size").alias(f"{n}_at"), F.col("t").alias(f"{n}_t"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").filter(close("a_t", "b_t"))
-    found = found.select(F.greatest("a_at", "b_at")["h"].alias("h"), F.least("a_at", "b_at").alias("of"))
-    return found.groupBy("h").agg(F.min(F.struct("of.doc", "of.size")).alias("first"))
+    found = found.select(F.greatest("a_at", "b_at").alias("x"), F.least("a_at", "b_at").alias("of")).select("x.h", "x.h2", "x.n", F.col("of.doc").alias("of"), F.col("of.size").alias("of_size"))
+    return found.groupBy("h", "h2").agg(F.max("n").alias("n"), F.min("of").alias("first"), F.min_by("of_size", "of").alias("size"))
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
@@ -185,14 +196,19 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     document (see COPY_SHARE) keeps the lines that it shares with that one, for document deduplication, and
     loses what it repeats from others. Null text stays null. Rows with
     a null id lose only what their own text repeats; rows that share an id count as one document.
+    Other columns pass through, whatever their names.
     """
-    split = docs.select(F.col(id_col).alias("doc"), F.length(text_col).alias("size"), F.posexplode(F.split(text_col, "\n")).alias("no", "line"))
-    lines = split.filter(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).select("doc", "size", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    repeated = lines.groupBy("h", "h2").agg(F.min(F.struct("doc", "size")).alias("first"), F.max("doc").alias("last")).filter("first.doc <> last").select("h", "h2", "first")
-    exact = lines.select("doc", "h", "h2").join(repeated, ["h", "h2"]).filter("doc <> first.doc").select("doc", "h", "first")
-    near = stored(near_lines(docs.filter(F.col(id_col).isNotNull()), lines, id_col, text_col, edits, min_chars), "near")
-    gone = exact.unionByName(lines.select("doc", "h").join(near, "h").select("doc", "h", "first"))
-    per_doc = stored(gone.groupBy("doc").agg(F.collect_set(F.struct("h", F.xxhash64("first.doc").alias("first"), "first.size")).alias("_gone")), "gone")
+    split = docs.select(F.col(id_col).alias("doc"), F.length(text_col).cast("long").alias("size"), F.explode(F.split(text_col, "\n")).alias("line"))
+    lines = split.filter(F.col("doc").isNotNull() & (F.length("line") >= min_chars)).select("doc", "size", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    lines = stored(lines, "lines")
+    known = lines.groupBy("h", "h2").agg(F.min("doc").alias("doc"), F.min_by("size", "doc").alias("size"), F.max("doc").alias("last"), F.count("*").alias("n"))
+    known = stored(known, "known")
+    near = near_lines(docs.filter(F.col(id_col).isNotNull()), known, id_col, text_col, edits, min_chars)
+    exact = known.filter("doc <> last").select("h", "h2", "n", F.col("doc").alias("first"), "size", F.lit(True).alias("first_stays"))
+    verdicts = stored(exact.unionByName(near.withColumn("first_stays", F.lit(False))), "verdicts")
+    gone = skew_join(lines.select("doc", "h", "h2"), verdicts, ["h", "h2"], lines.count()).filter("not first_stays or doc <> first")
+    entry = F.struct("h", F.xxhash64("first").alias("first"), "size") if spare_copies else F.struct("h")
+    per_doc = stored(gone.groupBy("doc").agg(F.collect_set(entry).alias("gone")), "gone")
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def rewritten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -200,20 +216,24 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
             rows = [rewrite(t, () if g is None else [tuple(x.values()) for x in g], min_chars, spare_copies) for t, g in zip(texts, sets, strict=True)]
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    joined = docs.join(per_doc.hint("merge"), F.col(id_col) == F.col("doc"), "left").withColumn("_new", rewritten(F.col(text_col), F.col("_gone")))
+    no_id: Column = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(SALTS))).otherwise(0)
+    whole = docs.select(F.struct("*").alias("row"), no_id.alias("salt"))
+    joined = whole.join(per_doc.withColumn("place", F.lit(0)).hint("merge"), (F.col(f"row.`{id_col}`") == F.col("doc")) & (F.col("salt") == F.col("place")), "left")
+    out = joined.select("row", rewritten(F.col(f"row.`{text_col}`"), F.col("gone")).alias("new"))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*[F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in kept], F.col("_new.n_lines").alias("n_lines"), F.col("_new.n_removed").alias("n_removed"))
+    return out.select(*[F.col("new.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.col("new.n_lines").alias("n_lines"), F.col("new.n_removed").alias("n_removed"))
 
 
 def rewrite(text: str | None, gone, min_chars: int, spare_copies: bool = False) -> tuple[str | None, int, int]:
     """The text without its repeated lines, their number before, and how many went.
 
-    `gone` has the hash of each line that goes, the document it repeats and that document's characters.
+    `gone` has the hash of each line that goes; with `spare_copies` the document it repeats and that document's characters as well.
     """
     if text is None:
         return None, 0, 0
     others, seen, own, marks, sizes, shared = {}, set(), [], [], {}, {}
-    for h, first, size in gone:
+    for h, *of in gone:
+        first, size = of or (0, 0)
         others.setdefault(int(h), set()).add(int(first))
         sizes[int(first)] = int(size)
     for line in text.split("\n"):
@@ -224,14 +244,14 @@ def rewrite(text: str | None, gone, min_chars: int, spare_copies: bool = False)
         own.append(line)
         marks.append(others.get(h, ()))
     n = text.count("\n") + 1
-    fresh = sum(len(x) for x, m in zip(own, marks, strict=True) if not m)
-    for x, m in zip(own, marks, strict=True):
-        for first in m:
-            shared[first] = shared.get(first, 0) + len(x)
     copied = None
-    if spare_copies and shared:
-        most = max(sorted(shared), key=shared.get)
-        if shared[most] > COPY_SHARE * max(sizes[most], shared[most] + fresh):
+    if spare_copies and others:
+        fresh = sum(len(x) for x, m in zip(own, marks, strict=True) if not m)
+        for x, m in zip(own, marks, strict=True):
+            for first in m:
+                shared[first] = shared.get(first, 0) + len(x)
+        most = max(sorted(shared), key=shared.get, default=None)
+        if most is not None and shared[most] > COPY_SHARE * max(sizes[most], shared[most] + fresh):
             copied = most
     left = [x for x, m in zip(own, marks, strict=True) if not m or copied in m]
     return "\n".join(left), n, n - len(left)

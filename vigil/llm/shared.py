@@ -15,10 +15,15 @@ SPACES = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset."""
+    """The folder that driver and executors share: `spark.checkpoint.dir`, or one of our own where it is unset.
+
+    A folder of our own is on this machine, so it is taken in local mode only; a cluster must name one.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file:///tmp/checkpoints/{uuid.uuid4()}"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -48,6 +53,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than this part of all rows pass by broadcast; there are fewer than so many, whatever the size.
+HOT_KEYS = 1024
+
+
+def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, n_col: str = "n", how: str = "inner") -> DataFrame:
+    """`rows` joined with `groups`, whose `n_col` says how many of the `total` rows have each key (one value a key).
+
+    Keys that hold over a 1024th of all rows, fewer than HOT_KEYS, are looked up in a broadcast table, so that
+    no task gets all rows of one; the others are joined as Spark likes. `groups` should be stored. `how` is inner or left.
+    """
+    bound = total / HOT_KEYS
+    hot = F.broadcast(groups.filter(F.col(n_col) > bound))
+    others = rows.join(F.broadcast(groups.filter(F.col(n_col) > bound).select(*keys).distinct()), keys, "left_anti")
+    return rows.join(hot, keys).unionByName(others.join(groups.filter(F.col(n_col) <= bound), keys, how))
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ASCII white space; none for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")

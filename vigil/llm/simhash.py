@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import skew_join, stored
 
 BITS = 64
 #: Buckets up to this size are compared pair by pair, larger ones through shared neighbours.
@@ -47,6 +47,22 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def word_fingerprints(parts: list[bytes], families: int) -> np.ndarray:
+    """SimHashes of the distinct words, one for each of `families` independent hashes; none without words."""
+    each = np.fromiter(map(xxhash.xxh64_intdigest, set(parts)), np.uint64)
+    if not len(each):
+        return np.array([], np.int64)
+    salts = np.arange(1, families + 1, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros((families, BITS), np.int64)
+    for at in range(0, len(each), 4096):
+        x = each[None, at : at + 4096] + salts
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        counts += np.unpackbits(x.view(np.uint8).reshape(families, -1, 8), axis=2).sum(axis=1, dtype=np.uint16)
+    return np.packbits(counts * 2 > len(each), axis=1).view(np.int64).ravel()
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """`doc_id`, `fp` (the fingerprint's bits as a signed long) of every row."""
 
@@ -59,10 +75,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text_col)).alias("fp"))
 
 
-def masks(radius: int) -> list[int]:
+def covering_masks(radius: int, bits: int = BITS) -> list[int]:
     """The tables' bit masks, as unsigned integers."""
     tables = 2 ** (radius + 1) - 1
-    vectors = [i % tables + 1 for i in range(BITS)]
+    vectors = [i % tables + 1 for i in range(bits)]
     return [sum(1 << i for i, x in enumerate(vectors) if (x & v).bit_count() % 2) for v in range(1, tables + 1)]
 
 
@@ -84,7 +100,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     """
     if radius % 2:
         raise ValueError("the radius must be even")
-    cover = masks(radius)
+    cover = covering_masks(radius)
     keys = F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in cover])
     keyed = fps.select("fp", F.posexplode(keys).alias("table", "key"))
     sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("n")).filter("n > 1")
@@ -138,19 +154,9 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     component_id unless a component has only null ids. An empty table gives an empty result.
     """
     prints = stored(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     linked = components(links(distinct.select("fp"), radius))
-    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = stored(rooted.join(of_root, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
-
-
-def one_per_group(docs: DataFrame, radius: int = 2, shingle: int = 3) -> DataFrame:
-    """The rows of `docs` whose id is its component's smallest; one of the rows that share that id and text.
-
-    Rows with a null id are kept.
-    """
-    found = near_duplicates(docs, radius, shingle)
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    classes = stored(rooted.join(of_root, "root").select("fp", "n", "component_id"), "classes")
+    return skew_join(prints, classes, ["fp"], prints.count()).select("doc_id", "fp", "component_id")
