@@ -1,10 +1,16 @@
-"""Near copies: documents whose sets of SHINGLE-word shingles have a Jaccard similarity of SIMILARITY or more.
-
-Candidates meet in bands of min-hashes: with 32 bands of 8, a pair of similarity 0.8 meets in some band in
-99.7 % of cases, at 0.9 always but for 1e-8. Every link is decided by the similarity of the whole texts.
-Texts of the same words are grouped before. A band's documents are compared with its smallest; those that are
-not near it are compared with all others there, so that no link between documents that meet is lost and a
-large group of near copies costs one comparison a document.
+"""SimHash near-dedup of whole documents: sets of five-word shingles with a Jaccard similarity of SIMILARITY or more.
+
+Copies with edits here and there have nearly the same words, and SimHashes of their distinct words that differ
+in few of their 64 bits. Each document gets FAMILIES independent ones; a pair is a candidate if it shares a
+key in one of the covering tables of some family, which is certain within RADIUS bits and likely a little
+beyond. A copy in which a whole passage is another has as many equal shingles but more different words;
+such pairs meet in bands of min-hashes of the shingles, of which at a similarity of 0.8 19 in 20 pairs share one.
+Every link is then decided by the similarity of the whole texts. Texts of the same words are grouped before.
+
+The documents of a bucket are compared with its smallest. Those that this leaves in another component are
+compared with the bucket's other documents outside their own component, but for those whose distances from
+the smallest differ by more than near copies' can (the Jaccard distance is a metric). So no link between
+components that meet is lost, and a large group of near copies costs one comparison a document.
 """
 
 from __future__ import annotations
@@ -18,15 +24,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
-from .simhash import components
+from .shared import skew_join, stored
+from .simhash import _signed, components, covering_masks, word_fingerprints
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 8
-#: Comparisons of one document that share a task; more are dealt to copies of it.
-DEALT = 64
+FAMILIES, RADIUS = 6, 2
+BANDS, ROWS = 16, 8
 #: Shingles that are min-hashed at a time.
 BLOCK = 4096
+#: Candidates whose fingerprints differ in more than this share of all their bits only met by chance: their words are too different.
+MOST_BITS = 0.3
+#: Comparisons of one document that share a task; more are dealt to copies of it.
+DEALT = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,10 +70,10 @@ def factors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, top, BANDS * ROWS, np.uint64) | np.uint64(1), rng.integers(0, top, BANDS * ROWS, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> list[int]:
+def bands(hashes: np.ndarray) -> np.ndarray:
     """One signed hash for each band of min-hashes; none without shingles."""
     if not len(hashes):
-        return []
+        return np.array([], np.int64)
     times, plus = (x.astype(np.uint32)[:, None] for x in factors())
     least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
     for at in range(0, len(hashes), BLOCK):
@@ -72,62 +81,81 @@ def bands(hashes: np.ndarray) -> list[int]:
         low, high = some.astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)
         np.minimum(least, ((low[None] ^ plus) * times + high[None]).min(axis=1), out=least)
     keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
+    return np.array(keys, np.uint64).view(np.int64)
 
 
-def near(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """`a`, `b`, `alike` of each pair of ids: whether their texts (`doc_id`, `text`) are near copies."""
-    deals = pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / DEALT).cast("int"))).alias("deal"), F.floor(F.col("n") / DEALT + 1).cast("int").alias("deals"))
-    deals = stored(deals, "deals")
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """`a`, `b`, `s` (the similarity) of each pair of ids in `pairs` whose fingerprints don't rule it out; `texts` has `doc_id`, `text`, `fps`."""
+    fps = texts.select("doc_id", "fps")
+    side = lambda n: fps.withColumnsRenamed({"doc_id": n, "fps": f"{n}_fps"})
+    differing = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(differing <= MOST_BITS * 64 * FAMILIES).select("a", "b"), "candidates")
+    parts = F.floor(F.col("n") / DEALT).cast("int")
+    deals = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", "n", F.explode(F.sequence(F.lit(0), parts)).alias("deal"), (parts + 1).alias("deals")), "deals")
     dealt = pairs.join(deals.filter("deal = 0").select("a", "deals"), "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).select("a", "b", "deal")
-    left = texts.join(deals.hint("merge"), texts.doc_id == deals.a).select("a", "deal", F.col("text").alias("a_text"))
-    right = texts.join(dealt.hint("merge"), texts.doc_id == dealt.b).select("a", "b", "deal", F.col("text").alias("b_text"))
+    text = lambda n: texts.select(F.col("doc_id").alias(n), F.col("text").alias(f"{n}_text"))
 
-    @F.pandas_udf("boolean")
+    @F.pandas_udf("double")
     def alike(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         known = lru_cache(maxsize=256)(shingles)
         for some, others in batches:
-            yield pd.Series([similarity(known(x), known(y)) >= SIMILARITY for x, y in zip(some, others, strict=True)], dtype=bool)
+            yield pd.Series([similarity(known(x), known(y)) for x, y in zip(some, others, strict=True)], dtype=float)
 
-    return right.join(left.hint("merge"), ["a", "deal"]).select("a", "b", alike("a_text", "b_text").alias("alike"))
+    left = text("a").join(deals.select("a", "deal"), "a")
+    met = dealt.join(text("b"), "b").join(left.hint("merge"), ["a", "deal"])
+    return stored(met.select("a", "b", alike("a_text", "b_text").alias("s")), "compared")
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id`, `group_id` (the smallest id of its group) of the documents that have a near copy with a smaller id.
+def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """`doc_id`, `group_id` (the smallest id of its group) of the documents that have a near copy with a smaller id; `doc_id`, `words` of all.
 
     Null and blank texts are copies of each other. Rows with a null id take no part.
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    @F.pandas_udf("words binary, bands array<long>")
+    @F.pandas_udf("words binary, fps array<long>, bands array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame({"words": [xxhash.xxh3_128_digest(b" ".join(words_of(t))) for t in texts], "bands": [bands(shingles(t)) for t in texts]})
+            split = [words_of(t) for t in texts]
+            yield pd.DataFrame({"words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "fps": [word_fingerprints(w, FAMILIES) for w in split], "bands": [bands(shingles(t)) for t in texts]})
 
     prints = stored(docs.select("doc_id", hashed("text").alias("h")).select("doc_id", "h.*"), "prints")
-    same = stored(prints.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")), "same")
-    # a hot text's rows meet its least id only where that is not their own
-    copies = prints.select("doc_id", "words").join(same.filter("least <> last").select("words", "least"), "words").filter("doc_id <> least")
+    same = stored(prints.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "same")
+    copies = skew_join(prints.select("doc_id", "words"), same.filter("least <> last"), ["words"], prints.count()).filter("doc_id <> least")
     copies = stored(copies.select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct(), "copies")
-    only = prints.join(same, (prints.words == same.words) & (prints.doc_id == same.least)).select("doc_id", "bands")
-    keyed = only.select("doc_id", F.posexplode("bands").alias("band", "key")).distinct()
-    met = keyed.groupBy("band", "key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).filter("a <> last").drop("last")
-    met = stored(keyed.join(met, ["band", "key"]), "met")
-    first = stored(met.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), "first")
-    inside = stored(docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")), "texts")
-    judged = stored(near(first, inside), "judged")
-    far = judged.filter("not alike").select("a", F.col("b").alias("doc_id"))
-    left = stored(met.join(far, ["a", "doc_id"]).select("band", "key", F.col("doc_id").alias("c")), "left")
-    rest = left.join(met, ["band", "key"]).filter("c <> doc_id and doc_id <> a").select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
-    rest = stored(rest.join(judged.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    edges = judged.unionByName(near(rest, inside)).filter("alike").select("a", "b").unionByName(copies)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).filter("doc_id <> group_id")
-
-
-def one_per_group(docs: DataFrame) -> DataFrame:
+    only = prints.join(same.select(F.col("words").alias("w"), "least"), (F.col("words") == F.col("w")) & (F.col("doc_id") == F.col("least"))).select("doc_id", "fps", "bands").dropDuplicates(["doc_id"])
+    keys = [F.xxhash64("family", F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(covering_masks(RADIUS))]
+    only = stored(only, "only")
+    keyed = only.select("doc_id", F.posexplode("fps").alias("family", "fp")).select("doc_id", F.explode(F.array(*keys)).alias("key"))
+    keyed = keyed.unionByName(only.select("doc_id", F.explode("bands").alias("key")))
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("a <> last")
+    buckets = stored(buckets.select("key", "a", "n"), "buckets")
+    met = stored(skew_join(keyed, buckets, ["key"], same.count() * (FAMILIES * len(keys) + BANDS)).select("key", "a", "doc_id"), "met")
+    inside = stored(prints.join(docs.join(met.select("doc_id").distinct(), "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("fps").alias("fps")), "texts")
+    first = compared(met.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), inside)
+    near = lambda found: found.filter(F.col("s") >= SIMILARITY).select("a", "b")
+    parts = stored(components(near(first)), "parts")
+    root = lambda n: parts.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    placed = met.join(root("doc_id"), "doc_id", "left").join(root("a"), "a", "left").withColumns({"doc_id_root": F.coalesce("doc_id_root", "doc_id"), "a_root": F.coalesce("a_root", "a")})
+    placed = placed.join(first.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left").withColumn("s", F.when(F.col("doc_id") == F.col("a"), 1.0).otherwise(F.col("s")))
+    placed = stored(placed.select("key", "doc_id", "s", F.col("doc_id_root").alias("root"), (F.col("doc_id_root") != F.col("a_root")).alias("apart")), "placed")
+    apart = placed.filter("apart").select("key", F.col("doc_id").alias("c"), F.col("s").alias("c_s"), F.col("root").alias("c_root"))
+    could = F.coalesce(F.abs(F.col("s") - F.col("c_s")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
+    rest = apart.join(placed, "key").filter((F.col("c_root") != F.col("root")) & could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
+    rest = compared(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), inside)
+    edges = parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(near(rest)).unionByName(copies)
+    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).filter("doc_id <> group_id"), prints.select("doc_id", "words")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` whose id is the smallest of its group of near copies, or that have none.
 
-    Rows with a null id are kept; rows that share an id stay or go together.
+    Rows with a null id are kept. Rows that share an id stay or go together, but of those that have the same
+    text as well, one stays. An empty table gives an empty result.
     """
-    gone = groups(docs).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found, prints = groups(docs, id_col, text_col)
+    gone = stored(found.select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    twice = stored(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")), "twice")
+    kept = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
+    once = kept.join(twice, F.col(id_col) == F.col("twice"), "left_anti")
+    return once.unionByName(kept.join(twice, F.col(id_col) == F.col("twice"), "left_semi").dropDuplicates([id_col, text_col]))
