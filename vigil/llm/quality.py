@@ -1,10 +1,12 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
-A logistic regression on text statistics gives each document a probability of being good. The sums of
-these over a host and over each path of a host are pooled: a host's rate is shrunk towards the global
-rate, a path's towards its host's, with strengths estimated from the spread of the rates (method of
+A logistic regression on text statistics and hashed words gives each document a probability of being good.
+The sums of these over a host and over each path of a host are pooled: a host's rate is shrunk towards the
+global rate, a path's towards its host's, with strengths estimated from the spread of the rates (method of
 moments of the beta-binomial). The document's odds are then moved by the odds of its path's rate
-against the global rate.
+against the global rate; its own probability takes no part in the rates that judge it.
+
+Tables without addresses have sites all the same: `documents` is judged with source as host and lang as path.
 
 Probabilities are summed as millionths, so sums are exact and do not depend on partitions.
 """
@@ -15,11 +17,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored, words
+from .shared import skew_join, stored, words
 
-#: At most so many labelled documents, those with the smallest hashes, fit the classifier.
-MAX_LABELLED = 20_000
+#: Labels beyond so many are thinned to about so many, by a hash of the document's id, to fit the classifier.
+MAX_LABELLED = 10_000
+#: Words are counted in so many classes by hash.
+HASHED = 256
 UNIT = 1_000_000
+#: What shares of words are multiplied with beside FEATURES, which are about 1.
+SCALE = 4.0
 FEATURES = ("length", "symbols", "capitals", "shouts", "bars", "digits", "word_length", "repeated_lines", "variety")
 SITE = ["host", "path"]
 
@@ -37,11 +43,15 @@ def features(text: Column) -> list[Column]:
 
 
 def text_features(docs: DataFrame, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """`doc_id`, `host`, `path` and FEATURES of every row; null text counts as empty, a null site as the empty string."""
+    """`doc_id`, `host`, `path`, `text_hash`, FEATURES and the hash class of each word (`classes`) of every row; null text counts as empty, a null site as the empty string."""
     site = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((host_col, "host"), (path_col, "path"))]
-    rows = docs.select(F.col(id_col).alias("doc_id"), *site, F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), *site, text_hash(F.col(text_col)).alias("text_hash"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.select("*", words(F.col("_t")).alias("_words"), F.filter(F.split("_t", "\n"), lambda x: x != "").alias("_lines"))
-    return rows.select("doc_id", *SITE, *features(F.col("_t")))
+    return rows.select("doc_id", *SITE, "text_hash", *features(F.col("_t")), F.transform("_words", lambda w: F.pmod(F.xxhash64(w), F.lit(HASHED)).cast("short")).alias("classes"))
+
+
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -59,14 +69,23 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
 
 
 def trained(table: DataFrame, labels: DataFrame, label_col: str = "quality") -> np.ndarray:
-    """The classifier's weights from the rows of `table` that `labels` covers; zeros if those lack either class."""
+    """The classifier's weights (FEATURES, then word classes, then the intercept) from the rows of `table` that `labels` covers; zeros if those lack either class."""
     known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("y")).distinct()
-    some = table.join(known, "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", *FEATURES, "y")
-    rows = some.orderBy("h", "doc_id", *FEATURES, "y").limit(MAX_LABELLED).collect()
-    y = np.array([r.y for r in rows], float)
+    share = min(1.0, MAX_LABELLED / max(1, known.count()))
+    if share < 1:
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    key = ["doc_id", "text_hash"]
+    some = stored(table.join(known, "doc_id").select(*key, *FEATURES, "classes", "y"), "labelled")
+    rows = some.drop("classes").distinct().toPandas().sort_values([*key, "y"], ignore_index=True)
+    y = rows["y"].to_numpy(float)
     if len(set(y)) < 2:
-        return np.zeros(len(FEATURES) + 1)
-    return fit(np.array([[r[f] for f in FEATURES] for r in rows]), y)
+        return np.zeros(len(FEATURES) + HASHED + 1)
+    counts = some.select(*key, F.explode("classes").alias("c")).groupBy(*key, "c").agg(F.count("*").alias("n")).toPandas()
+    counts = rows[key].reset_index(names="row").merge(counts, on=key)
+    shares = np.zeros((len(rows), HASHED))
+    shares[counts["row"], counts["c"]] = counts["n"]
+    shares /= np.maximum(1, shares.sum(axis=1))[:, None]
+    return fit(np.column_stack([rows[list(FEATURES)].to_numpy(float), shares * SCALE]), y)
 
 
 def strength(n_rows: float, n_groups: float, sum_squares: float, spread: float, mean: float) -> float:
@@ -91,7 +110,7 @@ def logit(p: Column) -> Column:
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:
-    """`doc_id`, `document_score`, `site_score`, `score` and `kept` (score of at least `threshold`) of every row.
+    """`doc_id`, `text_hash`, `document_score`, `site_score`, `score` and `kept` (score of at least `threshold`) of every row.
 
     Null text counts as empty, a null host or path as the empty string; repeated rows count as often as they
     occur. With labels of one class only, or none, every document score is one half. An empty table gives
@@ -100,21 +119,25 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     table = stored(text_features(docs, id_col, text_col, host_col, path_col), "features")
     w = trained(table, labels)
     z = F.lit(float(w[-1]))
-    for f, v in zip(FEATURES, w[:-1], strict=True):
+    for f, v in zip(FEATURES, w, strict=False):
         z = z + F.col(f) * float(v)
+    by_class = F.array(*[F.lit(float(v) * SCALE) for v in w[len(FEATURES) : -1]])
+    z = z + F.aggregate("classes", F.lit(0.0), lambda total, c: total + F.get(by_class, c.cast("int"))) / F.greatest(F.size("classes"), F.lit(1))
     p = F.round(1 / (1 + F.exp(-z)) * UNIT).cast("long")
-    scored = stored(table.select("doc_id", *SITE, p.alias("p")), "scores")
+    scored = stored(table.select("doc_id", *SITE, "text_hash", p.alias("p")), "scores")
     paths = stored(scored.groupBy(*SITE).agg(F.count("*").alias("n"), F.sum("p").alias("p")), "sites")
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("p").alias("host_p"))
     n, total = paths.agg(F.sum("n"), F.sum("p")).first()
     mean = min(1 - 1e-6, max(1e-6, (total or 0) / UNIT / n)) if n else 0.5
     rate = F.col("p") / UNIT / F.col("n")
-    pull = strength(*_spread(hosts, rate, F.lit(mean)), mean)
-    hosts = hosts.select("host", ((F.lit(pull * mean) + F.col("p") / UNIT) / (F.col("n") + pull)).alias("host_rate"))
+    host_pull = strength(*_spread(hosts.select(F.col("host_n").alias("n"), F.col("host_p").alias("p")), rate, F.lit(mean)), mean)
+    shrunk = lambda prior, pull, p, n: (prior * pull + p / UNIT) / (n + pull)
     joined = paths.join(hosts, "host")
-    pull = strength(*_spread(joined, rate, F.col("host_rate")), mean)
-    site = ((F.col("host_rate") * pull + F.col("p") / UNIT) / (F.col("n") + pull)).alias("site_score")
-    sites = stored(joined.select(*SITE, site), "rates")
+    path_pull = strength(*_spread(joined, rate, shrunk(F.lit(mean), host_pull, F.col("host_p"), F.col("host_n"))), mean)
+    sites = stored(joined.select(*SITE, F.col("n").alias("path_n"), F.col("p").alias("path_p"), "host_n", "host_p"), "rates")
+    found = skew_join(scored, sites, SITE, int(n or 0), "path_n")
+    host_rate = shrunk(F.lit(mean), host_pull, F.col("host_p") - F.col("p"), F.col("host_n") - 1)
+    found = found.withColumn("site_score", shrunk(host_rate, path_pull, F.col("path_p") - F.col("p"), F.col("path_n") - 1))
     odds = logit(F.col("p") / UNIT) + logit(F.col("site_score")) - logit(F.lit(mean))
-    found = scored.join(sites, SITE).select("doc_id", (F.col("p") / UNIT).alias("document_score"), "site_score", (1 / (1 + F.exp(-odds))).alias("score"))
+    found = found.select("doc_id", "text_hash", (F.col("p") / UNIT).alias("document_score"), "site_score", (1 / (1 + F.exp(-odds))).alias("score"))
     return found.withColumn("kept", F.col("score") >= threshold)
