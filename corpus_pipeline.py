@@ -20,10 +20,11 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the quality classifier keeps; those with a null id are kept."""
+    """The documents that the quality classifier keeps; of rows that share an id and a text, all or none."""
     judged = quality.classify(docs, table(spark, sf_dir, "labels"))
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    same = docs.doc_id.eqNullSafe(F.col("id")) & (quality.text_hash(docs.text) == F.col("hash"))
+    return docs.join(gone, same, "left_anti").select(COLUMNS)
 
 
 def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
