@@ -21,3 +21,31 @@ def test_tables_sections_and_direct_text_are_kept():
     page = f"<body>Direct words before the list.{LIST}<section><h2>More</h2><p>{LEAD}</p></section>{table}</body>"
     got = htmltext.main_text(page).split("\n")
     assert got[0] == "Direct words before the list." and got[1:13] == ITEMS and got[13:15] == ["More", LEAD] and got[15] == "cell 0" and len(got) == 23
+
+
+SIDE = "<div class='sidebar'><p>Side words that are no part of the article at all.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "wrapper",
+    ['<div style="overflow:hidden">', '<div class="content with-sidebar">', '<div class="post has-comments">', '<div id="platform-nav-page">', '<div data-state="hidden-no">', '<div class="header-layout">', '<div title="not hidden">', "<div class=sidebar-right-layout>"],
+)
+def test_wrappers_named_like_noise_keep_the_article(wrapper):
+    page = f"<body><nav>menu</nav>{wrapper}<h1>Heading of it</h1><p>{LEAD}</p>{LIST}</div>{SIDE}<footer>foot</footer></body>"
+    assert htmltext.main_text(page).split("\n") == ["Heading of it", LEAD, *ITEMS]
+
+
+@pytest.mark.parametrize("noise", ['class="comments"', 'id="post-comments"', 'class="x sidebar y"', "hidden", 'style="display: none"', 'class="ad-slot"', 'role="complementary"', 'class="cookie-notice"', "class=site-nav"])
+def test_named_noise_goes(noise):
+    page = f"<body><div><h1>Heading of it</h1><p>{LEAD}</p>{LIST}</div><div {noise}><p>{LEAD}</p><p>{LEAD} Again.</p></div></body>"
+    assert htmltext.main_text(page).split("\n") == ["Heading of it", LEAD, *ITEMS]
+
+
+def test_long_comments_go_and_blocks_below_body_stay():
+    comments = "<section class='comments'>" + "".join(f"<div class=comment><p>{x}</p></div>" for x in ITEMS * 3) + "</section>"
+    page = f"<body><h1>Heading of it</h1><div><p>{LEAD}</p><p>{ITEMS[0]}</p></div><div><p>{ITEMS[1]}</p><p>{ITEMS[2]}</p></div>{comments}</body>"
+    assert htmltext.main_text(page).split("\n") == ["Heading of it", LEAD, *ITEMS[:3]]
+
+
+def test_an_empty_table_of_pages(spark):
+    assert htmltext.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0

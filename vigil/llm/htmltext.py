@@ -7,8 +7,10 @@ The outermost article or main around it is taken whole. Beside the path from the
 paragraphs, lists, tables and sections belong to it, direct text as well, and other nodes of at least the
 smallest C/T on the path; none of them if over a third of its text is linked.
 
-What its tag, role or class names as navigation, header, footer, sidebar, notice, advert, form, comment
-section, script or style takes no part.
+What its tag or role says is navigation, header, footer, sidebar, notice, advert, form, script or style takes
+no part, nor does what is hidden. A class or id that says so, or names reader comments, is believed unless
+the node holds the page's text: over half of all text without links, and for a name that is a whole token, a
+first heading, article or main as well; for part of a token (site-nav), an article or main alone is enough.
 """
 
 from __future__ import annotations
@@ -24,15 +26,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOISE_TAGS = frozenset("nav header footer aside form button select option menu dialog search fieldset head".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 NOISE_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menus?|header|masthead|footer|foot|side-?bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|comments?|commentlist|respond|replies|disqus|discussion|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|newsletter|subscribe|signup|login|form|widgets?|toolbar|skip-link|copyright)(?:[\s_-]|$)",
+    r"nav\w*|menus?|header|masthead|footer|foot|side-?bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|newsletter|subscribe|signup|login|form|widgets?|toolbar|skip-?link|copyright",
     re.I,
 )
+COMMENT_NAMES = re.compile(r"comments?|comment-?list|respond|replies|disqus|discussion", re.I)
+#: A token that begins so tells what a node has, not what it is.
+MODIFIERS = frozenset("with has no without is not show hide".split())
+#: Names found as parts of a token and as whole tokens.
+PART, WHOLE = 1, 2
 #: What the start of a tag closes, besides an open paragraph.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Beside the path, these belong to the article unless links fill them.
@@ -45,6 +53,7 @@ class Node:
     tag: str
     parent: Node | None
     noise: bool
+    named: int = 0
     children: list[Node] = field(default_factory=list)
     first: int = 0  # its blocks are first..last of the page's
     last: int = 0
@@ -59,20 +68,42 @@ class Node:
 
 
 def _noise(tag: str, attrs: str) -> bool:
+    """Whether a tag, role or attribute rules the node out."""
     if tag in NOISE_TAGS:
         return True
-    if not attrs or tag in ("html", "body", "article", "main"):
+    if not attrs or tag in ("html", "body"):
         return False
     for name, a, b, c in ATTRIBUTE.findall(attrs):
-        value = a or b or c
-        name = name.lower()
-        if name in ("class", "id") and NOISE_NAMES.search(value) or name == "role" and value.lower() in NOISE_ROLES or name == "aria-hidden" and value == "true":
+        name, value = name.lower(), (a or b or c).strip().lower()
+        if name == "role" and value in NOISE_ROLES or name == "aria-hidden" and value == "true" or name == "hidden":
             return True
-    return bool(re.search(r"\bhidden\b(?!\s*=)", attrs))
+        if name == "style" and HIDDEN_STYLE.search(value):
+            return True
+    return "hidden" in ATTRIBUTE.sub(" ", attrs).lower().split()
+
+
+def _named(tag: str, attrs: str) -> int:
+    """PART or WHOLE if class or id name noise, else 0."""
+    if not attrs or tag in ("html", "body", "main"):
+        return 0
+    found = 0
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        if name.lower() in ("class", "id"):
+            for token in (a or b or c).split():
+                if COMMENT_NAMES.fullmatch(token):
+                    return WHOLE
+                parts = re.split("[-_]", token)
+                if tag == "article" or parts[0].lower() in MODIFIERS:
+                    continue
+                if NOISE_NAMES.fullmatch(token) or any(map(COMMENT_NAMES.fullmatch, (parts[0], parts[-1]))):
+                    return WHOLE
+                if any(map(NOISE_NAMES.fullmatch, parts)):
+                    found = PART
+    return found
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
-    """The tree of block-level nodes, and the page's text blocks in order; noise has neither."""
+    """The tree of block-level nodes, and the page's text blocks in order; what tags, roles and attributes rule out has neither."""
     root = Node("html", None, False)
     node, blocks, parts, links, muted = root, [], [], [], 0
     open_inline: list[tuple[str, bool, Node]] = []
@@ -139,7 +170,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 continue
             if tag == "hr":
                 continue
-            child = Node(tag, node, _noise(tag, m[4]), first=len(blocks))
+            child = Node(tag, node, _noise(tag, m[4]), _named(tag, m[4]), first=len(blocks))
             if not muted:
                 node.children.append(child)
             node = child
@@ -153,7 +184,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 if not muted:
                     parts.append(" ")
             elif tag not in VOID and not m[4].endswith("/"):
-                hidden = _noise(tag, m[4])
+                hidden = _noise(tag, m[4]) or _named(tag, m[4]) == WHOLE
                 muted += hidden
                 open_inline.append((tag, hidden, node))
     if at < len(page):
@@ -165,6 +196,26 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, blocks
 
 
+def _believe(root: Node) -> None:
+    """Makes noise of the nodes that are named so, but for those that hold the page's text."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        stack += x.children
+    free, holds, heads = {}, {}, {}
+    for x in reversed(order):
+        free[id(x)] = x.chars - x.link_chars + sum(free[id(c)] for c in x.children)
+        holds[id(x)] = x.tag in ("article", "main") or any(holds[id(c)] for c in x.children)
+        heads[id(x)] = x.tag == "h1" or any(heads[id(c)] for c in x.children)
+    for x in order:
+        most = free[id(x)] * 2 > free[id(root)]
+        if x.named == WHOLE:
+            x.noise = x.noise or not (most and (holds[id(x)] or heads[id(x)]))
+        elif x.named == PART:
+            x.noise = x.noise or not (most or holds[id(x)])
+
+
 def _measure(root: Node) -> Node:
     """Sums counts from below, sets densities and their sums, and returns body (or the root)."""
     order, stack, body = [], [root], root
@@ -198,6 +249,7 @@ def main_text(page: str | None) -> str:
     root, blocks = parse(page)
     if not blocks:
         return ""
+    _believe(root)
     body = _measure(root)
     best, stack = body, [body]
     while stack:
@@ -221,7 +273,14 @@ def main_text(page: str | None) -> str:
                 at = max(at, c.last)
             spans.append((at, x.last))
         spans += [(c.first, c.last) for c in x.children if c is not below and not c.noise and (c.tag in TEXTUAL or c.chars / max(1, c.tags) >= threshold) and c.link_chars * 3 <= c.chars]
-    return "\n".join(b for first, last in sorted(spans) for b in blocks[first:last])
+    dropped, stack = set(), [root]
+    while stack:
+        x = stack.pop()
+        if x.noise:
+            dropped.update(range(x.first, x.last))
+        else:
+            stack += x.children
+    return "\n".join(blocks[i] for first, last in sorted(spans) for i in range(first, last) if i not in dropped)
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
