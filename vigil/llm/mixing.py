@@ -47,14 +47,14 @@ def mix(docs: DataFrame, weights: dict[str, float], seed: int = 0, size: float |
     """`docs`, each row as often as its count, with its number `copy` from 1 (in place of any column of that name).
 
     Sources with weight 0 go. Rows whose source is null or not in `weights` stay once. Rows that share an id
-    have the same count; a null id counts as the text "null". The rows come in hash order.
+    have the same count; a null id counts as the text "null". Text takes no part, so null, empty and long ones are
+    repeated like any other; an empty table gives an empty result. The rows come in hash order.
     """
     means = rates(docs, weights, source_col, size)
-    columns = [c for c in docs.columns if c != "copy"]
-    spark = docs.sparkSession
-    steps = spark.createDataFrame([(s, poisson_steps(m) if m > 0 else [1.0]) for s, m in means.items()], "_source string, _steps array<double>")
-    found = docs.withColumn("_u", uniform(seed, F.col(id_col))).join(F.broadcast(steps), F.col(source_col) == F.col("_source"), "left")
-    count = F.when(F.col("_steps").isNull(), 1).otherwise(F.size(F.filter("_steps", lambda c: c <= F.col("_u"))))
-    repeated = found.withColumn("_n", count).filter("_n > 0").select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n").cast("long"))).alias("copy"))
-    ordered = repeated.withColumn("_order", F.xxhash64(F.lit(seed), F.col(id_col), "copy"))
-    return ordered.repartition("_order").sortWithinPartitions("_order").drop("_order")
+    steps = docs.sparkSession.createDataFrame([(s, poisson_steps(m) if m > 0 else [1.0]) for s, m in means.items()], "name string, steps array<double>")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), uniform(seed, F.col(id_col)).alias("u"))
+    found = rows.join(F.broadcast(steps), F.col("source") == F.col("name"), "left")
+    count = F.when(F.col("steps").isNull(), 1).otherwise(F.size(F.filter("steps", lambda c: c <= F.col("u"))))
+    repeated = found.withColumn("n", count.cast("long")).filter("n > 0").select("row", "id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("copy"))
+    ordered = repeated.select("row", "copy", F.xxhash64(F.lit(seed), "id", "copy").alias("order")).repartition("order").sortWithinPartitions("order")
+    return ordered.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "copy"], "copy")
