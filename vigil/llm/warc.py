@@ -1,11 +1,15 @@
 """WARC archives as a Spark data source, for writing and reading.
 
 `spark.dataSource.register(WarcSource)`, then `df.write.format("warc").save(folder)` and
-`spark.read.format("warc").load(folder)`. Each record is a gzip member of its own whose extra field
+`spark.read.format("warc").load(folder)`. Each record written is a gzip member of its own whose extra field
 holds the member's length. A reader plans byte ranges of the files as partitions (`partitionBytes`) and
-finds the first member of its range by that field. It inflates a member's headers first; where a pushed
-predicate on the record type or another header column fails, or `payload` is "false", it steps over the
-rest of the member without inflating it.
+finds the first member of its range by a gzip header that inflates to a record's. It inflates a member's
+headers first; where a pushed predicate on the record type or another header column fails, or `payload` is
+"false", it steps over the rest of the member without inflating it.
+
+Archives of other writers are read as well: members without a length, which are inflated to their end in
+blocks and not kept, members of several records, and uncompressed `.warc` files. Their record ids are in
+`record_id`; `page_id` and `refers_to` are those of archives written here, else null.
 
 Paths may lie in any store that pyarrow opens: local, hdfs, s3, gs.
 """
@@ -36,9 +40,9 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .shared import shared_dir
+from .shared import shared_dir, skew_join, stored
 
-SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary"
 PARTITION_BYTES = 64 << 20
 #: gzip header: deflate, extra field present, no time, unknown system; then one subfield SL of eight bytes.
 MAGIC = b"\x1f\x8b\x08\x04\x00\x00\x00\x00\x00\xff\x0c\x00SL\x08\x00"
@@ -46,7 +50,8 @@ HEAD = len(MAGIC) + 8
 PREFIX = "urn:x-page:"
 EPOCH = datetime(2024, 1, 1, tzinfo=timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-COLUMNS = {"page_id": "WARC-Record-ID", "url": "WARC-Target-URI", "record_type": "WARC-Type", "refers_to": "WARC-Refers-To", "payload_bytes": "X-Payload-Length", "payload_digest": "WARC-Payload-Digest"}
+COLUMNS = {"page_id": "WARC-Record-ID", "url": "WARC-Target-URI", "record_type": "WARC-Type", "refers_to": "WARC-Refers-To", "payload_bytes": "X-Payload-Length", "payload_digest": "WARC-Payload-Digest", "record_id": "WARC-Record-ID"}
+BLOCK = 65536
 
 
 def opened(path: str):
@@ -106,22 +111,94 @@ class Written(WriterCommitMessage):
 
 
 def parsed(head: bytes) -> dict[str, str]:
-    lines = head.decode("utf-8", "replace").split("\r\n")[1:]
-    return {k: v for k, _, v in (x.partition(": ") for x in lines) if k}
+    """The headers of a record, names in lower case; a line that begins with white space continues the one before."""
+    out, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            out[last] += " " + line.strip()
+        elif ":" in line:
+            last, _, value = line.partition(":")
+            last = last.strip().lower()
+            out[last] = value.strip()
+    return out
 
 
 def _page(value: str | None) -> int | None:
-    inner = (value or "")[1 + len(PREFIX) : -1]
-    return int(inner) if inner else None
+    inner = (value or "").strip("<>")
+    number = inner.removeprefix(PREFIX) if inner.startswith(PREFIX) else ""
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+def _number(value: str | None) -> int | None:
+    return int(value) if value and value.isdigit() else None
 
 
 def columns(headers: dict[str, str]) -> tuple:
+    size = _number(headers.get("x-payload-length"))
     return (
-        _page(headers.get("WARC-Record-ID")), headers.get("WARC-Target-URI"), headers.get("WARC-Type"), _page(headers.get("WARC-Refers-To")),
-        int(headers.get("X-Payload-Length", headers.get("Content-Length", 0))), headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None,
+        _page(headers.get("warc-record-id")), headers.get("warc-target-uri"), headers.get("warc-type"), _page(headers.get("warc-refers-to")),
+        size if size is not None else _number(headers.get("content-length")), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None,
+        headers.get("warc-record-id", "").strip("<>") or None,
     )
 
 
+class Inflated:
+    """The bytes of one gzip member, or of an uncompressed file, from `at` on; no more than what is asked for is kept."""
+
+    def __init__(self, f, at: int, packed: bool):
+        self.f, self.at, self.read, self.kept, self.done = f, at, 0, b"", False
+        self.inflate = zlib.decompressobj(16 + zlib.MAX_WBITS) if packed else None
+        f.seek(at)
+
+    def more(self, most: int = BLOCK) -> bool:
+        """Takes up to `most` more bytes; false at the end."""
+        if self.done:
+            return False
+        if self.inflate is None:
+            data = self.f.read(most)
+            self.done = not data
+            self.read += len(data)
+            self.kept += data
+            return not self.done
+        tail = self.inflate.unconsumed_tail
+        if not tail:
+            tail = self.f.read(4096 if not self.read else BLOCK)
+            self.read += len(tail)
+            if not tail:
+                raise ValueError(f"the archive ends within the member at byte {self.at}")
+        self.kept += self.inflate.decompress(tail, most)
+        self.done = self.inflate.eof
+        return True
+
+    def head(self) -> bytes | None:
+        """A record's headers; null if there is no record any more."""
+        while b"\r\n\r\n" not in self.kept:
+            if not self.more(2048):
+                return None
+        self.kept = self.kept.lstrip(b"\r\n")
+        while b"\r\n\r\n" not in self.kept:
+            if not self.more(2048):
+                return None
+        head, _, self.kept = self.kept.partition(b"\r\n\r\n")
+        return head
+
+    def take(self, n: int, keep: bool = True) -> bytes:
+        out = bytearray()
+        while n > 0 and (self.kept or self.more(min(n, BLOCK))):
+            some, self.kept = self.kept[:n], self.kept[n:]
+            n -= len(some)
+            out += some if keep else b""
+        if n > 0:
+            raise ValueError(f"the archive ends within a record of the member at byte {self.at}")
+        return bytes(out)
+
+    def end(self) -> int:
+        """The place after the member."""
+        while self.more():
+            self.kept = b""
+        return self.at + self.read - (len(self.inflate.unused_data) if self.inflate else 0)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.payload = options["path"], options.get("payload", "true").lower() == "true"
@@ -142,7 +219,7 @@ class WarcReader(DataSourceReader):
         store, root = opened(self.path)
         info = store.get_file_info(root)
         files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
-        files = sorted((f.path, f.size) for f in files if f.is_file and f.path.endswith(".warc.gz"))
+        files = sorted((f.path, f.size) for f in files if f.is_file and f.path.endswith((".warc.gz", ".warc")))
         scheme = self.path.split("://")[0] + "://" if "://" in self.path and not self.path.startswith("file:") else ""
         return [Range(scheme + p if scheme and "://" not in p else p, a, min(a + self.bytes, size)) for p, size in files for a in range(0, size, self.bytes)] or [Range("", 0, 0)]
 
@@ -157,59 +234,77 @@ class WarcReader(DataSourceReader):
         if not partition.path:
             return
         store, path = opened(partition.path)
+        packed = path.endswith(".gz")
         with store.open_input_file(path) as f:
-            size, at = f.size(), first_member(f, partition.start, f.size())
+            size = f.size()
+            at = (first_member if packed else first_record)(f, partition.start, size)
             while at < min(partition.end, size):
-                f.seek(at)
-                data = f.read(min(4096, size - at))
-                length = struct.unpack_from("<I", data, len(MAGIC))[0]
-                inflate = zlib.decompressobj(-zlib.MAX_WBITS)
-                raw, rest = inflate.decompress(data[HEAD:], 2048), inflate.unconsumed_tail
-                read = len(data)
-                while b"\r\n\r\n" not in raw and not inflate.eof:
-                    if not rest and read < length:
-                        rest = f.read(min(65536, length - read))
-                        read += len(rest)
-                    raw += inflate.decompress(rest, 65536)
-                    rest = inflate.unconsumed_tail
-                cut = raw.index(b"\r\n\r\n") + 4
-                headers = parsed(raw[: cut - 4])
-                row = columns(headers)
-                if self.wanted(row):
-                    payload = None
-                    if self.payload and row[2] != "revisit":
-                        more = rest + f.read(length - read) if read < length else rest
-                        payload = (raw[cut:] + inflate.decompress(more))[: int(headers["Content-Length"])]
-                        if "sha1:" + digest(payload) != headers["WARC-Payload-Digest"]:
-                            raise ValueError(f"{path}: the payload at byte {at} does not have its digest")
-                    yield (*row, payload)
-                at += length
+                at = yield from self.member(f, at, packed, path, size if packed else min(partition.end, size))
+
+    def member(self, f, at: int, packed: bool, path: str, end: int):
+        """The wanted records of a member, or of an uncompressed file from `at` to `end`; returns where the next one begins."""
+        length = member_length(f, at) if packed else None
+        data = Inflated(f, at, packed)
+        while packed or at + data.read - len(data.kept) < end:
+            head = data.head()
+            if head is None:
+                break
+            headers = parsed(head)
+            row, size = columns(headers), _number(headers.get("content-length"))
+            if size is None:
+                raise ValueError(f"{path}: the record in the member at byte {at} has no length")
+            wanted = self.wanted(row)
+            keep = wanted and self.payload and row[2] != "revisit"
+            if length and not keep:
+                if wanted:
+                    yield (*row, None)
+                return at + length
+            payload = data.take(size, keep)
+            if keep and "x-payload-length" in headers and digest(payload) != row[5]:
+                raise ValueError(f"{path}: a payload in the member at byte {at} does not have its digest")
+            if wanted:
+                yield (*row, payload if keep else None)
+        return data.end() if packed else end
+
+
+def member_length(f, at: int) -> int | None:
+    """The length in the extra field of a member written here; null for others."""
+    f.seek(at)
+    head = f.read(HEAD)
+    return struct.unpack_from("<I", head, len(MAGIC))[0] if head.startswith(MAGIC) and len(head) == HEAD else None
 
 
 def first_member(f, start: int, size: int) -> int:
-    """The place of the first member at or after `start`: one whose chain of lengths holds for three members."""
-    if start == 0:
-        return 0
+    """The place of the first gzip member at or after `start` that begins with a record."""
     at = start
     while at < size:
         f.seek(at)
-        data = f.read(min(1 << 20, size - at))
-        k = data.find(MAGIC)
-        while k >= 0:
-            place, good = at + k, True
-            for _ in range(3):
-                f.seek(place)
-                head = f.read(HEAD)
-                good = head.startswith(MAGIC) and len(head) == HEAD
-                if not good:
-                    break
-                place += struct.unpack_from("<I", head, len(MAGIC))[0]
-                if place == size:
-                    break
-            if good and place <= size:
+        data = f.read(min((1 << 20) + 1024, size - at))
+        k = data.find(b"\x1f\x8b\x08")
+        while 0 <= k < 1 << 20:
+            try:
+                if zlib.decompressobj(16 + zlib.MAX_WBITS).decompress(data[k : k + 1024], 8).startswith(b"WARC/1."):
+                    return at + k
+            except zlib.error:
+                pass
+            k = data.find(b"\x1f\x8b\x08", k + 1)
+        at += 1 << 20
+    return size
+
+
+def first_record(f, start: int, size: int) -> int:
+    """The place of the first record at or after `start` in an uncompressed file: after a blank line, with a type and a length."""
+    at = max(0, start - 4)
+    while at < size:
+        f.seek(at)
+        data = f.read(min((1 << 20) + 4096, size - at))
+        k = data.find(b"WARC/1.")
+        while 0 <= k < (1 << 20) + 4:
+            names = parsed(data[k : k + 4096].partition(b"\r\n\r\n")[0])
+            if at + k >= start and (at + k == 0 or data[max(0, k - 4) : k] == b"\r\n\r\n") and "warc-type" in names and "content-length" in names:
                 return at + k
-            k = data.find(MAGIC, k + 1)
-        at += max(1, len(data) - len(MAGIC) + 1)
+            k = data.find(b"WARC/1.", k + 1)
+        at += 1 << 20
     return size
 
 
@@ -267,15 +362,18 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     Of rows with equal payloads (null counts as empty) that with the smallest id is a response, the others
     are revisits of it. Of rows that also share that id, all are responses. Rows with a null id are
-    responses. Payloads are compared by SHA-1 and length.
+    responses. Payloads are compared by SHA-1 and length; only ids and these pass the grouping, and payloads
+    meet the ids of revisits.
     """
     payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    first = rows.groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("sha", "first")
-    found = rows.join(first, "sha", "left")
-    again = F.coalesce(F.col("page_id") > F.col("first"), F.lit(False))
-    return found.select("page_id", "url", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"), "payload")
+    rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
+    prints = stored(rows.select("page_id", "sha", "size"), "payloads")
+    same = prints.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
+    again = skew_join(prints, stored(same, "same"), ["sha", "size"], prints.count()).filter("page_id > first")
+    again = stored(again.select("page_id", "sha", "size", "first").distinct(), "revisits")
+    found = rows.join(again, ["page_id", "sha", "size"], "left")
+    return found.select("page_id", "url", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"), "payload")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> str:
