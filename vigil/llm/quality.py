@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from .shared import skew_join, stored, words
 
 #: Labels beyond so many are thinned to about so many, by a hash of the document's id, to fit the classifier.
-MAX_LABELLED = 10_000
+MAX_LABELLED = 4_000
 #: Words are counted in so many classes by hash.
-HASHED = 256
+HASHED = 128
 UNIT = 1_000_000
 #: What shares of words are multiplied with beside FEATURES, which are about 1.
 SCALE = 4.0
