@@ -29,9 +29,9 @@ from .simhash import covering_masks
 
 EDITS, MIN_CHARS = 2, 20
 #: A task forgets which lines it has indexed after so many.
-SEEN = 1_000_000
-#: Keys that a task gives out at a time.
-BLOCK = 200_000
+SEEN = 500_000
+#: Characters of lines whose keys a task gives out at a time.
+BLOCK = 250_000
 #: Index entries of a segment beyond which its rows are dealt by their sketches as well.
 HOT_SEGMENT = 500
 CLASSES = 16
@@ -96,8 +96,8 @@ def _signed(x: int) -> int:
 def sketches(lines: list[str]) -> np.ndarray:
     """Counts of characters by CLASSES classes, modulo 4, two bits each in Gray code: an edit flips two bits at most."""
     codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32) % CLASSES
-    owners = np.repeat(np.arange(len(lines)), np.fromiter(map(len, lines), np.int64, len(lines)))
-    counts = np.bincount(owners * CLASSES + codes, minlength=len(lines) * CLASSES).reshape(-1, CLASSES) % 4
+    owners = np.repeat(np.arange(len(lines), dtype=np.int32), np.fromiter(map(len, lines), np.int64, len(lines)))
+    counts = np.bincount(owners * CLASSES + codes.astype(np.int32), minlength=len(lines) * CLASSES).reshape(-1, CLASSES) % 4
     return ((counts ^ counts >> 1) << np.arange(0, 2 * CLASSES, 2)).sum(axis=1)
 
 
@@ -110,7 +110,7 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, ind
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
         digest = xxhash.xxh64_intdigest
-        keys, hashes, counts, found = [], [], [], []
+        keys, hashes, counts, found, room = [], [], [], [], 0
 
         def block() -> pd.DataFrame:
             line = np.repeat(np.array(hashes, np.uint64).view(np.int64), counts)
@@ -134,8 +134,10 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, ind
                     hashes.append(h)
                     counts.append(len(some))
                     found.append(line)
-                    if len(keys) > BLOCK:
+                    room += len(line)
+                    if room > BLOCK:
                         yield block()
+                        room = 0
             if len(seen) > SEEN:
                 seen.clear()
         if keys:
