@@ -131,11 +131,13 @@ def top_factors(k: int = 5, names=FACTORS) -> Column:
 # Sectors
 
 
-def sector_match(text: Column, value: Column, kind: Column, actors: Column) -> Column:
+def sector_match(text: Column, value: Column, kind: Column, actors: Column, title: Column | None = None, tags: Column | None = None) -> Column:
     """The best sector as a struct (score, -ordinal, sector, bonus); the first on ties.
 
-    A tenth a keyword up to .4, .15 a domain pattern up to .3, .15 an actor up to .3.
+    A tenth a keyword (in the text, the title or a tag) up to .4, .15 a domain pattern up to .3, .15 an actor up to .3.
     """
+    if title is not None or tags is not None:
+        text = F.concat_ws(" ", F.lit(None).cast("string") if title is None else title, text, F.lit(None).cast("string") if tags is None else F.array_join(tags, " "))
     low, value = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(value, F.lit("")))
     names = F.concat(F.lit("\n"), F.array_join(F.coalesce(F.transform(actors, F.trim), T.literals([])), "\n\n"), F.lit("\n"))
     out = []

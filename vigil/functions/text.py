@@ -222,6 +222,17 @@ def marker_radius(n: Column) -> Column:
     return 3 + F.log2(n + 1) * 1.2
 
 
+def arc_width(n: Column, most: Column) -> Column:
+    return 1.5 + n / most * 4
+
+
+def unescaped(text: Column) -> Column:
+    """The named character references of markup and the space, and the ampersand last."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("nbsp", " "), ("amp", "&")):
+        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
+    return text
+
+
 def prepared_for_translation(text: Column) -> Column:
     """Null under 5 characters, else the first 4000."""
     return F.when(F.length(F.trim(text)) >= 5, F.substring(text, 1, 4000))

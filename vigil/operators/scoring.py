@@ -51,8 +51,10 @@ def _group(events: DataFrame) -> DataFrame:
     cve = F.when(F.lit(False), 0)
     for points, signs in dims.CVE_BANDS:
         cve = cve.when(T.contains_any(low, signs), points)
-    rows = events.select(*KEY, "source_name", "threat_types", "event_time", "event_id", "domain_age_days", "country_code", "confidence", severity.alias("sev"), *[F.contains(low, F.lit(w)).alias(f"has {w}") for w in words], cve.otherwise(0).alias("cve"), F.col("severity").alias("severity_in"))
-    first = F.struct("event_time", "event_id", "domain_age_days", "country_code")
+    # the registrant's and the network's names come with enrichment
+    names = [F.col(c) if c in events.columns else F.lit(None).cast("string").alias(c) for c in ("registrant", "network")]
+    rows = events.select(*KEY, "source_name", "threat_types", "event_time", "event_id", "domain_age_days", "country_code", "confidence", *names, severity.alias("sev"), *[F.contains(low, F.lit(w)).alias(f"has {w}") for w in words], cve.otherwise(0).alias("cve"), F.col("severity").alias("severity_in"))
+    first = F.struct("event_time", "event_id", "domain_age_days", "country_code", "registrant", "network")
     rank = F.array_position(T.literals(dims.SEVERITIES), F.col("severity_in"))
     return rows.groupBy(*KEY).agg(
         F.count("*").alias("n_events"), F.sort_array(F.collect_set("source_name")).alias("sources"), F.sum(F.size("threat_types")).alias("n_types"),
@@ -70,7 +72,7 @@ def _sum(prefix: str, words: list) -> Column:
 def grouped_score(events: DataFrame) -> DataFrame:
     """Per indicator: points by source class, threat types, kind-specific signs, entropy, keywords and the sources' worst severity.
 
-    The registrant's and the network's names come with enrichment; without it those signs give nothing.
+    A domain's or url's signs are its age and a registrant who hides, an address's the kind of its network, as the first event has them.
     """
     g = _group(events).withColumn("keywords_found", _sum("kw", dims.DASHBOARD_KEYWORDS))
     classes = F.transform("sources", T.source_class)
@@ -78,12 +80,13 @@ def grouped_score(events: DataFrame) -> DataFrame:
     cap = lambda value, most: F.least(value, F.lit(most))
     cross = cap(cap(n("threat_intel") * 15, 30) + cap(n("sandbox") * 10, 10) + cap(n("security_tool") * 10, 10) + cap(n("evidence") * 8, 16) + cap(n("other") * 5, 10), 40)
     days = F.col("first.domain_age_days")
-    age = F.when(F.col("ioc_type").isin("domain", "url"), F.when(days <= 30, 20).when(days <= 90, 15).when(days <= 180, 8).otherwise(0)).otherwise(0)
+    age = F.when(days <= 30, 20).when(days <= 90, 15).when(days <= 180, 8).otherwise(0) + whois_privacy_points(F.col("first.registrant"))
+    signs = F.when(F.col("ioc_type").isin("domain", "url"), age).when(F.col("ioc_type") == "ip", network_points(F.col("first.network"))).otherwise(0)
     e = T.entropy_full(F.substring_index(F.substring_index("ioc_value", "/", 1), ":", 1))
     entropy = F.when(F.col("ioc_type").isin("domain", "url", "hostname"), F.when(e > 4.0, 12).when(e > 3.5, 8).when(e > 3.0, 4).otherwise(0)).otherwise(0)
     found = F.col("keywords_found")
     parts = {
-        "cross_source": cross, "threat_type": F.when(F.col("n_types") >= 2, 10).when(F.col("n_types") >= 1, 5).otherwise(0), "type_specific": age, "entropy": entropy,
+        "cross_source": cross, "threat_type": F.when(F.col("n_types") >= 2, 10).when(F.col("n_types") >= 1, 5).otherwise(0), "type_specific": signs, "entropy": entropy,
         "keywords": F.when(found >= 4, 20).when(found >= 2, 12).when(found >= 1, 6).otherwise(0), "source_severity": F.col("source_severity"),
     }
     out = g.withColumns(parts)
@@ -91,6 +94,15 @@ def grouped_score(events: DataFrame) -> DataFrame:
     return out.select(*KEY, "n_events", "sources", "first_seen", "last_seen", "keywords_found", *parts, "risk_score", "severity")
 
 
+def write_back(events: DataFrame, scores: DataFrame) -> DataFrame:
+    """`events` with their indicator's `risk_score`, `severity_ai` and `breakdown` from `scores` (one row each), null where it has none.
+
+    Scores are gathered per indicator, so a hot one meets its events in a join that Spark may split, not in a window.
+    """
+    parts = F.struct("cross_source", "threat_type", "type_specific", "entropy", "keywords", "source_severity").alias("breakdown")
+    return events.drop("risk_score", "severity_ai", "breakdown").join(scores.select(*KEY, "risk_score", F.col("severity").alias("severity_ai"), parts), KEY, "left")
+
+
 def whois_privacy_points(registrant: Column) -> Column:
     return F.when(T.contains_any(F.lower(F.coalesce(registrant, F.lit(""))), dims.PRIVACY_WORDS), 5).otherwise(0)
 

@@ -25,6 +25,15 @@ def by_threat_type(events: DataFrame) -> DataFrame:
     return events.select(F.explode("threat_types").alias("threat_type")).filter("threat_type <> ''").groupBy("threat_type").agg(F.count("*").alias("n"))
 
 
+#: Buckets of the search engine's counts: 20 of threat types, else 10.
+BUCKETS = {"threat_types": 20}
+
+
+def terms(events: DataFrame, field: str) -> DataFrame:
+    """The most frequent values of a field, as many as its search bucket holds."""
+    return top_items(events, field, BUCKETS.get(field, 10))
+
+
 def top_items(events: DataFrame, field: str, k: int = 10) -> DataFrame:
     """`rank`, `key`, `n`: the k most frequent values of a column (or of an array column's elements), ties by key."""
     value = F.explode(field) if dict(events.dtypes)[field].startswith("array") else F.col(field)
@@ -84,22 +93,35 @@ def shares(events: DataFrame, field: str = "severity") -> DataFrame:
 
 
 def sector_summary(events: DataFrame, k_types: int = 5) -> DataFrame:
-    """Per sector: events, four severity counts, threat level, the k most frequent types and the actors, sorted."""
-    base = events.groupBy("sector").agg(F.count("*").alias("n"), *[F.count_if(F.col("severity") == s).alias(s) for s in LEVELS])
-    types = events.select("sector", F.explode("threat_types").alias("t")).groupBy("sector", "t").agg(F.count("*").alias("m"))
-    best = types.withColumn("r", F.row_number().over(Window.partitionBy("sector").orderBy(F.desc("m"), "t"))).filter(F.col("r") <= k_types)
-    best = best.groupBy("sector").agg(F.sort_array(F.collect_list(F.struct("r", "t", "m"))).alias("types"))
-    # actors are made distinct before they are gathered
-    actors = events.select("sector", F.explode("actors").alias("a")).distinct().groupBy("sector").agg(F.sort_array(F.collect_list("a")).alias("actors"))
-    out = base.join(best, "sector", "left").join(actors, "sector", "left")
+    """Per sector: events, four severity counts, threat level, the k most frequent types and the actors, sorted.
+
+    One pass: each event gives its severity, types and actors as (kind, value) pairs, whose counts, few beside the
+    events, are put together per sector.
+    """
+    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
+    many = lambda kind, c: F.transform(F.coalesce(F.col(c), T.literals([])), lambda x: pair(kind, x))
+    said = F.concat(F.array(pair("severity", F.col("severity"))), many("type", "threat_types"), many("actor", "actors"))
+    counts = events.select("sector", F.explode(said).alias("p")).groupBy("sector", "p.kind", "p.value").agg(F.count("*").alias("m"))
+    of = lambda kind, x: F.when((F.col("kind") == kind) & F.col("value").isNotNull(), x)
+    n = F.sum(F.when(F.col("kind") == "severity", F.col("m")))
+    levels = [F.coalesce(F.sum(F.when((F.col("kind") == "severity") & (F.col("value") == s), F.col("m"))), F.lit(0)).alias(s) for s in LEVELS]
+    types = F.slice(F.sort_array(F.collect_list(of("type", F.struct((-F.col("m")).alias("key"), F.col("value").alias("t"))))), 1, k_types)
+    out = counts.groupBy("sector").agg(n.alias("n"), *levels, types.alias("types"), F.sort_array(F.collect_list(of("actor", F.col("value")))).alias("actors"))
     level = S.threat_level(*[F.col(x) for x in LEVELS], F.col("n"))
-    return out.select("sector", "n", *LEVELS, level.alias("threat_level"), F.transform("types", lambda x: F.struct(x["t"].alias("threat_type"), x["m"].alias("n"))).alias("top_types"), "actors")
+    return out.select("sector", "n", *LEVELS, level.alias("threat_level"), F.transform("types", lambda x: F.struct(x["t"].alias("threat_type"), (-x["key"]).alias("n"))).alias("top_types"), "actors")
 
 
 def sectors_by_count(summary: DataFrame) -> DataFrame:
     return summary.filter("sector <> 'general'").orderBy(F.desc("n"), "sector")
 
 
+def sector_feed(events: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """The sectors' summary of loaded events, `sector_first` applied; empty where there is no feed."""
+    if events is None:
+        return spark.createDataFrame([], "sector string, n long, critical long, high long, medium long, low long, threat_level string, top_types array<struct<threat_type:string,n:long>>, actors array<string>")
+    return sector_summary(events.withColumn("sector", S.sector_first(F.col("description"), F.col("actors"))))
+
+
 def national_level(sectors: DataFrame) -> DataFrame:
     """One row from a sector feed (id, name, criticalLevel, ordinal): score, affected sectors, level and the worst sector, the first on ties."""
     vital = F.col("id").isin(dims.CRITICAL_SECTORS)
@@ -120,10 +142,10 @@ def countries(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(c, *v) for c, v in dims.COUNTRIES.items()], "code string, name string, lat double, lng double")
 
 
-def country_code(*paths: Column) -> Column:
+def country_code(paths: Column) -> Column:
     """The first two-letter code of a known country other than TH, in the order given."""
     known = [c for c in dims.COUNTRIES if c != "TH"]
-    ups = F.filter(F.transform(F.array(*paths), F.upper), lambda c: c.isin(known))
+    ups = F.filter(F.transform(paths, F.upper), lambda c: c.isin(known))
     return F.try_element_at(ups, F.lit(1))
 
 
@@ -133,14 +155,26 @@ def country_code_ingest(*paths: Column) -> Column:
 
 
 def geo_rollup(events: DataFrame) -> DataFrame:
-    """Per known country: name, place, events, counts by severity and the worst severity present."""
+    """Per known country: name, place, events, counts by severity, the worst severity present, marker radius and arc width.
+
+    The country is the first valid one of `country_paths`, the places where enrichment may name it, or `country_code`
+    where there is no such column.
+    """
     spark = events.sparkSession
-    rows = events.withColumn("code", country_code(F.col("country_code"))).filter("code is not null")
+    code = country_code(F.col("country_paths") if "country_paths" in events.columns else F.array("country_code"))
+    rows = events.withColumn("code", code).filter("code is not null")
     by = rows.groupBy("code", "severity").agg(F.count("*").alias("n"))
     rank = F.array_position(T.literals(dims.SEVERITIES), F.col("severity"))
     grouped = by.groupBy("code").agg(F.sum("n").alias("n"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("severity", "n")))).alias("severities"), F.max_by("severity", rank).alias("primary_severity"))
     # 73 constant rows
-    return grouped.join(F.broadcast(countries(spark)), "code").select("code", "name", "lat", "lng", "n", "severities", "primary_severity", F.round(T.marker_radius(F.col("n")), 6).alias("radius"))
+    placed = grouped.join(F.broadcast(countries(spark)), "code")
+    width = T.arc_width(F.col("n"), F.max("n").over(Window.partitionBy()))  # over at most 73 rows
+    return placed.select("code", "name", "lat", "lng", "n", "severities", "primary_severity", F.round(T.marker_radius(F.col("n")), 6).alias("radius"), F.round(width, 6).alias("stroke"))
+
+
+def top_countries(rollup: DataFrame, k: int = 10) -> DataFrame:
+    """The k countries with the most events (the map draws 15 arcs), ties by code."""
+    return rollup.orderBy(F.desc("n"), "code").limit(k)
 
 
 def geo_totals(rollup: DataFrame) -> DataFrame:
@@ -151,16 +185,26 @@ def geo_totals(rollup: DataFrame) -> DataFrame:
 
 
 def news_rollup(events: DataFrame, k_iocs: int = 5) -> DataFrame:
-    """Per article: title, source, earliest date, distinct indicators (number and the first k), and its place in order of appearance."""
+    """Per article: title, source, earliest date, distinct indicators (number and the first k), and its place in order of appearance.
+
+    The first indicators of an article are chosen in two steps, so that a hot one is not ranked in one task.
+    """
     rows = events.filter(T.is_news_url(F.col("reference"))).select(F.col("reference").alias("url"), "source_name", "event_time", "event_id", "ioc_type", "ioc_value")
-    iocs = rows.groupBy("url", "ioc_type", "ioc_value").agg(F.min("event_id").alias("at"))
-    first = iocs.withColumn("r", F.row_number().over(Window.partitionBy("url").orderBy("at"))).filter(F.col("r") <= k_iocs)
-    first = first.groupBy("url").agg(F.sort_array(F.collect_list(F.struct("r", "ioc_type", "ioc_value"))).alias("iocs"))
+    iocs = rows.groupBy("url", "ioc_type", "ioc_value").agg(F.min("event_id").alias("at")).withColumn("salt", F.pmod(F.xxhash64("ioc_type", "ioc_value"), F.lit(16)))
+    first = iocs.withColumn("r", F.row_number().over(Window.partitionBy("url", "salt").orderBy("at"))).filter(F.col("r") <= k_iocs)
+    first = first.groupBy("url").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "ioc_type", "ioc_value"))), 1, k_iocs).alias("iocs"))
     number = iocs.groupBy("url").agg(F.count("*").alias("ioc_count"))
     base = rows.groupBy("url").agg(F.min("event_time").alias("date"), F.min_by("source_name", "event_id").alias("source_name"), F.min("event_id").alias("at"))
-    out = base.join(number, "url").join(first, "url")
-    no = F.row_number().over(Window.orderBy("at")) - 1
-    return out.select(F.concat(F.lit("news-"), no).alias("id"), T.title_from_url(F.col("url")).alias("title"), "url", T.news_source(F.col("url"), F.col("source_name")).alias("source"), "date", F.transform("iocs", lambda x: F.struct(x["ioc_type"].alias("type"), x["ioc_value"].alias("value"))).alias("related"), "ioc_count")
+    out = number_rows(base.join(number, "url").join(first, "url"), ["at"])
+    related = F.transform("iocs", lambda x: F.struct(x["ioc_type"].alias("type"), x["ioc_value"].alias("value"))).alias("related")
+    return out.select(F.concat(F.lit("news-"), F.col("no") - 1).alias("id"), T.title_from_url(F.col("url")).alias("title"), "url", T.news_source(F.col("url"), F.col("source_name")).alias("source"), "date", related, "ioc_count")
+
+
+def news_search(articles: DataFrame, source: str | None = None, q: str | None = None) -> DataFrame:
+    """Articles of a source with `q` in the title (any case), newest first, ties by id."""
+    found = articles if source is None else articles.filter(F.col("source") == source)
+    found = found if not q else found.filter(F.contains(F.lower("title"), F.lit(q.lower())))
+    return found.orderBy(F.desc("date"), "id")
 
 
 def news_by_source(articles: DataFrame) -> DataFrame:
@@ -182,18 +226,29 @@ def alerts(events: DataFrame) -> DataFrame:
     return numbered.select(F.format_string("ALERT-%05d", F.col("no")).alias("alert_id"), "event_id", "event_time", "ioc_type", "ioc_value", "severity", F.lit("open").alias("status"))
 
 
-def number_rows(rows: DataFrame, order: list[str]) -> DataFrame:
-    """`rows` with `no`, 1, 2, ... in the order of columns whose values are unique together.
+#: Values of a whole number that share a cell when rows are numbered.
+CELL = 4096
+
+
+def number_rows(rows: DataFrame, order: list[str], per: Column | None = None) -> DataFrame:
+    """`rows` with `no`, 1, 2, ... in the order of one or two columns, of which the last is a whole number and unique; anew for each value of `per`.
 
-    Rows are counted by minute of the first column (a timestamp), the minutes' counts are summed up in
-    order, and rows are ranked within their minute, so no task ranks all rows.
+    Rows are counted by cells: an instant (nulls first) and CELL values of the last column. The cells' counts
+    are summed up by minute, or by CELL cells, the minutes' over all, and rows are ranked within their cell. So no task
+    ranks all rows, nor those of one minute or without a time.
     """
-    minute = F.date_trunc("MINUTE", order[0])
-    counts = rows.groupBy(minute.alias("_at")).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))).select("_at", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = rows.withColumn("_minute", minute).withColumn("_r", F.row_number().over(Window.partitionBy("_minute").orderBy(*order)))
-    joined = ranked.join(before, F.col("_minute").eqNullSafe(F.col("_at")))
-    return joined.select(*rows.columns, (F.col("_r") + F.col("_before")).alias("no"))
+    timed = len(order) > 1
+    instant = F.coalesce(F.unix_micros(F.col(order[0]).cast("timestamp")), F.lit(-(1 << 62))) if timed else F.lit(0).cast("long")
+    block = F.floor(F.col(order[-1]) / CELL)
+    coarse = F.floor(F.col("_f") / 60_000_000) if timed else F.floor(F.col("_b") / CELL)
+    placed = rows.withColumns({"_p": F.lit("") if per is None else F.coalesce(per.cast("string"), F.lit("")), "_f": instant, "_b": block}).withColumn("_c", coarse)
+    cells = placed.groupBy("_p", "_c", "_f", "_b").agg(F.count("*").alias("_n"))
+    so_far = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    minutes = cells.groupBy("_p", "_c").agg(F.sum("_n").alias("_n")).withColumn("_whole", so_far(Window.partitionBy("_p").orderBy("_c"))).drop("_n")
+    before = cells.withColumn("_part", so_far(Window.partitionBy("_p", "_c").orderBy("_f", "_b"))).join(minutes, ["_p", "_c"])
+    ranked = placed.withColumn("_r", F.row_number().over(Window.partitionBy("_p", "_c", "_f", "_b").orderBy(*order)))
+    joined = ranked.join(before.drop("_n"), ["_p", "_c", "_f", "_b"])
+    return joined.select(*rows.columns, (F.col("_r") + F.col("_part") + F.col("_whole")).alias("no"))
 
 
 def alert_kpis(found: DataFrame) -> DataFrame:

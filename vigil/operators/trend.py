@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
 
 def daily_counts(events: DataFrame, types_col: str = "threat_types", time_col: str = "event_time") -> DataFrame:
-    """`day`, `threat_type`, `n`; events without types count as Unknown, those without a time not at all."""
+    """`day`, `threat_type`, `n`; events without types count as Unknown, those without a time by `collect_time`, if they have that, else not at all."""
     types = F.when(F.size(F.coalesce(F.col(types_col), T.literals([]))) > 0, F.col(types_col)).otherwise(T.literals(["Unknown"]))
-    rows = events.filter(F.col(time_col).isNotNull()).select(F.to_date(time_col).alias("day"), F.explode(types).alias("threat_type"))
+    time = F.coalesce(*[F.col(c) for c in (time_col, "collect_time") if c in events.columns])
+    rows = events.filter(time.isNotNull()).select(F.to_date(time).alias("day"), F.explode(types).alias("threat_type"))
     return rows.groupBy("day", "threat_type").agg(F.count("*").alias("n"))
 
 
@@ -26,6 +27,7 @@ def dense(counts: DataFrame, least: int = 3, calendar: bool = False) -> DataFram
         days = counts.agg(F.min("day").alias("a"), F.max("day").alias("b")).select(F.explode(F.sequence("a", "b")).alias("day"))
     days = days.agg(F.sort_array(F.collect_list("day")).alias("days"))
     types = counts.groupBy("threat_type").agg(F.sum("n").alias("total")).filter(F.col("total") >= least)
+    # one row: an array of days, 8 bytes each
     grid = types.select("threat_type").withColumn("one", F.lit(1)).join(F.broadcast(days.withColumn("one", F.lit(1))), "one")
     grid = grid.select("threat_type", F.posexplode("days").alias("x", "day"))
     return grid.join(counts, ["threat_type", "day"], "left").select("threat_type", "day", "x", F.coalesce("n", F.lit(0)).alias("n"))
@@ -34,19 +36,20 @@ def dense(counts: DataFrame, least: int = 3, calendar: bool = False) -> DataFram
 def regression(series: DataFrame, ahead: int = 7) -> DataFrame:
     """Per type: slope, direction, confidence (r squared, 0 for a constant series), mean, prediction with interval, change.
 
-    Series of fewer than two days have direction `insufficient_data`.
+    A series of fewer than two days is stable, with its last value as prediction and both bounds.
     """
     y, x = F.col("n").cast("double"), F.col("x").cast("double")
     g = series.groupBy("threat_type").agg(
         F.count("*").alias("days"), F.sum("n").alias("total"), F.avg(y).alias("mean"), F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("b"),
-        F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.regr_sxx(y, x).alias("sxx"), F.avg(x).alias("xm"),
+        F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("xm"), F.max_by(y, x).alias("last"),
     )
     n, b, mean = F.col("days"), F.col("b"), F.col("mean")
     residual = F.greatest(F.col("syy") - b * F.col("sxy"), F.lit(0.0))
     g = g.withColumn("r2", F.when(F.col("syy") > 0, F.greatest(F.lit(0.0), 1 - residual / F.col("syy"))).otherwise(0.0))
     g = g.withColumn("se", F.when(n > 2, F.sqrt(residual / (n - 2))).otherwise(mean * 0.5)).withColumn("ci", F.col("se") * 1.96)
     g = g.withColumn("p", b * (n + (ahead - 1)) + mean - b * F.col("xm"))
-    direction = F.when(n < 2, "insufficient_data").when(b > 0.5, "increasing").when(b < -0.5, "decreasing").otherwise("stable")
+    g = g.withColumns({c: F.when(n < 2, F.col("last") if c == "p" else F.lit(0.0)).otherwise(F.col(c)) for c in ("p", "ci", "se")})
+    direction = F.when(n < 2, "stable").when(b > 0.5, "increasing").when(b < -0.5, "decreasing").otherwise("stable")
     change = F.when(mean > 0, F.round(b * ahead / mean * 100, 1)).otherwise(0.0)
     return g.select(
         "threat_type", "total", "days", F.round(b, 3).alias("slope"), direction.alias("direction"), F.round("r2", 3).alias("confidence"), F.round(mean, 1).alias("current_avg"),
@@ -122,8 +125,3 @@ def streaming_daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFr
     """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return rows.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.to_date("w.start").alias("day"), "event_type", "n")
-
-
-def first_days(series: DataFrame) -> DataFrame:
-    """`series` numbered by its shared axis of days."""
-    return series.withColumn("x", F.dense_rank().over(Window.partitionBy("threat_type").orderBy("day")) - 1)

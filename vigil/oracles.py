@@ -52,6 +52,7 @@ e1 as (select event_id, user_id, event_type, tmpl, ts::timestamp as event_time,
   case when user_id % 5 <> 0 then (user_id * 13) % 500 end as domain_age_days,
   case when event_id % 11 <> 0 then event_id % 250 end as ioc_age_days,
   ({q(dims.EVENT_COUNTRIES)})[user_id % 9 + 1] as country_code,
+  [event_type, 'tmpl-' || tmpl] as tags, ({q(dims.EVENT_REGISTRANTS)})[user_id % 4 + 1] as registrant, ({q(dims.EVENT_NETWORKS)})[user_id % 5 + 1] as network,
   'https://www.' || ({q(list(dims.NEWS_SITES))})[event_id % 3 + 1] || '/2024/' || (['big-breach', 'zero_day-patch', 'index'])[user_id % 3 + 1] || case when user_id % 2 = 0 then '.html' else '' end as reference
   from e0),
 te as (select *, lower(description) as low,
@@ -114,7 +115,7 @@ TOP = "array_to_string(list_transform(list_filter((list_sort([" + ", ".join(
 DKW, HKW = dims.DASHBOARD_KEYWORDS, dims.HASH_WORDS
 GROUP = f"""{TE},
 grp as (select ioc_type, ioc_value, count(*) as n_events, list_sort(list(distinct source_name)) as sources, sum(len(threat_types)) as n_types, min(event_time) as first_seen, max(event_time) as last_seen,
-  arg_min({{'d': domain_age_days, 'c': country_code}}, {{'t': event_time, 'e': event_id}}) as fst, max(case severity when 'critical' then 15 when 'high' then 10 when 'medium' then 5 else 0 end) as source_severity,
+  arg_min({{'d': domain_age_days, 'c': country_code, 'r': registrant, 'w': network}}, {{'t': event_time, 'e': event_id}}) as fst, max(case severity when 'critical' then 15 when 'high' then 10 when 'medium' then 5 else 0 end) as source_severity,
   max(list_position({q(dims.SEVERITIES)}, severity)) as worst, avg(confidence) as avg_confidence, bool_or(severity = 'critical') as crit, bool_or(severity = 'high') as high,
   max({"case " + " ".join(f"when {any_in(w, 'low')} then {p}" for p, w in dims.CVE_BANDS) + " else 0 end"}) as cve,
   {" + ".join(f"bool_or(contains(low, {q(k)}))::int" for k in DKW)} as kw, {" + ".join(f"bool_or(contains(low, {q(k)}))::int" for k in HKW)} as hw
@@ -128,7 +129,9 @@ def classes(name: str) -> str:
 GROUPED = f"""with {GROUP},
 p as (select *, least(least({classes('threat_intel')} * 15, 30) + least({classes('sandbox')} * 10, 10) + least({classes('security_tool')} * 10, 10) + least({classes('evidence')} * 8, 16) + least({classes('other')} * 5, 10), 40) as cross_source,
   case when n_types >= 2 then 10 when n_types >= 1 then 5 else 0 end as threat_type,
-  case when ioc_type in ('domain', 'url') then case when fst.d <= 30 then 20 when fst.d <= 90 then 15 when fst.d <= 180 then 8 else 0 end else 0 end as type_specific,
+  case when ioc_type in ('domain', 'url') then case when fst.d <= 30 then 20 when fst.d <= 90 then 15 when fst.d <= 180 then 8 else 0 end
+      + case when {any_in(dims.PRIVACY_WORDS, "coalesce(lower(fst.r), '')")} then 5 else 0 end
+    when ioc_type = 'ip' then case when {any_in(dims.HOSTING_WORDS, "coalesce(lower(fst.w), '')")} then 10 when {any_in(dims.BULLET_WORDS, "coalesce(lower(fst.w), '')")} then 15 else 0 end else 0 end as type_specific,
   {entropy("split_part(split_part(lower(ioc_value), '/', 1), ':', 1)", 2)} as ent,
   case when kw >= 4 then 20 when kw >= 2 then 12 when kw >= 1 then 6 else 0 end as keywords from grp),
 z as (select *, case when {SITES} then case when ent > 4.0 then 12 when ent > 3.5 then 8 when ent > 3.0 then 4 else 0 end else 0 end as entropy from p),
@@ -202,7 +205,7 @@ NODES, STATS = GRAPH.replace("{where}", ""), GRAPH.replace("{where}", "where len
 COUNTRIES = "cn(code, name, lat, lng) as (values " + ", ".join(f"('{c}', {q(n)}, {a}::double, {b}::double)" for c, (n, a, b) in dims.COUNTRIES.items()) + ")"
 GEO = f"""{TE}, {COUNTRIES}, cs as (select country_code as code, severity, count(*) as n from te where country_code <> 'TH' group by all),
 geo as (select code, any_value(name) as name, any_value(lat) as lat, any_value(lng) as lng, sum(n)::bigint as n, string_agg(severity || ':' || n, ',' order by severity) as severities, arg_max(severity, list_position({q(dims.SEVERITIES)}, severity)) as primary_severity,
-  round(3 + log2(sum(n) + 1) * 1.2, 6) as radius from cs join cn using (code) group by code)"""
+  round(3 + log2(sum(n) + 1) * 1.2, 6) as radius, round(1.5::double + sum(n)::double / max(sum(n)) over () * 4, 6) as stroke from cs join cn using (code) group by code)"""
 
 ALERTS = f"{TE}, al as (select *, row_number() over (order by event_time, event_id) as no from te where severity in ('critical', 'high', 'medium')), alerts as (select 'ALERT-' || case when no < 100000 then lpad(no::varchar, 5, '0') else no::varchar end as alert_id, event_id, strftime(event_time, '%Y-%m-%d %H:%M:%S') as event_time, severity, 'open' as status from al)"
 LEXICON = "list_sort([" + ", ".join(f"{{'k': case when len({hits(c, 'low')}) > 0 then -least(1.0::double, len({hits(c, 'low')}) * 0.2::double + 0.1::double) else 0.0::double end, 'i': {i}, 'l': {q(n)}}}" for i, (n, c) in enumerate(dims.LEXICON.items())) + "])"
@@ -215,6 +218,38 @@ def top_item(field: str, source: str) -> str:
     return f"select row_number() over (order by n desc, key) as rank, key, n, '{field}' as field from (select key, count(*) as n from ({source}) where key <> '' group by key order by n desc, key limit 5)"
 
 
+FILE_ORDER = "row_number() over (order by event_time, event_id)"
+CSV_LINE = """ioc_type || ',"' || ioc_value || '",' || severity || ',' || confidence || ',' || source_name || ',' || array_to_string(threat_types, ';') || ',' || strftime(event_time, '%Y-%m-%d %H:%M:%S') || ',"' || replace(description, '"', '""') || '"'"""
+JSON_LINE = """'{"type":"' || ioc_type || '","value":"' || ioc_value || '","severity":"' || severity || '","confidence":' || confidence || ',"source":"' || source_name || '","threat_type":[' || array_to_string(list_transform(threat_types, lambda t: '"' || t || '"'), ',') || '],"event_time":"' || strftime(event_time, '%Y-%m-%dT%H:%M:%S') || '","description":"' || replace(description, '"', chr(92) || '"') || '"}'"""
+BY_SEVERITY = "'{' || array_to_string(list_transform(['critical', 'high', 'medium', 'low', 'clean'], lambda s: '\"' || s || '\": ' || len(list_filter(all_severities, lambda x: x = s))), ', ') || '}'"
+
+
+def joined_document(head: list[str], foot: str) -> str:
+    """Numbered lines: SQL expressions of the header, the rows with a comma before all but the first, the end."""
+    return f"with {TE}, c as (select count(*) as n, list(severity) as all_severities from te) " + " union all ".join([f"select {i - len(head) + 1}::bigint as no, {h} as line from c" for i, h in enumerate(head)]) + f"""
+union all select {FILE_ORDER}, case when {FILE_ORDER} > 1 then ',' else '' end || {JSON_LINE} from te union all select 4611686018427387904, ']' union all select 4611686018427387905, '}}'"""
+
+
+def plain(x: str) -> str:
+    """A text of a page without its tags, references decoded, white space collapsed, at most 500 characters."""
+    for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
+        x = f"replace({x}, '&{name};', '{char}')"
+    flat = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+    return f"case when len({flat}) > 500 then regexp_replace(substr({flat}, 1, 500), ' [^ ]*$', '') || '...' else {flat} end"
+
+
+def element(tag: str) -> str:
+    return f"nullif({plain(f"regexp_replace(nullif(regexp_extract(coalesce(html, ''), '(?is)<{tag}\\b[^>]*>(.*?)</{tag}\\s*>', 1), ''), '(?s)<[^>]*>', '', 'g')")}, '')"
+
+
+def meta(attr: str) -> str:
+    return plain(f"nullif(regexp_extract(coalesce(html, ''), '(?is)<meta\\b[^>]*{attr}[\"''][^>]*content=[\"'']([^\"'']*)[\"'']', 1), '')")
+
+
+MUTED = "|".join(f"<{t}\\b.*?</{t}\\s*>" for t in ("script", "style", "nav", "footer", "header"))
+SHOWN = ["cross_source", "source_quality", "threat_type_severity", "threat_actor", "mitre_techniques", "ai_confidence", "keywords", "entropy", "geo_risk", "domain_age"]
+FALLBACK = "array_to_string(list_transform((list_sort(list_filter([" + ", ".join(f"{{'k': -{n}, 'i': {i}, 'f': '{n}', 'm': {dims.FACTOR_MAX.get(n, 25)}}}" for i, n in enumerate(SHOWN)) + "], lambda x: x.k < 0)))[1:6], lambda x: x.f || ':' || -x.k || ':' || x.m), ',')"
+
 ORACLES: dict[str, str] = {
     "risk_score_flagship": f"with {FLAG} select * exclude (ioc_type, ioc_value, source_name, event_time, threat_types, actors, techniques, description), {TOP} as top_factors, len(actors) > 0 as has_actor, len(techniques) > 0 as has_mitre, coalesce(threat_types[1], 'Unknown') as primary_threat from flag",
     "risk_score_grouped": GROUPED,
@@ -252,7 +287,7 @@ select score, affected, total, top_sector, case when v or score >= 200 then 'cri
     "bands": f"with {TE} select event_id, {BAND.format('confidence')} as service, {DBAND.format('confidence')} as dashboard, case when confidence >= 80 then 'red' when confidence >= 60 then 'orange' when confidence >= 40 then 'yellow' when confidence >= 20 then 'blue' else 'green' end as color, confidence || '/100' as text from te",
     "title_from_url": f"with {TE} select event_id, {TITLE} as title, {NEWS} as source, split_part(reference, '/', 3) as netloc, split_part(regexp_replace(ioc_value, '^https?://', ''), '/', 1) as host from te",
     "clean_text": f"with c as (select doc_id, {CLEAN} as t from documents) select doc_id, md5(case when len(t) > 500 then regexp_replace(substr(t, 1, 500), ' [^ ]*$', '') || '...' else t end) as clean from c",
-    "search_substring": f"with {TE} select event_id, ioc_type, severity from te where severity in ('high', 'critical') and (contains(lower(ioc_value), 'bank') or contains(low, 'bank') or len(list_filter(threat_types, lambda t: contains(lower(t), 'bank'))) > 0)",
+    "search_substring": f"with {TE} select event_id, ioc_type, severity from te where severity in ('high', 'critical') and (contains(lower(ioc_value), 'bank') or contains(low, 'bank') or len(list_filter(tags, lambda t: contains(lower(t), 'bank'))) > 0)",
     "search_tokens": f"with {TE} select event_id, ioc_type from te where ioc_type in ('ip', 'url') and regexp_matches(low, '(^|[^a-z0-9])(ransomware|portal)($|[^a-z0-9])')",
     "search_filters": f"with {TE} select event_id, source_name from te where source_name in ('VirusTotal', 'Sandbox') and list_contains(threat_types, 'APT') and event_time between timestamp '2024-01-05 00:00:00' and timestamp '2024-01-20 00:00:00'",
     "search_paged": f"with {FLAG} select event_id, risk_score from flag order by risk_score desc, event_time desc, event_id limit 50 offset 20",
@@ -310,4 +345,53 @@ select sid, event_id, case ioc_type when 'ip' then 'alert ip ' || ioc_value || '
     "synthetic_feed": "select strftime(date '2024-01-01' + i::int, '%Y-%m-%d') as day, 25 + i as n from range(31) t(i)",
     "incremental_pipeline": f"with {FLAG}, k as (select *, row_number() over (partition by ioc_type, ioc_value order by event_id desc) as r from flag) select ioc_type, ioc_value, event_id, risk_score, severity as ai_severity from k where r = 1",
     "stream_daily_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all",
+    "keyword_points": f"with {TE} select event_id, array_to_string({hits(dims.SERVICE_KEYWORDS, 'low')}, ',') as hits, least(5 * len({hits(dims.SERVICE_KEYWORDS, 'low')}), 25) as points from te",
+    "url_indicators": f"with {TE} select reference, ioc_value, source_name, count(*) as n from te where not contains(reference, 'darkreading') and reference not in (select reference from te where user_id % 2 = 1) group by all",
+    "search_tags": f"with {TE} select event_id, ioc_type from te where contains(lower(ioc_value), 'tmpl-1') or contains(low, 'tmpl-1') or len(list_filter(tags, lambda t: contains(t, 'tmpl-1'))) > 0",
+    "search_relevance": f"""with {TE}, r as (select event_id, case when ioc_value = 'APT' then 3 else 0 end + case when regexp_matches(low, '(^|[^a-z0-9])apt($|[^a-z0-9])') then 1 else 0 end
+  + list_contains(tags, 'APT')::int + list_contains(threat_types, 'APT')::int + list_contains(actors, 'APT')::int as relevance from te) select event_id, relevance::double as relevance from r where relevance > 0""",
+    "search_scored": f"with {TE} select event_id from te where event_id % 3 = 0 or severity = 'critical'",
+    "search_limited": f"with {TE}, f as (select event_id, count(*) over () as total from te where ioc_type = 'ip' and source_name = 'VirusTotal') select * from f order by event_id limit 25",
+    "search_offset": f"with {TE} select event_id, ioc_type from te order by event_id limit 40 offset 15",
+    "warehouse_events": f"""with {TE} select ioc_type, ioc_value, 'unknown' as source_type, case when event_id % 2 = 0 then source_name else 'unknown' end as source_name, strftime(event_time, '%Y-%m-%d %H:%M:%S') as event_time,
+  strftime(event_time + interval 1 day, '%Y-%m-%d %H:%M:%S') as collect_time, array_to_string(threat_types, ',') as threat_types, case when event_id % 5 = 0 then severity else 'high' end as severity, 0::double as confidence, '' as description, 'active' as status from te""",
+    "score_write_back": f"with g as ({GROUPED}), {TE} select te.event_id, g.risk_score, g.severity as severity_ai, g.type_specific from te join g using (ioc_type, ioc_value)",
+    "breakdown_categories": f"""with {FLAG} select event_id, 'Cross-Source Validation:' || cross_source || ':40,IOC Characteristics:' || case when event_id % 2 = 0 then domain_age else 0 end || ':25,Entropy (DGA Detection):' || entropy || ':20,Keyword Context:' || keywords || ':15'
+  || case when event_id % 2 = 1 and source_quality > 0 then ',Source Severity:' || source_quality || ':15' else '' end as categories from flag""",
+    "breakdown_summary": f"with {FLAG} select event_id, traditional_score::double as traditional_score, ai_score::double as ai_score, len(actors) > 0 as has_threat_actor, len(techniques) > 0 as has_mitre, threat_types[1] as primary_threat from flag where event_id % 2 = 1",
+    "breakdown_factors": f"with {FLAG} select event_id, {FALLBACK} as factors from flag where event_id % 2 = 1",
+    "breakdown_enhanced": f"""with {FLAG}, x as (select f.*, te.severity as raw from flag f join te using (event_id)) select event_id, case when event_id % 5 = 0 then 0 else risk_score end as total_score, case when event_id % 3 = 0 then raw else severity end as severity,
+  {found(dims.SEVERITY_TH, 'severity')} as severity_th, '{{}}' as breakdown, least(5, len(list_filter([cross_source, source_quality, keywords, entropy, geo_risk, domain_age, threat_type_severity, threat_actor, mitre_techniques, ai_confidence], lambda p: p > 0)))::int as n_factors, false as has_mitre from x""",
+    "keyword_severity_terms": f"with {TE} (select row_number() over (order by n desc, key) as rank, key, n, 'threat_types' as field from (select key, count(*) as n from (select unnest(threat_types) as key from te) group by key order by n desc, key limit 20)) union all (select row_number() over (order by n desc, key), key, n, 'ioc_type' from (select ioc_type as key, count(*) as n from te group by key order by n desc, key limit 10))",
+    "sectors_ranked": f"select sector, n, threat_level from ({SUMMARY}) where sector <> 'general'",
+    "sector_tagged": f"""with {TE}, t2 as (select * replace (lower({TITLE} || ' ' || description || ' ' || array_to_string(case when user_id % 5 = 0 then ['bank', 'hospital'] else tags end, ' ')) as low) from te), s as (select event_id, {sector_structs()} as sec from t2)
+select event_id, case when sec.s > 0 then sec.n else 'general' end as sector, case when sec.s > 0 then round(least(sec.s, 1.0::double), 2) else 0::double end as confidence, case when sec.s > 0 then sec.b else 0 end as bonus from s""",
+    "daily_by_collect": f"with {TE} select strftime(case when event_id % 13 = 0 then event_time + interval 1 day else event_time end, '%Y-%m-%d') as day, t as threat_type, count(*) as n from (select event_id, event_time, unnest(case when len(threat_types) > 0 then threat_types else ['Unknown'] end) as t from te) group by all",
+    "trend_steepest": f"with {REGRESSION} select threat_type, change_percent from trends where direction = 'increasing' order by change_percent desc, threat_type limit 3",
+    "geo_paths": f"""with {TE}, {COUNTRIES}, p as (select case when country_code in (select code from cn) and country_code <> 'TH' then country_code else 'US' end as code, severity from te),
+g as (select code, count(*) as n, arg_max(severity, list_position({q(dims.SEVERITIES)}, severity)) as primary_severity from p group by code), w as (select *, round(1.5::double + n::double / max(n) over () * 4, 6) as stroke from g) select * from w order by n desc, code limit 5""",
+    "country_ingest": f"with {TE} select event_id, coalesce(nullif(case when user_id % 4 = 0 then country_code end, ''), case when user_id % 3 = 0 then 'DE' end, nullif(country_code, '')) as country from te",
+    "news_search": f"with {ARTICLES} select id, title, date, ioc_count from articles where source = 'DarkReading' and contains(lower(title), 'breach')",
+    "alert_search": f"with {ALERTS} select alert_id, event_id from alerts where severity = 'high' and event_id % 7 = 1",
+    "focused_graph": f"with {GRAPH.replace('{where}', "where ioc_type = 'cve' and ioc_value = 'CVE-2024-0042'")} select id, label, type from nodes",
+    "entity_graph": f"with {GRAPH.replace('{where}', 'where user_id % 4 = 0 or user_id % 6 = 0')} select type as metric, count(*) as n from nodes group by type union all select 'links', count(*) from links",
+    "ingest_gates": f"""with {TE}, d as (select *, substr(description, 1, (event_id % 40)::int) as t, {TITLE} as title from te)
+select event_id, {any_in([s.lower() for s in dims.SCRAPABLE_SOURCES], 'lower(source_name)')} and len(trim(t)) < 20 as scrape, len(t) > 20 or len(title) > 20 as analyse, title || case when t = '' then '' else ' - ' || t end as description from d""",
+    "domain_ages": f"with {TE} select event_id, case when event_id % 4 < 2 then floor((epoch(timestamp '{dims.AS_OF}') - floor(epoch(event_time))) / 86400) when event_id % 3 = 0 then date_diff('day', event_time::date, date '{dims.AS_OF[:10]}') end as age from te",
+    "page_summaries": f"""with p as (select page_id, url, {element('title')} as title, coalesce({meta('name=["\'\']description')}, {meta('property=["\'\']og:description')}, nullif(concat_ws(' - ', {element('h1')}, {element('p')}), '')) as description from pages)
+select *, len(coalesce(description, '')) >= 20 as success from p""",
+    "page_text": f"select page_id, substr(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is){MUTED}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 1000) as text from pages",
+    "csv_document": f"with {TE} select 0::bigint as no, 'IOC Type,IOC Value,Severity,Confidence,Source,Threat Type,Event Time,Description' as line union all select {FILE_ORDER}, {CSV_LINE} from te",
+    "json_document": joined_document(["'{'", "'\"meta\": {\"source\": \"feed\", \"total\": ' || n || '},'", "'\"iocs\": ['"], "]"),
+    "stats_document": joined_document(["'{'", f"'\"stats\": {{\"totalEvents\": ' || n || ', \"bySeverity\": ' || {BY_SEVERITY} || '}},'", "'\"events\": ['"], "]"),
+    "text_document": f"""with {TE} select '' as part, 0::bigint as no, '# Total IOCs: ' || count(*) as line from te union all select ioc_type, 0, '## ' || upper(ioc_type) || ' (' || count(*) || ')' from te group by ioc_type
+union all select ioc_type, row_number() over (partition by ioc_type order by event_id), ioc_value from te""",
+    "blocklist_document": f"""with {TE}, b as (select ioc_type, ioc_value from te where ioc_type in ('ip', 'domain') and severity in ('high', 'critical'))
+select ioc_type || '-0' as part, case ioc_type when 'ip' then '# IP Addresses (' else '# Domains (' end || count(*) || ')' as line from b group by ioc_type union all select distinct ioc_type || '-1', ioc_value from b""",
+    "url_master": f"with {TE} select reference as url, case when max(event_id) % 2 = 0 then 'class 1' else 'class 0' end as class from te group by reference",
 }
+TERM_LIST = [*dims.TERMS, "Zero Day"]
+ORACLES["shown_labels"] = f"""with {TE}, x as (select *, ({q(TERM_LIST)})[event_id % {len(TERM_LIST)} + 1] as term, substr(description, 1, (event_id % 12)::int) as t from te)
+select event_id, array_to_string(list_transform(string_split(term, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as label, coalesce({found(dims.TERMS, 'lower(term)')}, upper(term)) as thai, case when len(trim(t)) >= 5 then t end as prepared from x"""
+ORACLES["suricata_document"] = f"with r as ({ORACLES['export_suricata']}) select -2::bigint as no, '# Suricata Rules Export' as line union all select -1, '# Total Rules: ' || count(*) from r union all select 0, '' union all select sid - 8999999, rule from r"
+ORACLES["ticket_log"] = f"with t as ({ORACLES['tickets']}) select '{{\"ticket_id\":\"' || ticket_id || '\",\"event_id\":' || event_id || ',\"title\":\"t\",\"priority\":\"' || priority || '\",\"category\":\"' || category || '\",\"risk\":' || risk || '}}' as value from t"

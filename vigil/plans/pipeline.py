@@ -1,33 +1,64 @@
 """Lake to warehouse: keyed tables, scoring of what is new, status, and the same over a stream.
 
-Tables are folders of Parquet. An upsert reads the table, keeps the last row of each key and writes a new
-version folder beside the old one; a one-line pointer table says which is current, so a lost job leaves
-the old version whole.
+A table is a folder of Parquet in generations. An upsert writes its batch, one row a key, to a folder of its own,
+which a repeated batch replaces; a reader keeps the last row of each key over the generation's base and its
+batches. Every COMPACT batches the next generation's base is written from both, and a line added to the
+table's list of generations, so a lost job leaves the old one whole, and a batch's cost does not grow
+with the table but for its share of the compaction.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import scoring, search
 
 KEY = ["ioc_type", "ioc_value"]
+COMPACT = 16
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+def read(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at `path`; null if there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
-def current(spark: SparkSession, table: str) -> DataFrame | None:
-    """The table's current version; null if it has none."""
-    if not exists(spark, f"{table}/current"):
-        return None
-    row = spark.read.text(f"{table}/current").orderBy(F.desc("value")).first()
-    return spark.read.parquet(f"{table}/{row.value.split(' ')[1]}")
+def generation(spark: SparkSession, table: str) -> tuple[int, str]:
+    """The table's last generation and the folder of its base; 0 and no folder before the first compaction."""
+    found = read(spark, f"{table}/generations")
+    row = None if found is None else found.orderBy(F.desc("generation"), F.desc("folder")).first()
+    return (0, "") if row is None else (row.generation, row.folder)
+
+
+def parts(spark: SparkSession, table: str) -> DataFrame | None:
+    """The rows of the base and of the batches after it; null if there are none."""
+    no, base = generation(spark, table)
+    batches = read(spark, f"{table}/batches-{no}")
+    whole = read(spark, f"{table}/{base}") if base else None
+    batches = None if batches is None else batches.drop("batch")
+    return batches if whole is None else whole if batches is None else whole.unionByName(batches, allowMissingColumns=True)
+
+
+def create(spark: SparkSession, table: str, schema: str, version: int = 0) -> bool:
+    """Creates an empty table of a fixed schema; false if there is one already."""
+    if parts(spark, table) is not None:
+        return False
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{table}/batches-0/batch={version}")
+    return True
+
+
+def current(spark: SparkSession, table: str, keys: list[str] = KEY, order: list[str] = ("processed_at", "event_id")) -> DataFrame | None:
+    """The table: one row a key; null if it was never written."""
+    rows = parts(spark, table)
+    return None if rows is None else latest(rows, keys, order)
 
 
 def latest(rows: DataFrame, keys: list[str] = KEY, order: list[str] = ("processed_at",)) -> DataFrame:
@@ -36,13 +67,22 @@ def latest(rows: DataFrame, keys: list[str] = KEY, order: list[str] = ("processe
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
 
 
-def upsert(table: str, rows: DataFrame, version: int, keys: list[str] = KEY, order: list[str] = ("processed_at",)) -> None:
+def upsert(table: str, rows: DataFrame, version: int, keys: list[str] = KEY, order: list[str] = ("processed_at", "event_id")) -> None:
     """Merges `rows` into the table; of rows with one key the greatest by `order` stays. Doing it twice changes nothing."""
-    old = current(rows.sparkSession, table)
-    merged = rows if old is None else old.unionByName(rows, allowMissingColumns=True)
-    folder = f"v-{version:012d}-{uuid.uuid4()}"
-    latest(merged, keys, order).write.parquet(f"{table}/{folder}")
-    rows.sparkSession.createDataFrame([(f"{version:012d} {folder}",)], "value string").coalesce(1).write.mode("append").text(f"{table}/current")
+    spark = rows.sparkSession
+    no, _ = generation(spark, table)
+    latest(rows, keys, order).write.mode("overwrite").parquet(f"{table}/batches-{no}/batch={version}")
+    if version % COMPACT == COMPACT - 1:
+        compact(spark, table, keys, order)
+
+
+def compact(spark: SparkSession, table: str, keys: list[str] = KEY, order: list[str] = ("processed_at", "event_id")) -> None:
+    """Writes the base of the next generation."""
+    whole = current(spark, table, keys, order)
+    if whole is not None:
+        no, folder = generation(spark, table)[0] + 1, f"base-{uuid.uuid4()}"
+        whole.write.parquet(f"{table}/{folder}")
+        spark.createDataFrame([(no, folder)], "generation long, folder string").coalesce(1).write.mode("append").parquet(f"{table}/generations")
 
 
 def warehouse_rows(events: DataFrame, as_of: str) -> DataFrame:
@@ -54,25 +94,45 @@ def warehouse_rows(events: DataFrame, as_of: str) -> DataFrame:
     )
 
 
+def split_failures(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The events that can be scored, and the others with a `reason`: no id, no indicator, no kind."""
+    reason = F.when(F.col("event_id").isNull(), "no event id").when(F.coalesce("ioc_value", F.lit("")) == "", "no indicator").when(F.coalesce("ioc_type", F.lit("")) == "", "no kind of indicator")
+    marked = events.withColumn("reason", reason)
+    return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null").select("event_id", "ioc_type", "ioc_value", "reason")
+
+
 def run(lake: DataFrame, warehouse: str, as_of: str, version: int, limit: int | None = None) -> dict:
     """Scores what no earlier run has scored and upserts it; the counts of rows processed and failed.
 
     Rows that the lake marks as processed are left out as well. With `limit`, so many events in order of
-    time. Ids are marked after the upsert, so a run that dies in between is repeated, to the same end.
+    time. A row that can't be scored goes to `warehouse`/failed with its reason and stops no other. Ids are
+    marked after the upsert, so a run that dies in between is repeated, to the same end.
     """
     spark, marks = lake.sparkSession, f"{warehouse}/processed"
     todo = search.unprocessed(lake) if "ai_processed" in lake.columns else lake
-    if exists(spark, marks):
-        todo = todo.join(spark.read.parquet(marks), "event_id", "left_anti")
+    known = read(spark, marks)
+    if known is not None:
+        todo = todo.join(known.select("event_id"), "event_id", "left_anti")
     todo = todo if limit is None else todo.orderBy("event_time", "event_id").limit(limit)
+    good, bad = split_failures(todo)
+    processed, failed = Observation(), Observation()
     batch = f"{warehouse}/batch-{version:012d}-{uuid.uuid4()}"
-    seen = Observation()
-    rows = warehouse_rows(todo, as_of).observe(seen, F.count("*").alias("processed"), F.count_if(F.col("risk_score").isNull()).alias("failed"))
-    rows.write.parquet(batch)
+    warehouse_rows(good, as_of).observe(processed, F.count("*").alias("processed")).write.parquet(batch)
+    bad.observe(failed, F.count("*").alias("failed")).write.mode("overwrite").parquet(f"{warehouse}/failed/batch={version}")
     done = spark.read.parquet(batch)
-    upsert(warehouse, done, version, order=["processed_at", "event_id"])
-    done.select("event_id").write.mode("append").parquet(marks)
-    return seen.get
+    upsert(warehouse, done, version)
+    marked = done.select("event_id").unionByName(bad.filter("event_id is not null").select("event_id"))
+    marked.write.mode("overwrite").parquet(f"{marks}/batch={version}")
+    return processed.get | failed.get
+
+
+def save_classes(table: str, classes: DataFrame, version: int) -> None:
+    """Adds classifications of URLs to their master table; the later one of a URL stays."""
+    upsert(table, classes, version, ["url"], ["classified_at"])
+
+
+def classes(spark: SparkSession, table: str) -> DataFrame | None:
+    return current(spark, table, ["url"], ["classified_at"])
 
 
 def status(spark: SparkSession, lake: DataFrame, warehouse: str) -> dict:

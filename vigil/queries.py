@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import scores as S
 from .functions import text as T
-from .operators import export, graph, scoring, search, stats, trend
+from .operators import breakdown, export, graph, scoring, search, stats, trend
 from .oracles import ORACLES  # noqa: F401
 from .sources import json_events, pages, threat_event
+from .plans import pipeline
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,11 +193,16 @@ def keyword_hits(spark, sf_dir):
 
 @query
 def keyword_join(spark, sf_dir):
-    """The same by a join with a dictionary table, as for dictionaries too long for literals."""
-    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower("text").alias("low"))
-    # a dictionary is a parameter: eight rows here
-    return docs.join(F.broadcast(words), F.contains("low", "word")).groupBy("word").agg(F.count("*").alias("n"))
+    """How many documents have each word of the dictionary: matched in one pass, counted before the shuffle."""
+    hits = T.keyword_hits(F.col("text"), WORDS)
+    return table(spark, sf_dir, "documents").select(F.explode(hits).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def keyword_points(spark, sf_dir):
+    """The rule's own list over the events' descriptions."""
+    text = F.col("description")
+    return events(spark, sf_dir).select("event_id", F.array_join(T.keyword_hits(text), ",").alias("hits"), S.keywords(text).alias("points"))
 
 
 @query
@@ -297,7 +303,7 @@ def related_events(spark, sf_dir):
 
 @query
 def focused_ioc(spark, sf_dir):
-    scored = scoring.service_score(events(spark, sf_dir))
+    scored = scoring.service_score(search.point(events(spark, sf_dir), "cve", "CVE-2024-0042"))
     return search.indicator_detail(scored, "cve", "CVE-2024-0042").select("ioc_type", "ioc_value", "event_id", at("event_time"), "severity", "score", "pending", joined("sources"), "n_events")
 
 
@@ -305,7 +311,13 @@ def focused_ioc(spark, sf_dir):
 def urls_to_classify(spark, sf_dir):
     e = events(spark, sf_dir)
     done = e.filter("user_id % 2 = 1 and event_id % 3 = 0").select(F.col("reference").alias("url"))
-    return search.urls_to_classify(e, done).select("reference", "n", F.size("iocs").alias("n_iocs"))
+    return search.urls_to_classify(e, done).groupBy("reference").agg(F.sum("n").alias("n"), F.count("*").alias("n_iocs"))
+
+
+@query
+def url_indicators(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return search.urls_to_classify(e, e.filter("user_id % 2 = 1").select(F.col("reference").alias("url")), private=("darkreading",))
 
 
 @query
@@ -440,7 +452,7 @@ def trend_forecast(spark, sf_dir):
 @query
 def geo_threats(spark, sf_dir):
     severities = F.array_join(F.transform(F.map_entries("severities"), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), ",")
-    return stats.geo_rollup(events(spark, sf_dir)).select("code", "name", "lat", "lng", "n", severities.alias("severities"), "primary_severity", "radius")
+    return stats.geo_rollup(events(spark, sf_dir)).select("code", "name", "lat", "lng", "n", severities.alias("severities"), "primary_severity", "radius", "stroke")
 
 
 @query
@@ -549,3 +561,221 @@ def incremental_pipeline(spark, sf_dir):
 @query
 def stream_daily_counts(spark, sf_dir):
     return incremental.daily(spark, f"{sf_dir}/events.parquet").select(day(), "event_type", "n")
+
+
+# Rules of the dashboard and the ingest
+
+
+@query
+def search_tags(spark, sf_dir):
+    return search.search(events(spark, sf_dir), q="TMPL-1").select("event_id", "ioc_type")
+
+
+@query
+def search_relevance(spark, sf_dir):
+    return search.relevant(events(spark, sf_dir), "APT").select("event_id", "relevance")
+
+
+@query
+def search_scored(spark, sf_dir):
+    """Severity of the score where there is one."""
+    e = events(spark, sf_dir).withColumn("severity_ai", F.when(F.col("event_id") % 3 == 0, "critical").when(F.col("event_id") % 3 == 1, ""))
+    return search.search(e, severities=["critical"], scored_severity=True).select("event_id")
+
+
+@query
+def search_limited(spark, sf_dir):
+    return search.limited(search.search(events(spark, sf_dir), types="ip", sources="VirusTotal"), 25).select("event_id", "total")
+
+
+@query
+def search_offset(spark, sf_dir):
+    return search.page(events(spark, sf_dir), 40, 15, by=None).select("event_id", "ioc_type")
+
+
+@query
+def warehouse_events(spark, sf_dir):
+    rows = events(spark, sf_dir).select("event_id", *scoring.KEY, F.when(F.col("event_id") % 2 == 0, F.col("source_name")).otherwise("").alias("source_name"), "event_time", F.when(F.col("event_id") % 3 != 0, F.col("event_time")).alias("first_seen"), (F.col("event_time") + F.make_dt_interval(F.lit(1))).alias("processed_at"), F.col("threat_types").alias("ai_threat_types"), F.when(F.col("event_id") % 5 == 0, "").otherwise("high").alias("ai_severity"), "severity")
+    out = search.from_warehouse(rows.drop("event_id"))
+    return out.select("ioc_type", "ioc_value", "source_type", "source_name", at("event_time"), at("collect_time"), joined("threat_types"), "severity", "confidence", "description", "status")
+
+
+@query
+def score_write_back(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return scoring.write_back(e, scoring.grouped_score(e)).select("event_id", "risk_score", "severity_ai", "breakdown.type_specific")
+
+
+def parsed_breakdowns(spark, sf_dir):
+    """Scored events with their stored breakdown parsed as `v`: flat for even ids, else nested."""
+    scored = breakdown.stored(scoring.service_score(events(spark, sf_dir)))
+    flat = F.to_json(F.struct(F.col("cross_source").alias("crossSource"), F.col("domain_age").alias("typeSpecific"), "entropy", "keywords"))
+    return scored.withColumn("v", F.try_parse_json(F.when(F.col("event_id") % 2 == 0, flat).otherwise(F.col("breakdown"))))
+
+
+def listed(c, *names):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(":", x[names[0]], *[x[n].cast("int").cast("string") for n in names[1:]])), ",")
+
+
+@query
+def breakdown_categories(spark, sf_dir):
+    return parsed_breakdowns(spark, sf_dir).select("event_id", listed(breakdown.categories(F.col("v")), "category", "score", "max_score").alias("categories"))
+
+
+@query
+def breakdown_summary(spark, sf_dir):
+    e = parsed_breakdowns(spark, sf_dir).filter("event_id % 2 = 1")
+    return e.select("event_id", breakdown.summary(F.col("v"), F.col("threat_types"), F.col("actors"), F.col("techniques")).alias("s")).select("event_id", "s.*")
+
+
+@query
+def breakdown_factors(spark, sf_dir):
+    e = parsed_breakdowns(spark, sf_dir).filter("event_id % 2 = 1")
+    return e.select("event_id", listed(breakdown.fallback_factors(F.col("v")), "factor", "score", "max_score").alias("factors"))
+
+
+@query
+def breakdown_enhanced(spark, sf_dir):
+    e = scoring.service_score(events(spark, sf_dir))
+    e = e.withColumns({"severity_ai": F.when(F.col("event_id") % 3 != 0, F.col("severity_ai")), "risk_score": F.when(F.col("event_id") % 5 != 0, F.col("risk_score"))})
+    x = breakdown.enhanced(e.drop("summary")).select("event_id", "enhanced.*")
+    return x.select("event_id", "total_score", "severity", F.coalesce("severity_th", F.lit("")).alias("severity_th"), "breakdown", F.size("top_factors").alias("n_factors"), "summary.has_mitre")
+
+
+@query
+def keyword_severity_terms(spark, sf_dir):
+    """As many values as each field's search bucket holds."""
+    e = events(spark, sf_dir)
+    return stats.terms(e, "threat_types").withColumn("field", F.lit("threat_types")).unionByName(stats.terms(e, "ioc_type").withColumn("field", F.lit("ioc_type")))
+
+
+@query
+def sectors_ranked(spark, sf_dir):
+    return stats.sectors_by_count(stats.sector_feed(events(spark, sf_dir), spark)).select("sector", "n", "threat_level")
+
+
+@query
+def sector_tagged(spark, sf_dir):
+    """Keywords of the title and the tags count as well."""
+    tags = F.when(F.col("user_id") % 5 == 0, T.literals(["bank", "hospital"])).otherwise(F.col("tags"))
+    best = S.sector_match(F.col("description"), F.col("ioc_value"), F.col("ioc_type"), F.col("actors"), T.title_from_url(F.col("reference")), tags)
+    return events(spark, sf_dir).withColumn("best", best).select("event_id", S.sector_result(F.col("best")).alias("r")).select("event_id", "r.sector", "r.confidence", "r.bonus")
+
+
+@query
+def daily_by_collect(spark, sf_dir):
+    """Events without a time count on the day they were collected."""
+    e = events(spark, sf_dir).withColumn("collect_time", F.col("event_time") + F.make_dt_interval(F.lit(1)))
+    return trend.daily_counts(e.withColumn("event_time", F.when(F.col("event_id") % 13 != 0, F.col("event_time")))).select(day(), "threat_type", "n")
+
+
+@query
+def trend_steepest(spark, sf_dir):
+    return trend.top_increasing(trend.predictions(events(spark, sf_dir)), 3).select("threat_type", "change_percent")
+
+
+@query
+def geo_paths(spark, sf_dir):
+    """The country from the places where enrichment may name it, in their order; the ten with the most events."""
+    u = F.col("user_id")
+    paths = F.array(F.when(u % 3 == 0, "XX"), F.when(u % 3 == 1, "redacted for privacy"), F.lower("country_code"), F.lit("us"))
+    return stats.top_countries(stats.geo_rollup(events(spark, sf_dir).withColumn("country_paths", paths)), 5).select("code", "n", "primary_severity", "stroke")
+
+
+@query
+def country_ingest(spark, sf_dir):
+    u, code = F.col("user_id"), F.col("country_code")
+    found = stats.country_code_ingest(F.when(u % 4 == 0, code), F.when(u % 4 == 1, ""), F.when(u % 3 == 0, "DE"), code)
+    return events(spark, sf_dir).select("event_id", found.alias("country"))
+
+
+@query
+def news_search(spark, sf_dir):
+    return stats.news_search(stats.news_rollup(events(spark, sf_dir)), "DarkReading", "BREACH").select("id", "title", at("date"), "ioc_count")
+
+
+@query
+def alert_search(spark, sf_dir):
+    return stats.alert_filter(stats.alerts(events(spark, sf_dir)), "open", "high", "ip").select("alert_id", "event_id")
+
+
+@query
+def focused_graph(spark, sf_dir):
+    return graph.nodes(graph.focused(graph_events(spark, sf_dir), "cve", "CVE-2024-0042")).select("id", "label", "type")
+
+
+@query
+def entity_graph(spark, sf_dir):
+    e = graph.graph_filter(graph_events(spark, sf_dir), "with_entities")
+    return graph.graph_stats(graph.nodes(e), graph.links(e))
+
+
+@query
+def ingest_gates(spark, sf_dir):
+    """What is fetched and what is analysed; the description that a page's title gives."""
+    text, title = F.substring("description", F.lit(1), (F.col("event_id") % 40).cast("int")), T.title_from_url(F.col("reference"))
+    return events(spark, sf_dir).select("event_id", search.needs_scrape(F.col("source_name"), text).alias("scrape"), search.needs_analysis(text, title).alias("analyse"), T.enriched_description(title, text).alias("description"))
+
+
+@query
+def domain_ages(spark, sf_dir):
+    """From the creation date in one of several forms, else from the registration."""
+    k = F.col("event_id") % 4
+    created = F.when(k == 0, F.date_format("event_time", "yyyy-MM-dd HH:mm:ss")).when(k == 1, F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss")).when(k == 2, "unknown")
+    registered = F.when(F.col("event_id") % 3 == 0, F.date_format("event_time", "yyyy-MM-dd"))
+    return events(spark, sf_dir).select("event_id", T.domain_age_days(created, registered).alias("age"))
+
+
+@query
+def shown_labels(spark, sf_dir):
+    terms = [*dims.TERMS, "Zero Day"]
+    e = events(spark, sf_dir).withColumn("term", threat_event.pick(terms, F.col("event_id") % len(terms)))
+    prepared = T.prepared_for_translation(F.substring("description", F.lit(1), (F.col("event_id") % 12).cast("int")))
+    return e.select("event_id", T.prettified(F.replace("term", F.lit(" "), F.lit("_"))).alias("label"), export.translated_term(F.upper("term")).alias("thai"), prepared.alias("prepared"))
+
+
+@query
+def csv_document(spark, sf_dir):
+    return export.csv_document(events(spark, sf_dir))
+
+
+@query
+def json_document(spark, sf_dir):
+    e = events(spark, sf_dir)
+    return export.json_document(export.json_documents(e).join(e.select("event_id", "event_time"), "event_id"), ["event_time", "event_id"], {"source": "feed"}, name="iocs")
+
+
+@query
+def stats_document(spark, sf_dir):
+    return export.stats_document(events(spark, sf_dir), ["event_time", "event_id"])
+
+
+@query
+def suricata_document(spark, sf_dir):
+    return export.rule_document(export.suricata(events(spark, sf_dir)), "Suricata")
+
+
+@query
+def text_document(spark, sf_dir):
+    return export.text_document(events(spark, sf_dir))
+
+
+@query
+def blocklist_document(spark, sf_dir):
+    return export.blocklist_document(events(spark, sf_dir))
+
+
+@query
+def ticket_log(spark, sf_dir):
+    return export.audited(export.tickets(scoring.service_score(events(spark, sf_dir))).select("ticket_id", "event_id", F.lit("t").alias("title"), "priority", "category", "risk"))
+
+
+@query
+def url_master(spark, sf_dir):
+    """Classifications of URLs in their master table, saved in two batches of which the later wins."""
+    base = f"{incremental.shared_dir(spark)}/urls"
+    urls = events(spark, sf_dir).groupBy(F.col("reference").alias("url")).agg(F.max("event_id").alias("last"))
+    for version in (0, 1):
+        rows = urls.filter(f"{version} = 0 or last % 2 = 0").select("url", F.lit(f"class {version}").alias("class"), F.lit(version).alias("classified_at"))
+        pipeline.save_classes(base, rows, version)
+    return pipeline.classes(spark, base).select("url", "class")

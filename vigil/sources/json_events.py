@@ -7,10 +7,13 @@ not JSON or have no events go to quarantine; a missing folder is the caller's to
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import search
+from ..plans import pipeline
 
 
 def _get(v: Column, path: str, kind: str = "string") -> Column:
@@ -18,7 +21,7 @@ def _get(v: Column, path: str, kind: str = "string") -> Column:
 
 
 def raw_files(spark: SparkSession, path, glob: str = "*.json", exclude: list[str] = ()) -> DataFrame:
-    """`file`, `v` (the parsed file, null if it isn't JSON) of every file, one a row."""
+    """`file`, `v` (the parsed file, null if it isn't JSON) of every file, one a row; `file` is what gives them an order."""
     files = spark.read.option("pathGlobFilter", glob).text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.try_parse_json("value").alias("v"))
     return files.filter(~F.col("file").isin(list(exclude))) if exclude else files
 
@@ -80,6 +83,41 @@ def read(spark: SparkSession, path, glob: str = "*.json", exclude: list[str] = (
     return threat_events(split_events(raw_files(spark, path, glob, exclude)))
 
 
+def available(spark: SparkSession, path, glob: str = "*.json", exclude: list[str] = ()) -> DataFrame | None:
+    """The events of a folder or file; null if it doesn't exist."""
+    try:
+        return read(spark, path, glob, exclude)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def load_events(spark: SparkSession, gold: str | None, silver, bronze, limit: int | None = None) -> tuple[str, DataFrame]:
+    """The name of the best layer that has events, and they: the warehouse table, else the normalised file, else the raw files."""
+    warehouse = None if gold is None else pipeline.current(spark, gold)
+    for name, found in (("gold", lambda: None if warehouse is None else search.from_warehouse(warehouse)), ("silver", lambda: available(spark, silver)), ("bronze", lambda: available(spark, bronze))):
+        rows = found()
+        if rows is not None and not rows.isEmpty():
+            return name, rows if limit is None else rows.limit(limit)
+    return "none", threat_events(split_events(spark.createDataFrame([], "file string, v variant")))
+
+
+def predictions_feed(spark: SparkSession, path) -> DataFrame:
+    """`threat_type`, `slope`, `direction`, `change_percent`, `alert_level` of a predictions document."""
+    item = "threat_type string, slope double, direction string, change_percent double, prediction_7d double, alert_level string"
+    rows = spark.read.json(path, multiLine=True, schema=f"predictions array<struct<{item}>>")
+    return rows.select(F.inline("predictions"))
+
+
+def sectors_feed(spark: SparkSession, path) -> DataFrame:
+    """`id`, `name`, `criticalLevel`, `ordinal` of a document of sectors, or a list of them."""
+    item = "array<struct<id:string,name:string,criticalLevel:int>>"
+    v = F.try_parse_json("value")
+    rows = spark.read.text(path, wholetext=True).select(F.coalesce(_get(v, "$.sectors", item), _get(v, "$", item)).alias("s"))
+    return rows.select(F.posexplode("s").alias("ordinal", "x")).select("x.*", "ordinal")
+
+
 def actor_file(spark: SparkSession, path) -> DataFrame:
     """`name`, `aliases` of an actor dictionary file."""
     rows = spark.read.json(path, multiLine=True, schema="threat_actors array<struct<name:string,aliases:array<string>>>")

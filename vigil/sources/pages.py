@@ -14,13 +14,13 @@ def _first(html: Column, pattern: str) -> Column:
 
 def _tag(html: Column, tag: str) -> Column:
     inner = _first(html, rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>")
-    return F.nullif(T.clean_text(F.regexp_replace(inner, r"(?s)<[^>]*>", "")), F.lit(""))
+    return F.nullif(T.clean_text(T.unescaped(F.regexp_replace(inner, r"(?s)<[^>]*>", ""))), F.lit(""))
 
 
 def summaries(pages: DataFrame) -> DataFrame:
     """`page_id`, `url`, `title`, `description` and `success`: the meta description, else og:description, else first heading and paragraph; success needs 20 characters."""
     html = F.coalesce("html", F.lit(""))
-    meta = lambda attr: T.clean_text(_first(html, rf"""(?is)<meta\b[^>]*{attr}["'][^>]*content=["']([^"']*)["']"""))
+    meta = lambda attr: T.clean_text(T.unescaped(_first(html, rf"""(?is)<meta\b[^>]*{attr}["'][^>]*content=["']([^"']*)["']""")))
     fallback = F.nullif(F.concat_ws(" - ", _tag(html, "h1"), _tag(html, "p")), F.lit(""))
     out = pages.select("page_id", "url", _tag(html, "title").alias("title"), F.coalesce(meta("name=[\"']description"), meta("property=[\"']og:description"), fallback).alias("description"))
     return out.withColumn("success", F.length(F.coalesce("description", F.lit(""))) >= 20)

@@ -18,7 +18,13 @@ def pick(values: list, index: Column) -> Column:
 
 
 def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return project(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return project(dealt(spark.read.parquet(f"{sf_dir}/events.parquet")))
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """`rows`, dealt to all cores if they lie in fewer partitions, as those of a small file of one row group do."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
 
 
 def project(events: DataFrame) -> DataFrame:
@@ -47,6 +53,7 @@ def project(events: DataFrame) -> DataFrame:
         F.floor("value").cast("int").alias("confidence_raw"), no.cast("int").alias("tmpl"), pick([t for t, _, _ in dims.TEMPLATES], no).alias("description"), types.alias("threat_types"),
         pick([c for _, _, c in dims.TEMPLATES], no).alias("ai_confidence"), F.when(user % 5 != 0, (user * 13) % 500).cast("int").alias("domain_age_days"),
         F.when(event % 11 != 0, event % 250).cast("int").alias("ioc_age_days"), pick(dims.EVENT_COUNTRIES, user % 9).alias("country_code"),
+        F.array(F.col("event_type"), F.concat(F.lit("tmpl-"), no.cast("string"))).alias("tags"), pick(dims.EVENT_REGISTRANTS, user % 4).alias("registrant"), pick(dims.EVENT_NETWORKS, user % 5).alias("network"),
         F.concat(F.lit("https://www."), pick(list(dims.NEWS_SITES), event % 3), F.lit("/2024/"), pick(["big-breach", "zero_day-patch", "index"], user % 3), F.when(user % 2 == 0, ".html").otherwise("")).alias("reference"),
     )
     out = out.withColumns({"severity": T.severity(F.col("severity_raw")), "confidence": T.confidence(F.col("confidence_raw"))})

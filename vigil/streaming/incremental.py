@@ -8,30 +8,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import pipeline
-from ..sources.threat_event import project
+from ..sources.threat_event import dealt, project
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under `spark.checkpoint.dir`, which driver and executors share; of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/checkpoints"
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4()}"
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
     """The files of a Parquet table as a stream; a table of one file is watched for in its folder."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    status = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at)
-    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files_per_trigger)
-    if status.isDirectory():
-        return reader.parquet(path)
-    return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    table = spark.read.parquet(path)
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if any(f.rstrip("/").rpartition("/")[2] == name for f in table.inputFiles()):  # one file of that name
+        return reader.option("pathGlobFilter", name).parquet(folder)
+    return reader.parquet(path)
 
 
 def score_stream(stream: DataFrame, warehouse: str, checkpoint: str, as_of: str):
     """Scores each batch once and upserts it by key; a batch that is repeated after a failure changes nothing."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        pipeline.upsert(warehouse, pipeline.warehouse_rows(project(batch), as_of), batch_id, order=["processed_at", "event_id"])
+        good, _ = pipeline.split_failures(project(dealt(batch)))
+        pipeline.upsert(warehouse, pipeline.warehouse_rows(good, as_of), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -59,7 +63,7 @@ def daily(spark: SparkSession, path: str) -> DataFrame:
     events = event_stream(spark, path)
     daily_counts(events, f"{base}/daily", f"{base}/checkpoint").awaitTermination()
     kind = events.schema["event_type"].dataType.simpleString()
-    if not pipeline.exists(spark, f"{base}/daily"):
+    parts = pipeline.read(spark, f"{base}/daily")
+    if parts is None:
         return spark.createDataFrame([], f"day date, event_type {kind}, n long")
-    parts = spark.read.schema(f"day date, event_type {kind}, n long").parquet(f"{base}/daily")
     return parts.groupBy("day", "event_type").agg(F.sum("n").alias("n"))
