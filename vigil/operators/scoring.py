@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -198,10 +201,9 @@ def analyzed(rows: DataFrame, json_col: str) -> DataFrame:
 
 def neural_classifier(predict, batch_size: int = 16):
     """A pandas UDF over text for a model: `predict` maps a list of at most `batch_size` texts to lists of (label, score)."""
-    import pandas as pd
 
     @F.pandas_udf("array<struct<label:string,score:double>>")
-    def classify(batches: "Iterator[pd.Series]") -> "Iterator[pd.Series]":  # noqa: F821
+    def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.fillna("").tolist()
             found = [r for i in range(0, len(values), batch_size) for r in predict(values[i : i + batch_size])]
