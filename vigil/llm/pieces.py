@@ -61,6 +61,9 @@ class Lattices:
         self.ids = np.array([self.weights[p][0] for p in spelled] + [0], np.int32)
         self.scale = np.array([self.weights[p][1] for p in spelled] + [0.0])
         self.index = pd.Index(np.array([self._hashes(_codes(p))[-1][-1] for p in spelled], np.uint64))
+        sizes = np.array([*map(len, spelled), 0])
+        self.first = np.cumsum(sizes) - sizes
+        self.letters = np.append(_codes("".join(spelled)), np.zeros(1, np.uint64))
         self._forget()
 
     def _forget(self) -> None:
@@ -69,7 +72,7 @@ class Lattices:
         self.lengths = np.empty(0, np.int64)  # by lattice: the characters of its unit
         self.begins = np.zeros(1, np.int64)  # by position: its first incoming edge; one more at the end
         self.shares = np.empty(0, np.float32)  # by edge: the sum of shares of its position up to it
-        self.pieces, self.spans = np.empty(0, np.int32), np.empty(0, np.int8)
+        self.pieces, self.spans = np.empty(0, np.int32), np.empty(0, np.int16)
 
     def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length: of every position, a hash of as many characters that end there (garbage before the start)."""
@@ -80,6 +83,16 @@ class Lattices:
             out.append(total)
         return out
 
+    def _same(self, found: np.ndarray, codes: np.ndarray, ends: np.ndarray, k: int) -> np.ndarray:
+        """`found` with -1 where the piece of the hash is not spelled as the k + 1 characters up to `ends`."""
+        hit = np.flatnonzero(found >= 0)
+        at, last = self.first[found[hit]], ends[hit]
+        alike = np.ones(len(hit), bool)
+        for i in range(k + 1):
+            alike &= self.letters[np.minimum(at + i, len(self.letters) - 1)] == codes[last - k + i]
+        found[hit[~alike]] = -1
+        return found
+
     def _learn(self, units: list[str]) -> None:
         """Forward filtering: the lattices of new units, all at once, position by position."""
         lengths = np.array([len(u) for u in units])
@@ -89,7 +102,7 @@ class Lattices:
         pieces, weights = np.zeros((len(codes), width), np.int32), np.zeros((len(codes), width))
         for k, h in enumerate(self._hashes(codes)):
             inside = np.flatnonzero(pos > k)
-            found = self.index.get_indexer(h[inside])
+            found = self._same(self.index.get_indexer(h[inside]), codes, inside, k)
             pieces[inside, k], weights[inside, k] = self.ids[found], self.scale[found]
         alone = weights[:, 0] == 0
         weights[alone, 0] = self.rare
@@ -111,7 +124,7 @@ class Lattices:
         used = weights > 0
         self.shares = np.concatenate([self.shares, np.cumsum(weights, axis=1)[used].astype(np.float32)])
         self.pieces = np.concatenate([self.pieces, pieces[used]])
-        self.spans = np.concatenate([self.spans, (np.nonzero(used)[1] + 1).astype(np.int8)])
+        self.spans = np.concatenate([self.spans, (np.nonzero(used)[1] + 1).astype(np.int16)])
         first = len(self.begins) - 1
         self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(used.sum(axis=1))])
         self.node = np.concatenate([self.node, first + np.cumsum(lengths) - lengths])
