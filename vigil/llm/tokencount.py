@@ -4,10 +4,14 @@ A long text is encoded in overlapping chunks with offsets. Two chunks are splice
 boundary is proven stable: after ASCII white space and before an ASCII letter or digit, no token,
 normalisation or pre-token of the vocabulary spans the place. The tokens between the first and the last
 such place of the overlap must agree in id and offset, else the overlap is widened.
+
+This holds for vocabularies that cut at white space and drop it, which is read from the file
+(`cuts_at_space`). Texts of any other vocabulary are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from bisect import bisect_right
@@ -39,6 +43,35 @@ def tokenizer(path: str):
     return found
 
 
+#: Parts of a tokenizer that change characters one by one or with those that combine with them, or white space to white space.
+LOCAL_NORMALISERS = frozenset(["NFC", "NFD", "NFKC", "NFKD", "Lowercase"])
+
+
+@lru_cache(maxsize=4)
+def cuts_at_space(path: str) -> bool:
+    """Whether the vocabulary in `path` never joins what white space parts: normalised character by character, cut by a pattern that leaves white space out, joined by byte pairs."""
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+
+    def flat(part: dict | None, key: str) -> list[dict]:
+        return [] if part is None else [y for x in part[key] for y in flat(x, key)] if part["type"] == "Sequence" else [part]
+
+    for n in flat(made.get("normalizer"), "normalizers"):
+        spaces = n["type"] == "Replace" and n["pattern"].get("Regex") == r"\s+" and n["content"] == " "
+        if n["type"] not in LOCAL_NORMALISERS and not spaces:
+            return False
+    cuts = flat(made.get("pre_tokenizer"), "pretokenizers")
+    drops = any(p["type"] in ("WhitespaceSplit", "Whitespace", "BertPreTokenizer") or p["type"] == "Split" and p.get("invert") and p["behavior"] == "Removed" and _spaceless(p["pattern"].get("Regex", "")) for p in cuts)
+    added = [t["content"] for t in made.get("added_tokens", [])]
+    return made["model"]["type"] == "BPE" and drops and not any(re.search(r"\s", t) for t in added)
+
+
+def _spaceless(pattern: str) -> bool:
+    """Whether no match of the pattern has white space in it, by its parts: literals, classes of letters, digits and what is neither."""
+    rest = re.sub(r"\[\^[^\]]*\\s[^\]]*\]|\[(?:\\p\{[LN]\}|\\p[LN])+\]", "", pattern)
+    return not re.search(r"\s|\\s|\.|\\[SDWP]|\[\^", rest)
+
+
 @lru_cache(maxsize=4)
 def remembered(path: str) -> dict[str, int]:
     """The counts of pieces that this Python worker has encoded, over all its tasks."""
@@ -101,12 +134,16 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """`doc_id`, `n_bytes`, `n_tokens` of every row; null text counts as empty.
 
     Texts of up to `chunk` characters are counted by `count_short`, longer ones by `encode_long`. Rows are
-    independent, so repeated rows, ties and null ids need no care.
+    independent, so repeated rows, ties and null ids need no care; an empty table gives an empty result.
     """
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         tok, known = tokenizer(path), remembered(path)
+        if not cuts_at_space(path):
+            for texts in batches:
+                yield pd.Series([len(tok.encode(t, add_special_tokens=False)) for t in texts], dtype="int64")
+            return
         for texts in batches:
             yield pd.Series([len(encode_long(tok, t, chunk, overlap)) if len(t) > chunk else count_short(tok, t, known) for t in texts], dtype="int64")
 
