@@ -36,3 +36,34 @@ def test_pipeline_links_what_five_word_similarity_links(spark):
     kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()}
     assert kept == {i for i in range(len(rows)) if find(i) == i}
     assert corpus_pipeline.distinct_documents(spark, docs.limit(0), "").count() == 0
+
+
+def test_a_large_group_around_one_text(spark):
+    """Copies of one text that are not near each other, and rows that repeat; every comparison spared must be one that can't matter."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(300)]
+
+    def edited(share):
+        x = list(base)
+        for i in rng.sample(range(len(x)), int(share * len(x))):
+            x[i] = word()
+        return " ".join(x)
+
+    rows = [(i, edited(rng.choice([0.01, 0.02, 0.03, 0.05]))) for i in range(1, 150)] + [(200, " ".join(base))]
+    rows += [(201, rows[0][1]), (201, rows[0][1]), (202, "one text\nof two lines"), (202, "one text\nof two lines"), (None, "x y"), (None, "x y")]
+    sets = {i: set(zip(*[t.split()[k:] for k in range(5)], strict=False)) for i, t in rows if i is not None}
+    ids, parent = sorted(sets), {i: i for i in sets}
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, j in combinations(ids, 2):
+        if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            x, y = sorted((find(i), find(j)))
+            parent[y] = x
+    frame = spark.createDataFrame([(*r, "en", "src0", 0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in corpus_pipeline.distinct_documents(spark, frame, "").collect()]
+    assert sorted(i for i in got if i is not None) == [i for i in ids if find(i) == i] and got.count(None) == 2

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, stored
+from .shared import discard, skew_join, stored
 from .simhash import covering_masks
 
 EDITS, MIN_CHARS = 2, 20
@@ -155,13 +155,15 @@ def _dealt(rows: DataFrame, hot: DataFrame, edits: int) -> DataFrame:
 
 def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> DataFrame:
     """`a`, `b`: the pairs of different lines (hashes) that share a segment and have sketches that edits could explain."""
-    index = stored(segment_keys(docs, text_col, edits, min_chars, index=True).distinct(), "index")
-    hot = stored(index.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENT).select("k"), "hot")
+    own = stored(segment_keys(docs, text_col, edits, min_chars, index=True).distinct(), "index")
+    hot = stored(own.groupBy("k").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_SEGMENT).select("k"), "hot")
     probe = _dealt(segment_keys(docs, text_col, edits, min_chars, index=False), hot, edits)
-    index = _dealt(index, hot, edits).toDF("other_k", "other", "other_sketch")
+    index = _dealt(own, hot, edits).toDF("other_k", "other", "other_sketch")
     alike = F.bit_count(F.col("sketch").bitwiseXOR(F.col("other_sketch"))) <= 2 * edits
     met = probe.join(index, (F.col("k") == F.col("other_k")) & (F.col("line") != F.col("other")) & alike)
-    return stored(met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "pairs")
+    pairs = stored(met.select(F.least("line", "other").alias("a"), F.greatest("line", "other").alias("b")).distinct(), "pairs")
+    discard(own, hot)
+    return pairs
 
 
 def first_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -171,7 +173,9 @@ def first_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: st
     texts = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines")).join(by_doc, "doc")
     texts = texts.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).select("doc", "lines", "hashes", F.explode("all").alias("e"))
     texts = texts.withColumn("no", F.array_position("hashes", F.col("e.h"))).filter("no > 0").select("e.*", "doc", "no", F.get("lines", (F.col("no") - 1).cast("int")).alias("t"))
-    return stored(texts.filter(F.xxhash64(F.lit(1), "t") == F.col("h2")).dropDuplicates(["h", "h2"]), "texts")
+    out = stored(texts.filter(F.xxhash64(F.lit(1), "t") == F.col("h2")).dropDuplicates(["h", "h2"]), "texts")
+    discard(by_doc)
+    return out
 
 
 def near_lines(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, edits: int, min_chars: int) -> DataFrame:
@@ -186,7 +190,9 @@ def near_lines(docs: DataFrame, known: DataFrame, id_col: str, text_col: str, ed
     side = lambda n: texts.select(F.col("h").alias(n), F.struct("doc", "no", "h", "h2", "n", "size").alias(f"{n}_at"), F.col("t").alias(f"{n}_t"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").filter(close("a_t", "b_t"))
     found = found.select(F.greatest("a_at", "b_at").alias("x"), F.least("a_at", "b_at").alias("of")).select("x.h", "x.h2", "x.n", F.col("of.doc").alias("of"), F.col("of.size").alias("of_size"))
-    return found.groupBy("h", "h2").agg(F.max("n").alias("n"), F.min("of").alias("first"), F.min_by("of_size", "of").alias("size"))
+    near = stored(found.groupBy("h", "h2").agg(F.max("n").alias("n"), F.min("of").alias("first"), F.min_by("of_size", "of").alias("size")), "near")
+    discard(pairs, texts)
+    return near
 
 
 def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", spare_copies: bool = False) -> DataFrame:
@@ -208,9 +214,11 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
     near = near_lines(docs.filter(F.col(id_col).isNotNull()), known, id_col, text_col, edits, min_chars)
     exact = known.filter("doc <> last").select("h", "h2", "n", F.col("doc").alias("first"), "size", F.lit(True).alias("first_stays"))
     verdicts = stored(exact.unionByName(near.withColumn("first_stays", F.lit(False))), "verdicts")
+    discard(known, near)
     gone = skew_join(lines.select("doc", "h", "h2"), verdicts, ["h", "h2"], lines.count()).filter("not first_stays or doc <> first")
     entry = F.struct("h", F.xxhash64("first").alias("first"), "size") if spare_copies else F.struct("h")
     per_doc = stored(gone.groupBy("doc").agg(F.collect_set(entry).alias("gone")), "gone")
+    discard(lines, verdicts)
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def rewritten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:

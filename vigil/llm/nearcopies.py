@@ -8,9 +8,10 @@ such pairs meet in bands of min-hashes of the shingles, of which at a similarity
 Every link is then decided by the similarity of the whole texts. Texts of the same words are grouped before.
 
 The documents of a bucket are compared with its smallest. Those that this leaves in another component are
-compared with the bucket's other documents outside their own component, but for those whose distances from
-the smallest differ by more than near copies' can (the Jaccard distance is a metric). So no link between
-components that meet is lost, and a large group of near copies costs one comparison a document.
+compared with the bucket's other documents outside their own component, but for pairs that can't be near:
+their distances from the smallest differ by more than near copies' can (the Jaccard distance is a metric), or
+they have too many shingles that no other of these documents has. So no link between components that meet is
+lost, and a large group of near copies costs about one comparison a document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, stored
+from .shared import discard, skew_join, stored
 from .simhash import _signed, components, covering_masks, word_fingerprints
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -103,21 +104,36 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     left = text("a").join(deals.select("a", "deal"), "a")
     met = dealt.join(text("b"), "b").join(left.hint("merge"), ["a", "deal"])
-    return stored(met.select("a", "b", alike("a_text", "b_text").alias("s")), "compared")
+    out = stored(met.select("a", "b", alike("a_text", "b_text").alias("s")), "compared")
+    discard(pairs, deals)
+    return out
+
+
+def unshared(texts: DataFrame) -> DataFrame:
+    """`doc_id`, `own`: how many of a text's shingles no other of these texts has; texts without any are left out."""
+
+    @F.pandas_udf("array<long>")
+    def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for some in batches:
+            yield pd.Series([shingles(t).view(np.int64) for t in some], dtype=object)
+
+    each = texts.select("doc_id", F.explode(hashes("text")).alias("h"))
+    alone = each.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1")
+    return alone.groupBy("doc_id").agg(F.count("*").alias("own"))
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """`doc_id`, `group_id` (the smallest id of its group) of the documents that have a near copy with a smaller id; `doc_id`, `words` of all.
+    """`doc_id`, `group_id` (the smallest id of its group) of the documents that have a near copy with a smaller id; and `doc_id` and more of all.
 
     Null and blank texts are copies of each other. Rows with a null id take no part.
     """
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
-    @F.pandas_udf("words binary, fps array<long>, bands array<long>")
+    @F.pandas_udf("words binary, size int, fps array<long>, bands array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            split = [words_of(t) for t in texts]
-            yield pd.DataFrame({"words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "fps": [word_fingerprints(w, FAMILIES) for w in split], "bands": [bands(shingles(t)) for t in texts]})
+            split, sets = [words_of(t) for t in texts], [shingles(t) for t in texts]
+            yield pd.DataFrame({"size": [len(x) for x in sets], "words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "fps": [word_fingerprints(w, FAMILIES) for w in split], "bands": [bands(x) for x in sets]})
 
     prints = stored(docs.select("doc_id", hashed("text").alias("h")).select("doc_id", "h.*"), "prints")
     same = stored(prints.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "same")
@@ -131,20 +147,31 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last"), F.count("*").alias("n")).filter("a <> last")
     buckets = stored(buckets.select("key", "a", "n"), "buckets")
     met = stored(skew_join(keyed, buckets, ["key"], same.count() * (FAMILIES * len(keys) + BANDS)).select("key", "a", "doc_id"), "met")
-    inside = stored(prints.join(docs.join(met.select("doc_id").distinct(), "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("fps").alias("fps")), "texts")
+    discard(only, buckets, same)
+    wanted = docs.join(met.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    inside = stored(wanted.join(prints.select("doc_id", "size", "fps").dropDuplicates(["doc_id"]), "doc_id"), "texts")
     first = compared(met.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), inside)
     near = lambda found: found.filter(F.col("s") >= SIMILARITY).select("a", "b")
-    parts = stored(components(near(first)), "parts")
+    parts = components(near(first))
     root = lambda n: parts.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
     placed = met.join(root("doc_id"), "doc_id", "left").join(root("a"), "a", "left").withColumns({"doc_id_root": F.coalesce("doc_id_root", "doc_id"), "a_root": F.coalesce("a_root", "a")})
     placed = placed.join(first.withColumnRenamed("b", "doc_id"), ["a", "doc_id"], "left").withColumn("s", F.when(F.col("doc_id") == F.col("a"), 1.0).otherwise(F.col("s")))
-    placed = stored(placed.select("key", "doc_id", "s", F.col("doc_id_root").alias("root"), (F.col("doc_id_root") != F.col("a_root")).alias("apart")), "placed")
-    apart = placed.filter("apart").select("key", F.col("doc_id").alias("c"), F.col("s").alias("c_s"), F.col("root").alias("c_root"))
-    could = F.coalesce(F.abs(F.col("s") - F.col("c_s")) <= 1 - SIMILARITY + 1e-9, F.lit(True))
-    rest = apart.join(placed, "key").filter((F.col("c_root") != F.col("root")) & could).select(F.least("c", "doc_id").alias("a"), F.greatest("c", "doc_id").alias("b")).distinct()
-    rest = compared(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), inside)
-    edges = parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(near(rest)).unionByName(copies)
-    return components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")).filter("doc_id <> group_id"), prints.select("doc_id", "words")
+    placed = placed.withColumn("apart", F.col("doc_id_root") != F.col("a_root")).select("key", "doc_id", "s", F.col("doc_id_root").alias("root"), "apart")
+    open_keys = placed.filter("apart").select("key").distinct()
+    placed = stored(placed.join(open_keys, "key", "left_semi"), "placed")
+    discard(met)
+    some = inside.join(placed.select("doc_id").distinct(), "doc_id")
+    shares = stored(some.select("doc_id", "size").join(unshared(some), "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "shares")
+    placed_ = placed.join(shares, "doc_id")
+    apart = placed_.filter("apart").select("key", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "s", "root", "size", "shared")])
+    most = F.least("shared", "c_shared")  # no more shingles are in both
+    could = F.coalesce(F.abs(F.col("s") - F.col("c_s")) <= 1 - SIMILARITY + 1e-9, F.lit(True)) & (most >= (F.col("size") + F.col("c_size") - most) * SIMILARITY - 1e-6)
+    rest = apart.join(placed_, "key").filter((F.col("c_root") != F.col("root")) & could).select(F.least("c_doc_id", "doc_id").alias("a"), F.greatest("c_doc_id", "doc_id").alias("b")).distinct()
+    second = compared(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), inside)
+    edges = parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(near(second)).unionByName(copies)
+    roots = components(edges)
+    discard(inside, first, parts, placed, shares, second, copies)
+    return roots.filter("node <> root").select(F.col("node").alias("doc_id"), F.col("root").alias("group_id")), prints
 
 
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -156,6 +183,7 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found, prints = groups(docs, id_col, text_col)
     gone = stored(found.select(F.col("doc_id").alias("gone")).distinct(), "gone")
     twice = stored(prints.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice")), "twice")
+    discard(prints)
     kept = docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
     once = kept.join(twice, F.col(id_col) == F.col("twice"), "left_anti")
     return once.unionByName(kept.join(twice, F.col(id_col) == F.col("twice"), "left_semi").dropDuplicates([id_col, text_col]))

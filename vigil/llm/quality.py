@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, stored, words
+from .shared import discard, skew_join, stored, words
 
 #: Labels beyond so many are thinned to about so many, by a hash of the document's id, to fit the classifier.
 MAX_LABELLED = 4_000
@@ -79,8 +79,10 @@ def trained(table: DataFrame, labels: DataFrame, label_col: str = "quality") ->
     rows = some.drop("classes").distinct().toPandas().sort_values([*key, "y"], ignore_index=True)
     y = rows["y"].to_numpy(float)
     if len(set(y)) < 2:
+        discard(some)
         return np.zeros(len(FEATURES) + HASHED + 1)
     counts = some.select(*key, F.explode("classes").alias("c")).groupBy(*key, "c").agg(F.count("*").alias("n")).toPandas()
+    discard(some)
     counts = rows[key].reset_index(names="row").merge(counts, on=key)
     shares = np.zeros((len(rows), HASHED))
     shares[counts["row"], counts["c"]] = counts["n"]
@@ -125,6 +127,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     z = z + F.aggregate("classes", F.lit(0.0), lambda total, c: total + F.get(by_class, c.cast("int"))) / F.greatest(F.size("classes"), F.lit(1))
     p = F.round(1 / (1 + F.exp(-z)) * UNIT).cast("long")
     scored = stored(table.select("doc_id", *SITE, "text_hash", p.alias("p")), "scores")
+    discard(table)
     paths = stored(scored.groupBy(*SITE).agg(F.count("*").alias("n"), F.sum("p").alias("p")), "sites")
     hosts = paths.groupBy("host").agg(F.sum("n").alias("host_n"), F.sum("p").alias("host_p"))
     n, total = paths.agg(F.sum("n"), F.sum("p")).first()
@@ -135,6 +138,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     joined = paths.join(hosts, "host")
     path_pull = strength(*_spread(joined, rate, shrunk(F.lit(mean), host_pull, F.col("host_p"), F.col("host_n"))), mean)
     sites = stored(joined.select(*SITE, F.col("n").alias("path_n"), F.col("p").alias("path_p"), "host_n", "host_p"), "rates")
+    discard(paths)
     found = skew_join(scored, sites, SITE, int(n or 0), "path_n")
     host_rate = shrunk(F.lit(mean), host_pull, F.col("host_p") - F.col("p"), F.col("host_n") - 1)
     found = found.withColumn("site_score", shrunk(host_rate, path_pull, F.col("path_p") - F.col("p"), F.col("path_n") - 1))

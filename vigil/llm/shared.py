@@ -50,7 +50,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/vigil-{name}-{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_in = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `stored` wrote, once what was made of them is stored itself."""
+    for table in tables:
+        delete(table.sparkSession, table._stored_in)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Keys with more than this part of all rows pass by broadcast; there are fewer than so many, whatever the size.

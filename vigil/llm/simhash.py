@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import skew_join, stored
+from .shared import discard, skew_join, stored
 
 BITS = 64
 #: Buckets up to this size are compared pair by pair, larger ones through shared neighbours.
@@ -126,7 +126,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """`node`, `root` (the smallest node it reaches) of every node that has an edge `a`, `b`.
 
     Alternates large-star and small-star steps until the edges no longer change. Each step is written
-    to the shared folder.
+    to the shared folder, as is the result.
     """
     edges, before = stored(edges.filter("a <> b"), "edges"), None
     for _ in range(rounds):
@@ -136,14 +136,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").distinct()
         below = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(below, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = stored(small.unionByName(below.withColumnRenamed("m", "b")).distinct(), "edges")
+        last, edges = edges, stored(small.unionByName(below.withColumnRenamed("m", "b")).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    out = stored(edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node"), "roots")
+    discard(edges)
+    return out
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,4 +162,5 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, id_col:
     rooted = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     of_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = stored(rooted.join(of_root, "root").select("fp", "n", "component_id"), "classes")
+    discard(distinct, linked)
     return skew_join(prints, classes, ["fp"], prints.count()).select("doc_id", "fp", "component_id")

@@ -40,7 +40,7 @@ from pyspark.sql.datasource import (
 )
 from pyspark.sql.types import StructType
 
-from .shared import shared_dir, skew_join, stored
+from .shared import discard, shared_dir, skew_join, stored
 
 SCHEMA = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary"
 PARTITION_BYTES = 64 << 20
@@ -370,8 +370,10 @@ def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = rows.withColumns({"sha": F.unhex(F.sha1("payload")), "size": F.octet_length("payload")})
     prints = stored(rows.select("page_id", "sha", "size"), "payloads")
     same = prints.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null")
-    again = skew_join(prints, stored(same, "same"), ["sha", "size"], prints.count()).filter("page_id > first")
+    same = stored(same, "same")
+    again = skew_join(prints, same, ["sha", "size"], prints.count()).filter("page_id > first")
     again = stored(again.select("page_id", "sha", "size", "first").distinct(), "revisits")
+    discard(prints, same)
     found = rows.join(again, ["page_id", "sha", "size"], "left")
     return found.select("page_id", "url", F.when(F.col("first").isNull(), "response").otherwise("revisit").alias("record_type"), F.col("first").alias("refers_to"), "payload")
 
