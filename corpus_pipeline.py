@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import lines, mixing, nearcopies, pieces, quality
 from vigil.llm.queries import MIXTURE, SEED, table
-from vigil.llm.shared import shared_dir, shipped
+from vigil.llm.shared import delete, shared_dir, shipped
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -63,12 +63,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents, each written to the shared folder and read by the next, whose own writing frees it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = f"{shared_dir(spark)}/pipeline-{i}-{uuid.uuid4()}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                delete(spark, before)
+            before = path
     return docs
