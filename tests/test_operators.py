@@ -104,6 +104,12 @@ def test_page_summaries(spark):
     assert [(r.description, r.success) for r in got] == [("A long enough description", True), ("Head line - First para", True), (None, False)]
 
 
+def test_articles_of_pages(spark):
+    html = ["<title>T</title><body><div class='x post-content y'>Text <script>no</script>here &amp; there</div>rest</body>", "<main><nav>menu</nav>In main</main><article>  </article>", "<body><p>Only</p> body<footer>f</footer></body>", None, "bare"]
+    got = pages.articles(spark.createDataFrame(list(enumerate(html)), "page_id int, html string")).orderBy("page_id").collect()
+    assert [r.content for r in got] == ["Text here & there", "In main", "Only body", "", "bare"] and got[0].title == "T"
+
+
 @pytest.fixture(scope="module")
 def events(spark):
     return threat_event.threat_events(spark, "/root/testdata/sf0.001")

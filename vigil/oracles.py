@@ -230,10 +230,15 @@ def joined_document(head: list[str], foot: str) -> str:
 union all select {FILE_ORDER}, case when {FILE_ORDER} > 1 then ',' else '' end || {JSON_LINE} from te union all select 4611686018427387904, ']' union all select 4611686018427387905, '}}'"""
 
 
-def plain(x: str) -> str:
-    """A text of a page without its tags, references decoded, white space collapsed, at most 500 characters."""
+def unescaped(x: str) -> str:
     for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "''"), ("apos", "''"), ("nbsp", " "), ("amp", "&")):
         x = f"replace({x}, '&{name};', '{char}')"
+    return x
+
+
+def plain(x: str) -> str:
+    """A text of a page without its tags, references decoded, white space collapsed, at most 500 characters."""
+    x = unescaped(x)
     flat = f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
     return f"case when len({flat}) > 500 then regexp_replace(substr({flat}, 1, 500), ' [^ ]*$', '') || '...' else {flat} end"
 
@@ -391,6 +396,8 @@ select ioc_type || '-0' as part, case ioc_type when 'ip' then '# IP Addresses ('
     "url_master": f"with {TE} select reference as url, case when max(event_id) % 2 = 0 then 'class 1' else 'class 0' end as class from te group by reference",
 }
 TERM_LIST = [*dims.TERMS, "Zero Day"]
+ORACLES["page_articles"] = f"""with p as (select page_id, substr(coalesce({element('title')}, ''), 1, 200) as title, regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) as a from pages),
+t as (select page_id, title, trim(regexp_replace(regexp_replace(regexp_replace(a, '(?is){MUTED}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from p) select page_id, title, substr({unescaped('t')}, 1, 1000) as content from t"""
 ORACLES["shown_labels"] = f"""with {TE}, x as (select *, ({q(TERM_LIST)})[event_id % {len(TERM_LIST)} + 1] as term, substr(description, 1, (event_id % 12)::int) as t from te)
 select event_id, array_to_string(list_transform(string_split(term, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as label, coalesce({found(dims.TERMS, 'lower(term)')}, upper(term)) as thai, case when len(trim(t)) >= 5 then t end as prepared from x"""
 ORACLES["suricata_document"] = f"with r as ({ORACLES['export_suricata']}) select -2::bigint as no, '# Suricata Rules Export' as line union all select -1, '# Total Rules: ' || count(*) from r union all select 0, '' union all select sid - 8999999, rule from r"

@@ -266,6 +266,11 @@ def page_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
+@query
+def page_articles(spark, sf_dir):
+    return pages.articles(table(spark, sf_dir, "pages"))
+
+
 # Search
 
 
