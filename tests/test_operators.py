@@ -144,6 +144,8 @@ def test_pipeline_runs_once_over_each_event(spark, events, tmp_path):
 
 
 def test_analyzed_verdicts(spark):
-    rows = spark.createDataFrame([('{"riskScore": 140, "severity": "HIGH"}',), ("{}",)], "j string")
-    got = [r.verdict for r in scoring.analyzed(rows, "j").collect()]
-    assert (got[0].score, got[0].severity, got[1].score, got[1].severity) == (100.0, "high", 0.0, "clean")
+    rows = spark.createDataFrame([(1, '{"aiScore": 140, "severity": " HIGH", "confidence": -5, "threatCategory": "", "recommendedActions": ["block"]}'), (2, "{}"), (3, "no json"), (4, None)], "i int, j string")
+    got = {r.i: r.verdict for r in scoring.analyzed(rows, "j").collect()}
+    assert (got[1].score, got[1].severity, got[1].confidence, got[1].category, got[1].actions) == (100.0, "high", 0.0, "other", ["block"])
+    assert (got[2].score, got[2].severity, got[2].confidence, got[2].actors, got[2].summary) == (0.0, "clean", 50.0, [], "")
+    assert got[3] is None and got[4] is None

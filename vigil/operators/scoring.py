@@ -192,11 +192,18 @@ def classify_activity(rows: DataFrame, index_col: str = "source_index", activity
 
 
 def analyzed(rows: DataFrame, json_col: str) -> DataFrame:
-    """Post-processing of a language model's JSON verdict: `verdict` with clamped score and known severity; null where it isn't JSON."""
-    raw = F.from_json(F.col(json_col), "riskScore double, severity string, summary string, recommendations array<string>")
-    score = F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(raw["riskScore"], F.lit(0.0))))
-    verdict = F.struct(score.alias("score"), T.severity_analyzed(raw["severity"]).alias("severity"), F.coalesce(raw["summary"], F.lit("")).alias("summary"), F.coalesce(raw["recommendations"], T.literals([])).alias("recommendations"))
-    return rows.withColumn("verdict", F.when(raw.isNotNull(), verdict))
+    """Post-processing of a language model's JSON analysis: `verdict` with clamped numbers, a known severity and defaults; null where it isn't JSON.
+
+    A confidence that is missing or 0 counts as 50.
+    """
+    raw = F.from_json(F.col(json_col), "severity string, confidence double, threatActors array<string>, mitreTechniques array<string>, threatCategory string, summary string, recommendedActions array<string>, aiScore double")
+    clamped = lambda x, default: F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.coalesce(F.nullif(x, F.lit(0.0)), F.lit(default))))
+    verdict = F.struct(
+        T.severity_analyzed(raw["severity"]).alias("severity"), clamped(raw["confidence"], 50.0).alias("confidence"), F.coalesce(raw["threatActors"], T.literals([])).alias("actors"),
+        F.coalesce(raw["mitreTechniques"], T.literals([])).alias("techniques"), F.coalesce(F.nullif(raw["threatCategory"], F.lit("")), F.lit("other")).alias("category"),
+        F.coalesce(raw["summary"], F.lit("")).alias("summary"), F.coalesce(raw["recommendedActions"], T.literals([])).alias("actions"), clamped(raw["aiScore"], 0.0).alias("score"),
+    )
+    return rows.withColumn("verdict", F.when(F.try_parse_json(F.col(json_col)).isNotNull(), verdict))
 
 
 def neural_classifier(predict, batch_size: int = 16):

@@ -398,6 +398,10 @@ select ioc_type || '-0' as part, case ioc_type when 'ip' then '# IP Addresses ('
 TERM_LIST = [*dims.TERMS, "Zero Day"]
 ORACLES["page_articles"] = f"""with p as (select page_id, substr(coalesce({element('title')}, ''), 1, 200) as title, regexp_extract(html, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) as a from pages),
 t as (select page_id, title, trim(regexp_replace(regexp_replace(regexp_replace(a, '(?is){MUTED}', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as t from p) select page_id, title, substr({unescaped('t')}, 1, 1000) as content from t"""
+ORACLES["analysis_verdicts"] = f"""with {TE}, x as (select *, event_id % 7 = 0 as none, confidence_raw * 2 - 50 as c from te)
+select event_id, case when not none then case lower(trim(severity_raw)) when 'high' then 'high' when 'medium' then 'medium' when 'low' then 'low' else 'clean' end end as severity,
+  case when not none then case when c = 0 then 50 else greatest(0, least(100, c)) end end::double as confidence, case when not none then len(actors) end as n_actors,
+  case when not none then case when event_id % 2 = 0 then 'phishing' else 'other' end end as category, case when not none then greatest(0, least(100, confidence_raw + 40)) end::double as score from x"""
 ORACLES["shown_labels"] = f"""with {TE}, x as (select *, ({q(TERM_LIST)})[event_id % {len(TERM_LIST)} + 1] as term, substr(description, 1, (event_id % 12)::int) as t from te)
 select event_id, array_to_string(list_transform(string_split(term, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') as label, coalesce({found(dims.TERMS, 'lower(term)')}, upper(term)) as thai, case when len(trim(t)) >= 5 then t end as prepared from x"""
 ORACLES["suricata_document"] = f"with r as ({ORACLES['export_suricata']}) select -2::bigint as no, '# Suricata Rules Export' as line union all select -1, '# Total Rules: ' || count(*) from r union all select 0, '' union all select sid - 8999999, rule from r"

@@ -145,6 +145,14 @@ def classify_activity(spark, sf_dir):
     return scoring.classify_activity(e).select("event_id", joined("rule_types"), "rule_confidence")
 
 
+@query
+def analysis_verdicts(spark, sf_dir):
+    """Analyses as a language model gives them, made from the events' own values."""
+    said = F.to_json(F.struct(F.col("severity_raw").alias("severity"), (F.col("confidence_raw") * 2 - 50).alias("confidence"), F.col("actors").alias("threatActors"), F.when(F.col("event_id") % 2 == 0, "phishing").alias("threatCategory"), (F.col("confidence_raw") + 40).alias("aiScore")))
+    e = scoring.analyzed(events(spark, sf_dir).withColumn("said", F.when(F.col("event_id") % 7 == 0, "no answer").otherwise(said)), "said")
+    return e.select("event_id", "verdict.severity", "verdict.confidence", F.size("verdict.actors").alias("n_actors"), "verdict.category", "verdict.score")
+
+
 # Sectors
 
 
