@@ -25,16 +25,18 @@ def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) ->
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_trigger)
     folder, _, name = path.rstrip("/").rpartition("/")
-    if any(f.rstrip("/").rpartition("/")[2] == name for f in table.inputFiles()):  # one file of that name
+    first = table.select("_metadata.file_name").first()
+    if first is not None and first.file_name == name:  # one file, not a folder of others
         return reader.option("pathGlobFilter", name).parquet(folder)
     return reader.parquet(path)
 
 
 def score_stream(stream: DataFrame, warehouse: str, checkpoint: str, as_of: str):
-    """Scores each batch once and upserts it by key; a batch that is repeated after a failure changes nothing."""
+    """Scores each batch once and upserts it by key; a batch that is repeated after a failure changes nothing. Rows that can't be scored go to `warehouse`/failed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, _ = pipeline.split_failures(project(dealt(batch)))
+        good, bad = pipeline.split_failures(project(dealt(batch)))
+        bad.write.mode("overwrite").parquet(f"{warehouse}/failed/batch={batch_id}")
         pipeline.upsert(warehouse, pipeline.warehouse_rows(good, as_of), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
