@@ -170,7 +170,8 @@ def first_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: st
     """`h`, `h2`, `doc`, `size`, `n`, `no`, `t` of each line whose hash is in `wanted`, from the first document that has it."""
     places = known.join(wanted, "h").select("doc", "h", "h2", "size", "n")
     by_doc = stored(places.groupBy("doc").agg(F.collect_list(F.struct("h", "h2", "size", "n")).alias("all")), "wanted")
-    texts = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines")).join(by_doc, "doc")
+    # whole texts are dealt by document at every size, as they must be at the largest
+    texts = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines")).join(by_doc.hint("merge"), "doc")
     texts = texts.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).select("doc", "lines", "hashes", F.explode("all").alias("e"))
     texts = texts.withColumn("no", F.array_position("hashes", F.col("e.h"))).filter("no > 0").select("e.*", "doc", "no", F.get("lines", (F.col("no") - 1).cast("int")).alias("t"))
     out = stored(texts.filter(F.xxhash64(F.lit(1), "t") == F.col("h2")).dropDuplicates(["h", "h2"]), "texts")

@@ -148,7 +148,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     buckets = stored(buckets.select("key", "a", "n"), "buckets")
     met = stored(skew_join(keyed, buckets, ["key"], same.count() * (FAMILIES * len(keys) + BANDS)).select("key", "a", "doc_id"), "met")
     discard(only, buckets, same)
-    wanted = docs.join(met.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # whole texts are dealt by document at every size, as they must be at the largest
+    wanted = docs.join(met.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     inside = stored(wanted.join(prints.select("doc_id", "size", "fps").dropDuplicates(["doc_id"]), "doc_id"), "texts")
     first = compared(met.filter("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct(), inside)
     near = lambda found: found.filter(F.col("s") >= SIMILARITY).select("a", "b")
