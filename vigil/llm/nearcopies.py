@@ -10,8 +10,8 @@ Every link is then decided by the similarity of the whole texts. Texts of the sa
 The documents of a bucket are compared with its smallest. Those that this leaves in another component are
 compared with the bucket's other documents outside their own component, but for pairs that can't be near:
 their distances from the smallest differ by more than near copies' can (the Jaccard distance is a metric), or
-they have too many shingles that no other of these documents has. So no link between components that meet is
-lost, and a large group of near copies costs about one comparison a document.
+they have too many shingles that no other of these documents has, or their similarity as 512 min-hashes
+estimate it is four deviations below. So a large group of near copies costs about one comparison a document.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, skew_join, stored
@@ -35,6 +35,9 @@ BANDS, ROWS = 16, 8
 BLOCK = 4096
 #: Candidates whose fingerprints differ in more than this share of all their bits only met by chance: their words are too different.
 MOST_BITS = 0.3
+#: Min-hashes of which four bits estimate a similarity before texts are compared: a near pair is judged by its texts but for 3 in 100,000.
+SIGNS = 512
+MOST_SIGNS = round(SIGNS * 15 / 16 * (1 - SIMILARITY + 4 * (SIMILARITY * (1 - SIMILARITY) / SIGNS) ** 0.5))
 #: Comparisons of one document that share a task; more are dealt to copies of it.
 DEALT = 64
 
@@ -64,23 +67,46 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-@lru_cache(maxsize=1)
-def factors() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20)
+@lru_cache(maxsize=2)
+def factors(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(n)
     top = 2**32
-    return rng.integers(0, top, BANDS * ROWS, np.uint64) | np.uint64(1), rng.integers(0, top, BANDS * ROWS, np.uint64)
+    return rng.integers(0, top, n, np.uint64) | np.uint64(1), rng.integers(0, top, n, np.uint64)
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One signed hash for each band of min-hashes; none without shingles."""
-    if not len(hashes):
-        return np.array([], np.int64)
-    times, plus = (x.astype(np.uint32)[:, None] for x in factors())
-    least = np.full(BANDS * ROWS, 2**32 - 1, np.uint32)
+def min_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    times, plus = (x.astype(np.uint32)[:, None] for x in factors(n))
+    least = np.full(n, 2**32 - 1, np.uint32)
     for at in range(0, len(hashes), BLOCK):
         some = hashes[at : at + BLOCK]
         low, high = some.astype(np.uint32), (some >> np.uint64(32)).astype(np.uint32)
         np.minimum(least, ((low[None] ^ plus) * times + high[None]).min(axis=1), out=least)
+    return least
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """Four bits of each of SIGNS min-hashes, sixteen to a signed long."""
+    nibbles = (min_hashes(hashes, SIGNS) & 15).astype(np.uint64).reshape(-1, 16) << np.arange(0, 64, 4, dtype=np.uint64)
+    return nibbles.sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
+def differing(a: str, b: str) -> Column:
+    """How many signs differ."""
+    ones = F.lit(0x1111111111111111)
+
+    def nibbles(x: Column, y: Column) -> Column:
+        t = x.bitwiseXOR(y)
+        t = t.bitwiseOR(F.shiftrightunsigned(t, 1))
+        return F.bit_count(t.bitwiseOR(F.shiftrightunsigned(t, 2)).bitwiseAND(ones))
+
+    return F.aggregate(F.zip_with(a, b, nibbles), F.lit(0), lambda n, x: n + x)
+
+
+def bands(hashes: np.ndarray) -> np.ndarray:
+    """One signed hash for each band of min-hashes; none without shingles."""
+    if not len(hashes):
+        return np.array([], np.int64)
+    least = min_hashes(hashes, BANDS * ROWS)
     keys = [xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))]
     return np.array(keys, np.uint64).view(np.int64)
 
@@ -89,8 +115,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """`a`, `b`, `s` (the similarity) of each pair of ids in `pairs` whose fingerprints don't rule it out; `texts` has `doc_id`, `text`, `fps`."""
     fps = texts.select("doc_id", "fps")
     side = lambda n: fps.withColumnsRenamed({"doc_id": n, "fps": f"{n}_fps"})
-    differing = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(differing <= MOST_BITS * 64 * FAMILIES).select("a", "b"), "candidates")
+    apart = F.aggregate(F.zip_with("a_fps", "b_fps", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    pairs = stored(pairs.join(side("a"), "a").join(side("b"), "b").filter(apart <= MOST_BITS * 64 * FAMILIES).select("a", "b"), "candidates")
     parts = F.floor(F.col("n") / DEALT).cast("int")
     deals = stored(pairs.groupBy("a").agg(F.count("*").alias("n")).select("a", "n", F.explode(F.sequence(F.lit(0), parts)).alias("deal"), (parts + 1).alias("deals")), "deals")
     dealt = pairs.join(deals.filter("deal = 0").select("a", "deals"), "a").withColumn("deal", F.pmod(F.xxhash64("b"), F.col("deals")).cast("int")).select("a", "b", "deal")
@@ -162,11 +188,19 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     placed = stored(placed.join(open_keys, "key", "left_semi"), "placed")
     discard(met)
     some = inside.join(placed.select("doc_id").distinct(), "doc_id")
-    shares = stored(some.select("doc_id", "size").join(unshared(some), "doc_id", "left").select("doc_id", "size", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "shares")
+
+    @F.pandas_udf("array<long>")
+    def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([signature(shingles(t)) for t in texts], dtype=object)
+
+    known = some.select("doc_id", "size", signed("text").alias("signs")).join(unshared(some), "doc_id", "left")
+    shares = stored(known.select("doc_id", "size", "signs", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "shares")
     placed_ = placed.join(shares, "doc_id")
-    apart = placed_.filter("apart").select("key", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "s", "root", "size", "shared")])
+    apart = placed_.filter("apart").select("key", *[F.col(c).alias(f"c_{c}") for c in ("doc_id", "s", "root", "size", "shared", "signs")])
     most = F.least("shared", "c_shared")  # no more shingles are in both
     could = F.coalesce(F.abs(F.col("s") - F.col("c_s")) <= 1 - SIMILARITY + 1e-9, F.lit(True)) & (most >= (F.col("size") + F.col("c_size") - most) * SIMILARITY - 1e-6)
+    could = could & (differing("signs", "c_signs") <= MOST_SIGNS)
     rest = apart.join(placed_, "key").filter((F.col("c_root") != F.col("root")) & could).select(F.least("c_doc_id", "doc_id").alias("a"), F.greatest("c_doc_id", "doc_id").alias("b")).distinct()
     second = compared(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"), inside)
     edges = parts.select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(near(second)).unionByName(copies)
