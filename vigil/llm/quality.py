@@ -76,12 +76,12 @@ def trained(table: DataFrame, labels: DataFrame, label_col: str = "quality") ->
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     key = ["doc_id", "text_hash"]
     some = stored(table.join(known, "doc_id").select(*key, *FEATURES, "classes", "y"), "labelled")
-    rows = some.drop("classes").distinct().toPandas().sort_values([*key, "y"], ignore_index=True)
+    rows = some.drop("classes").distinct().toArrow().to_pandas().sort_values([*key, "y"], ignore_index=True)
     y = rows["y"].to_numpy(float)
     if len(set(y)) < 2:
         discard(some)
         return np.zeros(len(FEATURES) + HASHED + 1)
-    counts = some.select(*key, F.explode("classes").alias("c")).groupBy(*key, "c").agg(F.count("*").alias("n")).toPandas()
+    counts = some.select(*key, F.explode("classes").alias("c")).groupBy(*key, "c").agg(F.count("*").alias("n")).toArrow().to_pandas()
     discard(some)
     counts = rows[key].reset_index(names="row").merge(counts, on=key)
     shares = np.zeros((len(rows), HASHED))
