@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, lines, mixing, outliers, pieces, quality, simhash, tokencount, topk, warc
+from . import alignment, htmltext, lines, mixing, outliers, pieces, quality, simhash, tokencount, topk, warc
 from .shared import shipped
 
 TOKEN_LIMIT = 2048
@@ -72,10 +72,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found = alignment.align(table(spark, sf_dir, "documents"), *paths)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", F.col("groups").alias("groups_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_html_text, op3_warc, op4_top_k, op5_pieces, op6_line_dedup, op7_quality_rules, op8_mixture, op9_token_counts, op10_simhash)
+        for f in (op1_quality, op2_html_text, op3_warc, op4_top_k, op5_pieces, op6_line_dedup, op7_quality_rules, op8_mixture, op9_token_counts, op10_simhash, op13_alignment)
     }
 
 
