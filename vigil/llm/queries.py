@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, htmltext, lines, mixing, outliers, pieces, quality, simhash, tokencount, topk, warc
+from . import alignment, htmltext, importance, langid, lines, mixing, outliers, pieces, quality, simhash, tokencount, topk, warc
 from .shared import shipped
 
 TOKEN_LIMIT = 2048
@@ -72,6 +72,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.split_and_identify(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), depth=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
     found = alignment.align(table(spark, sf_dir, "documents"), *paths)
@@ -81,7 +90,7 @@ def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_quality, op2_html_text, op3_warc, op4_top_k, op5_pieces, op6_line_dedup, op7_quality_rules, op8_mixture, op9_token_counts, op10_simhash, op13_alignment)
+        for f in (op1_quality, op2_html_text, op3_warc, op4_top_k, op5_pieces, op6_line_dedup, op7_quality_rules, op8_mixture, op9_token_counts, op10_simhash, op11_languages, op12_importance, op13_alignment)
     }
 
 
@@ -101,6 +110,40 @@ counted as (
   from u
 )
 select doc_id, text, lang, source, n_chars, unnest(range(1, c + 1))::bigint as copy from counted
+""",
+    "op12_importance": r"""
+with recursive steps as (
+  select b::bigint as b, b::bigint as c, 0 as k from range(256) t(b)
+  union all select b, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8
+), crc as (select list(c order by b) as crc from steps where k = 8),
+d as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as words from documents
+), g as (
+  select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')) as w from benchmark
+), dw as (select doc_id, unnest(words) as w from d),
+hexed as (select w, hex(encode(w)) as x from (select w from dw union select w from g)),
+bytes as (select w, list_transform(range(0, len(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::bigint) as bytes from hexed),
+hashed as (
+  select w, xor(list_reduce(list_prepend(4294967295::bigint, bytes), lambda h, b: xor(h >> 8, crc[(xor(h, b) & 255) + 1])), 4294967295::bigint) % 10000 as bucket from bytes, crc
+),
+s as (select bucket, count(*) as n from dw join hashed using (w) group by bucket),
+t as (select bucket, count(*) as n from g join hashed using (w) group by bucket),
+gains as (
+  select b.bucket, floor(1000 * ln(((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double) / ((coalesce(s.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint as gain
+  from (select bucket::bigint as bucket from range(10000) r(bucket)) b left join s using (bucket) left join t using (bucket)
+),
+w as (select doc_id, count(*) as n, sum(gain) as gain from dw join hashed using (w) join gains using (bucket) group by doc_id),
+scored as (
+  select d.doc_id, coalesce(w.n, 0)::bigint as n_features, coalesce(floor(w.gain::double / w.n), 0)::bigint as weight,
+    ('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::bigint as h
+  from d left join w using (doc_id)
+),
+noisy as (select *, weight + floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296.0::double)))::bigint as score from scored),
+drawn as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank from noisy where n_features >= 20
+)
+select doc_id, n_features, weight, score, rank::bigint as rank
+from noisy left join (select * from drawn where rank <= (select 10 * count(*) // 100 from drawn)) using (doc_id)
 """,
     "op4_top_k": """
 with v as (
