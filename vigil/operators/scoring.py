@@ -207,13 +207,25 @@ def analyzed(rows: DataFrame, json_col: str) -> DataFrame:
 
 
 def neural_classifier(predict, batch_size: int = 16):
-    """A pandas UDF over text for a model: `predict` maps a list of at most `batch_size` texts to lists of (label, score)."""
+    """A pandas UDF over text for a model: `predict` maps a list of at most `batch_size` texts to lists of (label, score).
+
+    If a batch fails, or gives another number of results, its texts are tried one by one; one that fails alone has no labels.
+    """
+
+    def tried(texts: list[str]) -> list:
+        try:
+            found = list(predict(texts))
+            if len(found) == len(texts):
+                return found
+        except Exception:  # whatever the model raises
+            pass
+        return [[]] if len(texts) == 1 else [r for t in texts for r in tried([t])]
 
     @F.pandas_udf("array<struct<label:string,score:double>>")
     def classify(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             values = texts.fillna("").tolist()
-            found = [r for i in range(0, len(values), batch_size) for r in predict(values[i : i + batch_size])]
+            found = [r for i in range(0, len(values), batch_size) for r in tried(values[i : i + batch_size])]
             yield pd.Series([[{"label": n, "score": float(s)} for n, s in sorted(r, key=lambda x: -x[1])] for r in found])
 
     return classify

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as T
+from . import textindex
 
 
 def substring_match(query: str, columns: list[str], arrays: list[str] = ()) -> Column:
@@ -56,6 +57,18 @@ def relevant(events: DataFrame, query: str, fields: dict[str, float] = FIELDS) -
     return events.withColumn("relevance", relevance(query, fields)).filter("relevance > 0")
 
 
+def index_events(events: DataFrame, path: str) -> None:
+    """Writes the inverted index of the fields of the relevance search."""
+    keywords = {c: F.coalesce(F.array(F.nullif(F.col(c), F.lit(""))) if c == "ioc_value" else F.col(c), T.literals([])) for c in FIELDS if c != "description"}
+    textindex.index_table(events, path, "event_id", {"description": F.col("description")}, keywords)
+
+
+def ranked(spark: SparkSession, path: str, query: str, k: int | None = 50, fields: dict[str, float] = FIELDS) -> DataFrame:
+    """`event_id` and `score` of the k best events of an index: BM25, of the best field; the description by words, the others by the whole query."""
+    found = textindex.ranked(spark, path, query, fields, keywords={c for c in fields if c != "description"}, k=k)
+    return found.withColumnRenamed("id", "event_id")
+
+
 def search(
     events: DataFrame, q: str | None = None, types=None, severities=None, sources=None, threat_type: str | None = None, actor: str | None = None,
     since: str | None = None, until: str | None = None, tokens: bool = False, scored_severity: bool = False,

@@ -38,11 +38,15 @@ def regression(series: DataFrame, ahead: int = 7) -> DataFrame:
 
     A series of fewer than two days is stable, with its last value as prediction and both bounds.
     """
-    y, x = F.col("n").cast("double"), F.col("x").cast("double")
+    y, x = F.col("n").cast("long"), F.col("x").cast("long")
     g = series.groupBy("threat_type").agg(
-        F.count("*").alias("days"), F.sum("n").alias("total"), F.avg(y).alias("mean"), F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("b"),
-        F.regr_syy(y, x).alias("syy"), F.regr_sxy(y, x).alias("sxy"), F.avg(x).alias("xm"), F.max_by(y, x).alias("last"),
+        F.count("*").alias("days"), F.sum(y).alias("total"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"), F.sum(x * y).alias("sxy"), F.sum(y * y).alias("syy"), F.max_by(y, x).cast("double").alias("last"),
     )
+    # sums of whole numbers are exact, so results do not depend on the order of rows
+    days, sx, sy = F.col("days"), F.col("sx"), F.col("total")
+    xx, xy, yy = days * F.col("sxx") - sx * sx, days * F.col("sxy") - sx * sy, days * F.col("syy") - sy * sy
+    b = F.when(xx > 0, xy / xx).otherwise(0.0)
+    g = g.select("threat_type", "days", "total", "last", b.alias("b"), (sy / days).alias("mean"), (sx / days).alias("xm"), (yy / days).alias("syy"), (xy / days).alias("sxy"))
     n, b, mean = F.col("days"), F.col("b"), F.col("mean")
     residual = F.greatest(F.col("syy") - b * F.col("sxy"), F.lit(0.0))
     g = g.withColumn("r2", F.when(F.col("syy") > 0, F.greatest(F.lit(0.0), 1 - residual / F.col("syy"))).otherwise(0.0))
@@ -50,9 +54,9 @@ def regression(series: DataFrame, ahead: int = 7) -> DataFrame:
     g = g.withColumn("p", b * (n + (ahead - 1)) + mean - b * F.col("xm"))
     g = g.withColumns({c: F.when(n < 2, F.col("last") if c == "p" else F.lit(0.0)).otherwise(F.col(c)) for c in ("p", "ci", "se")})
     direction = F.when(n < 2, "stable").when(b > 0.5, "increasing").when(b < -0.5, "decreasing").otherwise("stable")
-    change = F.when(mean > 0, F.round(b * ahead / mean * 100, 1)).otherwise(0.0)
+    change = F.when(mean > 0, F.round(b * ahead / mean * 100, 1) + 0.0).otherwise(0.0)  # no signed zero
     return g.select(
-        "threat_type", "total", "days", F.round(b, 3).alias("slope"), direction.alias("direction"), F.round("r2", 3).alias("confidence"), F.round(mean, 1).alias("current_avg"),
+        "threat_type", "total", "days", (F.round(b, 3) + 0.0).alias("slope"), direction.alias("direction"), F.round("r2", 3).alias("confidence"), F.round(mean, 1).alias("current_avg"),
         F.round(F.greatest(F.lit(0.0), F.col("p")), 1).alias("prediction_7d"), F.round(F.greatest(F.lit(0.0), F.col("p") - F.col("ci")), 1).alias("prediction_lower"), F.round(F.col("p") + F.col("ci"), 1).alias("prediction_upper"),
         F.round("ci", 1).alias("confidence_interval"), change.alias("change_percent"), (n >= 7).alias("sufficient"), F.round("se", 2).alias("std_error"),
     )

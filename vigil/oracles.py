@@ -171,13 +171,38 @@ select sector, n, critical, high, medium, low, case when (critical * 4 + high *
 from base left join top using (sector) left join ac using (sector)"""
 
 DAILY = f"{TE}, daily as (select event_time::date as day, t as threat_type, count(*) as n from (select event_time, unnest(case when len(threat_types) > 0 then threat_types else ['Unknown'] end) as t from te) group by all)"
+
+def BM25(terms: str, name: str) -> str:
+    """CTEs up to `s_name` (id, s): the sum of BM25 over the terms, from `base` (id, lower-case text)."""
+    return f"""w_{name} as (select id, list_filter(string_split_regex(text, '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '') as w from base),
+n_{name} as (select count(*) filter (len(w) > 0) as n, avg(nullif(len(w), 0)) as mean from w_{name}),
+p_{name} as (select id, t, len(list_filter(w, lambda x: x = t)) as tf, len(w) as l from (select *, unnest({terms}) as t from w_{name}) where list_contains(w, t)),
+d_{name} as (select t, count(*) as df from p_{name} group by t),
+s_{name} as (select id, sum(round(ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.2::double * (0.25::double + 0.75::double * l / mean)) * 1e9)::bigint) / 1e9::double as s from p_{name} join d_{name} using (t), n_{name} group by id)"""
+
+
+#: CTEs up to `found` (id, label, confidence): naive Bayes, from `base` (id, text, label, known).
+BAYES = """toks as (select id, label, known, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+'), lambda t: t <> '') as w from base),
+shares as (select label, count(*) as n, sum(len(w)) as words, sum(count(*)) over () as total from toks where known and label is not null group by label),
+each as (select id, label, known, ('0x' || substr(md5(t), 1, 4))::int as class from (select id, label, known, unnest(w) as t from toks)),
+cnt as (select label, class, count(*) as n from each where known group by all),
+gains as (select label, class, round(ln(n + 1.0::double) * 1000000)::bigint as gain from cnt),
+consts as (select label, round(ln(n::double / total) * 1000000)::bigint as prior, round(-ln((words + 65536)::double) * 1000000)::bigint as least from shares),
+sized as (select id, count(*) as n from each group by id),
+gained as (select id, g.label, sum(gain) as gain from each e join gains g using (class) group by all),
+scores as (select b.id, c.label, prior + least * coalesce(s.n, 0) + coalesce(g.gain, 0) as score from (select distinct id from base) b cross join consts c left join sized s on s.id = b.id left join gained g on g.id = b.id and g.label = c.label),
+found as (select id, arg_min(label, (-score, label)) as label, round(1 / sum(exp((score - top)::double / 1000000)), 6) as confidence from (select *, max(score) over (partition by id) as top from scores) group by id)"""
+
+
 REGRESSION = f"""{DAILY},
 days as (select day, row_number() over (order by day) - 1 as x from (select distinct day from daily)),
 types as (select threat_type, sum(n) as total from daily group by threat_type having sum(n) >= 3),
 series as (select threat_type, x, day, coalesce(n, 0) as n from types cross join days left join daily using (threat_type, day)),
-reg as (select threat_type, sum(n) as total, count(*) as days, avg(n) as mean, regr_slope(n, x) as b, regr_intercept(n, x) as a, case when var_pop(n) = 0 then 0 else regr_r2(n, x) end as r2 from series group by threat_type),
-trends as (select threat_type, total::bigint as total, days, round(b, 3) as slope, case when b > 0.5 then 'increasing' when b < -0.5 then 'decreasing' else 'stable' end as direction, round(r2, 3) as confidence, round(mean, 1) as current_avg,
-  round(greatest(0, b * (days + 6) + a), 1) as prediction_7d, round(b * 7 / mean * 100, 1) as change_percent from reg)"""
+sums as (select threat_type, sum(n)::bigint as total, count(*)::bigint as days, sum(x)::bigint as sx, sum(x * x)::bigint as sxx, sum(x * n)::bigint as sxy, sum(n * n)::bigint as syy from series group by threat_type),
+slopes as (select *, total::double / days as mean, case when days * sxx > sx * sx then (days * sxy - sx * total)::double / (days * sxx - sx * sx)::double else 0 end as b, (days * syy - total * total)::double / days as vy, (days * sxy - sx * total)::double / days as cxy from sums),
+reg as (select *, case when vy > 0 then greatest(0, 1 - greatest(vy - b * cxy, 0) / vy) else 0 end as r2 from slopes),
+trends as (select threat_type, total::bigint as total, days, round(b, 3) + 0.0 as slope, case when b > 0.5 then 'increasing' when b < -0.5 then 'decreasing' else 'stable' end as direction, round(r2, 3) as confidence, round(mean, 1) as current_avg,
+  round(greatest(0, b * (days + 6) + mean - b * (sx::double / days)), 1) as prediction_7d, round(b * 7 / mean * 100, 1) + 0.0 as change_percent from reg)"""
 
 SLUG = "regexp_replace(split_part(reference, '/', 5), '\\.html$', '')"
 TITLE = f"case when {SLUG} = 'index' then '2024' else array_to_string(list_transform(string_split(regexp_replace({SLUG}, '[-_]', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') end"
@@ -355,6 +380,23 @@ select sid, event_id, case ioc_type when 'ip' then 'alert ip ' || ioc_value || '
     "search_tags": f"with {TE} select event_id, ioc_type from te where contains(lower(ioc_value), 'tmpl-1') or contains(low, 'tmpl-1') or len(list_filter(tags, lambda t: contains(t, 'tmpl-1'))) > 0",
     "search_relevance": f"""with {TE}, r as (select event_id, case when ioc_value = 'APT' then 3 else 0 end + case when regexp_matches(low, '(^|[^a-z0-9])apt($|[^a-z0-9])') then 1 else 0 end
   + list_contains(tags, 'APT')::int + list_contains(threat_types, 'APT')::int + list_contains(actors, 'APT')::int as relevance from te) select event_id, relevance::double as relevance from r where relevance > 0""",
+    "search_ranked": f"""with {TE}, base as (select event_id as id, low as text, ioc_value, tags, threat_types, actors from te), {BM25("['ransomware', 'portal', 'bank']", "a")}, {BM25("['apt']", "b")},
+kw as (select id, unnest([{{'f': 'ioc_value', 'boost': 3.0, 'v': [ioc_value]}}, {{'f': 'tags', 'boost': 1.0, 'v': tags}}, {{'f': 'threat_types', 'boost': 1.0, 'v': threat_types}}, {{'f': 'actors', 'boost': 1.0, 'v': actors}}]) as x from base),
+kn as (select x.f as f, count(*) filter (len(x.v) > 0) as n from kw group by all),
+kq as (select id, x.f as f, x.boost::double as boost, q, len(list_filter(x.v, lambda e: e = q)) as tf from (select *, unnest(['ransomware portal bank', 'APT']) as q from kw)),
+kd as (select f, q, count(*) as df from kq where tf > 0 group by all),
+ks as (select q, id, round(boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::double)) * tf / (tf + 1.2::double) * 1e9)::bigint / 1e9::double as s from kq join kd using (f, q) join kn using (f) where tf > 0),
+every as (select 'ransomware portal bank' as q, id, s from s_a union all select 'APT', id, s from s_b union all select * from ks),
+best as (select q, id, round(max(s), 6) as score from every group by all)
+select q as query, id as event_id, score from best qualify row_number() over (partition by q order by score desc, id) <= 50""",
+    "part_names_in_documents": """with w as (select distinct w from (select unnest(string_split_regex(lower(p_name), '[^a-z]+')) as w from part union all select unnest(string_split_regex(lower(n_name), '[^a-z]+')) from nation) where len(w) >= 3)
+select doc_id, w as word from (select doc_id, lower(text) as low from documents) join w on contains(low, w) group by all""",
+    "actor_join": f"with {TE} select event_id, array_to_string(actors, ',') as actors from te",
+    "classify_trained": f"with {TE}, base as (select event_id as id, description as text, threat_types[1] as label, event_id % 4 <> 2 as known from te), {BAYES} select id as event_id, label, confidence from found",
+    "documents_classified": f"with base as (select doc_id as id, text, lang as label, lang is not null and doc_id % 4 <> 2 as known from documents), {BAYES} select id as doc_id, label, confidence from found",
+    "documents_ranked": f"""with base as (select doc_id as id, lower(coalesce(text, '')) as text from documents), {BM25("['the', 'worthless', 'entre', 'la', 'thention', 'und']", "a")}
+select id as doc_id, round(s, 6) as score from s_a order by round(s, 6) desc, id limit 100""",
+    "documents_containing": "select doc_id, length(text)::bigint as n_chars from documents where contains(lower(text), 'gnu general')",
     "search_scored": f"with {TE} select event_id from te where event_id % 3 = 0 or severity = 'critical'",
     "search_limited": f"with {TE}, f as (select event_id, count(*) over () as total from te where ioc_type = 'ip' and source_name = 'VirusTotal') select * from f order by event_id limit 25",
     "search_offset": f"with {TE} select event_id, ioc_type from te order by event_id limit 40 offset 15",

@@ -10,16 +10,22 @@ from pyspark.sql import functions as F
 from . import dims
 from .functions import scores as S
 from .functions import text as T
-from .operators import breakdown, export, graph, scoring, search, stats, trend
+from .operators import bayes, breakdown, dictionary, export, forecast, graph, scoring, search, stats, textindex, trend
 from .oracles import ORACLES  # noqa: F401
 from .sources import json_events, pages, threat_event
 from .plans import pipeline
+from .storage import shared_dir
 from .streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Dictionary of words that occur in the synthetic documents.
 WORDS = ["the", "tion", "er", "und", "que", "los", "heit", "zzz"]
 
+#: Words for the ranked searches, and a phrase for the search by trigrams.
+RANKED = ["ransomware portal bank", "APT"]
+DOCUMENT_QUERY = "The worthless; entre la thention und"
+PHRASE = "GNU general"
+
 
 def query(f: Callable) -> Callable:
     QUERIES[f.__name__] = f
@@ -139,6 +145,21 @@ def classify_lexicon(spark, sf_dir):
     return out.select("event_id", joined("predicted_types"), "predicted_confidence")
 
 
+@query
+def classify_trained(spark, sf_dir):
+    """Naive Bayes over the descriptions, learned from three quarters of the events by their first type."""
+    e = events(spark, sf_dir).select("event_id", "description", F.get("threat_types", F.lit(0)).alias("label"))
+    model = bayes.train(e.filter("event_id % 4 <> 2"), "description", "label")
+    return bayes.classify(e, model, "event_id", "description")
+
+
+@query
+def documents_classified(spark, sf_dir):
+    """Naive Bayes over whole documents, learned from the languages of three quarters of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return bayes.classify(docs, bayes.train(docs.filter("doc_id % 4 <> 2"), "text", "lang"), "doc_id", "text")
+
+
 @query
 def classify_activity(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, "cyberint-feeds-1").otherwise("other").alias("source_index"), threat_event.pick([*dims.ACTIVITIES, "Strange Thing", "Credential Theft", ""], F.col("event_id") % 20).alias("detected_activity"))
@@ -201,9 +222,27 @@ def keyword_hits(spark, sf_dir):
 
 @query
 def keyword_join(spark, sf_dir):
-    """How many documents have each word of the dictionary: matched in one pass, counted before the shuffle."""
-    hits = T.keyword_hits(F.col("text"), WORDS)
-    return table(spark, sf_dir, "documents").select(F.explode(hits).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """How many documents have each word of a dictionary that is a table: joined on q-grams."""
+    words = spark.createDataFrame([(w,) for w in WORDS], "word string")
+    found = dictionary.matches(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+    return found.groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query
+def part_names_in_documents(spark, sf_dir):
+    """The documents that hold a word of the parts' names or of a customer's comment: a dictionary from tables."""
+    cut = lambda t, c: table(spark, sf_dir, t).select(F.explode(F.split(F.lower(c), "[^a-z]+")).alias("word"))
+    words = cut("part", "p_name").unionByName(cut("nation", "n_name")).filter(F.length("word") >= 3)
+    return dictionary.matches(table(spark, sf_dir, "documents"), words, "doc_id", "text")
+
+
+@query
+def actor_join(spark, sf_dir):
+    """Actors from a table of names and aliases, in place of the fixed list."""
+    rows = [(i, n, a) for i, (n, al) in enumerate(dims.TEXT_ACTORS.items()) for a in (n, *al)]
+    names = spark.createDataFrame(rows, "rank int, name string, alias string")
+    e = events(spark, sf_dir).select("event_id", "description")
+    return dictionary.aliases(e, names, "event_id", "description", rank_col="rank").select("event_id", joined("actors"))
 
 
 @query
@@ -459,6 +498,18 @@ def trend_forecast(spark, sf_dir):
     return trend.forecast(events(spark, sf_dir)).select("threat_type", day(), "segment", "value")
 
 
+@query
+def trend_additive(spark, sf_dir):
+    """The seven days after each type's history, by trend, bends and weekly season."""
+    paths = forecast.additive(trend.dense(trend.daily_counts(events(spark, sf_dir)), calendar=True))
+    return paths.select("threat_type", day(), *[F.round(c, 3).alias(c) for c in ("value", "lower", "upper", "trend", "weekly")])
+
+
+@query
+def trend_outlook(spark, sf_dir):
+    return forecast.outlook(forecast.additive(trend.dense(trend.daily_counts(events(spark, sf_dir)), calendar=True)))
+
+
 # Countries, news, graph
 
 
@@ -589,6 +640,31 @@ def search_relevance(spark, sf_dir):
     return search.relevant(events(spark, sf_dir), "APT").select("event_id", "relevance")
 
 
+@query
+def search_ranked(spark, sf_dir):
+    """The 50 best events for each of two queries, over five fields of an inverted index."""
+    path = f"{shared_dir(spark)}/inverted"
+    search.index_events(events(spark, sf_dir), path)
+    found = [search.ranked(spark, path, q).withColumn("query", F.lit(q)) for q in RANKED]
+    return found[0].unionByName(found[1]).select("query", "event_id", "score")
+
+
+@query
+def documents_ranked(spark, sf_dir):
+    """The 100 documents that a query of several languages' words fits best."""
+    path = f"{shared_dir(spark)}/inverted"
+    textindex.index_table(table(spark, sf_dir, "documents"), path, "doc_id", {"text": F.col("text")})
+    return textindex.ranked(spark, path, DOCUMENT_QUERY, {"text": 1.0}, k=100).withColumnRenamed("id", "doc_id")
+
+
+@query
+def documents_containing(spark, sf_dir):
+    """The documents that contain a phrase, any case; only blocks that have all its trigrams are scanned."""
+    path = f"{shared_dir(spark)}/trigrams"
+    textindex.write_trigrams(table(spark, sf_dir, "documents"), path, ["text"], "doc_id", blocks=64)
+    return textindex.containing(spark, path, PHRASE, ["text"]).select("doc_id", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def search_scored(spark, sf_dir):
     """Severity of the score where there is one."""
@@ -786,7 +862,7 @@ def ticket_log(spark, sf_dir):
 @query
 def url_master(spark, sf_dir):
     """Classifications of URLs in their master table, saved in two batches of which the later wins."""
-    base = f"{incremental.shared_dir(spark)}/urls"
+    base = f"{shared_dir(spark)}/urls"
     urls = events(spark, sf_dir).groupBy(F.col("reference").alias("url")).agg(F.max("event_id").alias("last"))
     for version in (0, 1):
         rows = urls.filter(f"{version} = 0 or last % 2 = 0").select("url", F.lit(f"class {version}").alias("class"), F.lit(version).alias("classified_at"))

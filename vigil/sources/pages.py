@@ -1,4 +1,4 @@
-"""What a page says about itself: title and description, by patterns over its html."""
+"""What a page says about itself: title and description, by patterns over its html. Its article: see `tree`."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .tree import articles  # noqa: F401
 
 
 def _first(html: Column, pattern: str) -> Column:
@@ -24,25 +25,3 @@ def summaries(pages: DataFrame) -> DataFrame:
     fallback = F.nullif(F.concat_ws(" - ", _tag(html, "h1"), _tag(html, "p")), F.lit(""))
     out = pages.select("page_id", "url", _tag(html, "title").alias("title"), F.coalesce(meta("name=[\"']description"), meta("property=[\"']og:description"), fallback).alias("description"))
     return out.withColumn("success", F.length(F.coalesce("description", F.lit(""))) >= 20)
-
-
-# Where an article's text is looked for, in order: tags, and classes with a dot.
-CONTAINERS = ["article", ".article-body", ".post-content", ".entry-content", "main", ".content"]
-
-
-def _container(html: Column, name: str) -> Column:
-    """What is inside the first element of a tag or class, up to its first closing tag."""
-    if name.startswith("."):
-        inner = F.regexp_extract(html, rf"""(?is)<([a-z]\w*)\b[^>]*\bclass\s*=\s*["'](?:[^"']*\s)?{name[1:]}(?:\s[^"']*)?["'][^>]*>(.*?)</\1\s*>""", 2)
-    else:
-        inner = F.regexp_extract(html, rf"(?is)<{name}\b[^>]*>(.*?)</{name}\s*>", 1)
-    return F.nullif(inner, F.lit(""))
-
-
-def articles(pages: DataFrame, limit: int = 1000) -> DataFrame:
-    """`page_id`, `title`, `content`: the text of the first container that has any, else of the body, without script, style, nav, footer and header; the first `limit` characters."""
-    html = F.coalesce("html", F.lit(""))
-    text = lambda x: F.nullif(F.substring(T.unescaped(T.strip_html(x, 2**31 - 1)), 1, limit), F.lit(""))
-    body = F.coalesce(_container(html, "body"), html)
-    content = F.coalesce(*[text(_container(html, c)) for c in CONTAINERS], text(body), F.lit(""))
-    return pages.select("page_id", F.coalesce(F.substring(_tag(html, "title"), 1, 200), F.lit("")).alias("title"), content.alias("content"))

@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import pipeline
 from ..sources.threat_event import dealt, project
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under `spark.checkpoint.dir`, which driver and executors share; of our own where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = base or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/{uuid.uuid4()}"
+from ..storage import shared_dir
 
 
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
