@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ from .shared import discard, skew_join, stored
 BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 4096
 #: Units, and characters in them, that a Python worker remembers.
 MEMO, MEMO_CHARS = 400_000, 40_000_000
+#: Units that are encoded together.
+AT_ONCE = 20_000
 #: A single space between characters that are no white space for either vocabulary.
 CUT = re.compile(r"(?<=[^\s\u180e]) (?=[^\s\u180e])")
 SCHEMA = "block long, no int, doc_id string, n_a long, n_b long, n_groups long, n_links long, groups string, a int, b int, held array<long>"
@@ -58,6 +61,15 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
 
+def fits(tokens: list[list[int]], spelled: list[bytes] | dict[int, bytes], told: list[bytes]) -> np.ndarray:
+    """Of each unit, whether its tokens spell its bytes."""
+    found = [[spelled[t] for t in x] for x in tokens]
+    sizes = [sum(map(len, x)) for x in found]
+    if sizes == [len(x) for x in told] and b"".join(chain.from_iterable(found)) == b"".join(told):
+        return np.ones(len(told), bool)
+    return np.array([b"".join(x) == y for x, y in zip(found, told, strict=True)], bool)
+
+
 class Pair:
     """Two vocabularies, and the units that were merged under both."""
 
@@ -75,7 +87,12 @@ class Pair:
         self.bytes_a = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
         pieces = [self.b.id_to_piece(i) for i in range(self.b.vocab_size())]
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
-        self.n_b = len(pieces)
+        self.n_b, n_a = len(pieces), max(self.bytes_a) + 1
+        self.sizes_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(n_a)])
+        self.sizes_b = np.array([len(x) for x in self.bytes_b])
+        self.first_b = 2 * n_a
+        self.written = [f"{i}{end}" for i in range(n_a) for end in ",|"] + [f"{i}{end}" for i in range(self.n_b) for end in ",;"]
+        self.widths = np.array([len(x) for x in self.written])
         self.split = CUT.split if not any(re.search("[^▁]▁", p) for p in pieces) else lambda text: [text]
         self.clear()
 
@@ -83,43 +100,45 @@ class Pair:
         """Forgets all units."""
         self.known: dict[str, int] = {}
         self.chars = 0
-        self.shown: list[str] = []  # groups of each unit
-        self.sizes = np.zeros((0, 5), np.int64)  # of each unit: A tokens, B tokens, groups, links, whether its bytes are kept
+        self.shown: list[str] = []  # groups of each unit, each with a semicolon
+        self.sizes = np.zeros((0, 5), np.int64)  # of each unit: A tokens, B tokens, groups, links, whether both give its bytes back
         self.starts, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def learn(self, units: list[str]) -> None:
         """Merges units that are new."""
-        tokens_a = [e.ids for e in self.a.encode_batch([" " + u for u in units], add_special_tokens=False)]
+        for i in range(0, len(units), AT_ONCE):
+            self._learn(units[i : i + AT_ONCE])
+
+    def _learn(self, units: list[str]) -> None:
+        told = [b" " + u.encode() for u in units]
+        tokens_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         tokens_b = self.b.encode(units, num_threads=1)
-        good = []
-        for i, (u, x, y) in enumerate(zip(units, tokens_a, tokens_b, strict=True)):
-            told = b" " + u.encode()
-            fits = b"".join([self.bytes_a[t] for t in x]) == told and b"".join([self.bytes_b[t] for t in y]) == told
-            good.append(fits)
-            if not fits:
-                tokens_a[i], tokens_b[i] = [], []
-        n_a, n_b = (np.array([len(x) for x in t], np.int64) for t in (tokens_a, tokens_b))
-        ids_a, ids_b = ([t for x in of for t in x] for of in (tokens_a, tokens_b))
-        a, b, closes = merged(np.cumsum([len(self.bytes_a[t]) for t in ids_a]), np.cumsum([len(self.bytes_b[t]) for t in ids_b]))
+        good = np.ones(len(units), bool)
+        for tokens, spelled in ((tokens_a, self.bytes_a), (tokens_b, self.bytes_b)):
+            good &= fits(tokens, spelled, told)
+        for i in np.flatnonzero(~good).tolist():
+            tokens_a[i], tokens_b[i] = [], []
+        n_a, n_b = (np.fromiter(map(len, t), np.int64, len(units)) for t in (tokens_a, tokens_b))
+        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), np.int64, n.sum()) for t, n in ((tokens_a, n_a), (tokens_b, n_b)))
+        a, b, closes = merged(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
         of_unit = np.repeat(np.arange(len(units)), n_a)[a]
         n_links = np.bincount(of_unit, minlength=len(units))
         n_groups = np.bincount(of_unit[closes], minlength=len(units))
-        group_ends_a, group_ends_b = (a[closes] + 1).tolist(), (b[closes] + 1).tolist()
-        text_a, text_b = [str(t) for t in ids_a], [str(t) for t in ids_b]
-        groups, p, q = [], 0, 0
-        for r, s in zip(group_ends_a, group_ends_b, strict=True):
-            groups.append(",".join(text_a[p:r]) + "|" + ",".join(text_b[q:s]))
-            p, q = r, s
-        at = 0
-        for n in n_groups.tolist():
-            self.shown.append(";".join(groups[at : at + n]))
-            at += n
+        # written out: A tokens of a group each with a comma, the last with a bar, then its B tokens, the last with a semicolon
+        ends_a, ends_b = a[closes] + 1, b[closes] + 1
+        width_a, width_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
+        order = np.empty(len(ids_a) + len(ids_b), np.int64)
+        order[np.arange(len(ids_a)) + np.repeat(ends_b - width_b, width_a)] = 2 * ids_a + np.isin(np.arange(len(ids_a)), ends_a - 1)
+        order[np.arange(len(ids_b)) + np.repeat(ends_a, width_b)] = self.first_b + 2 * ids_b + np.isin(np.arange(len(ids_b)), ends_b - 1)
+        text = "".join(map(self.written.__getitem__, order.tolist()))
+        upto = np.concatenate([[0], np.cumsum(self.widths[order])])[np.concatenate([[0], np.cumsum(n_a + n_b)])].tolist()
+        self.shown.extend(text[i:j] for i, j in zip(upto, upto[1:], strict=False))
         first = len(self.known)
-        self.known.update((u, first + i) for i, u in enumerate(units))
+        self.known.update(zip(units, range(first, first + len(units)), strict=True))
         self.chars += sum(map(len, units))
         self.starts = np.concatenate([self.starts, len(self.links) + np.cumsum(n_links) - n_links])
-        self.links = np.concatenate([self.links, np.array(ids_a, np.int64)[a] * self.n_b + np.array(ids_b, np.int64)[b] if len(a) else np.zeros(0, np.int64)])
-        self.sizes = np.concatenate([self.sizes, np.column_stack([n_a, n_b, n_groups, n_links, np.array(good, np.int64)])])
+        self.links = np.concatenate([self.links, ids_a[a] * self.n_b + ids_b[b]])
+        self.sizes = np.concatenate([self.sizes, np.column_stack([n_a, n_b, n_groups, n_links, good])])
 
     def block(self, texts: list[str]) -> tuple[list[tuple], tuple[np.ndarray, list[list[int]]]]:
         """Of each text the numbers of A tokens, B tokens, groups and links, and the groups written out; and of the block each linked id pair (a * n_b + b) with the texts that hold it, as `no << 32 | links`."""
@@ -134,7 +153,7 @@ class Pair:
         for no, units in enumerate(split):
             at = list(map(self.known.__getitem__, units))
             if at and self.sizes[at, 4].all():
-                told.append((*self.sizes[at, :4].sum(axis=0).tolist(), ";".join(map(self.shown.__getitem__, at))))
+                told.append((*self.sizes[at, :4].sum(axis=0).tolist(), "".join(map(self.shown.__getitem__, at))[:-1]))
                 keys.append(np.array(at, np.int64) | no << 32)
             else:
                 told.append((0, 0, 0, 0, ""))
@@ -202,11 +221,14 @@ def links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
 
 def pair_counts(found: DataFrame) -> DataFrame:
-    """`a`, `b`, `n` (documents that hold them linked), and the greatest n of a (`most_a`) and of b (`most_b`), of each id pair of `links`."""
-    counts = stored(found.filter("a is not null").groupBy("a", "b").agg(F.sum(F.size("held")).alias("n")), "pairs")
+    """`a`, `b`, `n` (documents that hold them linked), and the greatest n of a (`most_a`) and of b (`most_b`), of each id pair of `links`; stored."""
+    pairs = stored(found.filter("a is not null").groupBy("a", "b").agg(F.sum(F.size("held")).alias("n")), "pairs")
+    counts = pairs
     for side in ("a", "b"):
-        counts = counts.join(counts.groupBy(side).agg(F.max("n").alias(f"most_{side}")), side)
-    return counts.select("a", "b", "n", "most_a", "most_b")
+        counts = counts.join(pairs.groupBy(side).agg(F.max("n").alias(f"most_{side}")), side)
+    counts = stored(counts.select("a", "b", "n", "most_a", "most_b"), "counts")
+    discard(pairs)
+    return counts
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", write_groups: bool = False) -> DataFrame:
@@ -218,7 +240,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     stays null; other columns of `docs` play no part. An empty table gives an empty result.
     """
     found = stored(links(docs, path_a, path_b, id_col, text_col, write_groups), "links")
-    counts = stored(pair_counts(found), "counts")
+    counts = pair_counts(found)
     pairs = found.filter("a is not null").select("block", "a", "b", "held")
     total = counts.agg(F.sum("n")).first()[0] or 0
     # a pair has one row a block, with all its documents there: pairs of very many documents pass by broadcast
