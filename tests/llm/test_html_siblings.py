@@ -49,3 +49,38 @@ def test_long_comments_go_and_blocks_below_body_stay():
 
 def test_an_empty_table_of_pages(spark):
     assert htmltext.extract(spark.createDataFrame([], "page_id long, html string")).count() == 0
+
+
+POST = "".join(f"<p>Paragraph {i} of the post tells what happened, and why, in some words.</p>" for i in range(3))
+TALK = "".join(f"<div class='c'><p>Reader {i} says at some length that this is nonsense, or not, and goes on.</p></div>" for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("html", "has", "lacks"),
+    [
+        (f"<body><form id='aspnetForm' action='x'><input type=hidden><div><h1>Title</h1>{POST}</div><button>Send</button></form></body>", ["Title", "Paragraph 2"], ["Send"]),
+        (f"<body><form runat=server><div>{POST}</div></form></body>", ["Paragraph 0", "Paragraph 2"], []),
+        (f"<body><div><h1>Title</h1>{POST}</div><form><label>Your name</label><fieldset>Pick one</fieldset></form></body>", ["Title", "Paragraph 1"], ["Your name", "Pick"]),
+        (f'<body><div class="post"><h1>Title</h1><p>The short post itself.</p></div><div class="thread">{TALK}</div></body>', ["Title", "The short post"], ["nonsense"]),
+        (f'<body><div class="post"><h1>Title</h1>{POST}</div><div class="zone">{TALK}</div></body>', ["Title", "Paragraph 0", "Paragraph 2"], []),
+        (f'<body><div><h1>Title</h1>{POST}</div><section class="user-reviews">{TALK}</section></body>', ["Title", "Paragraph 1"], ["nonsense"]),
+        (f'<body><article><h1>Title</h1><p title="x>Broken attribute</p>{POST}</article></body>', ["Title", "Broken attribute", "Paragraph 1"], ["<p", "title="]),
+        (f"<body><header><h1>Site</h1></header><article><header><h1>Title</h1></header>{POST}<footer>Foot</footer></article></body>", ["Title", "Paragraph 1"], ["Site", "Foot"]),
+        (f"<body><div class=top><h1>Site</h1><div>A line about it, which is not long at all.</div></div><div class=text>{POST * 9}</div></body>", ["Paragraph 1"], []),
+    ],
+)
+def test_shapes(html, has, lacks):
+    text = htmltext.main_text(html)
+    assert all(x in text for x in has) and not any(x in text for x in lacks), text
+
+
+def test_deep_and_unclosed_markup():
+    assert "Paragraph 2" in htmltext.main_text("<div>" * 3000 + POST)
+    assert "Paragraph 2" in htmltext.main_text(f"<body><div><article><h1>T</h1><b><i>{POST}")
+
+
+def test_repeated_rows(spark):
+    from vigil.llm.shared import shipped
+
+    rows = shipped(spark).createDataFrame([(1, f"<article>{POST}</article>")] * 3 + [(2, None)], "page_id long, html string")
+    assert [r.n for r in htmltext.extract(rows).groupBy("page_id", "text").count().withColumnRenamed("count", "n").orderBy("page_id").collect()] == [3, 1]

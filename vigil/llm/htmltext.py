@@ -7,8 +7,11 @@ The outermost article or main around it is taken whole. Beside the path from the
 paragraphs, lists, tables and sections belong to it, direct text as well, and other nodes of at least the
 smallest C/T on the path; none of them if over a third of its text is linked.
 
-What its tag or role says is navigation, header, footer, sidebar, notice, advert, form, script or style takes
-no part, nor does what is hidden. A class or id that says so, or names reader comments, is believed unless
+What its tag or role says is navigation, footer, sidebar, notice, advert, control, script or style takes
+no part, nor does what is hidden. A form takes part only if it holds over half of the page's text without links, with an
+article, main, first heading or mostly paragraphs; a header if it holds a heading of an article or main. Where the
+densest node stands apart from the page's first heading, the container of that heading is the article, unless the
+other has over HEADED times its text. A class or id that says so, or names reader comments, is believed unless
 the node holds the page's text: over half of all text without links, and for a name that is a whole token, a
 first heading, article or main as well; for part of a token (site-nav), an article or main alone is enough.
 """
@@ -25,25 +28,31 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|template|noscript|iframe|svg|math)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>|<[!?][^>]*>", re.S | re.I)
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NOISE_TAGS = frozenset("nav header footer aside form button select option menu dialog search fieldset head".split())
+NOISE_TAGS = frozenset("nav footer aside button select option menu dialog search head".split())
+#: These are noise unless they hold the page's text, or, a header, an article's heading.
+WRAPPER_TAGS = frozenset("form fieldset".split())
+HEADINGS = frozenset("h1 h2 hgroup".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
 NOISE_NAMES = re.compile(
     r"nav\w*|menus?|header|masthead|footer|foot|side-?bar|aside|ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|share|sharing|social|related|recommend\w*|breadcrumbs?|pagination|pager|newsletter|subscribe|signup|login|form|widgets?|toolbar|skip-?link|copyright",
     re.I,
 )
-COMMENT_NAMES = re.compile(r"comments?|comment-?list|respond|replies|disqus|discussion", re.I)
+COMMENT_NAMES = re.compile(r"comments?|comment-?list|respond|replies|disqus|discussion|threads?|(?:user|customer|reader)?-?reviews", re.I)
 #: A token that begins so tells what a node has, not what it is.
 MODIFIERS = frozenset("with has no without is not show hide".split())
 #: Names found as parts of a token and as whole tokens.
 PART, WHOLE = 1, 2
+#: Of a form around text, and of a header: see `_believe`.
+WRAPPER, HEADER = 3, 4
 #: What the start of a tag closes, besides an open paragraph.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Beside the path, these belong to the article unless links fill them.
+HEADED = 5
 TEXTUAL = frozenset("h1 h2 h3 h4 h5 h6 hgroup p ul ol dl table blockquote pre figure section".split())
 SPACE = re.compile(r"\s+")
 
@@ -83,10 +92,10 @@ def _noise(tag: str, attrs: str) -> bool:
 
 
 def _named(tag: str, attrs: str) -> int:
-    """PART or WHOLE if class or id name noise, else 0."""
-    if not attrs or tag in ("html", "body", "main"):
-        return 0
-    found = 0
+    """PART or WHOLE if class or id name noise, WRAPPER or HEADER for such tags, else 0."""
+    found = WRAPPER if tag in WRAPPER_TAGS else HEADER if tag == "header" else 0
+    if not attrs or tag in ("html", "body", "main") or found:
+        return found
     for name, a, b, c in ATTRIBUTE.findall(attrs):
         if name.lower() in ("class", "id"):
             for token in (a or b or c).split():
@@ -203,9 +212,11 @@ def _believe(root: Node) -> None:
         x = stack.pop()
         order.append(x)
         stack += x.children
-    free, holds, heads = {}, {}, {}
+    free, holds, heads, told, titled = {}, {}, {}, {}, {}
     for x in reversed(order):
         free[id(x)] = x.chars - x.link_chars + sum(free[id(c)] for c in x.children)
+        told[id(x)] = free[id(x)] if x.tag == "p" else sum(told[id(c)] for c in x.children)
+        titled[id(x)] = x.tag in HEADINGS or any(titled[id(c)] for c in x.children)
         holds[id(x)] = x.tag in ("article", "main") or any(holds[id(c)] for c in x.children)
         heads[id(x)] = x.tag == "h1" or any(heads[id(c)] for c in x.children)
     for x in order:
@@ -214,6 +225,38 @@ def _believe(root: Node) -> None:
             x.noise = x.noise or not (most and (holds[id(x)] or heads[id(x)]))
         elif x.named == PART:
             x.noise = x.noise or not (most or holds[id(x)])
+        elif x.named == WRAPPER:
+            x.noise = x.noise or not (most and (holds[id(x)] or heads[id(x)] or told[id(x)] * 2 > free[id(x)]))
+        elif x.named == HEADER:
+            x.noise = x.noise or not (titled[id(x)] and _inside(x, ("article", "main")))
+
+
+def _inside(x: Node, tags: tuple[str, ...]) -> bool:
+    while x.parent is not None:
+        x = x.parent
+        if x.tag in tags:
+            return True
+    return False
+
+
+def _of_heading(body: Node, best: Node) -> Node:
+    """The container of the page's first h1 if `best` is apart from it and has no more than HEADED times its text without links, else `best`.
+
+    The container is the lowest node around the heading with as much text besides.
+    """
+    stack, head = [body], None
+    while stack and head is None:
+        x = stack.pop()
+        head = x if x.tag == "h1" and x.chars else None
+        stack += [c for c in reversed(x.children) if not c.noise]
+    x = head
+    while x is not None and x is not body:
+        if x.chars - x.link_chars >= 2 * head.chars and x is not head:
+            break
+        x = x.parent
+    if x is None or x is body or x.first <= best.first and best.last <= x.last or best.first <= x.first and x.last <= best.last:
+        return best
+    return x if (x.chars - x.link_chars) * HEADED >= best.chars - best.link_chars else best
 
 
 def _measure(root: Node) -> Node:
@@ -257,7 +300,7 @@ def main_text(page: str | None) -> str:
         if x.total > best.total or x.total == best.total and x.chars > best.chars:
             best = x
         stack += [c for c in reversed(x.children) if not c.noise]
-    path = [best]
+    path = [_of_heading(body, best)]
     while path[-1] is not body and path[-1].parent is not None:
         path.append(path[-1].parent)
     outermost = max((i for i, x in enumerate(path) if x.tag in ("article", "main")), default=0)
