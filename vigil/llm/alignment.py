@@ -61,13 +61,10 @@ def merged(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return a, b, (ends_a[a] == ends) & (ends_b[b] == ends)
 
 
-def fits(tokens: list[list[int]], spelled: list[bytes] | dict[int, bytes], told: list[bytes]) -> np.ndarray:
-    """Of each unit, whether its tokens spell its bytes."""
-    found = [[spelled[t] for t in x] for x in tokens]
-    sizes = [sum(map(len, x)) for x in found]
-    if sizes == [len(x) for x in told] and b"".join(chain.from_iterable(found)) == b"".join(told):
-        return np.ones(len(told), bool)
-    return np.array([b"".join(x) == y for x, y in zip(found, told, strict=True)], bool)
+def flat(tokens: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all units, one after the other, and how many each has."""
+    sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
+    return np.fromiter(chain.from_iterable(tokens), np.int64, sizes.sum()), sizes
 
 
 class Pair:
@@ -113,13 +110,17 @@ class Pair:
         told = [b" " + u.encode() for u in units]
         tokens_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
         tokens_b = self.b.encode(units, num_threads=1)
-        good = np.ones(len(units), bool)
-        for tokens, spelled in ((tokens_a, self.bytes_a), (tokens_b, self.bytes_b)):
-            good &= fits(tokens, spelled, told)
-        for i in np.flatnonzero(~good).tolist():
-            tokens_a[i], tokens_b[i] = [], []
-        n_a, n_b = (np.fromiter(map(len, t), np.int64, len(units)) for t in (tokens_a, tokens_b))
-        ids_a, ids_b = (np.fromiter(chain.from_iterable(t), np.int64, n.sum()) for t, n in ((tokens_a, n_a), (tokens_b, n_b)))
+        (ids_a, n_a), (ids_b, n_b) = flat(tokens_a), flat(tokens_b)
+        # all bytes in one go: if they are the units' and each token list is as long as its unit, all fit
+        sizes = np.cumsum([len(x) for x in told])
+        as_told, good = b"".join(told), np.ones(len(units), bool)
+        for ids, n, spelled, of in ((ids_a, n_a, self.bytes_a, self.sizes_a), (ids_b, n_b, self.bytes_b, self.sizes_b)):
+            ends = np.concatenate([[0], np.cumsum(of[ids])])[np.cumsum(n)]
+            if not np.array_equal(ends, sizes) or b"".join(map(spelled.__getitem__, ids.tolist())) != as_told:
+                tokens = tokens_a if ids is ids_a else tokens_b
+                good &= [b"".join(map(spelled.__getitem__, x)) == y for x, y in zip(tokens, told, strict=True)]
+        if not good.all():
+            (ids_a, n_a), (ids_b, n_b) = (flat([x if g else [] for x, g in zip(t, good, strict=True)]) for t in (tokens_a, tokens_b))
         a, b, closes = merged(np.cumsum(self.sizes_a[ids_a]), np.cumsum(self.sizes_b[ids_b]))
         of_unit = np.repeat(np.arange(len(units)), n_a)[a]
         n_links = np.bincount(of_unit, minlength=len(units))
