@@ -127,27 +127,65 @@ def test_quality_rule_counts_and_verdicts(docs):
 
 
 def test_minimum_covariance_determinant(spark):
-    """The distributed estimate against the same concentration steps in numpy."""
+    """The distributed estimate against the same starts and steps in numpy, for three groups of their own."""
     rng = np.random.default_rng(3)
-    data = [(i, "en", "s", *map(int, np.maximum(0, rng.normal((1700, 100, 50, 20), (60, 40, 30, 10))))) for i in range(400)]
-    data += [(1000 + i, "en", "s", 1900, 1500, 900, 300) for i in range(60)]
+    data, sizes = [], {"a": (400, 60), "b": (300, 90), "c": (9, 3)}
+    for name, (n, bad) in sizes.items():
+        data += [(len(data) + i, "=en", name, *map(int, np.maximum(0, rng.multivariate_normal((1700, 100, 50, 20), np.diag((3600, 1600, 900, 100)) + 30)))) for i in range(n)]
+        data += [(len(data) + i, "=en", name, 1900 + i % 7, 1500, 900, 300 + i % 3) for i in range(bad)]
     rows = spark.createDataFrame(data, "doc_id long, lang string, source string, x0 long, x1 long, x2 long, x3 long").withColumn("salt", F.pmod("doc_id", F.lit(outliers.SALTS)).cast("int"))
-    state = outliers._start(rows)
-    first = state.first()
-    for _ in range(outliers.STEPS):
-        state = outliers._concentrate(rows, state, outliers.consistency())
-    found = {r.doc_id: r.d2 for r in outliers._distances(rows, state).collect()}
-    x = np.array([r[3:] for r in data], float)
+    rows = rows.select("lang", "source", "salt", "x0", "x1", "x2", "x3", "doc_id")
+    best = outliers._best(rows)
+    final = {r.source: r for r in outliers._reweighted(rows, best).collect()}
+    chosen = {r.source: r for r in best.collect()}
     floors = np.diag((np.array(outliers.FLOORS) * outliers.UNIT) ** 2)
-    mean, cov = np.array([first[f"m{i}"] for i in range(4)]), np.diag([first[f"l{i}{i}"] ** 2 for i in range(4)])
-    for _ in range(outliers.STEPS):
-        d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-        bins = np.floor(16 * np.log2(1 + d2))
-        inside = bins <= np.sort(bins)[int(np.ceil(outliers.SUBSET * len(x))) - 1]
-        mean, cov = x[inside].mean(axis=0), np.cov(x[inside].T, bias=True) * outliers.consistency() + floors
-    d2 = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
-    assert np.allclose([found[r[0]] for r in data], d2, rtol=1e-6)
-    assert max(found[i] for i in range(400)) < outliers.chi2_quantile(1 - outliers.TAIL, 4) < min(found[1000 + i] for i in range(60))
+    square = lambda x, m, c: np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m)
+
+    def nearest(x, m, c, share, scale):
+        bins = np.floor(outliers.BINS * np.log2(1 + square(x, m, c)))
+        inside = bins <= np.sort(bins)[int(np.ceil(share * len(x))) - 1]
+        return x[inside].mean(axis=0), np.cov(x[inside].T, bias=True) * scale + floors
+
+    for name in sizes:
+        x = np.array([r[3:] for r in data if r[2] == name], float)
+        rank = lambda p, n=len(x): int(np.ceil(p * n)) - 1
+        tens = np.sort(np.floor(x / 10) * 10 + 5, axis=0)
+        median, spread = tens[rank(0.5)], (tens[rank(0.75)] - tens[rank(0.25)]) / 1.349
+        first = np.diag(spread**2) + floors
+        sd = np.sqrt(np.diag(first))
+        y = (x - median) / sd
+        unit = y / np.sqrt((y**2).sum(axis=1, keepdims=True))
+        starts = {"quartiles": (median, first), "signs": (median, unit.T @ unit / len(x) * 4 * np.outer(sd, sd) + floors), "half": nearest(x, median, first, 0.5, 1.0)}
+        found = []
+        for start, (m, c) in starts.items():
+            for _ in range(outliers.MOST_STEPS):
+                m, c = nearest(x, m, c, outliers.SUBSET, outliers.consistency())
+            found.append((np.linalg.slogdet(c)[1], start, m, c))
+        log_det, _, m, c = min(found, key=lambda f: (round(f[0], 6), f[1]))
+        got = chosen[name]
+        assert np.allclose([got[f"m{i}"] for i in range(4)], m) and np.allclose([got[f"c{i}{j}"] for i, j in outliers.PAIRS], [c[i, j] for i, j in outliers.PAIRS], rtol=1e-6)
+        near = x[square(x, m, c) <= outliers.chi2_quantile(outliers.REWEIGHT, 4)]
+        scale = outliers.REWEIGHT / outliers.chi2_cdf(outliers.chi2_quantile(outliers.REWEIGHT, 4), 6)
+        m, c = near.mean(axis=0), np.cov(near.T, bias=True) * scale + floors
+        got = final[name]
+        assert np.allclose([got[f"m{i}"] for i in range(4)], m) and np.allclose([got[f"c{i}{j}"] for i, j in outliers.PAIRS], [c[i, j] for i, j in outliers.PAIRS], rtol=1e-6)
+        d2, (n, bad) = square(x, m, c), sizes[name]
+        assert (d2[:n] < outliers.chi2_quantile(1 - outliers.TAIL, 4)).mean() > 0.97
+        assert n < 20 or d2[n:].min() > outliers.chi2_quantile(1 - outliers.TAIL, 4)
+
+
+def test_small_groups_are_drawn_to_wider_ones(spark):
+    state = [("*", "*", 1000, 0.0), ("=en", "*", 60, 10.0), ("=en", "=s", 40, 20.0), ("=en", "=t", 0, 90.0)]
+    rows = spark.createDataFrame([(a, b, n, *[m] * 14) for a, b, n, m in state], f"lang string, source string, total long, {', '.join(f'{c} double' for c in [*outliers.MEANS, *outliers.COVS])}")
+    got = {r.source: r for r in outliers._shrunk(rows).collect()}
+    of_lang = 10 * 0.6 + 0 * 0.4
+    assert got["=s"].m0 == 20 * 0.5 + of_lang * 0.5 and got["=t"].c33 == of_lang and set(got) == {"=s", "=t"}
+
+
+def test_quality_rules_with_clashing_columns(docs):
+    clashing = docs.selectExpr("*", "1 as start", "2 as total", "3 as x0", "4 as bin", "5 as kept")
+    key = lambda r: (r.doc_id, r.kept, r.distance)
+    assert Counter(map(key, outliers.quality_rules(clashing).collect())) == Counter(map(key, outliers.quality_rules(docs).collect()))
 
 
 def test_quality_rules_of_an_empty_table(docs):

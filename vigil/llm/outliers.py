@@ -1,15 +1,17 @@
 """Quality rules by robust multivariate outliers, in DataFrame functions only.
 
-Every text gets counts, base rules and a vector of four transformed rates. For each (language, source)
-a minimum-covariance-determinant estimate is made: starting from medians and interquartile ranges,
-concentration steps keep the SUBSET share of rows with the smallest Mahalanobis distances and estimate
-mean and covariance from them. The same is done for each language and for the whole table, which judge the
-rows of small groups. Rows beyond a chi-square quantile of the final distance are rejected.
-
-Vectors are integers (thousandths), so all sums are exact and the result does not depend on partitions.
-Distances are ranked in bins of 1/16 of a power of two: a group's order statistic comes from a few hundred
-pre-aggregated rows, and the subset is all rows up to the end of the bin that reaches it. Groups are
-dealt out with a salt, so that a hot source is spread over SALTS tasks.
+Every text gets counts, base rules and a vector of four transformed rates. For each (language, source), each language
+and the whole table, a minimum-covariance-determinant estimate is made: from three starts (quartiles; directions from the
+medians; the half nearest to the medians) concentration steps keep the SUBSET share of rows with the smallest
+Mahalanobis distances and estimate mean and covariance from them, until the rows no longer change; the start with
+the least determinant wins, and its estimate is made once more from all rows within the REWEIGHT quantile. A group's mean
+and covariance are drawn towards its language's, a language's towards the table's, the more the fewer rows it has.
+Rows beyond a chi-square quantile of the distance are rejected.
+
+Vectors are integers (thousandths), so all sums are exact and the result does not depend on partitions. Distances
+are ranked in bins of 1/256 of a power of two: an order statistic comes from pre-aggregated rows, at most some
+thousands a group, and the subset is all rows up to the end of the bin that reaches it. Groups are dealt out with a
+salt, so that a hot source is spread over SALTS tasks; starts that have settled take no part in later steps.
 """
 
 from __future__ import annotations
@@ -21,10 +23,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .shared import stored, words
+from .shared import discard, stored, words
 
 WINDOW = 5
-SUBSET, STEPS, SALTS, MIN_ROWS = 0.75, 4, 64, 40
+SUBSET, REWEIGHT, SALTS = 0.75, 0.975, 64
+#: Concentration steps after which a start that has not settled is taken as it is.
+MOST_STEPS = 40
+#: How many rows the estimate of the next wider level is worth.
+PRIOR_ROWS = 40
+#: Distances are ranked in so many bins a power of two.
+BINS = 256
 #: Chi-square probability beyond which a row is an outlier.
 TAIL = 1e-4
 VECTOR = ("word_length", "symbols", "repeated_lines", "repeated_words")
@@ -105,23 +113,55 @@ GROUP = ["lang", "source"]
 ANY = "*"
 
 
-def _cholesky(state: DataFrame, n: Column, scale: float) -> DataFrame:
-    """From sums `s{i}` and `q{i}{j}` over n rows: means `m{i}` and the factor `l{i}{j}` of the scaled covariance."""
-    state = state.select(*GROUP, "total", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(D)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in PAIRS])
-    state = state.select(
-        *GROUP, "total", *[f"m{i}" for i in range(D)],
-        *[((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + ((FLOORS[i] * UNIT) ** 2 if i == j else 0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
-    )
+MEANS, COVS = [f"m{i}" for i in range(D)], [f"c{i}{j}" for i, j in PAIRS]
+STARTS = ("quartiles", "signs", "half")
+KEY = [*GROUP, "start"]
+
+
+def _sums() -> list[Column]:
+    """Sums of the vector and of its products: whole numbers, so exact."""
+    return [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
+
+
+SUMS = [f"s{i}" for i in range(D)] + [f"q{i}{j}" for i, j in PAIRS]
+
+
+def _moments(sums: DataFrame, scale: float, *more: str) -> DataFrame:
+    """KEY, `total`, and from sums over `n` rows the means and the scaled covariance with the floors on its diagonal."""
+    n = F.col("n")
+    state = sums.select(*KEY, "total", *more, *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(D)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in PAIRS])
+    return state.select(*KEY, "total", *more, *MEANS, *[((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + _floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
+
+
+def _floor(i: int, j: int) -> float:
+    return (FLOORS[i] * UNIT) ** 2 if i == j else 0.0
+
+
+def _factored(state: DataFrame) -> DataFrame:
+    """`state` with the Cholesky factor `l{i}{j}` of its covariance, and the logarithm of its determinant."""
     for j in range(D):
         inner = lambda i, j=j: F.col(f"c{i}{j}") - reduce(lambda a, k: a + F.col(f"l{i}{k}") * F.col(f"l{j}{k}"), range(j), F.lit(0.0))
         state = state.withColumn(f"l{j}{j}", F.sqrt(F.greatest(inner(j), F.lit(1.0))))
         for i in range(j + 1, D):
             state = state.withColumn(f"l{i}{j}", inner(i) / F.col(f"l{j}{j}"))
-    return state.select(*GROUP, "total", *[f"m{i}" for i in range(D)], *[f"l{i}{j}" for i, j in PAIRS])
+    return state.withColumn("log_det", reduce(lambda a, i: a + F.log(f"l{i}{i}") * 2, range(D), F.lit(0.0)))
+
+
+def _distances(rows: DataFrame, state: DataFrame, salted: bool = True) -> DataFrame:
+    """Rows with the columns of their group's states, and their squared Mahalanobis distance `d2` under each."""
+    state = _factored(state)
+    if salted:
+        found = rows.join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*GROUP, "salt"])
+    else:
+        found = rows.join(state, GROUP)
+    for i in range(D):
+        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
+        found = found.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
+    return found.withColumn("d2", reduce(lambda a, i: a + F.col(f"y{i}") * F.col(f"y{i}"), range(1, D), F.col("y0") * F.col("y0")))
 
 
-def _start(rows: DataFrame) -> DataFrame:
-    """Medians and interquartile ranges of each group, exact in steps of ten thousandths, as a first state."""
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """The first start: medians, and interquartile ranges on the diagonal, exact in steps of ten thousandths."""
     dims = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.floor(F.col(f"x{i}") / 10).alias("bin")) for i in range(D)]))
     bins = rows.select(*GROUP, dims.alias("e")).groupBy(*GROUP, "e.dim", "e.bin").agg(F.count("*").alias("n"))
     w = Window.partitionBy(*GROUP, "dim")
@@ -129,33 +169,81 @@ def _start(rows: DataFrame) -> DataFrame:
     at = lambda p: F.min(F.when(F.col("upto") >= p * F.col("total"), F.col("bin") * 10 + 5))
     parts = bins.groupBy(*GROUP, "dim").agg(at(0.25).alias("a"), at(0.5).alias("m"), at(0.75).alias("b"), F.max("total").alias("total"))
     only = lambda i, c: F.max(F.when(F.col("dim") == i, c))
-    sd = lambda i: F.sqrt(F.pow(only(i, (F.col("b") - F.col("a")) / 1.349), F.lit(2.0)) + (FLOORS[i] * UNIT) ** 2)
+    spread = lambda i: F.pow(only(i, (F.col("b") - F.col("a")) / 1.349), F.lit(2.0)) + _floor(i, i)
     return parts.groupBy(*GROUP).agg(
-        F.max("total").alias("total"), *[only(i, F.col("m")).cast("double").alias(f"m{i}") for i in range(D)],
-        *[(sd(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i, j in PAIRS],
+        F.lit("quartiles").alias("start"), F.max("total").alias("total"), *[only(i, F.col("m")).cast("double").alias(f"m{i}") for i in range(D)],
+        *[(spread(i) if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i, j in PAIRS],
     )
 
 
-def _distances(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """Rows with their group's `total` and their squared Mahalanobis distance `d2`."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    found = rows.join(state.select("*", salts), [*GROUP, "salt"])
-    for i in range(D):
-        rest = reduce(lambda a, k: a - F.col(f"l{i}{k}") * F.col(f"y{k}"), range(i), F.col(f"x{i}") - F.col(f"m{i}"))
-        found = found.withColumn(f"y{i}", rest / F.col(f"l{i}{i}"))
-    return found.withColumn("d2", reduce(lambda a, i: a + F.col(f"y{i}") * F.col(f"y{i}"), range(1, D), F.col("y0") * F.col("y0")))
+def _signs(rows: DataFrame, quartiles: DataFrame) -> DataFrame:
+    """The second start: the covariance of directions from the medians, each row's cut to length one, in units of the quartiles."""
+    ones = [F.sum(F.when(F.col("d2") > 0, F.round(F.col(f"y{i}") * F.col(f"y{j}") / F.col("d2") * 1e6)).otherwise(0).cast("long")).alias(f"u{i}{j}") for i, j in PAIRS]
+    found = _distances(rows, quartiles).groupBy(*GROUP).agg(*ones).join(_factored(quartiles), GROUP)
+    share = lambda i, j: F.col(f"u{i}{j}") / 1e6 / F.col("total") * D * F.col(f"l{i}{i}") * F.col(f"l{j}{j}")
+    return found.select(*GROUP, F.lit("signs").alias("start"), "total", *MEANS, *[(share(i, j) + _floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
-def _concentrate(rows: DataFrame, state: DataFrame, scale: float) -> DataFrame:
-    """One step: the state of the SUBSET share of rows with the smallest distances."""
-    names = [f"s{i}" for i in range(D)] + [f"q{i}{j}" for i, j in PAIRS]
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in range(D)] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}{j}") for i, j in PAIRS]
-    binned = _distances(rows, state).withColumn("bin", F.floor(16 * F.log2(1 + F.col("d2"))))
-    parts = binned.groupBy(*GROUP, "bin").agg(F.count("*").alias("n"), F.max("total").alias("total"), *sums)
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*GROUP).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = parts.withColumn("before", before).filter(F.col("before") < F.ceil(SUBSET * F.col("total")))
-    kept = inside.groupBy(*GROUP).agg(F.max("total").alias("total"), F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in names])
-    return _cholesky(kept, F.col("n"), scale)
+def _nearest(rows: DataFrame, state: DataFrame, share: float, scale: float) -> DataFrame:
+    """The moments of the `share` of each group's rows with the smallest distances under each of its states: all rows up to the end of the bin that reaches it."""
+    binned = _distances(rows, state).withColumn("bin", F.floor(BINS * F.log2(1 + F.col("d2"))))
+    parts = binned.groupBy(*KEY, "bin").agg(F.count("*").alias("n"), F.max("total").alias("total"), *_sums())
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = parts.withColumn("before", before).filter(F.col("before") < F.ceil(share * F.col("total")))
+    kept = inside.groupBy(*KEY).agg(F.max("total").alias("total"), F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in SUMS])
+    # of the rows themselves, to see whether a step has changed anything
+    return _moments(kept.withColumn("sums", F.xxhash64("n", *SUMS)), scale, "sums")
+
+
+def _best(rows: DataFrame) -> DataFrame:
+    """Each group's state of the least determinant, after concentration steps from every start until none changes its rows; ties to the first by name.
+
+    A start whose rows still change after MOST_STEPS steps, as those of equal distance may go to and fro, is taken as it is then.
+    """
+    quartiles = stored(_quartiles(rows), "quartiles")
+    half = _nearest(rows, quartiles, 0.5, 1.0).drop("sums").withColumn("start", F.lit("half"))
+    state = stored(quartiles.unionByName(_signs(rows, quartiles)).unionByName(half).withColumn("sums", F.lit(None).cast("long")), "starts")
+    discard(quartiles)
+    settled, tables = [], [state]
+    for _ in range(MOST_STEPS):
+        new = stored(_nearest(rows, state.drop("sums"), SUBSET, consistency()), "step")
+        tables.append(new)
+        both = new.join(state.select(*KEY, F.col("sums").alias("old")), KEY)
+        still = F.coalesce(F.col("sums") != F.col("old"), F.lit(True))
+        settled.append(both.filter(~still).drop("old", "sums"))
+        state = stored(both.filter(still).drop("old"), "changing")
+        tables.append(state)
+        if state.isEmpty():
+            break
+    done = _factored(reduce(DataFrame.unionByName, settled, state.drop("sums")))
+    least = F.min_by(F.struct("start", "total", *MEANS, *COVS), F.struct("log_det", "start"))
+    out = stored(done.groupBy(*GROUP).agg(least.alias("s")).select(*GROUP, "s.*"), "least")
+    discard(*tables)
+    return out
+
+
+def _reweighted(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The moments of the rows within the REWEIGHT quantile of their group's state; where there are none, the state."""
+    near = _distances(rows, state).filter(F.col("d2") <= chi2_quantile(REWEIGHT, D))
+    sums = near.groupBy(*KEY).agg(F.count("*").alias("n"), F.max("total").alias("total"), *_sums())
+    scale = REWEIGHT / chi2_cdf(chi2_quantile(REWEIGHT, D), D + 2)
+    new = _moments(sums, scale)
+    return new.unionByName(state.join(new.select(*KEY), KEY, "left_anti"))
+
+
+def _shrunk(state: DataFrame) -> DataFrame:
+    """Each language's state drawn towards the table's and each group's towards its language's: of n rows, by PRIOR_ROWS / (n + PRIOR_ROWS)."""
+    weight = F.col("total") / (F.col("total") + PRIOR_ROWS)
+    names = [*MEANS, *COVS]
+
+    def drawn(fine: DataFrame, wide: DataFrame, on: str) -> DataFrame:
+        wide = wide.select(on, *[F.col(c).alias(f"w_{c}") for c in names])
+        return fine.join(wide, on).select(*GROUP, "total", *[(F.col(c) * weight + F.col(f"w_{c}") * (1 - weight)).alias(c) for c in names])
+
+    any_lang, any_source = F.col("lang") == ANY, F.col("source") == ANY
+    of_table = state.filter(any_lang & any_source).withColumn("one", F.lit(1))
+    of_lang = drawn(state.filter(~any_lang & any_source).withColumn("one", F.lit(1)), of_table, "one")
+    return drawn(state.filter(~any_source), of_lang, "lang")
 
 
 def consistency() -> float:
@@ -172,24 +260,12 @@ def _levels(rows: DataFrame) -> DataFrame:
     return fine.select(F.explode(F.array(F.struct(*GROUP), any_source, both)).alias("g"), "salt", *names).select("g.*", "salt", *names)
 
 
-def _chosen(state: DataFrame) -> DataFrame:
-    """For each (language, source) the state of the smallest level of MIN_ROWS rows that holds it; else that of the table."""
-    fine = state.filter(F.col("source") != ANY).select(*GROUP, F.col("total").alias("own"))
-    of_lang = state.filter((F.col("source") == ANY) & (F.col("lang") != ANY)).select("lang", F.col("total").alias("in_lang"))
-    enough, wide = F.col("own") >= MIN_ROWS, F.col("in_lang") >= MIN_ROWS
-    keys = fine.join(of_lang, "lang").select(
-        *GROUP, F.when(enough | wide, F.col("lang")).otherwise(ANY).alias("from_lang"), F.when(enough, F.col("source")).otherwise(ANY).alias("from_source")
-    )
-    named = state.withColumnsRenamed({"lang": "from_lang", "source": "from_source"})
-    return keys.join(named, ["from_lang", "from_source"]).drop("from_lang", "from_source")
-
-
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """`doc_id`, the counts, `base_failed`, `distance` (squared; null if not measured) and `kept` of every row.
 
     Rows that fail the base rules are rejected and take no part in the estimates. Null language or source
-    counts as the empty string. A group of fewer than MIN_ROWS rows is too small to estimate: its rows are
-    judged by the estimate of their language, or if that is too small as well, of the whole table. Repeated rows count as often as they occur; an empty table gives an empty result.
+    counts as the empty string. A small group is judged mostly by the estimate of its language, and of the table where
+    that is small too (see `_shrunk`). Repeated rows count as often as they occur; an empty table gives an empty result.
     """
     named = docs.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.concat(F.lit("="), F.coalesce(F.col(lang_col).cast("string"), F.lit(""))).alias("lang"), F.concat(F.lit("="), F.coalesce(F.col(source_col).cast("string"), F.lit(""))).alias("source")
@@ -197,11 +273,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = stored(text_statistics(named).withColumn("base_failed", base_failed()), "statistics")
     salted = table.select("*", *vector(), F.pmod(F.xxhash64("doc_id", "n_words", "word_chars", "n_symbols"), F.lit(SALTS)).cast("int").alias("salt"))
     rows = salted.filter("not base_failed")
-    levels = _levels(rows)
-    state = _start(levels)
-    for _ in range(STEPS):
-        state = _concentrate(levels, state, consistency())
-    state = _chosen(stored(state, "states"))
+    levels = stored(_levels(rows), "levels")
+    best = _best(levels)
+    state = stored(_shrunk(_reweighted(levels, best)), "states")
+    discard(levels, best)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     judged = _distances(rows, state).withColumn("kept", F.col("d2") <= chi2_quantile(1 - TAIL, D))
     failed = table.filter("base_failed").select("doc_id", *counts, "base_failed", F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept"))
