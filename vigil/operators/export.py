@@ -56,17 +56,17 @@ def quoted(c: Column) -> Column:
     return F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
 
 
-def csv_lines(events: DataFrame) -> DataFrame:
+def csv_lines(events: DataFrame, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     line = F.concat_ws(
         ",", "ioc_type", quoted(F.col("ioc_value")), F.coalesce("severity", F.lit("low")), F.coalesce("confidence", F.lit(0)).cast("string"), "source_name",
         F.array_join(F.coalesce("threat_types", T.literals([])), ";"), F.date_format("event_time", "yyyy-MM-dd HH:mm:ss"), quoted(F.col("description")),
     )
-    return events.select("event_id", line.alias("line"))
+    return events.select(*keep, line.alias("line"))
 
 
-def json_documents(events: DataFrame) -> DataFrame:
+def json_documents(events: DataFrame, keep: tuple[str, ...] = ("event_id",)) -> DataFrame:
     doc = F.struct(F.col("ioc_type").alias("type"), F.col("ioc_value").alias("value"), "severity", "confidence", F.col("source_name").alias("source"), F.col("threat_types").alias("threat_type"), F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss").alias("event_time"), "description")
-    return events.select("event_id", F.to_json(doc).alias("document"))
+    return events.select(*keep, F.to_json(doc).alias("document"))
 
 
 def text_list(events: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def document(lines: DataFrame, order: list[str], header: list[str], column: str
 
 
 def csv_document(events: DataFrame) -> DataFrame:
-    return document(csv_lines(events).join(events.select("event_id", "event_time"), "event_id"), ["event_time", "event_id"], [CSV_HEADER])
+    return document(csv_lines(events, ("event_id", "event_time")), ["event_time", "event_id"], [CSV_HEADER])
 
 
 def json_document(rows: DataFrame, order: list[str], meta: dict, column: str = "document", name: str = "events") -> DataFrame:
@@ -107,7 +107,7 @@ def stats_document(events: DataFrame, order: list[str]) -> DataFrame:
     counts = events.groupBy("severity").agg(F.count("*").alias("n")).collect()  # at most a row a level
     by = {s: 0 for s in ("critical", "high", "medium", "low", "clean")} | {r.severity: r.n for r in counts}
     stats = json.dumps({"totalEvents": sum(by.values()), "bySeverity": by})
-    rows = json_documents(events).join(events.select("event_id", "event_time"), "event_id")
+    rows = json_documents(events, ("event_id", "event_time"))
     return document(rows, order, ["{", f'"stats": {stats},', '"events": ['], "document", ",", ["]", "}"])
 
 

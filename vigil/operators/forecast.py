@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 CHANGES, WAVES = 25, 3
 #: Standard deviations of the priors: bends, waves, line.
 BEND, WAVE, LINE = 0.05, 10.0, 5.0
@@ -69,6 +71,7 @@ def additive(series: DataFrame, ahead: int = 7) -> DataFrame:
     holds the noise and what is uncertain about the weights, `lower` at least 0. `slope` is the trend's gain a day over the history. A series of
     one day stays at its value, without a band. Days without a count (null) are left out.
     """
+    shipped(series.sparkSession)
     rows = series.filter("n is not null and day is not null")
     span = rows.groupBy("threat_type").agg(F.min("day").alias("first"), F.max("day").alias("last"), F.max(F.abs("n")).cast("double").alias("top"), F.avg("n").alias("mean"), F.count("*").alias("days"))
     known = rows.join(span, "threat_type")

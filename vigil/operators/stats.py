@@ -92,8 +92,8 @@ def shares(events: DataFrame, field: str = "severity") -> DataFrame:
 # Sectors
 
 
-def sector_summary(events: DataFrame, k_types: int = 5) -> DataFrame:
-    """Per sector: events, four severity counts, threat level, the k most frequent types and the actors, sorted.
+def sector_summary(events: DataFrame, k_types: int = 5, first_seen: int | None = None) -> DataFrame:
+    """Per sector: events, four severity counts, threat level, the k most frequent types and the actors, sorted; with `first_seen` so many actors, in the order in which events (by id) name them.
 
     One pass: each event gives its severity, types and actors as (kind, value) pairs, whose counts, few beside the
     events, are put together per sector.
@@ -101,12 +101,15 @@ def sector_summary(events: DataFrame, k_types: int = 5) -> DataFrame:
     pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("value"))
     many = lambda kind, c: F.transform(F.coalesce(F.col(c), T.literals([])), lambda x: pair(kind, x))
     said = F.concat(F.array(pair("severity", F.col("severity"))), many("type", "threat_types"), many("actor", "actors"))
-    counts = events.select("sector", F.explode(said).alias("p")).groupBy("sector", "p.kind", "p.value").agg(F.count("*").alias("m"))
+    sight = F.min(F.struct("event_id", "pos")) if first_seen else F.lit(0)
+    counts = events.select("sector", *["event_id"] * bool(first_seen), F.posexplode(said).alias("pos", "p")).groupBy("sector", "p.kind", "p.value").agg(F.count("*").alias("m"), sight.alias("sight"))
     of = lambda kind, x: F.when((F.col("kind") == kind) & F.col("value").isNotNull(), x)
     n = F.sum(F.when(F.col("kind") == "severity", F.col("m")))
     levels = [F.coalesce(F.sum(F.when((F.col("kind") == "severity") & (F.col("value") == s), F.col("m"))), F.lit(0)).alias(s) for s in LEVELS]
     types = F.slice(F.sort_array(F.collect_list(of("type", F.struct((-F.col("m")).alias("key"), F.col("value").alias("t"))))), 1, k_types)
-    out = counts.groupBy("sector").agg(n.alias("n"), *levels, types.alias("types"), F.sort_array(F.collect_list(of("actor", F.col("value")))).alias("actors"))
+    seen = F.sort_array(F.collect_list(of("actor", F.struct("sight", F.col("value").alias("a")))))
+    actors = F.transform(F.slice(seen, 1, first_seen), lambda x: x["a"]) if first_seen else F.sort_array(F.collect_list(of("actor", F.col("value"))))
+    out = counts.groupBy("sector").agg(n.alias("n"), *levels, types.alias("types"), actors.alias("actors"))
     level = S.threat_level(*[F.col(x) for x in LEVELS], F.col("n"))
     return out.select("sector", "n", *LEVELS, level.alias("threat_level"), F.transform("types", lambda x: F.struct(x["t"].alias("threat_type"), (-x["key"]).alias("n"))).alias("top_types"), "actors")
 
@@ -195,7 +198,8 @@ def news_rollup(events: DataFrame, k_iocs: int = 5) -> DataFrame:
     first = first.groupBy("url").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "ioc_type", "ioc_value"))), 1, k_iocs).alias("iocs"))
     number = iocs.groupBy("url").agg(F.count("*").alias("ioc_count"))
     base = rows.groupBy("url").agg(F.min("event_time").alias("date"), F.min_by("source_name", "event_id").alias("source_name"), F.min("event_id").alias("at"))
-    out = number_rows(base.join(number, "url").join(first, "url"), ["at"])
+    # numbered before the joins, as numbering reads its input more than once
+    out = number_rows(base, ["at"]).join(number, "url").join(first, "url")
     related = F.transform("iocs", lambda x: F.struct(x["ioc_type"].alias("type"), x["ioc_value"].alias("value"))).alias("related")
     return out.select(F.concat(F.lit("news-"), F.col("no") - 1).alias("id"), T.title_from_url(F.col("url")).alias("title"), "url", T.news_source(F.col("url"), F.col("source_name")).alias("source"), "date", related, "ioc_count")
 

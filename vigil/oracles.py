@@ -301,6 +301,8 @@ ORACLES: dict[str, str] = {
     "sector_best": f"with {FLAG} select event_id, sector, sector_confidence as confidence, sector_bonus as bonus from flag",
     "sector_first": f"with {TE} select event_id, {first_sector()} as sector from te",
     "sector_summary": SUMMARY,
+    "sector_api": SUMMARY.replace("ac as (select sector, array_to_string(list_sort(list(distinct a))[1:5], ',') as actors from (select sector, unnest(actors) as a from s) group by sector)", """ac as (select sector, array_to_string(list(a order by seen)[1:5], ',') as actors from
+  (select sector, a, min({'e': event_id, 'p': p}) as seen from (select sector, event_id, unnest(actors) as a, generate_subscripts(actors, 1) as p from s) group by all) group by sector)"""),
     "national_level": """with s as (select (['finance', 'transport', 'energy', 'retail', 'healthcare'])[r_regionkey + 1] as id, r_regionkey as o, 1 + r_regionkey * 3 % 5 as l from region),
 a as (select sum(l * 10 * case when id in ('finance', 'government', 'energy', 'healthcare') then 2 else 1 end)::bigint as score, count(*) filter (l >= 3) as affected, count(*) as total, arg_max(id, {'l': l, 'o': -o}) as top_sector, bool_or(id in ('finance', 'government', 'energy', 'healthcare') and l >= 4) as v from s)
 select score, affected, total, top_sector, case when v or score >= 200 then 'critical' when affected >= 4 or score >= 120 then 'high' when affected >= 2 or score >= 60 then 'medium' else 'low' end as level from a""",
@@ -372,7 +374,6 @@ select sid, event_id, case ioc_type when 'ip' then 'alert ip ' || ioc_value || '
     "export_blocklist": f"with {TE} select distinct ioc_type, ioc_value from te where ioc_type in ('ip', 'domain') and severity in ('high', 'critical')",
     "export_text": f"with {TE} select ioc_type, ioc_value, event_id, count(*) over (partition by ioc_type) as n from te",
     "json_shapes": f"with {TE} select event_id, ioc_type, ioc_value, source_name, array_to_string(threat_types, ',') as threat_types, severity, confidence from te",
-    "synthetic_feed": "select strftime(date '2024-01-01' + i::int, '%Y-%m-%d') as day, 25 + i as n from range(31) t(i)",
     "incremental_pipeline": f"with {FLAG}, k as (select *, row_number() over (partition by ioc_type, ioc_value order by event_id desc) as r from flag) select ioc_type, ioc_value, event_id, risk_score, severity as ai_severity from k where r = 1",
     "stream_daily_counts": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events group by all",
     "keyword_points": f"with {TE} select event_id, array_to_string({hits(dims.SERVICE_KEYWORDS, 'low')}, ',') as hits, least(5 * len({hits(dims.SERVICE_KEYWORDS, 'low')}), 25) as points from te",
@@ -397,6 +398,9 @@ select doc_id, w as word from (select doc_id, lower(text) as low from documents)
     "documents_ranked": f"""with base as (select doc_id as id, lower(coalesce(text, '')) as text from documents), {BM25("['the', 'worthless', 'entre', 'la', 'thention', 'und']", "a")}
 select id as doc_id, round(s, 6) as score from s_a order by round(s, 6) desc, id limit 100""",
     "documents_containing": "select doc_id, length(text)::bigint as n_chars from documents where contains(lower(text), 'gnu general')",
+    "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events) group by all",
+    "stream_new_indicators": f"with {TE} select distinct ioc_type, ioc_value from te",
+    "stream_alerts": f"with {ALERTS} select alert_id, case when event_id % 2 = 0 then 'resolved' else 'acknowledged' end as status, strftime(event_time::timestamp + interval 1 hour, '%Y-%m-%d %H:%M:%S') as acknowledged_at from alerts where event_id % 3 = 0",
     "search_scored": f"with {TE} select event_id from te where event_id % 3 = 0 or severity = 'critical'",
     "search_limited": f"with {TE}, f as (select event_id, count(*) over () as total from te where ioc_type = 'ip' and source_name = 'VirusTotal') select * from f order by event_id limit 25",
     "search_offset": f"with {TE} select event_id, ioc_type from te order by event_id limit 40 offset 15",

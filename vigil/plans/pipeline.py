@@ -4,7 +4,8 @@ A table is a folder of Parquet in generations. An upsert writes its batch, one r
 which a repeated batch replaces; a reader keeps the last row of each key over the generation's base and its
 batches. Every COMPACT batches the next generation's base is written from both, and a line added to the
 table's list of generations, so a lost job leaves the old one whole, and a batch's cost does not grow
-with the table but for its share of the compaction.
+with the table but for its share of the compaction. The generation before the last stays for those who
+still read it; older ones are removed.
 """
 
 from __future__ import annotations
@@ -38,10 +39,23 @@ def generation(spark: SparkSession, table: str) -> tuple[int, str]:
     return (0, "") if row is None else (row.generation, row.folder)
 
 
-def parts(spark: SparkSession, table: str) -> DataFrame | None:
-    """The rows of the base and of the batches after it; null if there are none."""
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in `path`; none where there is no such path."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [x.getPath().getName() for x in store.listStatus(at) if x.isDirectory()] if store.exists(at) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def parts(spark: SparkSession, table: str, before: int | None = None) -> DataFrame | None:
+    """The rows of the base and of the batches after it (without batch `before`, for one that is repeated); null if there are none."""
     no, base = generation(spark, table)
     batches = read(spark, f"{table}/batches-{no}")
+    batches = batches if batches is None or before is None else batches.filter(F.col("batch") != before)
     whole = read(spark, f"{table}/{base}") if base else None
     batches = None if batches is None else batches.drop("batch")
     return batches if whole is None else whole if batches is None else whole.unionByName(batches, allowMissingColumns=True)
@@ -72,17 +86,20 @@ def upsert(table: str, rows: DataFrame, version: int, keys: list[str] = KEY, ord
     spark = rows.sparkSession
     no, _ = generation(spark, table)
     latest(rows, keys, order).write.mode("overwrite").parquet(f"{table}/batches-{no}/batch={version}")
-    if version % COMPACT == COMPACT - 1:
+    if len(folders(spark, f"{table}/batches-{no}")) >= COMPACT:
         compact(spark, table, keys, order)
 
 
 def compact(spark: SparkSession, table: str, keys: list[str] = KEY, order: list[str] = ("processed_at", "event_id")) -> None:
-    """Writes the base of the next generation."""
+    """Writes the base of the next generation, and removes what lies before the last one."""
     whole = current(spark, table, keys, order)
     if whole is not None:
-        no, folder = generation(spark, table)[0] + 1, f"base-{uuid.uuid4()}"
+        (last, base), folder = generation(spark, table), f"base-{uuid.uuid4()}"
         whole.write.parquet(f"{table}/{folder}")
-        spark.createDataFrame([(no, folder)], "generation long, folder string").coalesce(1).write.mode("append").parquet(f"{table}/generations")
+        spark.createDataFrame([(last + 1, folder)], "generation long, folder string").coalesce(1).write.mode("append").parquet(f"{table}/generations")
+        for name in folders(spark, table):
+            if name.startswith("base-") and name not in (base, folder) or name.startswith("batches-") and int(name[8:]) < last:
+                remove(spark, f"{table}/{name}")
 
 
 def warehouse_rows(events: DataFrame, as_of: str) -> DataFrame:

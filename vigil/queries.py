@@ -15,7 +15,7 @@ from .oracles import ORACLES  # noqa: F401
 from .sources import json_events, pages, threat_event
 from .plans import pipeline
 from .storage import shared_dir
-from .streaming import incremental
+from .streaming import incremental, stateful
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Dictionary of words that occur in the synthetic documents.
@@ -195,6 +195,14 @@ def sector_summary(spark, sf_dir):
     return stats.sector_summary(e).select("sector", "n", *stats.LEVELS, "threat_level", F.coalesce(types, F.lit("")).alias("top_types"), F.coalesce(F.array_join(F.slice("actors", 1, 5), ","), F.lit("")).alias("actors"))
 
 
+@query
+def sector_api(spark, sf_dir):
+    """As the service gives the sectors: at most five actors, in order of first sight."""
+    e = events(spark, sf_dir).withColumn("sector", S.sector_first(F.col("description"), F.col("actors")))
+    types = F.array_join(F.transform("top_types", lambda x: F.concat_ws(":", x["threat_type"], x["n"].cast("string"))), ",")
+    return stats.sector_summary(e, first_seen=5).select("sector", "n", *stats.LEVELS, "threat_level", F.coalesce(types, F.lit("")).alias("top_types"), F.array_join("actors", ",").alias("actors"))
+
+
 @query
 def national_level(spark, sf_dir):
     rows = table(spark, sf_dir, "region").select(threat_event.pick(["finance", "transport", "energy", "retail", "healthcare"], F.col("r_regionkey")).alias("id"), F.col("r_regionkey").alias("ordinal"), (1 + F.col("r_regionkey") * 3 % 5).alias("criticalLevel"))
@@ -452,12 +460,16 @@ def alerts(spark, sf_dir):
     return stats.alerts(events(spark, sf_dir)).select("alert_id", "event_id", at("event_time"), "severity", "status")
 
 
+def alert_log(spark, sf_dir):
+    """Every third alert is acknowledged after an hour, every second of these resolved after two."""
+    steps = [F.struct(F.lit(s).alias("status"), F.make_dt_interval(hours=F.lit(h)).alias("later")) for s, h in (("acknowledged", 1), ("resolved", 2))]
+    log = stats.alerts(events(spark, sf_dir)).filter("event_id % 3 = 0").select("alert_id", "event_id", "event_time", F.explode(F.array(*steps)).alias("s")).filter("s.status = 'acknowledged' or event_id % 2 = 0")
+    return log.select("alert_id", (F.col("event_time") + F.col("s.later")).alias("at"), "s.status")
+
+
 @query
 def alert_kpis(spark, sf_dir):
-    found = stats.alerts(events(spark, sf_dir))
-    steps = [F.struct(F.lit(s).alias("status"), F.make_dt_interval(hours=F.lit(h)).alias("later")) for s, h in (("acknowledged", 1), ("resolved", 2))]
-    log = found.filter("event_id % 3 = 0").select("alert_id", "event_id", "event_time", F.explode(F.array(*steps)).alias("s")).filter("s.status = 'acknowledged' or event_id % 2 = 0")
-    return stats.alert_kpis(stats.alert_transitions(found, log.select("alert_id", (F.col("event_time") + F.col("s.later")).alias("at"), "s.status")))
+    return stats.alert_kpis(stats.alert_transitions(stats.alerts(events(spark, sf_dir)), alert_log(spark, sf_dir)))
 
 
 @query
@@ -611,11 +623,6 @@ def json_shapes(spark, sf_dir):
     return out.select(F.col("file").cast("long").alias("event_id"), "ioc_type", "ioc_value", "source_name", joined("threat_types"), "severity", "confidence")
 
 
-@query
-def synthetic_feed(spark, sf_dir):
-    return threat_event.synthetic(spark).groupBy(F.date_format("event_time", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
-
-
 @query
 def incremental_pipeline(spark, sf_dir):
     out = incremental.incremental(spark, f"{sf_dir}/events.parquet", dims.AS_OF)
@@ -627,6 +634,33 @@ def stream_daily_counts(spark, sf_dir):
     return incremental.daily(spark, f"{sf_dir}/events.parquet").select(day(), "event_type", "n")
 
 
+@query
+def stream_windows(spark, sf_dir):
+    """Daily counts by state and watermark: the days that the stream has closed."""
+    base = shared_dir(spark)
+    stateful.daily_windows(incremental.event_stream(spark, f"{sf_dir}/events.parquet"), f"{base}/days", f"{base}/checkpoint").awaitTermination()
+    return stateful.closed(spark, f"{base}/days").select(day(), "event_type", "n")
+
+
+@query
+def stream_new_indicators(spark, sf_dir):
+    """The warehouse after a stream whose repeated indicators are dropped by its state and by the warehouse."""
+    base = shared_dir(spark)
+    stream = threat_event.project(incremental.event_stream(spark, f"{sf_dir}/events.parquet"))
+    stateful.score_new(stream, f"{base}/warehouse", f"{base}/checkpoint", dims.AS_OF).awaitTermination()
+    return pipeline.current(spark, f"{base}/warehouse").select("ioc_type", "ioc_value")
+
+
+@query
+def stream_alerts(spark, sf_dir):
+    """The states of alerts after a stream of their log."""
+    base = shared_dir(spark)
+    alert_log(spark, sf_dir).select("alert_id", "at", "status").write.parquet(f"{base}/log")
+    log = spark.readStream.schema("alert_id string, at timestamp, status string").parquet(f"{base}/log")
+    stateful.alert_lives(log, f"{base}/alerts", f"{base}/checkpoint").awaitTermination()
+    return stateful.alert_states(spark, f"{base}/alerts").select("alert_id", "status", at("acknowledged_at"))
+
+
 # Rules of the dashboard and the ingest
 
 
@@ -831,7 +865,7 @@ def csv_document(spark, sf_dir):
 @query
 def json_document(spark, sf_dir):
     e = events(spark, sf_dir)
-    return export.json_document(export.json_documents(e).join(e.select("event_id", "event_time"), "event_id"), ["event_time", "event_id"], {"source": "feed"}, name="iocs")
+    return export.json_document(export.json_documents(e, ("event_id", "event_time")), ["event_time", "event_id"], {"source": "feed"}, name="iocs")
 
 
 @query

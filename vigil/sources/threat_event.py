@@ -58,15 +58,3 @@ def project(events: DataFrame) -> DataFrame:
     )
     out = out.withColumns({"severity": T.severity(F.col("severity_raw")), "confidence": T.confidence(F.col("confidence_raw"))})
     return out.withColumns({"actors": T.threat_actors(F.col("description")), "techniques": T.mitre_techniques(F.col("description"))})
-
-
-def synthetic(spark: SparkSession, days: int = 31, per_day: int = 25, start: str = "2024-01-01") -> DataFrame:
-    """A stress feed: `per_day` events on the first day and one more each day after, in three weighted scenarios."""
-    dated = spark.range(days).select(F.col("id").alias("day"), F.explode(F.sequence(F.lit(1), (F.col("id") + per_day).cast("int"))).alias("i"))
-    roll = F.pmod(F.xxhash64("day", "i"), F.lit(100))
-    scenario = F.when(roll < 50, "phishing_website").when(roll < 80, "payload_delivery").otherwise("cnc_server")
-    return dated.select(
-        F.concat_ws("-", "day", "i").alias("event_key"), (F.lit(start).cast("timestamp") + F.make_dt_interval(F.col("day").cast("int"), mins=(F.col("i") * 7 % 1440).cast("int"))).alias("event_time"), scenario.alias("threat_type"),
-        F.concat(F.substring(F.md5(F.concat_ws("-", "day", "i")), 1, 12), F.lit(".example.org")).alias("ioc_value"), F.lit("domain").alias("ioc_type"),
-        F.when(roll < 20, "critical").when(roll < 60, "high").otherwise("medium").alias("severity"),
-    )

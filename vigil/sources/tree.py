@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import shipped
+
 # Elements without content, elements that an equal or listed one closes, and those whose text isn't shown.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": ("li",), "p": ("p",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -142,5 +144,6 @@ def articles(pages: DataFrame, limit: int = 1000, html_col: str = "html") -> Dat
         for batch in batches:
             yield pd.DataFrame([article(h, limit) for h in batch], columns=["title", "content"])
 
+    shipped(pages.sparkSession)
     html: Column = F.coalesce(F.col(html_col), F.lit(""))
     return pages.select("page_id", of(html).alias("a")).select("page_id", F.substring("a.title", 1, 200).alias("title"), "a.content")
