@@ -21,10 +21,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, skew_join, stored
+from .shared import Sketch, discard, skew_join, stored
 from .simhash import covering_masks
 
 EDITS, MIN_CHARS = 2, 20
@@ -37,8 +37,6 @@ HOT_SEGMENT = 500
 CLASSES = 16
 #: A document is a copy of one earlier document if the lines it repeats from that one are more than this share of that document's characters, and of its own without what it repeats from others.
 COPY_SHARE = 0.5
-#: Rows without an id are dealt to so many places.
-SALTS = 64
 
 
 @lru_cache(maxsize=8192)
@@ -168,14 +166,14 @@ def candidates(docs: DataFrame, text_col: str, edits: int, min_chars: int) -> Da
 
 def first_texts(docs: DataFrame, known: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """`h`, `h2`, `doc`, `size`, `n`, `no`, `t` of each line whose hash is in `wanted`, from the first document that has it."""
-    places = known.join(wanted, "h").select("doc", "h", "h2", "size", "n")
-    by_doc = stored(places.groupBy("doc").agg(F.collect_list(F.struct("h", "h2", "size", "n")).alias("all")), "wanted")
-    # whole texts are dealt by document at every size, as they must be at the largest
-    texts = docs.select(F.col(id_col).alias("doc"), F.split(text_col, "\n").alias("lines")).join(by_doc.hint("merge"), "doc")
-    texts = texts.withColumn("hashes", F.transform("lines", lambda x: F.xxhash64(x))).select("doc", "lines", "hashes", F.explode("all").alias("e"))
-    texts = texts.withColumn("no", F.array_position("hashes", F.col("e.h"))).filter("no > 0").select("e.*", "doc", "no", F.get("lines", (F.col("no") - 1).cast("int")).alias("t"))
-    out = stored(texts.filter(F.xxhash64(F.lit(1), "t") == F.col("h2")).dropDuplicates(["h", "h2"]), "texts")
-    discard(by_doc)
+    places = stored(known.join(wanted, "h").select("doc", "h", "h2", "size", "n"), "wanted")
+    # lines leave their text where it lies, and only such as may be wanted
+    each = docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(text_col, "\n")).alias("no", "t")).select("doc", "no", "t", F.xxhash64("t").alias("h"))
+    wanted_here = Sketch(places.select(F.xxhash64("doc", "h").alias("at")), "at")
+    each = each.filter(wanted_here.holds(F.xxhash64("doc", "h"))).withColumn("h2", F.xxhash64(F.lit(1), "t"))
+    some = each.groupBy("doc", "h", "h2").agg(F.min_by("t", "no").alias("t"), (F.min("no") + 1).cast("long").alias("no"))
+    out = stored(some.join(places, ["doc", "h", "h2"]).select("h", "h2", "size", "n", "doc", "no", "t"), "texts")
+    discard(places)
     return out
 
 
@@ -227,12 +225,24 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
             rows = [rewrite(t, () if g is None else [tuple(x.values()) for x in g], min_chars, spare_copies) for t, g in zip(texts, sets, strict=True)]
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
-    no_id: Column = F.when(F.col(id_col).isNull(), F.pmod(F.xxhash64(text_col), F.lit(SALTS))).otherwise(0)
-    whole = docs.select(F.struct("*").alias("row"), no_id.alias("salt"))
-    joined = whole.join(per_doc.withColumn("place", F.lit(0)).hint("merge"), (F.col(f"row.`{id_col}`") == F.col("doc")) & (F.col("salt") == F.col("place")), "left")
-    out = joined.select("row", rewritten(F.col(f"row.`{text_col}`"), F.col("gone")).alias("new"))
+    touched = Sketch(per_doc.select(F.xxhash64("doc").alias("at")), "at")
+
+    @F.pandas_udf("here boolean, text string, n_lines long, n_removed long")
+    def rewritten_here(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for texts, hashes, without_id in batches:
+            here = without_id.to_numpy(bool) | ~touched.has(hashes.to_numpy(np.int64))
+            rows = [(True, *rewrite(t, (), min_chars, spare_copies)) if h else (False, None, 0, 0) for t, h in zip(texts, here, strict=True)]
+            yield pd.DataFrame(rows, columns=["here", "text", "n_lines", "n_removed"])
+
+    # documents that surely lose nothing to others are rewritten where they lie, and so are those without an id
+    whole, doc = docs.select(F.struct("*").alias("row")), F.col(f"row.`{id_col}`")
+    text = F.col(f"row.`{text_col}`")
+    here = whole.select("row", rewritten_here(text, F.xxhash64(doc), doc.isNull()).alias("new")).filter("new.here")
+    dealt = whole.filter(doc.isNotNull()).filter(touched.holds(F.xxhash64(doc))).join(per_doc, doc == F.col("doc"), "left").select("row", rewritten(text, F.col("gone")).alias("new"))
+    new = lambda rows: rows.select("row", *[F.col(f"new.{c}").alias(f"new_{c}") for c in ("text", "n_lines", "n_removed")])
+    out = new(here).unionByName(new(dealt))
     kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.select(*[F.col("new.text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.col("new.n_lines").alias("n_lines"), F.col("new.n_removed").alias("n_removed"))
+    return out.select(*[F.col("new_text").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in kept], F.col("new_n_lines").alias("n_lines"), F.col("new_n_removed").alias("n_removed"))
 
 
 def rewrite(text: str | None, gone, min_chars: int, spare_copies: bool = False) -> tuple[str | None, int, int]:

@@ -7,6 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,43 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, n
     return rows.join(hot, keys).unionByName(others.join(groups.filter(F.col(n_col) <= bound), keys, how))
 
 
+#: Bits of a sketch of hashes: 8 MB, whatever the number of rows.
+SKETCH_BITS = 1 << 26
+
+
+class Sketch:
+    """A test of 64-bit hashes: true for every hash in `column` of `keys`, and for few others while these are fewer than some ten million.
+
+    A bitmap of fixed size with two bits for each hash, put together on the executors. With very many keys it lets
+    more and more others pass, so it may only spare work, as a filter before an exact join.
+    """
+
+    def __init__(self, keys: DataFrame, column: str):
+        mask = SKETCH_BITS - 1
+        places = F.explode(F.array(F.col(column).bitwiseAND(mask), F.shiftrightunsigned(column, 32).bitwiseAND(mask)))
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+        table = keys.select(places.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(SKETCH_BITS >> 6, np.int64)
+        bits[table["w"].to_numpy()] = table["bits"].to_numpy()
+        self.sent = keys.sparkSession.sparkContext.broadcast(bits.view(np.uint8))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        """For signed hashes in a task."""
+        h, mask, out = hashes.view(np.uint64), np.uint64(SKETCH_BITS - 1), np.ones(len(hashes), bool)
+        for at in (h & mask, h >> np.uint64(32) & mask):
+            out &= self.sent.value[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+        return out
+
+    def holds(self, hashes: Column) -> Column:
+        """The test of a column without nulls."""
+
+        @F.pandas_udf("boolean")
+        def test(values: pd.Series) -> pd.Series:
+            return pd.Series(self.has(values.to_numpy(np.int64)))
+
+        return test(hashes)
+
+
 def words(text: Column) -> Column:
     """The maximal runs of characters other than ASCII white space; none for null or blank text."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
