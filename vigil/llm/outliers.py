@@ -3,8 +3,8 @@
 Every text gets counts, base rules and a vector of four transformed rates. For each (language, source), each language
 and the whole table, a minimum-covariance-determinant estimate is made: from three starts (quartiles; directions from the
 medians; the half nearest to the medians) concentration steps keep the SUBSET share of rows with the smallest
-Mahalanobis distances and estimate mean and covariance from them, until the rows no longer change; the start with
-the least determinant wins, and its estimate is made once more from all rows within the REWEIGHT quantile. A group's mean
+Mahalanobis distances and estimate mean and covariance from them, until the determinant no longer falls; the start with
+the least one wins, and its estimate is made once more from all rows within the REWEIGHT quantile. A group's mean
 and covariance are drawn towards its language's, a language's towards the table's, the more the fewer rows it has.
 Rows beyond a chi-square quantile of the distance are rejected.
 
@@ -27,8 +27,8 @@ from .shared import discard, stored, words
 
 WINDOW = 5
 SUBSET, REWEIGHT, SALTS = 0.75, 0.975, 64
-#: Concentration steps after which a start that has not settled is taken as it is.
-MOST_STEPS = 40
+#: A concentration step counts if the logarithm of the determinant falls by more; the most steps there are.
+FALL, MOST_STEPS = 1e-6, 40
 #: How many rows the estimate of the next wider level is worth.
 PRIOR_ROWS = 40
 #: Distances are ranked in so many bins a power of two.
@@ -126,11 +126,11 @@ def _sums() -> list[Column]:
 SUMS = [f"s{i}" for i in range(D)] + [f"q{i}{j}" for i, j in PAIRS]
 
 
-def _moments(sums: DataFrame, scale: float, *more: str) -> DataFrame:
+def _moments(sums: DataFrame, scale: float) -> DataFrame:
     """KEY, `total`, and from sums over `n` rows the means and the scaled covariance with the floors on its diagonal."""
     n = F.col("n")
-    state = sums.select(*KEY, "total", *more, *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(D)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in PAIRS])
-    return state.select(*KEY, "total", *more, *MEANS, *[((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + _floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
+    state = sums.select(*KEY, "total", *[(F.col(f"s{i}") / n).alias(f"m{i}") for i in range(D)], *[(F.col(f"q{i}{j}") / n).alias(f"q{i}{j}") for i, j in PAIRS])
+    return state.select(*KEY, "total", *MEANS, *[((F.col(f"q{i}{j}") - F.col(f"m{i}") * F.col(f"m{j}")) * scale + _floor(i, j)).alias(f"c{i}{j}") for i, j in PAIRS])
 
 
 def _floor(i: int, j: int) -> float:
@@ -191,31 +191,32 @@ def _nearest(rows: DataFrame, state: DataFrame, share: float, scale: float) -> D
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*KEY).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = parts.withColumn("before", before).filter(F.col("before") < F.ceil(share * F.col("total")))
     kept = inside.groupBy(*KEY).agg(F.max("total").alias("total"), F.sum("n").alias("n"), *[F.sum(x).alias(x) for x in SUMS])
-    # of the rows themselves, to see whether a step has changed anything
-    return _moments(kept.withColumn("sums", F.xxhash64("n", *SUMS)), scale, "sums")
+    return _moments(kept, scale)
 
 
 def _best(rows: DataFrame) -> DataFrame:
-    """Each group's state of the least determinant, after concentration steps from every start until none changes its rows; ties to the first by name.
+    """Each group's state of the least determinant, after concentration steps from every start until its determinant no longer falls; ties to the first by name.
 
-    A start whose rows still change after MOST_STEPS steps, as those of equal distance may go to and fro, is taken as it is then.
+    Whoever has settled takes no part in further steps. MOST_STEPS is far more than any start has needed.
     """
     quartiles = stored(_quartiles(rows), "quartiles")
-    half = _nearest(rows, quartiles, 0.5, 1.0).drop("sums").withColumn("start", F.lit("half"))
-    state = stored(quartiles.unionByName(_signs(rows, quartiles)).unionByName(half).withColumn("sums", F.lit(None).cast("long")), "starts")
+    half = _nearest(rows, quartiles, 0.5, 1.0).withColumn("start", F.lit("half"))
+    starts = stored(quartiles.unionByName(_signs(rows, quartiles)).unionByName(half), "starts")
     discard(quartiles)
-    settled, tables = [], [state]
+    columns = [*KEY, "total", *MEANS, *COVS, "log_det"]
+    step = lambda state, name: stored(_factored(_nearest(rows, state, SUBSET, consistency())).select(*columns), name)
+    state = step(starts, "step")
+    settled, tables = [], [starts, state]
     for _ in range(MOST_STEPS):
-        new = stored(_nearest(rows, state.drop("sums"), SUBSET, consistency()), "step")
-        tables.append(new)
-        both = new.join(state.select(*KEY, F.col("sums").alias("old")), KEY)
-        still = F.coalesce(F.col("sums") != F.col("old"), F.lit(True))
-        settled.append(both.filter(~still).drop("old", "sums"))
-        state = stored(both.filter(still).drop("old"), "changing")
-        tables.append(state)
+        new = step(state.drop("log_det"), "step")
+        both = new.join(state.select(*KEY, F.struct(*columns).alias("old")), KEY)
+        falls = F.col("log_det") < F.col("old.log_det") - FALL
+        settled.append(both.filter(~falls).select(F.when(F.col("log_det") <= F.col("old.log_det"), F.struct(*columns)).otherwise(F.col("old")).alias("s")).select("s.*"))
+        state = stored(both.filter(falls).select(*columns), "falling")
+        tables += [new, state]
         if state.isEmpty():
             break
-    done = _factored(reduce(DataFrame.unionByName, settled, state.drop("sums")))
+    done = reduce(DataFrame.unionByName, settled, state)
     least = F.min_by(F.struct("start", "total", *MEANS, *COVS), F.struct("log_det", "start"))
     out = stored(done.groupBy(*GROUP).agg(least.alias("s")).select(*GROUP, "s.*"), "least")
     discard(*tables)
