@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.llm import quality
+from vigil.llm.shared import shipped
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def docs(spark):
     bad = "BUY NOW!!! $$$ 100% FREE || CLICK HERE || !!! WIN 9999 ###"
     rows = [(i, (bad if i % 3 == 0 or i % 7 == 1 and i % 4 == 2 else good) + f" number {i}", f"p{i % 5}", f"host{i % 4}") for i in range(120)]
     rows += [(500, None, None, None), (501, "", "p0", "host0"), (502, good, "p9", "alone.example"), (503, bad, "p9", "alone2.example"), (1, rows[1][1], "p1", "host1"), (None, good, "p1", "host1"), (504, "long " * 50000, "p1", "host1")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    frame = shipped(spark).createDataFrame(rows, "doc_id long, text string, lang string, source string")
     for clash in ("host", "path", "n", "p", "classes", "length", "kept", "y"):
         frame = frame.withColumn(clash, F.lit(1))
     return frame
@@ -65,3 +66,23 @@ def test_labels_of_one_class_say_nothing(spark, docs):
 def test_labels_beyond_the_bound_are_thinned(spark, docs, monkeypatch):
     monkeypatch.setattr(quality, "MAX_LABELLED", 30)
     assert quality.classify(docs, labels_of(spark, docs)).filter("kept").count() > 0
+
+
+def test_fit_on_executors_equals_numpy(spark):
+    """Newton's method on the whole matrix; rows in any partitions."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    rows = pd.DataFrame({f: rng.normal(size=300) for f in quality.FEATURES} | {"y": rng.integers(0, 2, 300)})
+    rows["classes"] = [rng.integers(0, quality.HASHED, n).tolist() for n in rng.integers(0, 60, 300)]
+    x, y = quality.design(rows), rows["y"].to_numpy()
+    assert x.shape == (300, len(quality.FEATURES) + quality.HASHED + 1) and abs(x[0, len(quality.FEATURES) : -1].sum() - quality.SCALE * bool(rows["classes"][0])) < 1e-9
+    w, keep = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    keep[-1] = 1e-6
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-x @ w))
+        w += np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+    table = shipped(spark).createDataFrame(rows).withColumn("classes", F.col("classes").cast("array<short>"))
+    for parts in (1, 7):
+        assert np.allclose(quality.fit(table.repartition(parts)), w, atol=1e-6)

@@ -13,16 +13,21 @@ Probabilities are summed as millionths, so sums are exact and do not depend on p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import discard, skew_join, stored, words
 
 #: Labels beyond so many are thinned to about so many, by a hash of the document's id, to fit the classifier.
-MAX_LABELLED = 4_000
+MAX_LABELLED = 20_000
 #: Words are counted in so many classes by hash.
-HASHED = 128
+HASHED = 256
+#: Rows of a batch that are taken together.
+AT_ONCE = 1_000
 UNIT = 1_000_000
 #: What shares of words are multiplied with beside FEATURES, which are about 1.
 SCALE = 4.0
@@ -54,40 +59,65 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
-    """Logistic regression by Newton's method: weights of the columns and, last, the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w, keep = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
+def design(rows: pd.DataFrame) -> np.ndarray:
+    """A row's FEATURES, the shares of its words in each class, and one."""
+    sizes = np.array([len(c) for c in rows["classes"]], np.int64)
+    flat = np.concatenate([np.asarray(c, np.int64) for c in rows["classes"]]) if sizes.sum() else np.zeros(0, np.int64)
+    counts = np.bincount(np.repeat(np.arange(len(rows)), sizes) * HASHED + flat, minlength=len(rows) * HASHED).reshape(-1, HASHED)
+    shares = counts / np.maximum(1, sizes)[:, None] * SCALE
+    return np.column_stack([rows[list(FEATURES)].to_numpy(float), shares, np.ones(len(rows))])
+
+
+def fit(rows: DataFrame, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Logistic regression by Newton's method: weights of FEATURES, word classes and, last, the intercept.
+
+    Each round sums the gradient and the matrix of second derivatives over the rows on the executors; the driver gets
+    these sums alone, some 35,000 numbers, however many rows there are.
+    """
+    size = len(FEATURES) + HASHED + 1
+    w, keep = np.zeros(size), np.full(size, ridge)
     keep[-1] = 1e-6
+    up = np.triu_indices(size)
+
+    def sums(at: np.ndarray):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            second, first = np.zeros((size, size)), np.zeros(size)
+            for batch in batches:
+                for i in range(0, len(batch), AT_ONCE):
+                    some = batch.iloc[i : i + AT_ONCE]
+                    x = design(some)
+                    p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
+                    second += (x * (p * (1 - p))[:, None]).T @ x
+                    first += x.T @ (some["y"].to_numpy(float) - p)
+            yield pd.DataFrame({"i": np.append(up[0], np.arange(size)), "j": np.append(up[1], np.full(size, -1)), "v": np.append(second[up], first)})
+
+        return run
+
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(keep), x.T @ (y - p) - keep * w)
+        told = rows.mapInPandas(sums(w.copy()), "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+        i, j, v = (told[c].to_numpy() for c in ("i", "j", "v"))
+        second, first = np.zeros((size, size)), np.zeros(size)
+        of_first = j < 0
+        first[i[of_first]] = v[of_first]
+        second[i[~of_first], j[~of_first]] = second[j[~of_first], i[~of_first]] = v[~of_first]
+        step = np.linalg.solve(second + np.diag(keep), first - keep * w)
         w += step
-        if np.abs(step).max() < 1e-9:
+        if np.abs(step).max() < 1e-7:
             break
     return w
 
 
 def trained(table: DataFrame, labels: DataFrame, label_col: str = "quality") -> np.ndarray:
     """The classifier's weights (FEATURES, then word classes, then the intercept) from the rows of `table` that `labels` covers; zeros if those lack either class."""
-    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).alias("y")).distinct()
+    known = labels.filter(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label_col).cast("int").alias("y")).distinct()
     share = min(1.0, MAX_LABELLED / max(1, known.count()))
     if share < 1:
         known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    key = ["doc_id", "text_hash"]
-    some = stored(table.join(known, "doc_id").select(*key, *FEATURES, "classes", "y"), "labelled")
-    rows = some.drop("classes").distinct().toArrow().to_pandas().sort_values([*key, "y"], ignore_index=True)
-    y = rows["y"].to_numpy(float)
-    if len(set(y)) < 2:
-        discard(some)
-        return np.zeros(len(FEATURES) + HASHED + 1)
-    counts = some.select(*key, F.explode("classes").alias("c")).groupBy(*key, "c").agg(F.count("*").alias("n")).toArrow().to_pandas()
+    some = stored(table.join(known, "doc_id").select("doc_id", "text_hash", *FEATURES, "classes", "y").dropDuplicates(["doc_id", "text_hash", "y"]), "labelled")
+    both = some.agg(F.count_distinct("y")).first()[0] == 2
+    w = fit(some) if both else np.zeros(len(FEATURES) + HASHED + 1)
     discard(some)
-    counts = rows[key].reset_index(names="row").merge(counts, on=key)
-    shares = np.zeros((len(rows), HASHED))
-    shares[counts["row"], counts["c"]] = counts["n"]
-    shares /= np.maximum(1, shares.sum(axis=1))[:, None]
-    return fit(np.column_stack([rows[list(FEATURES)].to_numpy(float), shares * SCALE]), y)
+    return w
 
 
 def strength(n_rows: float, n_groups: float, sum_squares: float, spread: float, mean: float) -> float:
@@ -123,7 +153,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col:
     z = F.lit(float(w[-1]))
     for f, v in zip(FEATURES, w, strict=False):
         z = z + F.col(f) * float(v)
-    by_class = F.array(*[F.lit(float(v) * SCALE) for v in w[len(FEATURES) : -1]])
+    by_class = F.split(F.lit(",".join(repr(float(v) * SCALE) for v in w[len(FEATURES) : -1])), ",").cast("array<double>")
     z = z + F.aggregate("classes", F.lit(0.0), lambda total, c: total + F.get(by_class, c.cast("int"))) / F.greatest(F.size("classes"), F.lit(1))
     p = F.round(1 / (1 + F.exp(-z)) * UNIT).cast("long")
     scored = stored(table.select("doc_id", *SITE, "text_hash", p.alias("p")), "scores")
