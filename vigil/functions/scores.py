@@ -123,9 +123,8 @@ FACTORS = ["cross_source", "source_quality", "keywords", "entropy", "geo_risk",
 
 def top_factors(k: int = 5, names=FACTORS) -> Column:
     """The k largest factors with points, larger first, ties in factor order, as structs of factor and score."""
-    table = F.array(*[F.struct((-F.col(n)).alias("key"), F.lit(i).alias("i"), F.lit(n).alias("factor"), F.col(n).alias("score")) for i, n in enumerate(names)])
-    best = F.slice(F.sort_array(table), 1, k)
-    return F.transform(F.filter(best, lambda x: x["score"] > 0), lambda x: F.struct(x["factor"].alias("factor"), x["score"].alias("score")))
+    table = ", ".join(f"struct(-`{n}` as key, {i} as i, '{n}' as factor, `{n}` as score)" for i, n in enumerate(names))
+    return F.expr(f"transform(filter(slice(sort_array(array({table})), 1, {k}), x -> x.score > 0), x -> struct(x.factor as factor, x.score as score))")
 
 
 # Sectors

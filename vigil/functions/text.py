@@ -10,12 +10,24 @@ from pyspark.sql import functions as F
 from .. import dims
 
 
+def listed(words) -> Column:
+    """A constant array of strings in one expression, however many they are; Spark folds it when it plans."""
+    return F.split(F.lit("\n".join(words)), "\n") if words else F.array().cast("array<string>")
+
+
 def literals(values) -> Column:
+    if len(values) > 3 and all(isinstance(v, str) and "\n" not in v for v in values):
+        return listed(values)
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
 
 
 def lookup(mapping: dict, key: Column) -> Column:
-    """The value of `key` in a small constant mapping; null where it has none."""
+    """The value of `key` in a small constant mapping; null where it has none. Of strings to strings or numbers of one type it is one expression."""
+    kinds = {type(v) for v in mapping.values()}
+    if len(mapping) > 3 and len(kinds) == 1 and kinds <= {str, int, float} and all(isinstance(k, str) and not {"\n", "\t"} & {*k, *str(v)} for k, v in mapping.items()):
+        found = F.try_element_at(F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in mapping.items())), F.lit("\n"), F.lit("\t")), key)
+        kind = kinds.pop()
+        return found if kind is str else found.cast("int" if kind is int else "double")
     pairs = [F.lit(x) for kv in mapping.items() for x in kv]
     return F.try_element_at(F.create_map(*pairs), key)
 
@@ -27,6 +39,8 @@ def bands(value: Column, steps: list[tuple], otherwise) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
+    if len(words) > 3:
+        return F.exists(listed(words), lambda w: F.contains(text, w))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
@@ -38,13 +52,16 @@ def named_hits(cases: list[tuple]) -> Column:
 
 def count_hits(text: Column, words) -> Column:
     """How many of the words occur in a (lower-case) text."""
+    if len(words) > 3:
+        return F.size(F.filter(listed(words), lambda w: F.contains(text, w)))
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the characters of `text`; 0 for null or empty text."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
-    shares = F.transform(F.array_distinct(chars), lambda u: F.size(F.filter(chars, lambda c: c == u)) / F.size(chars))
+    # one replacement for each distinct character, not a test of every pair
+    shares = F.transform(F.array_distinct(chars), lambda u: (F.length(text) - F.length(F.replace(text, u, F.lit("")))) / F.length(text))
     bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.coalesce(bits, F.lit(0.0))
 
@@ -63,7 +80,7 @@ def entropy_full(value: Column) -> Column:
 def keyword_hits(text: Column, keywords=dims.SERVICE_KEYWORDS) -> Column:
     """The keywords that occur in the text, in dictionary order; a null text has none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return named_hits([(k, F.contains(low, F.lit(k))) for k in keywords])
+    return F.filter(listed(keywords), lambda k: F.contains(low, k))
 
 
 def mitre_techniques(text: Column) -> Column:
@@ -75,12 +92,15 @@ def mitre_techniques(text: Column) -> Column:
 def threat_actors(text: Column, actors=dims.TEXT_ACTORS) -> Column:
     """Actors whose name or an alias occurs in the text, any case, by canonical name in dictionary order."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return named_hits([(n, contains_any(low, [x.lower() for x in (n, *al)])) for n, al in actors.items()])
+    # each alias with its actor behind a tab
+    entries = listed([f"{x.lower()}\t{n}" for n, al in actors.items() for x in (n, *al)])
+    hits = F.filter(entries, lambda e: F.contains(low, F.substring_index(e, "\t", 1)))
+    return F.array_distinct(F.transform(hits, lambda e: F.substring_index(e, "\t", -1)))
 
 
 def threat_actors_simple(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return named_hits([(n, F.contains(low, F.lit(n.lower()))) for n in sorted(dims.SIMPLE_ACTORS)])
+    return F.filter(listed(sorted(dims.SIMPLE_ACTORS)), lambda n: F.contains(low, F.lower(n)))
 
 
 def severity(raw: Column) -> Column:

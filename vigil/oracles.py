@@ -398,6 +398,10 @@ select doc_id, w as word from (select doc_id, lower(text) as low from documents)
     "documents_ranked": f"""with base as (select doc_id as id, lower(coalesce(text, '')) as text from documents), {BM25("['the', 'worthless', 'entre', 'la', 'thention', 'und']", "a")}
 select id as doc_id, round(s, 6) as score from s_a order by round(s, 6) desc, id limit 100""",
     "documents_containing": "select doc_id, length(text)::bigint as n_chars from documents where contains(lower(text), 'gnu general')",
+    "bucketed_upsert": f"with {TE}, r as (select *, row_number() over (partition by ioc_type, ioc_value order by event_time desc, event_id desc) as k from te) select ioc_type, ioc_value, event_id, source_name from r where k = 1",
+    "bucketed_unknown": f"with {TE}, known as (select distinct ioc_type, ioc_value from te where event_id % 4 = 0) select event_id, ioc_type, ioc_value from te anti join known using (ioc_type, ioc_value)",
+    "rollup_dashboard": f"with {TE} select 'type' as dimension, ioc_type as key, count(*) as n from te group by ioc_type union all select 'severity', severity, count(*) from te group by severity union all select 'source', source_name, count(*) from te group by source_name",
+    "rollup_risk": f"with {FLAG} select ioc_type, round(avg(risk_score), 6) as avg_risk, count(*) as n from flag group by rollup (ioc_type)",
     "stream_windows": "select strftime(ts, '%Y-%m-%d') as day, event_type, count(*) as n from events where date_trunc('day', ts) + interval 2 day <= (select max(ts) from events) group by all",
     "stream_new_indicators": f"with {TE} select distinct ioc_type, ioc_value from te",
     "stream_alerts": f"with {ALERTS} select alert_id, case when event_id % 2 = 0 then 'resolved' else 'acknowledged' end as status, strftime(event_time::timestamp + interval 1 hour, '%Y-%m-%d %H:%M:%S') as acknowledged_at from alerts where event_id % 3 = 0",

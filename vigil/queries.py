@@ -13,7 +13,7 @@ from .functions import text as T
 from .operators import bayes, breakdown, dictionary, export, forecast, graph, scoring, search, stats, textindex, trend
 from .oracles import ORACLES  # noqa: F401
 from .sources import json_events, pages, threat_event
-from .plans import pipeline
+from .plans import buckets, pipeline, rollups
 from .storage import shared_dir
 from .streaming import incremental, stateful
 
@@ -661,6 +661,49 @@ def stream_alerts(spark, sf_dir):
     return stateful.alert_states(spark, f"{base}/alerts").select("alert_id", "status", at("acknowledged_at"))
 
 
+def rolled(spark, sf_dir, e):
+    """The state after the events came in five batches."""
+    table = f"{shared_dir(spark)}/rollups"
+    for i in range(5):
+        rollups.add(table, e.filter(F.col("event_id") % 5 == i), i)
+    return rollups.current(spark, table)
+
+
+@query
+def rollup_dashboard(spark, sf_dir):
+    """The dashboard's counts, merged from the states of batches."""
+    return rollups.dashboard_counts(rolled(spark, sf_dir, events(spark, sf_dir)))
+
+
+@query
+def rollup_risk(spark, sf_dir):
+    return rollups.average_risk(rolled(spark, sf_dir, scoring.service_score(events(spark, sf_dir))))
+
+
+def bucketed(spark, sf_dir):
+    """The folder of a bucketed table, after two upserts of two thirds of the events each."""
+    folder = f"{shared_dir(spark)}/bucketed"
+    e = events(spark, sf_dir).select(*scoring.KEY, "event_id", "source_name", F.col("event_time").alias("processed_at"))
+    for i in range(2):
+        buckets.upsert(e.filter(F.col("event_id") % 3 != i), folder)
+    return folder
+
+
+@query
+def bucketed_upsert(spark, sf_dir):
+    """The last event of each indicator, from a table in buckets."""
+    return buckets.open_table(spark, bucketed(spark, sf_dir)).select(*scoring.KEY, "event_id", "source_name")
+
+
+@query
+def bucketed_unknown(spark, sf_dir):
+    """The events whose indicator a table in buckets lacks."""
+    folder = f"{shared_dir(spark)}/bucketed"
+    e = events(spark, sf_dir).select(*scoring.KEY, "event_id", F.col("event_time").alias("processed_at"))
+    buckets.upsert(e.filter("event_id % 4 = 0"), folder)
+    return buckets.unknown(e, folder).select("event_id", *scoring.KEY)
+
+
 # Rules of the dashboard and the ingest
 
 

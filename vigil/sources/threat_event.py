@@ -14,7 +14,7 @@ from ..functions import text as T
 
 
 def pick(values: list, index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(T.literals(values), index.cast("int"))
 
 
 def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
