@@ -28,7 +28,7 @@ from .shared import discard, stored, words
 WINDOW = 5
 SUBSET, REWEIGHT, SALTS = 0.75, 0.975, 64
 #: A concentration step counts if the logarithm of the determinant falls by more; the most steps there are.
-FALL, MOST_STEPS = 1e-6, 40
+FALL, MOST_STEPS = 1e-3, 40
 #: How many rows the estimate of the next wider level is worth.
 PRIOR_ROWS = 40
 #: Distances are ranked in so many bins a power of two.
@@ -113,7 +113,7 @@ GROUP = ["lang", "source"]
 ANY = "*"
 
 
-MEANS, COVS = [f"m{i}" for i in range(D)], [f"c{i}{j}" for i, j in PAIRS]
+MEANS, COVS, FACTORS = [f"m{i}" for i in range(D)], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
 STARTS = ("quartiles", "signs", "half")
 KEY = [*GROUP, "start"]
 
@@ -149,7 +149,7 @@ def _factored(state: DataFrame) -> DataFrame:
 
 def _distances(rows: DataFrame, state: DataFrame, salted: bool = True) -> DataFrame:
     """Rows with the columns of their group's states, and their squared Mahalanobis distance `d2` under each."""
-    state = _factored(state)
+    state = state if "log_det" in state.columns else _factored(state)
     if salted:
         found = rows.join(state.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*GROUP, "salt"])
     else:
@@ -203,17 +203,19 @@ def _best(rows: DataFrame) -> DataFrame:
     half = _nearest(rows, quartiles, 0.5, 1.0).withColumn("start", F.lit("half"))
     starts = stored(quartiles.unionByName(_signs(rows, quartiles)).unionByName(half), "starts")
     discard(quartiles)
-    columns = [*KEY, "total", *MEANS, *COVS, "log_det"]
-    step = lambda state, name: stored(_factored(_nearest(rows, state, SUBSET, consistency())).select(*columns), name)
-    state = step(starts, "step")
+    columns = [*KEY, "total", *MEANS, *COVS, *FACTORS, "log_det"]
+    step = lambda state: _factored(_nearest(rows, state, SUBSET, consistency())).select(*columns)
+    state = stored(step(starts), "step")
     settled, tables = [], [starts, state]
     for _ in range(MOST_STEPS):
-        new = step(state.drop("log_det"), "step")
-        both = new.join(state.select(*KEY, F.struct(*columns).alias("old")), KEY)
+        both = step(state).join(state.select(*KEY, F.struct(*columns).alias("old")), KEY)
+        # each step is one table: what falls on, and the better of the two where it does not
         falls = F.col("log_det") < F.col("old.log_det") - FALL
-        settled.append(both.filter(~falls).select(F.when(F.col("log_det") <= F.col("old.log_det"), F.struct(*columns)).otherwise(F.col("old")).alias("s")).select("s.*"))
-        state = stored(both.filter(falls).select(*columns), "falling")
-        tables += [new, state]
+        least = F.when(F.col("log_det") <= F.col("old.log_det"), F.struct(*columns)).otherwise(F.col("old"))
+        table = stored(both.select(falls.alias("falls"), least.alias("s")).select("falls", "s.*"), "step")
+        tables.append(table)
+        settled.append(table.filter("not falls").select(*columns))
+        state = table.filter("falls").select(*columns)
         if state.isEmpty():
             break
     done = reduce(DataFrame.unionByName, settled, state)
