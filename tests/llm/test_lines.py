@@ -83,3 +83,15 @@ def test_pipeline_line_dedup_of_an_empty_table(spark):
 
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert corpus_pipeline.fresh_lines(spark, docs, "").count() == 0
+
+
+def test_chains_and_very_long_texts(spark):
+    """Along a chain of lines two edits apart each, all but the first go, as the docstring of the module says; long texts and lines stay whole."""
+    line = "a line of text that is long enough to be told apart"
+    step = lambda s, n: s[: 10 + n] + "##" + s[12 + n :]
+    second, third = step(line, 0), step(step(line, 0), 10)
+    fresh = [f"line number {i} of the long text, number {i * 7919} of all" for i in range(30000)]
+    rows = [(1, line), (2, second), (3, third), (4, "\n".join(fresh)), (5, "x" * 300000), (6, "\n".join([*fresh[:3], "and something of its own in it"]))]
+    got = {r.doc_id: r.text for r in lines.deduplicate(shared.shipped(spark).createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == line and got[2] == got[3] == "" and got[5] == "x" * 300000 and got[6] == "and something of its own in it"
+    assert got[4].split("\n")[0] == fresh[0]

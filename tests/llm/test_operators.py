@@ -265,3 +265,17 @@ def test_top_k_matches_brute_force(spark):
 
 def test_top_k_of_an_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_top_k_with_repeated_ids(spark):
+    """Rows that share an id do not find each other; each is a candidate for others."""
+    rng = np.random.default_rng(8)
+    data = [(i // 2, [float(x) for x in rng.normal(size=6).round(3)]) for i in range(300)]
+    rows = shipped(spark).createDataFrame(data, "vec_id long, embedding array<float>")
+    got = topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5, shard=64, block=3).collect()
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in data]
+    expected = Counter()
+    for q in {i for i, _ in data if i % 50 == 0}:
+        scores = sorted(((int(v @ x), -j) for i, x in whole if i == q for j, v in whole if j != q), reverse=True)[:5]
+        expected.update((q, k, -j, s) for k, (s, j) in enumerate(scores, 1))
+    assert Counter((r.query_id, r.rank, r.vec_id, r.score) for r in got) == expected
