@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.taskcontext import TaskContext
 
-from .shared import discard, skew_join, stored
+from .shared import discard, own_memory, skew_join, stored
 
 #: Documents of a block have about so many characters together, or are one; and there are no more than so many.
 BLOCK_CHARS, BLOCK_DOCS = 2_000_000, 4096
@@ -202,6 +202,7 @@ def links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
     """
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_memory("alignment")
         pair = pair_of(path_a, path_b)
         task = TaskContext.get().partitionId()
         for k, (ids, texts) in enumerate(blocks(batches)):

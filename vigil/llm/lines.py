@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Sketch, discard, skew_join, stored
+from .shared import Sketch, blocks_of, discard, own_memory, skew_join, stored
 from .simhash import covering_masks
 
 EDITS, MIN_CHARS = 2, 20
@@ -106,6 +106,7 @@ def segment_keys(docs: DataFrame, text_col: str, edits: int, min_chars: int, ind
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_memory("lines")
         seen: set[int] = set()
         digest = xxhash.xxh64_intdigest
         keys, hashes, counts, found, room = [], [], [], [], 0
@@ -221,18 +222,22 @@ def deduplicate(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS,
 
     @F.pandas_udf("text string, n_lines long, n_removed long")
     def rewritten(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own_memory("lines")
         for texts, sets in batches:
-            rows = [rewrite(t, () if g is None else [tuple(x.values()) for x in g], min_chars, spare_copies) for t, g in zip(texts, sets, strict=True)]
-            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
+            for i, j in blocks_of(texts):
+                rows = [rewrite(t, () if g is None else [tuple(x.values()) for x in g], min_chars, spare_copies) for t, g in zip(texts[i:j], sets[i:j], strict=True)]
+                yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
 
     touched = Sketch(per_doc.select(F.xxhash64("doc").alias("at")), "at")
 
     @F.pandas_udf("here boolean, text string, n_lines long, n_removed long")
     def rewritten_here(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        own_memory("lines")
         for texts, hashes, without_id in batches:
             here = without_id.to_numpy(bool) | ~touched.has(hashes.to_numpy(np.int64))
-            rows = [(True, *rewrite(t, (), min_chars, spare_copies)) if h else (False, None, 0, 0) for t, h in zip(texts, here, strict=True)]
-            yield pd.DataFrame(rows, columns=["here", "text", "n_lines", "n_removed"])
+            for i, j in blocks_of(texts):
+                rows = [(True, *rewrite(t, (), min_chars, spare_copies)) if h else (False, None, 0, 0) for t, h in zip(texts[i:j], here[i:j], strict=True)]
+                yield pd.DataFrame(rows, columns=["here", "text", "n_lines", "n_removed"])
 
     # documents that surely lose nothing to others are rewritten where they lie, and so are those without an id
     whole, doc = docs.select(F.struct("*").alias("row")), F.col(f"row.`{id_col}`")
@@ -258,12 +263,12 @@ def rewrite(text: str | None, gone, min_chars: int, spare_copies: bool = False)
         others.setdefault(int(h), set()).add(int(first))
         sizes[int(first)] = int(size)
     for line in text.split("\n"):
-        h = _signed(xxhash.xxh64_intdigest(line.encode(), 42)) if len(line) >= min_chars else None
-        if h is not None and line in seen:
+        long = len(line) >= min_chars
+        if long and line in seen:
             continue
-        seen.add(line) if h is not None else None
+        seen.add(line) if long else None
         own.append(line)
-        marks.append(others.get(h, ()))
+        marks.append(others.get(_signed(xxhash.xxh64_intdigest(line.encode(), 42)), ()) if long and others else ())
     n = text.count("\n") + 1
     copied = None
     if spare_copies and others:

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, skew_join, stored
+from .shared import blocks_of, discard, own_memory, skew_join, stored
 from .simhash import _signed, components, covering_masks, word_fingerprints
 
 SHINGLE, SIMILARITY = 5, 0.8
@@ -141,7 +141,8 @@ def unshared(texts: DataFrame) -> DataFrame:
     @F.pandas_udf("array<long>")
     def hashes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for some in batches:
-            yield pd.Series([shingles(t).view(np.int64) for t in some], dtype=object)
+            for i, j in blocks_of(some):
+                yield pd.Series([shingles(t).view(np.int64) for t in some[i:j]], dtype=object)
 
     each = texts.select("doc_id", F.explode(hashes("text")).alias("h"))
     alone = each.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")).filter("n = 1")
@@ -157,9 +158,11 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
 
     @F.pandas_udf("words binary, size int, fps array<long>, bands array<long>")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        own_memory("nearcopies")
         for texts in batches:
-            split, sets = [words_of(t) for t in texts], [shingles(t) for t in texts]
-            yield pd.DataFrame({"size": [len(x) for x in sets], "words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "fps": [word_fingerprints(w, FAMILIES) for w in split], "bands": [bands(x) for x in sets]})
+            for i, j in blocks_of(texts):
+                split, sets = [words_of(t) for t in texts[i:j]], [shingles(t) for t in texts[i:j]]
+                yield pd.DataFrame({"size": [len(x) for x in sets], "words": [xxhash.xxh3_128_digest(b" ".join(w)) for w in split], "fps": [word_fingerprints(w, FAMILIES) for w in split], "bands": [bands(x) for x in sets]})
 
     prints = stored(docs.select("doc_id", hashed("text").alias("h")).select("doc_id", "h.*"), "prints")
     same = stored(prints.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last"), F.count("*").alias("n")), "same")
@@ -192,7 +195,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> t
     @F.pandas_udf("array<long>")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([signature(shingles(t)) for t in texts], dtype=object)
+            for i, j in blocks_of(texts):
+                yield pd.Series([signature(shingles(t)) for t in texts[i:j]], dtype=object)
 
     known = some.select("doc_id", "size", signed("text").alias("signs")).join(unshared(some), "doc_id", "left")
     shares = stored(known.select("doc_id", "size", "signs", (F.col("size") - F.coalesce("own", F.lit(0))).alias("shared")), "shares")

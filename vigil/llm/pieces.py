@@ -23,10 +23,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import own_memory
+
 MARK = "▁"
 SHARPNESS = 1.0
 #: Units whose lattices a Python worker remembers.
-MEMO = 300_000
+MEMO = 200_000
+#: Characters of new units whose lattices are made together.
+AT_ONCE = 25_000
 #: Texts are encoded and given out in blocks of about so many characters, so that a worker holds no more than one.
 BLOCK = 400_000
 UNIT = re.compile(r"\n| +[^ \n]*|[^ \n]+")
@@ -68,11 +72,21 @@ class Lattices:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}  # the number of a unit's lattice
-        self.node = np.empty(0, np.int64)  # by lattice: its first position
-        self.lengths = np.empty(0, np.int64)  # by lattice: the characters of its unit
-        self.begins = np.zeros(1, np.int64)  # by position: its first incoming edge; one more at the end
+        self.node = np.empty(0, np.int32)  # by lattice: its first position
+        self.lengths = np.empty(0, np.int32)  # by lattice: the characters of its unit
+        self.begins = np.zeros(1, np.int32)  # by position: its first incoming edge; one more at the end
         self.shares = np.empty(0, np.float32)  # by edge: the sum of shares of its position up to it
         self.pieces, self.spans = np.empty(0, np.int32), np.empty(0, np.int16)
+        self.n_positions = self.n_edges = 0
+
+    def _append(self, name: str, size: int, more: np.ndarray) -> None:
+        """Writes `more` behind the first `size` of an array, which doubles when it is full."""
+        held = getattr(self, name)
+        if size + len(more) > len(held):
+            held = np.empty(max(2 * len(held), size + len(more)), held.dtype)
+            held[:size] = getattr(self, name)[:size]
+            setattr(self, name, held)
+        held[size : size + len(more)] = more
 
     def _hashes(self, codes: np.ndarray) -> list[np.ndarray]:
         """For each length: of every position, a hash of as many characters that end there (garbage before the start)."""
@@ -122,13 +136,15 @@ class Lattices:
                 for k in range(reach):
                     sums[at - k] /= total
         used = weights > 0
-        self.shares = np.concatenate([self.shares, np.cumsum(weights, axis=1)[used].astype(np.float32)])
-        self.pieces = np.concatenate([self.pieces, pieces[used]])
-        self.spans = np.concatenate([self.spans, (np.nonzero(used)[1] + 1).astype(np.int16)])
-        first = len(self.begins) - 1
-        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(used.sum(axis=1))])
-        self.node = np.concatenate([self.node, first + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        n_units = len(self.known)
+        self._append("shares", self.n_edges, np.cumsum(weights, axis=1)[used])
+        self._append("pieces", self.n_edges, pieces[used])
+        self._append("spans", self.n_edges, np.nonzero(used)[1] + 1)
+        self._append("begins", self.n_positions + 1, self.n_edges + np.cumsum(used.sum(axis=1)))
+        self._append("node", n_units, self.n_positions + np.cumsum(lengths) - lengths)
+        self._append("lengths", n_units, lengths)
+        self.n_positions += len(codes)
+        self.n_edges += int(used.sum())
         self.known.update(zip(units, range(len(self.known), len(self.known) + len(units)), strict=True))
 
     def encode(self, texts: list[str], keys: list[int], seed: int) -> list[np.ndarray]:
@@ -142,17 +158,17 @@ class Lattices:
         at, room = 0, 0
         for i, u in enumerate(new):
             room += len(u)
-            if room > 100_000 or i + 1 == len(new):
+            if room > AT_ONCE or i + 1 == len(new):
                 self._learn(new[at : i + 1])
                 at, room = i + 1, 0
         owners = np.array([len(x) for x in split])
         total = len(units)
         unit = np.fromiter(map(self.known.__getitem__, units), np.int64, total)
-        left = self.lengths[unit]
+        left = self.lengths[unit].astype(np.int64)
         owner = np.repeat(np.arange(len(texts)), owners)
         place = np.arange(total) - np.repeat(np.cumsum(owners) - owners, owners)
         state = _mixed(np.array(keys, np.uint64)[owner] + _mixed(place.astype(np.uint64) + np.uint64(((seed + 1) << 40) % 2**64)))
-        base, who, out, step = self.node[unit] - 1, np.arange(total), [], 0
+        base, who, out, step = self.node[unit].astype(np.int64) - 1, np.arange(total), [], 0
         while len(who):  # backward sampling: one piece of every unit that is not used up
             r = (_mixed(state[who] + np.uint64((step + 1) * 0xD1342543DE82EF95 % 2**64)) >> np.uint64(11)) * 2.0**-53
             q = base[who] + left[who]
@@ -219,6 +235,7 @@ def encode(docs: DataFrame, path: str, seed: int = 0, sharpness: float = SHARPNE
 
     @F.pandas_udf("array<int>")
     def of(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        own_memory("pieces")
         model = lattices(path, sharpness)
         for texts, names in batches:
             some, keys, room = [], [], 0

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import discard, skew_join, stored, words
+from .shared import discard, own_memory, skew_join, stored, words
 
 #: Labels beyond so many are thinned to about so many, by a hash of the document's id, to fit the classifier.
 MAX_LABELLED = 20_000
@@ -81,6 +81,7 @@ def fit(rows: DataFrame, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
 
     def sums(at: np.ndarray):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own_memory("quality")
             second, first = np.zeros((size, size)), np.zeros(size)
             for batch in batches:
                 for i in range(0, len(batch), AT_ONCE):

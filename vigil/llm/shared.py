@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +90,40 @@ def skew_join(rows: DataFrame, groups: DataFrame, keys: list[str], total: int, n
     return rows.join(hot, keys).unionByName(others.join(groups.filter(F.col(n_col) <= bound), keys, how))
 
 
+#: What modules remember in a Python worker between tasks.
+MEMOS = (("pieces", "lattices"), ("alignment", "pair_of"), ("tokencount", "remembered"))
+_owner = [""]
+
+
+def own_memory(module: str) -> None:
+    """Called by a module's functions in a worker: what other modules remember there is forgotten, so that operators that follow each other don't add up."""
+    if _owner[0] == module:
+        return
+    for other, memo in MEMOS:
+        held = sys.modules.get(f"{__package__}.{other}")
+        if held and other != module:
+            getattr(held, memo).cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library can, give free memory back
+        ctypes.CDLL(None).malloc_trim(0)
+    _owner[0] = module
+
+
+#: Characters of texts that a function works on at a time.
+BLOCK_CHARS = 250_000
+
+
+def blocks_of(texts: pd.Series) -> Iterator[tuple[int, int]]:
+    """Places from and to which a batch's texts have about BLOCK_CHARS characters together, so that a worker holds the results of no more."""
+    start, room = 0, 0
+    for i, t in enumerate(texts, 1):
+        room += len(t or "")
+        if room > BLOCK_CHARS or i == len(texts):
+            yield start, i
+            start, room = i, 0
+
+
 #: Bits of a sketch of hashes: 8 MB, whatever the number of rows.
 SKETCH_BITS = 1 << 26
 

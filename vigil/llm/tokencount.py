@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import own_memory
+
 CHUNK_CHARS, OVERLAP_CHARS = 65_536, 1024
 #: Pieces of text whose counts a task remembers.
 MEMO = 1_000_000
@@ -139,6 +141,7 @@ def count_tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        own_memory("tokencount")
         tok, known = tokenizer(path), remembered(path)
         if not cuts_at_space(path):
             for texts in batches:
