@@ -149,3 +149,13 @@ def test_analyzed_verdicts(spark):
     assert (got[1].score, got[1].severity, got[1].confidence, got[1].category, got[1].actions) == (100.0, "high", 0.0, "other", ["block"])
     assert (got[2].score, got[2].severity, got[2].confidence, got[2].actors, got[2].summary) == (0.0, "clean", 50.0, [], "")
     assert got[3] is None and got[4] is None
+
+
+@pytest.mark.parametrize("column", [
+    lambda x: S.sector_match(x, F.lit("v"), F.lit("ip"), T.literals([]), F.lit("title"), T.literals([])), lambda x: S.keywords(x), lambda x: T.keyword_hits(x), lambda x: T.threat_actors(x),
+    lambda x: T.threat_actors_simple(x), lambda x: T.contains_any(x, ["a", "b", "c", "d"]), lambda x: T.entropy(x),
+])
+def test_a_text_is_computed_once_for_all_words(spark, column):
+    """What stands inside a lambda is computed for each of its elements."""
+    said = str(column(F.upper(F.lit("the marker"))))
+    assert said.count("the marker") == 1 and "array(" in said[: said.index("the marker")]

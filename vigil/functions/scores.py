@@ -80,7 +80,7 @@ def tactics_of(techniques: Column) -> Column:
     table = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n.lower()).alias("name"), F.lit(t[0].lower()).alias("id")) for i, (n, t) in enumerate(dims.TACTICS.items())])
 
     def first(technique: Column) -> Column:
-        hits = F.filter(table, lambda t: F.contains(F.lower(technique), t["name"]) | F.contains(F.lower(technique), t["id"]))
+        hits = T.let(F.lower(technique), lambda low: F.filter(table, lambda t: F.contains(low, t["name"]) | F.contains(low, t["id"])))
         return F.coalesce(F.try_element_at(hits, F.lit(1))["i"], F.lit(-1))
 
     return F.transform(techniques, first)
@@ -139,13 +139,17 @@ def sector_match(text: Column, value: Column, kind: Column, actors: Column, titl
         text = F.concat_ws(" ", F.lit(None).cast("string") if title is None else title, text, F.lit(None).cast("string") if tags is None else F.array_join(tags, " "))
     low, value = F.lower(F.coalesce(text, F.lit(""))), F.lower(F.coalesce(value, F.lit("")))
     names = F.concat(F.lit("\n"), F.array_join(F.coalesce(F.transform(actors, F.trim), T.literals([])), "\n\n"), F.lit("\n"))
-    out = []
-    for i, (name, (bonus, keys, patterns, known)) in enumerate(dims.SECTORS.items()):
-        by_key = F.least(T.count_hits(low, keys) * 0.1, F.lit(0.4))
-        by_domain = F.when(kind.isin("domain", "url", "hostname"), F.least(T.count_hits(value, patterns) * 0.15, F.lit(0.3))).otherwise(0.0)
-        by_actor = F.least(F.regexp_count(names, F.lit("\n(" + "|".join(known) + ")\n")) * 0.15, F.lit(0.3))
-        out.append(F.struct((by_key + by_domain + by_actor).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("sector"), F.lit(bonus).alias("bonus")))
-    return F.greatest(*out)
+
+    def best(x: Column) -> Column:
+        out = []
+        for i, (name, (bonus, keys, patterns, known)) in enumerate(dims.SECTORS.items()):
+            by_key = F.least(T.count_hits(x["low"], keys) * 0.1, F.lit(0.4))
+            by_domain = F.when(kind.isin("domain", "url", "hostname"), F.least(T.count_hits(x["value"], patterns) * 0.15, F.lit(0.3))).otherwise(0.0)
+            by_actor = F.least(F.regexp_count(x["names"], F.lit("\n(" + "|".join(known) + ")\n")) * 0.15, F.lit(0.3))
+            out.append(F.struct((by_key + by_domain + by_actor).alias("score"), F.lit(-i).alias("rank"), F.lit(name).alias("sector"), F.lit(bonus).alias("bonus")))
+        return F.greatest(*out)
+
+    return T.let(F.struct(low.alias("low"), value.alias("value"), names.alias("names")), best)
 
 
 def sector_result(best: Column) -> Column:

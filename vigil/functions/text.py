@@ -32,6 +32,11 @@ def lookup(mapping: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def let(value: Column, body) -> Column:
+    """`body` of `value`, computed once: what a lambda takes in from outside is computed again for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def bands(value: Column, steps: list[tuple], otherwise) -> Column:
     """The label of the first step whose floor `value` reaches."""
     out = reduce(lambda c, s: c.when(value >= s[0], s[1]), steps[1:], F.when(value >= steps[0][0], steps[0][1]))
@@ -40,7 +45,7 @@ def bands(value: Column, steps: list[tuple], otherwise) -> Column:
 
 def contains_any(text: Column, words) -> Column:
     if len(words) > 3:
-        return F.exists(listed(words), lambda w: F.contains(text, w))
+        return let(text, lambda t: F.exists(listed(words), lambda w: F.contains(t, w)))
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
 
 
@@ -53,17 +58,20 @@ def named_hits(cases: list[tuple]) -> Column:
 def count_hits(text: Column, words) -> Column:
     """How many of the words occur in a (lower-case) text."""
     if len(words) > 3:
-        return F.size(F.filter(listed(words), lambda w: F.contains(text, w)))
+        return let(text, lambda t: F.size(F.filter(listed(words), lambda w: F.contains(t, w))))
     return reduce(lambda a, b: a + b, [F.contains(text, F.lit(w)).cast("int") for w in words])
 
 
 def entropy(text: Column) -> Column:
     """Shannon entropy in bits of the characters of `text`; 0 for null or empty text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    # one replacement for each distinct character, not a test of every pair
-    shares = F.transform(F.array_distinct(chars), lambda u: (F.length(text) - F.length(F.replace(text, u, F.lit("")))) / F.length(text))
-    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
-    return F.coalesce(bits, F.lit(0.0))
+
+    def of(text: Column) -> Column:
+        chars = F.filter(F.split(text, ""), lambda c: c != "")
+        # one replacement for each distinct character, not a test of every pair
+        shares = F.transform(F.array_distinct(chars), lambda u: (F.length(text) - F.length(F.replace(text, u, F.lit("")))) / F.length(text))
+        return F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    return F.coalesce(let(text, of), F.lit(0.0))
 
 
 def entropy_service(value: Column) -> Column:
@@ -80,7 +88,7 @@ def entropy_full(value: Column) -> Column:
 def keyword_hits(text: Column, keywords=dims.SERVICE_KEYWORDS) -> Column:
     """The keywords that occur in the text, in dictionary order; a null text has none."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(listed(keywords), lambda k: F.contains(low, k))
+    return let(low, lambda t: F.filter(listed(keywords), lambda k: F.contains(t, k)))
 
 
 def mitre_techniques(text: Column) -> Column:
@@ -94,13 +102,13 @@ def threat_actors(text: Column, actors=dims.TEXT_ACTORS) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
     # each alias with its actor behind a tab
     entries = listed([f"{x.lower()}\t{n}" for n, al in actors.items() for x in (n, *al)])
-    hits = F.filter(entries, lambda e: F.contains(low, F.substring_index(e, "\t", 1)))
+    hits = let(low, lambda t: F.filter(entries, lambda e: F.contains(t, F.substring_index(e, "\t", 1))))
     return F.array_distinct(F.transform(hits, lambda e: F.substring_index(e, "\t", -1)))
 
 
 def threat_actors_simple(text: Column) -> Column:
     low = F.lower(F.coalesce(text, F.lit("")))
-    return F.filter(listed(sorted(dims.SIMPLE_ACTORS)), lambda n: F.contains(low, F.lower(n)))
+    return let(low, lambda t: F.filter(listed(sorted(dims.SIMPLE_ACTORS)), lambda n: F.contains(t, F.lower(n))))
 
 
 def severity(raw: Column) -> Column:
