@@ -159,3 +159,17 @@ def test_a_text_is_computed_once_for_all_words(spark, column):
     """What stands inside a lambda is computed for each of its elements."""
     said = str(column(F.upper(F.lit("the marker"))))
     assert said.count("the marker") == 1 and "array(" in said[: said.index("the marker")]
+
+
+def test_events_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    """One row group lies in one task, however many splits the file has; a large table makes more tasks, not longer ones."""
+    spark.range(4000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(threat_event, "TASK_ROWS", 100)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        rows = spark.read.parquet(f"{tmp_path}/t")
+        parts = threat_event.dealt(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert sum(r["count"] for r in parts) == 4000 and max(r["count"] for r in parts) <= 200

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as T
 
+#: Rows of events that one task scores, some ten seconds' work.
+TASK_ROWS = 100_000
+
 
 def pick(values: list, index: Column) -> Column:
     return F.get(T.literals(values), index.cast("int"))
@@ -22,9 +25,14 @@ def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dealt(rows: DataFrame) -> DataFrame:
-    """`rows`, dealt to all cores if they lie in fewer partitions, as those of a small file of one row group do."""
+    """`rows`, dealt out evenly if one partition has over twice its share, as of a file of few row groups or of a small file.
+
+    A partition's share is at most TASK_ROWS, so that a table's growth makes more tasks, not longer ones. Counting reads no column.
+    """
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() * 2 <= cores else rows
+    counts = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    parts = max(cores, -(-sum(counts) // TASK_ROWS))
+    return rows.repartition(parts) if max(counts, default=0) * parts > 2 * sum(counts) else rows
 
 
 def project(events: DataFrame) -> DataFrame:
