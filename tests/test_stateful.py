@@ -127,3 +127,11 @@ def test_idle_alerts_are_resolved(spark, tmp_path, log):
     stateful.alert_lives(feed.stream(), table, checkpoint, idle_days=7).awaitTermination()
     again = {r.alert_id: r for r in stateful.alert_states(spark, table).collect()}
     assert again["D"].status == "resolved" and again["D"].acknowledged_at == EPOCH + timedelta(days=13)
+
+
+def test_lives_without_timers_need_no_python(spark, tmp_path, log):
+    feed = Feed(spark, tmp_path / "in", "alert_id string, at timestamp, status string")
+    feed.add(log[0])
+    query = stateful.alert_lives(feed.stream(), f"file://{tmp_path}/alerts", f"file://{tmp_path}/checkpoint")
+    query.awaitTermination()
+    assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}

@@ -124,7 +124,7 @@ def score_new(events: DataFrame, warehouse: str, checkpoint: str, as_of: str, la
 class AlertLife(StatefulProcessor):
     """One alert: its furthest status, when it was first acknowledged, and when something last happened. An alert that is not resolved closes itself after `idle_ms`."""
 
-    def __init__(self, idle_ms: int | None):
+    def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -144,11 +144,10 @@ class AlertLife(StatefulProcessor):
                 acknowledged = at if acknowledged is None else min(acknowledged, at)
             rank, last = max(rank, step), max(last, at)
         self.life.update((rank, acknowledged, last))
-        if self.idle_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            if rank < 2:
-                self.handle.registerTimer(last + self.idle_ms)
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if rank < 2:
+            self.handle.registerTimer(last + self.idle_ms)
         if (rank, acknowledged) != before:
             yield self.changed(key, rank, acknowledged, last, "log")
 
@@ -164,21 +163,31 @@ class AlertLife(StatefulProcessor):
 
 
 def alert_lives(log: DataFrame, table: str, checkpoint: str, idle_days: int | None = None, lateness: str = "1 day"):
-    """Follows a stream of (alert_id, at, status): each change goes to `table`. Steps only go forward, and an alert without a step for `idle_days` is resolved.
+    """Follows a stream of (alert_id, at, status): where alerts stand after a batch that touched them goes to `table`. Steps only go forward, and an alert without a step for `idle_days` is resolved.
+
+    Without `idle_days` a life is two extremes, which Spark's own streaming aggregation keeps; timers need the processor,
+    which works on one alert at a time. The two keep different state, so each needs a checkpoint of its own.
 
     Steps of an unknown status, or without an alert or a time, are left out. Late steps count; one that comes after
     its alert was closed as idle changes no more than the time of acknowledgement.
     """
     with_state(log.sparkSession)
-    rows = log.filter(F.col("status").isin(STATUSES)).filter("alert_id is not null and at is not null").withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", lateness)
-    rows = rows.select(F.col("alert_id").cast("string").alias("alert_id"), "status", F.unix_millis("at").alias("ms"))
-    life = AlertLife(None if idle_days is None else idle_days * 86_400_000)
-    found = rows.groupBy("alert_id").transformWithStateInPandas(life, CHANGE, "Append", "EventTime")
+    rows = log.filter(F.col("status").isin(STATUSES)).filter("alert_id is not null and at is not null").withColumns({"alert_id": F.col("alert_id").cast("string"), "at": F.col("at").cast("timestamp")})
+    # the processor has milliseconds
+    ms = F.unix_millis("at")
+    if idle_days is None:
+        rank = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+        lives = rows.groupBy("alert_id").agg(F.max(rank).alias("rank"), F.min(F.when(F.col("status") == STATUSES[1], ms)).alias("acknowledged"), F.max(ms).alias("last"))
+        status = F.get(F.array(*map(F.lit, STATUSES)), F.col("rank").cast("int") - 1)
+        found = lives.select("alert_id", status.alias("status"), F.timestamp_millis("acknowledged").alias("acknowledged_at"), F.timestamp_millis("last").alias("at"), F.lit("log").alias("cause"))
+    else:
+        rows = rows.withWatermark("at", lateness).select("alert_id", "status", ms.alias("ms"))
+        found = rows.groupBy("alert_id").transformWithStateInPandas(AlertLife(idle_days * 86_400_000), CHANGE, "Append", "EventTime")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
 
-    return found.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return found.writeStream.outputMode("update" if idle_days is None else "append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def alert_states(spark: SparkSession, table: str) -> DataFrame:
