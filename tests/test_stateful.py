@@ -135,3 +135,14 @@ def test_lives_without_timers_need_no_python(spark, tmp_path, log):
     query = stateful.alert_lives(feed.stream(), f"file://{tmp_path}/alerts", f"file://{tmp_path}/checkpoint")
     query.awaitTermination()
     assert {o["operatorName"] for p in query.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"}
+
+
+def test_a_stream_scores_one_event_of_each_indicator(spark, monkeypatch):
+    """What a later event of the same batch replaces is neither scored nor moved."""
+    from vigil import dims
+    from vigil.streaming import incremental
+
+    given, scored = [], pipeline.warehouse_rows
+    monkeypatch.setattr(pipeline, "warehouse_rows", lambda rows, as_of: given.append(rows.count()) or scored(rows, as_of))
+    found = incremental.incremental(spark, "/root/testdata/sf0.001/events.parquet", dims.AS_OF)
+    assert given == [found.count()] and given[0] < spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()

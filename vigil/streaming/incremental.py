@@ -25,8 +25,12 @@ def score_stream(stream: DataFrame, warehouse: str, checkpoint: str, as_of: str)
     """Scores each batch once and upserts it by key; a batch that is repeated after a failure changes nothing. Rows that can't be scored go to `warehouse`/failed."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = pipeline.split_failures(project(dealt(batch)))
+        rows = dealt(batch)
+        good, bad = pipeline.split_failures(project(rows))
         bad.write.mode("overwrite").parquet(f"{warehouse}/failed/batch={batch_id}")
+        # of a key only the last event is kept, so no other is scored or moved: narrow rows find it
+        newest = good.groupBy(*pipeline.KEY).agg(F.max("event_id").alias("event_id")).select("event_id").distinct()
+        good, _ = pipeline.split_failures(project(rows.join(newest, "event_id", "left_semi")))
         pipeline.upsert(warehouse, pipeline.warehouse_rows(good, as_of), batch_id)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
