@@ -60,3 +60,17 @@ def test_failed_batches_fall_back_to_single_texts(spark):
     classify = scoring.neural_classifier(predict, batch_size=3)
     found = {r.id: [x.label for x in r.found] for r in rows.select("id", classify("text").alias("found")).collect()}
     assert found == {i: [] if i == 1 else ["Known"] for i in range(8)}
+
+
+def test_words_are_not_grouped_or_joined_by_a_shuffle(spark):
+    """Only the texts' sums move: one exchange, whatever the size that Spark broadcasts by itself."""
+    rows = spark.createDataFrame([(1, "a b b", "x"), (2, "c", "y"), (3, None, None), (None, "a", None)], "id long, text string, label string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        found = bayes.classify(rows, bayes.train(rows, "text", "label"), "id", "text")
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(id") == 1 == plan.count("Exchange hashpartitioning")
+        assert {r.id: r.label for r in found.collect()} == {1: "x", 2: "y", 3: "x", None: "x"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
