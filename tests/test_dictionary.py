@@ -55,3 +55,15 @@ def test_aliases_equal_the_fixed_list(spark):
     got = dictionary.aliases(rows, names, "id", "text", rank_col="rank")
     expected = rows.select("id", T.threat_actors(F.col("text")).alias("actors"))
     assert sorted(map(str, got.select("id", "actors").collect())) == sorted(map(str, expected.collect()))
+
+
+@pytest.mark.parametrize("small", [8_000_000, 0])
+def test_few_words_need_no_grams(spark, docs, small, monkeypatch):
+    """A dictionary of few words is looked for word by word, with the same result as by q-grams."""
+    words = spark.createDataFrame([("the",), ("un",), ("a\nb",), ("Que",), ("",), (None,)], "word string")
+    few = dictionary.matches(docs, words, "doc_id", "text")
+    assert "regexp_extract_all" not in few._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(dictionary, "FEW_WORDS", 0)
+    monkeypatch.setattr(dictionary, "SMALL_CHARS", small)
+    grams = dictionary.matches(docs, words, "doc_id", "text")
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, grams.collect()))

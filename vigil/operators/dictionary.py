@@ -4,6 +4,8 @@ Every entry is found by one of its q-grams, its anchor: the one that fewest text
 dictionary on anchors, then each candidate is verified. An entry with a q-gram that no text has can't occur and is dropped.
 So what is compared follows from how rare the entries are, not from how many there are.
 
+A dictionary of few words is looked for word by word instead.
+
 Frequent anchors don't meet in one task: those that over a 1,024th of all q-grams are pass by broadcast.
 """
 
@@ -13,12 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..storage import stored
 
 #: Length of the q-grams; shorter entries are their own.
 Q = 4
 #: A dictionary of so many characters, anchors included, is broadcast; what is larger is dealt by q-gram.
 SMALL_CHARS = 8_000_000
+#: A dictionary of so many words and characters at most is looked for word by word, which costs less than a text's q-grams.
+FEW_WORDS, FEW_CHARS = 256, 4096
 #: Keys with more than this part of all rows pass by broadcast: fewer than so many, whatever the size.
 HOT_KEYS = 1024
 
@@ -46,10 +51,15 @@ def matches(texts: DataFrame, dictionary: DataFrame, id_col: str, text_col: str,
     Rows with one id count as one text each; their pairs appear once. Null and empty texts and entries match nothing.
     """
     words = stored(entries(dictionary, word_col), "words")
-    sizes = sorted(r.n for r in words.select(F.least(F.length("word"), F.lit(q)).alias("n")).distinct().collect())
+    said = words.groupBy(F.least(F.length("word"), F.lit(q)).alias("size")).agg(F.count("*").alias("n"), F.sum(F.length("word")).alias("chars")).collect()
+    sizes = sorted(r["size"] for r in said)
     rows = texts.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("low"))
     if not sizes:
         return rows.select(F.col("id").alias(id_col), F.lit("").alias("word")).filter("false")
+    if sum(r["n"] for r in said) <= FEW_WORDS and sum(r["chars"] for r in said) <= FEW_CHARS:
+        few = T.literals(sorted(r.word for r in words.collect()))
+        hits = T.let(F.col("low"), lambda t: F.filter(few, lambda w: F.contains(t, w)))
+        return rows.select(F.col("id").alias(id_col), F.explode(hits).alias("word")).distinct()
     counts = rows.select(F.explode(grams(F.col("low"), sizes)).alias("gram")).groupBy("gram").agg(F.count("*").alias("n"))
     anchors = stored(anchored(words, counts.join(words_grams(words, q), "gram", "left_semi"), q), "anchors")
     # every word has one anchor, and n texts stand behind it: how many rows the join makes is known beforehand
