@@ -95,3 +95,27 @@ def test_only_blocks_with_all_trigrams_are_read(spark, trigrams, monkeypatch):
     monkeypatch.setattr(textindex, "LISTED", 0)
     joined = textindex.containing(spark, trigrams, "tag-9006", ["text", "tags"])
     assert joined.count() == 1 and "dynamicpruning" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_index_reads_each_text_once(spark, docs, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def text(t):
+        seen.add(1)
+        return t
+
+    textindex.index_table(docs, f"file://{tmp_path}/once", "doc_id", {"text": text("text")}, {"kind": F.array(F.lit("the"))})
+    assert seen.value == docs.count()
+    assert {r.field: r.n for r in spark.read.parquet(f"file://{tmp_path}/once/fields").collect()} == {"text": docs.filter(F.col("text") != "").count(), "kind": docs.count()}
+
+
+def test_rows_of_one_id_and_files_of_a_frequent_term(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(textindex, "FILE_ROWS", 10)
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.lit("same word").alias("text"))
+    twice = rows.unionByName(rows.filter("doc_id = 7"))
+    path = f"file://{tmp_path}/twice"
+    textindex.index_table(twice, path, "doc_id", {"text": F.col("text")})
+    assert [r.id for r in textindex.ranked(spark, path, "same", {"text": 1.0}, k=2).collect()] == [7, 0]
+    files = textindex.postings(spark, path, {"text": ["same"]}).groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 1 and max(r[1] for r in files) < 60
