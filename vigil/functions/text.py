@@ -100,10 +100,11 @@ def mitre_techniques(text: Column) -> Column:
 def threat_actors(text: Column, actors=dims.TEXT_ACTORS) -> Column:
     """Actors whose name or an alias occurs in the text, any case, by canonical name in dictionary order."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    # each alias with its actor behind a tab
-    entries = listed([f"{x.lower()}\t{n}" for n, al in actors.items() for x in (n, *al)])
-    hits = let(low, lambda t: F.filter(entries, lambda e: F.contains(t, F.substring_index(e, "\t", 1))))
-    return F.array_distinct(F.transform(hits, lambda e: F.substring_index(e, "\t", -1)))
+    # aliases and, at the same places, their actors: a test cuts no string
+    named = [(x.lower(), n) for n, al in actors.items() for x in (n, *al)]
+    aliases, names = listed([x for x, _ in named]), listed([n for _, n in named])
+    hits = let(low, lambda t: F.filter(F.transform(aliases, lambda x, i: F.when(F.contains(t, x), i)), lambda i: i.isNotNull()))
+    return F.array_distinct(F.transform(hits, lambda i: F.get(names, i)))
 
 
 def threat_actors_simple(text: Column) -> Column:
