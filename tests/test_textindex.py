@@ -119,3 +119,25 @@ def test_rows_of_one_id_and_files_of_a_frequent_term(spark, tmp_path, monkeypatc
     assert [r.id for r in textindex.ranked(spark, path, "same", {"text": 1.0}, k=2).collect()] == [7, 0]
     files = textindex.postings(spark, path, {"text": ["same"]}).groupBy(F.input_file_name()).count().collect()
     assert len(files) > 1 and max(r[1] for r in files) < 60
+
+
+def test_postings_stay_with_their_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/kept"
+    rows = spark.range(0, 4000, 1, 4).select(F.col("id").alias("doc_id"), F.lit("same word").alias("text"))
+    textindex.index_table(rows, path, "doc_id", {"text": F.col("text")})
+    files = textindex.postings(spark, path, {"text": ["same"]}).groupBy(F.input_file_name()).agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()
+    assert sorted((f.a, f.b) for f in files) == [(i, i + 999) for i in range(0, 4000, 1000)]
+
+
+def test_found_postings_are_dealt_once(spark, inverted):
+    found = textindex.ranked(spark, inverted, "the entre", {"text": 1.0, "kind": 3.0}, {"kind"})
+    keys = re.findall(r"hashpartitioning\((.*?), \d+\)", found._jdf.queryExecution().executedPlan().toString())
+    assert {re.sub(r"#\d+L?", "", k) for k in keys} == {"id", "field, term"}
+
+
+def test_exact_values_with_repeats_and_gaps(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["b", "a", "b", "", None]), (2, [""]), (3, []), (4, None), (5, ["a"])], "doc_id long, kind array<string>")
+    textindex.index_table(rows, f"file://{tmp_path}/kinds", "doc_id", keywords={"kind": F.col("kind")})
+    assert [tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/kinds/fields").collect()] == [("kind", 3, None)]
+    found = textindex.postings(spark, f"file://{tmp_path}/kinds", {"kind": ["a", "b", ""]})
+    assert sorted((r.id, r.term, r.tf, r.length) for r in found.collect()) == [(1, "a", 1, None), (1, "b", 2, None), (5, "a", 1, None)]

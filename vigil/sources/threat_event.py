@@ -24,14 +24,18 @@ def threat_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return project(dealt(spark.read.parquet(f"{sf_dir}/events.parquet")))
 
 
+def partition_counts(rows: DataFrame) -> list[int]:
+    """The rows of each partition that has any. Counting reads no column."""
+    return [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+
+
 def dealt(rows: DataFrame) -> DataFrame:
     """`rows`, dealt out evenly if one partition has over twice its share, as of a file of few row groups or of a small file.
 
-    A partition's share is at most TASK_ROWS, so that a table's growth makes more tasks, not longer ones. Counting reads no column.
+    A partition's share is at most TASK_ROWS, so that a table's growth makes more tasks, not longer ones.
     """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    counts = [r.n for r in rows.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
-    parts = max(cores, -(-sum(counts) // TASK_ROWS))
+    counts = partition_counts(rows)
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, -(-sum(counts) // TASK_ROWS))
     return rows.repartition(parts) if max(counts, default=0) * parts > 2 * sum(counts) else rows
 
 
