@@ -74,3 +74,29 @@ def test_words_are_not_grouped_or_joined_by_a_shuffle(spark):
         assert {r.id: r.label for r in found.collect()} == {1: "x", 2: "y", 3: "x", None: "x"}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_any_number_of_labels(spark, monkeypatch):
+    """Rare labels count too, whether they share a block or not."""
+    rows = [(i, f"common w{i % 100} w{i % 7} only{i}", f"l{i % 100:03}") for i in range(300)] + [(300, None, "m"), (301, "zzz common", None), (302, "", None), (303, "w5 w5 only299", None), (None, "w5", None), (None, "w99 only99", None)]
+    table = spark.createDataFrame(rows, "id long, text string, label string").withColumn("n", F.lit(1)).withColumn("block", F.lit(2))
+    cls = lambda t: [int(md5(w.encode()).hexdigest()[:4], 16) for w in (t or "").split()]
+    counts, n, log = defaultdict(Counter), Counter(), lambda x: round(math.log(x) * 1e6)
+    for _, t, y in rows:
+        if y:
+            counts[y].update(cls(t))
+            n[y] += 1
+    texts, expected = defaultdict(list), {}
+    for i, t, _ in rows:
+        texts[i] += cls(t)
+    for i, words in texts.items():
+        scores = {y: log(n[y] / sum(n.values())) + sum(log(counts[y][c] + 1) - log(counts[y].total() + bayes.CLASSES) for c in words) for y in n}
+        best = min(scores, key=lambda y: (-scores[y], y))
+        expected[i] = best, sum(math.exp((s - scores[best]) / 1e6) for s in scores.values())
+    assert len(n) == 101 and expected[300][0] == "l000" and expected[299][0] == "l099"
+    for width, sent, rowed in ((bayes.WIDTH, bayes.SENT, bayes.SORTED), (200, bayes.SENT, bayes.SORTED), (3, 500, 40)):
+        monkeypatch.setattr(bayes, "WIDTH", width)
+        monkeypatch.setattr(bayes, "SENT", sent)
+        monkeypatch.setattr(bayes, "SORTED", rowed)
+        found = bayes.classify(table, bayes.train(table, "text", "label"), "id", "text").collect()
+        assert len(found) == len(expected) and all(r.label == expected[r.id][0] and abs(r.confidence - 1 / expected[r.id][1]) < 2e-6 for r in found)
