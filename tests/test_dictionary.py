@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from vigil import dims
 from vigil.functions import text as T
 from vigil.operators import dictionary
+from vigil.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
 WORDS = ["the", "THE", "tion", "er", "a", " ", ". T", "worthless", "é", "ouaux", "zzzz", "", None, "x" * 5000, "is a", "\n", "GNU General Public License", "ên", "d, the"]
@@ -67,3 +68,11 @@ def test_few_words_need_no_grams(spark, docs, small, monkeypatch):
     monkeypatch.setattr(dictionary, "SMALL_CHARS", small)
     grams = dictionary.matches(docs, words, "doc_id", "text")
     assert sorted(map(tuple, few.collect())) == sorted(map(tuple, grams.collect()))
+
+
+def test_short_names_are_looked_for(spark, tmp_path):
+    """Words of one and two letters are of the dictionary as well; a digit alone is no word."""
+    for name, rows, kind in (("part", [("Ox a",), ("-7 ring",), (None,)], "p_name string"), ("nation", [("NATION_0",)], "n_name string"), ("documents", [(1, "one ox"), (2, "7 rings"), (3, "a"), (4, None)], "doc_id long, text string")):
+        spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {tuple(r) for r in QUERIES["part_names_in_documents"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "ox"), (2, "ring"), (3, "a")}

@@ -390,7 +390,7 @@ ks as (select q, id, round(boost * ln(1 + (n - df + 0.5::double) / (df + 0.5::do
 every as (select 'ransomware portal bank' as q, id, s from s_a union all select 'APT', id, s from s_b union all select * from ks),
 best as (select q, id, round(max(s), 6) as score from every group by all)
 select q as query, id as event_id, score from best qualify row_number() over (partition by q order by score desc, id) <= 50""",
-    "part_names_in_documents": """with w as (select distinct w from (select unnest(string_split_regex(lower(p_name), '[^a-z]+')) as w from part union all select unnest(string_split_regex(lower(n_name), '[^a-z]+')) from nation) where len(w) >= 3)
+    "part_names_in_documents": """with w as (select distinct w from (select unnest(string_split_regex(lower(p_name), '[^a-z]+')) as w from part union all select unnest(string_split_regex(lower(n_name), '[^a-z]+')) from nation) where w <> '')
 select doc_id, w as word from (select doc_id, lower(text) as low from documents) join w on contains(low, w) group by all""",
     "actor_join": f"with {TE} select event_id, array_to_string(actors, ',') as actors from te",
     "classify_trained": f"with {TE}, base as (select event_id as id, description as text, threat_types[1] as label, event_id % 4 <> 2 as known from te), {BAYES} select id as event_id, label, confidence from found",
