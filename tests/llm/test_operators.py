@@ -263,6 +263,38 @@ def test_top_k_matches_brute_force(spark):
     assert got == expected
 
 
+def test_top_k_hands_python_one_block_and_shard_at_a_time(spark):
+    """Joined rows with a shard and a block each gathered in batches, so that workers held more with every shard."""
+    rows = shipped(spark).range(500).selectExpr("id as vec_id", "array(float(id % 7), float(id % 3 - 1)) as embedding")
+    plan = topk.top_k(rows, F.col("vec_id") % 50 == 0, shard=60, block=3)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsIn" in plan and "MapInPandas" not in plan and "MapInArrow" not in plan
+
+
+def test_top_k_of_vectors_of_different_lengths(spark):
+    """One long vector makes no shard of each row; it is searched among those of its own length."""
+    rng = np.random.default_rng(5)
+    data = [(i, [float(x) for x in rng.normal(size=4).round(2)]) for i in range(200)] + [(1000 + 50 * i, [float(i % 7)] * 3000) for i in range(8)]
+    got = topk.top_k(shipped(spark).createDataFrame(data, "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).collect()
+    whole = [(i, np.floor(256 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in data]
+    expected = {(q, k, -j, s) for q, v in whole if q % 50 == 0 for k, (s, j) in enumerate(sorted(((int(v @ x), -i) for i, x in whole if i != q and len(x) == len(v)), reverse=True)[:5], 1)}
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) == 60
+
+
+@pytest.mark.parametrize("scale", [1, 3000, 1 << 28])
+def test_top_k_search_of_ties_and_large_numbers(scale):
+    """Rows that are all alike, whose ties go to smaller ids, and products that need more bits."""
+    rng = np.random.default_rng(3)
+    points = np.concatenate([np.full((700, 3), 2), rng.integers(-4, 5, (300, 3)), rng.integers(-4, 5, (1, 3)) * 0]) * scale + rng.integers(0, 2, (1001, 1)) * (scale > 1)
+    ids = np.sort(rng.permutation(5000)[:1001])
+    parts = [(ids[at], points[at], points[at].min(axis=0), points[at].max(axis=0)) for at in topk.leaves(points, 16)]
+    assert sorted(np.concatenate([p[0] for p in parts])) == list(ids) and max(len(p[0]) for p in parts) <= 16
+    asked, own = points[::7], ids[::7]
+    exact = [sorted((-sum(int(a) * int(b) for a, b in zip(q, p, strict=True)), int(i)) for i, p in zip(ids, points, strict=True) if i != o)[:5] for q, o in zip(asked, own, strict=True)]
+    for floors in (np.full(len(own), topk.NONE), np.array([-e[4][0] for e in exact])):
+        row, found, score = topk.search(asked, own, floors, parts, 5)
+        assert [(int(r), -int(s), int(i)) for r, s, i in zip(row, score, found, strict=True)] == [(n, *x) for n, e in enumerate(exact) for x in e]
+
+
 def test_top_k_of_an_empty_table(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 50 == 0).count() == 0
 
