@@ -94,9 +94,8 @@ def test_any_number_of_labels(spark, monkeypatch):
         best = min(scores, key=lambda y: (-scores[y], y))
         expected[i] = best, sum(math.exp((s - scores[best]) / 1e6) for s in scores.values())
     assert len(n) == 101 and expected[300][0] == "l000" and expected[299][0] == "l099"
-    for width, sent, rowed in ((bayes.WIDTH, bayes.SENT, bayes.SORTED), (200, bayes.SENT, bayes.SORTED), (3, 500, 40)):
-        monkeypatch.setattr(bayes, "WIDTH", width)
-        monkeypatch.setattr(bayes, "SENT", sent)
-        monkeypatch.setattr(bayes, "SORTED", rowed)
+    for held in ({}, {"WIDTH": 200}, {"WIDTH": 3, "SENT": 500, "SORTED": 40}):
+        for name, value in held.items():
+            monkeypatch.setattr(bayes, name, value)
         found = bayes.classify(table, bayes.train(table, "text", "label"), "id", "text").collect()
         assert len(found) == len(expected) and all(r.label == expected[r.id][0] and abs(r.confidence - 1 / expected[r.id][1]) < 2e-6 for r in found)
